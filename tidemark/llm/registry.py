@@ -1,8 +1,10 @@
 """Queries of this package and their SQL twins."""
 
-from tidemark.llm import substring_dedup
+from tidemark.llm import ngram_join, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op3_ngram_join": ngram_join.query,
     "op8_substring_dedup": substring_dedup.query,
+    "op9_suffix_dedup": suffix_dedup.query,
 }
 ORACLES = {}
