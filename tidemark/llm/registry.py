@@ -1,10 +1,14 @@
 """Queries of this package and their SQL twins."""
 
-from tidemark.llm import ngram_join, substring_dedup, suffix_dedup
+from tidemark.llm import licenses, ngram_join, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_licenses": licenses.query,
     "op3_ngram_join": ngram_join.query,
+    "op4_token_counts": token_counts.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_suffix_dedup": suffix_dedup.query,
 }
-ORACLES = {}
+ORACLES = {
+    "op1_licenses": licenses.ORACLE,
+}
