@@ -40,15 +40,27 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    sc = spark.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, fs = _place(spark, path)
+    fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
     del df
     free(spark)
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a stashed table that nothing will read again."""
+    where, fs = _place(df.sparkSession, df.stashed_at)
+    fs.delete(where, True)
+
+
+def _place(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark drop shuffle files and broadcasts that nothing refers to any more."""
     gc.collect()
@@ -56,7 +68,7 @@ def free(spark: SparkSession) -> None:
 
 
 def numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(rid, doc_id, text as bytes, carried): rid tells rows apart that share a doc_id but not a text.
+    """(rid, doc_id, tag, text as bytes, carried): rid, and (doc_id, tag), tell rows apart that share only a doc_id.
 
     carried is a struct of the ``carry`` columns, out of the way of an operator's own names.
     """
@@ -64,6 +76,7 @@ def numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(
         F.xxhash64("doc_id", text).alias("rid"),
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.hash(text).alias("tag"),
         text.cast("binary").alias("text"),
         F.struct(*([F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")])).alias("carried"),
     )

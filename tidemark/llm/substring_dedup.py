@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import passages
-from tidemark.llm.common import WordHashes, numbered, signed, span, stash, sums, table
+from tidemark.llm.common import WordHashes, discard, numbered, signed, span, stash, sums, table
 
 WINDOW = 50
 #: Words in an anchor.
-K = 8
+K = 6
+#: A block's first window and number of windows are packed into one number; the latter takes the low bits.
+AT_BITS = 20
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -42,45 +44,50 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, carry: tu
         raise ValueError("an anchor has between 1 and window words")
     texts = numbered(docs)
     known = texts.where("doc_id IS NOT NULL")
-    seen = stash(
-        known.mapInArrow(_occurrences(window, k), "rid long, doc_id long, anchor long, block long, start int, n int, rel int")
+    every = stash(known.mapInArrow(_occurrences(window, k), "doc_id long, tag int, anchor long, block long, at long"))
+    # Only windows with the same anchor can be equal: what has an anchor of its own is done with.
+    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    seen = stash(every.join(shared.select("anchor"), "anchor"))
+    discard(every)
+    index = stash(
+        seen.groupBy("block").agg(F.first("anchor").alias("anchor"), F.min(F.struct("doc_id", "tag", "at")).alias("first"), F.max("doc_id").alias("last"))
+        .select("block", "anchor", "first", (F.col("last") > F.col("first.doc_id")).alias("again"))
     )
-    index = seen.groupBy("anchor", "block").agg(
-        F.min(F.struct("doc_id", "rid", "start", "n")).alias("first"), F.max("doc_id").alias("last_doc")
-    )
-    index = stash(index.select("anchor", "block", "first", (F.col("last_doc") > F.col("first.doc_id")).alias("again")))
-
-    # Factor boundaries: blocks whose anchor has other blocks too, of other documents.
-    shared = index.groupBy("anchor").agg(
-        F.min("first.doc_id").alias("a"), F.max("first.doc_id").alias("b")
-    ).where("a < b").select("anchor")
-    edges = index.join(shared, "anchor").groupBy(F.col("first.rid").alias("rid")).agg(
-        F.collect_list(F.struct("anchor", "block", "first.doc_id", "first.start", "first.n")).alias("edges")
+
+    # Factor boundaries: blocks whose anchor also stands in other blocks.
+    several = index.groupBy("anchor").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("anchor")
+    edges = index.join(several, "anchor").groupBy("first.doc_id", "first.tag").agg(
+        F.collect_list(F.struct("block", "first.at")).alias("edges")
     )
     looked = stash(
-        known.join(edges, "rid").select("text", "edges")
-        .mapInArrow(_windows(window), "anchor long, block long, doc_id long, prints array<long>")
+        known.join(edges, ["doc_id", "tag"]).select("doc_id", "text", "edges")
+        .mapInArrow(_windows(window), "block long, doc_id long, prints array<long>")
     )
-    each = looked.select("anchor", "block", "doc_id", F.posexplode("prints").alias("off", "print"))
+    each = looked.select("block", "doc_id", F.posexplode("prints").alias("off", "print"))
     earlier = each.groupBy("print").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("b")).where("source < b")
-    hits = (
+    hits = stash(
         each.join(earlier.select("print", "source"), "print").where("source < doc_id")
-        .groupBy("anchor", "block").agg(F.first("doc_id").alias("owner"), F.collect_list("off").alias("offs"))
-    )
-
-    copied = (
-        seen.join(index.where("again").select("anchor", "block", F.col("first.doc_id").alias("source")), ["anchor", "block"])
-        .where("source < doc_id").select("rid", F.struct("start", "n").alias("factor"))
-    )
-    partly = (
-        seen.join(hits, ["anchor", "block"]).where("owner = doc_id")
-        .select("rid", F.explode("offs").alias("off"), "start")
-        .select("rid", F.struct((F.col("start") + F.col("off")).alias("start"), F.lit(1).alias("n")).alias("factor"))
+        .groupBy("block").agg(F.first("doc_id").alias("owner"), F.collect_list("off").alias("offs"))
     )
-    factors = copied.unionByName(partly).groupBy("rid").agg(
-        F.collect_list("factor.start").alias("starts"), F.collect_list("factor.n").alias("lens")
+    discard(looked)
+
+    # What is known of each block: from which document on it is copied whole, and what its first document has elsewhere.
+    known_blocks = index.where("again").select("block", F.col("first.doc_id").alias("source")).join(hits, "block", "full")
+    whole = (F.col("doc_id") > F.col("source"))
+    start, n = F.shiftright("at", AT_BITS), F.col("at").bitwiseAND((1 << AT_BITS) - 1)
+    factors = stash(
+        seen.join(known_blocks, "block").select(
+            "doc_id", "tag",
+            F.when(whole, F.array(F.struct(start.alias("start"), n.alias("n"))))
+            .when(F.col("owner") == F.col("doc_id"), F.transform("offs", lambda o: F.struct((start + o).alias("start"), F.lit(1).cast("long").alias("n"))))
+            .alias("factors"),
+        ).where("factors IS NOT NULL")
+        .groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("factors")).alias("factors"))
+        .select("doc_id", "tag", F.col("factors.start").alias("starts"), F.col("factors.n").alias("lens"))
     )
-    kept = numbered(docs, carry).join(factors, "rid", "left").select("doc_id", "text", "starts", "lens", "carried")
+    for t in (seen, index, hits):
+        discard(t)
+    kept = numbered(docs, carry).join(factors, ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "lens", "carried")
     kind = kept.schema["carried"].dataType.simpleString()
     out = kept.mapInArrow(_cut(window), f"doc_id long, n_words long, n_removed long, kept string, carried {kind}")
     return out if carry else out.drop("carried")
@@ -91,20 +98,18 @@ def _occurrences(window: int, k: int):
         hashes = WordHashes()
         for b in batches:
             cols: dict[str, list] = {}
-            for rid, doc, text in zip(b["rid"].to_pylist(), b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for doc, tag, text in zip(b["doc_id"].to_pylist(), b["tag"].to_pylist(), b["text"].to_pylist(), strict=True):
                 words = text.split()
                 if len(words) < window:
                     continue
                 found = passages.rows(hashes.of(words), window, k)
                 m = len(found["start"])
-                for name, x in (found | {"rid": np.full(m, rid), "doc_id": np.full(m, doc)}).items():
+                at = found["start"] << AT_BITS | found["n"]
+                row = (np.full(m, doc), np.full(m, tag, np.int32), found["anchor"], found["block"], at)
+                for name, x in zip(("doc_id", "tag", "anchor", "block", "at"), row, strict=True):
                     cols.setdefault(name, []).append(x)
             if cols:
-                col = {name: np.concatenate(x) for name, x in cols.items()}
-                yield pa.RecordBatch.from_pydict({
-                    "rid": col["rid"], "doc_id": col["doc_id"], "anchor": col["anchor"], "block": col["block"],
-                    **{c: col[c].astype(np.int32) for c in ("start", "n", "rel")},
-                })
+                yield pa.RecordBatch.from_pydict({name: np.concatenate(x) for name, x in cols.items()})
 
     return run
 
@@ -114,17 +119,18 @@ def _windows(window: int):
         hashes = WordHashes()
         for b in batches:
             rows, prints = [], []
-            for text, edges in zip(b["text"].to_pylist(), b["edges"].to_pylist(), strict=True):
+            for doc, text, edges in zip(*(b[x].to_pylist() for x in ("doc_id", "text", "edges")), strict=True):
                 c = sums(hashes.of(text.split()))
                 for e in edges:
-                    at = np.arange(e["start"], e["start"] + e["n"])
-                    rows.append((e["anchor"], e["block"], e["doc_id"]))
+                    start, n = e["at"] >> AT_BITS, e["at"] & ((1 << AT_BITS) - 1)
+                    at = np.arange(start, start + n)
+                    rows.append((e["block"], doc))
                     prints.append(signed(span(c, at, at + window)))
             if rows:
                 ends = np.cumsum([0, *map(len, prints)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.concatenate(prints))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), lists], ["anchor", "block", "doc_id", "prints"]
+                    [*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), lists], ["block", "doc_id", "prints"]
                 )
 
     return run
