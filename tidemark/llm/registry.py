@@ -1,14 +1,29 @@
 """Queries of this package and their SQL twins."""
 
-from tidemark.llm import licenses, ngram_join, substring_dedup, suffix_dedup, token_counts
+from tidemark.llm import (
+    decontaminate,
+    licenses,
+    mixing,
+    nearest,
+    ngram_join,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_licenses": licenses.query,
     "op3_ngram_join": ngram_join.query,
     "op4_token_counts": token_counts.query,
+    "op5_mixing": mixing.query,
+    "op6_nearest": nearest.query,
+    "op7_toxicity": toxicity.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_suffix_dedup": suffix_dedup.query,
+    "op10_decontaminate": decontaminate.query,
 }
 ORACLES = {
     "op1_licenses": licenses.ORACLE,
+    "op5_mixing": mixing.ORACLE,
 }

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import passages
-from tidemark.llm.common import U64, mixed, numbered, signed, span, stash, sums, table
+from tidemark.llm.common import U64, discard, mixed, numbered, signed, span, stash, sums, table
 
 WINDOW = 400
 #: Bytes in a trigger.
@@ -44,16 +44,23 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
     window keep everything. Other columns of ``docs``, whatever their names, are ignored. An empty table gives an empty
     result.
     """
-    if not 0 < k <= window - CELL + 1:
-        raise ValueError("a trigger fits in the core that the windows of a cell share")
+    if not 0 < k <= window - CELL + 1 <= 1 << 15:
+        raise ValueError("a trigger fits in the core that the windows of a cell share, and a window in 32 kB")
     texts = numbered(docs)
-    parse = stash(texts.mapInArrow(_parse(window, k), "rid long, anchor long, block long, start int, n int, rel int"))
-    phrases = stash(parse.groupBy("anchor", "block").agg(
-        F.count("*").alias("c"), F.min(F.struct("rid", "start", "n", "rel")).alias("at")
+    every = stash(texts.mapInArrow(_parse(window, k), "rid long, anchor long, block long, start int, n short, rel short"))
+    # Only windows with the same trigger can be equal: what has a trigger of its own is done with. The table of the
+    # others is written, so that both sides of the join are plain exchanges and Spark may split a hot trigger.
+    shared = stash(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
+    parse = stash(every.join(shared, "anchor"))
+    for t in (every, shared):
+        discard(t)
+    phrases = stash(parse.groupBy("block").agg(
+        F.first("anchor").alias("anchor"), F.count("*").alias("c"), F.min(F.struct("rid", "start", "n", "rel")).alias("at")
     ))
 
     ties = phrases.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
-    open_ = stash(phrases.join(ties.where("kinds > 1 AND least = 1").select("anchor"), "anchor"))
+    tied = stash(ties.where("kinds > 1 AND least = 1").select("anchor"))
+    open_ = stash(phrases.join(tied, "anchor"))
     wanted = open_.groupBy(F.col("at.rid").alias("rid")).agg(
         F.collect_list(F.struct("anchor", "block", "c", "at.start", "at.n", "at.rel")).alias("phrases")
     )
@@ -61,33 +68,32 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
         _contexts(window), "anchor long, block long, c long, n int, rel int, bytes binary"
     ))
 
-    cells = words.mapInArrow(_cells(window), "anchor long, block long, c long, core long, whole long, off int, m int")
+    cells = words.mapInArrow(_cells(window), "block long, c long, core long, whole long, off int, m int")
     kinds = stash(cells.groupBy("core", "whole").agg(
-        F.sum("c").alias("c"), F.min(F.struct("anchor", "block", "off", "m")).alias("at")
+        F.sum("c").alias("c"), F.min(F.struct("block", "off", "m")).alias("at")
     ))
     same = cells.where("c = 1").join(kinds.where("c > 1").select("core", "whole"), ["core", "whole"])
     ties = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
     fine = (
         kinds.join(ties.where("kinds > 1 AND least = 1").select("core"), "core")
-        .groupBy(F.col("at.anchor").alias("anchor"), F.col("at.block").alias("block"))
+        .groupBy(F.col("at.block").alias("block"))
         .agg(F.collect_list(F.struct("c", "at.off", "at.m")).alias("cells"))
     )
-    single = words.select("anchor", "block", "bytes").join(fine, ["anchor", "block"]).mapInArrow(
-        _prints(window), "anchor long, block long, c long, off int, print long"
-    )
-    single = stash(single)
+    single = stash(words.select("block", "bytes").join(fine, "block").mapInArrow(_prints(window), "block long, c long, off int, print long"))
     again = single.groupBy("print").agg(F.sum("c").alias("total")).where("total > 1").select("print")
-    found = same.select("anchor", "block", "off", "m").unionByName(
-        single.where("c = 1").join(again, "print").select("anchor", "block", "off", F.lit(1).alias("m"))
+    found = same.select("block", "off", "m").unionByName(
+        single.where("c = 1").join(again, "print").select("block", "off", F.lit(1).alias("m"))
     )
 
-    whole = parse.join(phrases.where("c > 1").select("anchor", "block"), ["anchor", "block"]).select("rid", "start", "n")
-    partly = found.join(open_.where("c = 1").select("anchor", "block", "at"), ["anchor", "block"]).select(
+    whole = parse.join(phrases.where("c > 1").select("block"), "block").select("rid", "start", F.col("n").cast("int").alias("n"))
+    partly = found.join(open_.where("c = 1").select("block", "at"), "block").select(
         F.col("at.rid").alias("rid"), (F.col("at.start") + F.col("off")).alias("start"), F.col("m").alias("n")
     )
-    gone = whole.unionByName(partly).groupBy("rid").agg(
+    gone = stash(whole.unionByName(partly).groupBy("rid").agg(
         F.collect_list("start").alias("starts"), F.collect_list("n").alias("lens")
-    )
+    ))
+    for t in (parse, phrases, tied, open_, words, kinds, single):
+        discard(t)
     return texts.join(gone, "rid", "left").select("doc_id", "text", "starts", "lens").mapInArrow(
         _cut(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
@@ -113,8 +119,8 @@ def _parse(window: int, k: int):
             if cols:
                 col = {name: np.concatenate(x) for name, x in cols.items()}
                 yield pa.RecordBatch.from_pydict({
-                    "rid": col["rid"], "anchor": col["anchor"], "block": col["block"],
-                    **{c: col[c].astype(np.int32) for c in ("start", "n", "rel")},
+                    "rid": col["rid"], "anchor": col["anchor"], "block": col["block"], "start": col["start"].astype(np.int32),
+                    **{c: col[c].astype(np.int16) for c in ("n", "rel")},
                 })
 
     return run
@@ -136,7 +142,7 @@ def _contexts(window: int):
 def _cells(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {x: [] for x in ("anchor", "block", "c", "core", "whole", "off", "m")}
+            out: dict[str, list] = {x: [] for x in ("block", "c", "core", "whole", "off", "m")}
             for anchor, block, count, n, rel, text in zip(*(b[x].to_pylist() for x in ("anchor", "block", "c", "n", "rel", "bytes")), strict=True):
                 c = sums(_units(text))
                 cell = np.arange((rel - n + 1) // CELL, rel // CELL + 1)
@@ -146,7 +152,7 @@ def _cells(window: int):
                 key = mixed(span(c, core, core - CELL + 1 + window) ^ mixed(np.full(len(cell), anchor).view(U64) + cell.astype(U64)))
                 whole = mixed(span(c, off, rel - near + window) + (near * 4096 + wide).astype(U64))
                 m = len(cell)
-                for name, x in (("anchor", np.full(m, anchor)), ("block", np.full(m, block)), ("c", np.full(m, count)), ("core", signed(key)), ("whole", signed(whole)), ("off", off), ("m", wide - near + 1)):
+                for name, x in (("block", np.full(m, block)), ("c", np.full(m, count)), ("core", signed(key)), ("whole", signed(whole)), ("off", off), ("m", wide - near + 1)):
                     out[name].append(x)
             if out["off"]:
                 yield pa.RecordBatch.from_pydict({x: np.concatenate(y).astype(np.int32 if x in ("off", "m") else np.int64) for x, y in out.items()})
@@ -157,12 +163,12 @@ def _cells(window: int):
 def _prints(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {x: [] for x in ("anchor", "block", "c", "off", "print")}
-            for anchor, block, text, cells in zip(*(b[x].to_pylist() for x in ("anchor", "block", "bytes", "cells")), strict=True):
+            out: dict[str, list] = {x: [] for x in ("block", "c", "off", "print")}
+            for block, text, cells in zip(*(b[x].to_pylist() for x in ("block", "bytes", "cells")), strict=True):
                 c = sums(_units(text))
                 for e in cells:
                     at, m = np.arange(e["off"], e["off"] + e["m"]), e["m"]
-                    for name, x in (("anchor", np.full(m, anchor)), ("block", np.full(m, block)), ("c", np.full(m, e["c"])), ("off", at), ("print", signed(span(c, at, at + window)))):
+                    for name, x in (("block", np.full(m, block)), ("c", np.full(m, e["c"])), ("off", at), ("print", signed(span(c, at, at + window)))):
                         out[name].append(x)
             if out["off"]:
                 yield pa.RecordBatch.from_pydict({x: np.concatenate(y).astype(np.int32 if x == "off" else np.int64) for x, y in out.items()})
