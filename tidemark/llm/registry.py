@@ -2,6 +2,7 @@
 
 from tidemark.llm import (
     decontaminate,
+    html_text,
     licenses,
     mixing,
     nearest,
@@ -14,6 +15,7 @@ from tidemark.llm import (
 
 QUERIES = {
     "op1_licenses": licenses.query,
+    "op2_html_text": html_text.query,
     "op3_ngram_join": ngram_join.query,
     "op4_token_counts": token_counts.query,
     "op5_mixing": mixing.query,
