@@ -49,7 +49,8 @@ def mix(
 ) -> DataFrame:
     """How often each document is taken.
 
-    Returns one row per input row: doc_id, domain, lang, source, n_tokens (words), copies. Null and empty languages and
+    Returns one row per input row: doc_id, tag (a hash of the text, which tells rows of one doc_id apart), domain, lang,
+    source, n_tokens (words), copies. Null and empty languages and
     sources are named ``unknown``. Texts without words add nothing to a prefix and are taken with the rows around them.
     Null doc_ids are ordered like an empty string; ties of the order go by doc_id, then n_tokens. Weights must not be
     negative; a child of weight 0 gets nothing. Other columns of ``docs``, whatever their names, are ignored. An empty
@@ -57,7 +58,7 @@ def mix(
     """
     known = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit("unknown")).otherwise(F.col(c))
     rows = stash(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), domain().alias("domain"), known("lang").alias("lang"), known("source").alias("source"), words().alias("n_tokens")
+        F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("tag"), domain().alias("domain"), known("lang").alias("lang"), known("source").alias("source"), words().alias("n_tokens")
     ))
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     for level in LEAF:
@@ -80,7 +81,7 @@ def mix(
     inside = Window.partitionBy(*LEAF, "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before") + F.sum("n_tokens").over(inside)
     return placed.join(sums, [*LEAF, "bucket"]).withColumn("upto", upto).select(
-        "doc_id", *LEAF, "n_tokens", (F.col("whole") + (F.col("upto") <= F.col("rest")).cast("long")).alias("copies")
+        "doc_id", "tag", *LEAF, "n_tokens", (F.col("whole") + (F.col("upto") <= F.col("rest")).cast("long")).alias("copies")
     )
 
 
@@ -102,7 +103,7 @@ def _split(leaves: DataFrame, parents: tuple[str, ...], level: str) -> DataFrame
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: copies of every document in the mix."""
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("tag")
 
 
 def _oracle() -> str:
