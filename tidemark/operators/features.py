@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 def freq(tokens: Column, alphabet: list[str]) -> Column:
     """Share of the window that each token of the alphabet takes."""
     n = F.greatest(F.lit(1), F.size(tokens)).cast("double")
-    return F.array(*(F.size(F.filter(tokens, lambda x, a=a: x == a)) / n for a in alphabet))
+    return F.array(*(F.size(F.filter(tokens, _is(a))) / n for a in alphabet))
+
+
+def _is(*wanted: str):
+    return lambda x: x.isin(*wanted)
 
 
 def presence(tokens: Column, rare: list[str]) -> Column:
@@ -54,8 +58,8 @@ def group_freq(windows: DataFrame, groups: dict[str, str]) -> DataFrame:
     """Share of each functional group of tokens in the window."""
     n = F.greatest(F.lit(1), F.size("tokens")).cast("double")
     names = sorted(set(groups.values()))
-    of = lambda g: F.array(*(F.lit(t) for t in sorted(t for t, x in groups.items() if x == g)))
-    return windows.withColumns({f"grp_{g}": F.size(F.filter("tokens", lambda x, g=g: F.array_contains(of(g), x))) / n for g in names})
+    of = {g: [t for t, x in groups.items() if x == g] for g in names}
+    return windows.withColumns({f"grp_{g}": F.size(F.filter("tokens", _is(*of[g]))) / n for g in names})
 
 
 def gaps(rows: DataFrame, key: str, order: list[str], ts: str, per: int) -> DataFrame:

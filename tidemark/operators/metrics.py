@@ -28,27 +28,27 @@ def precision_recall_f1(df: DataFrame, flagged: Column, positive: Column, by: Se
 
 
 def curve(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
-    """For each distinct score: p and n (positives and negatives with it), tp and fp (at or above it), P and N."""
+    """For each distinct score: p and n (positives and negatives with it), tp and fp (at or above it), n_pos and n_neg."""
     c = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n"))
     c = running(c, "s", ["p", "n"], by)
-    total = c.groupBy(*by).agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    total = c.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     c = c.join(total, list(by)) if by else c.crossJoin(F.broadcast(total))
-    return c.withColumns({"tp": F.col("P") - F.col("cum_p") + F.col("p"), "fp": F.col("N") - F.col("cum_n") + F.col("n"), "below": F.col("cum_n") - F.col("n")})
+    return c.withColumns({"tp": F.col("n_pos") - F.col("cum_p") + F.col("p"), "fp": F.col("n_neg") - F.col("cum_n") + F.col("n"), "below": F.col("cum_n") - F.col("n")})
 
 
 def auc(curve_: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve; ties count one half."""
-    return curve_.groupBy(*by).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)) / F.nullif(F.first("P") * F.first("N"), F.lit(0))).alias("auc"))
+    return curve_.groupBy(*by).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)) / F.nullif(F.first("n_pos") * F.first("n_neg"), F.lit(0))).alias("auc"))
 
 
 def average_precision(curve_: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return curve_.groupBy(*by).agg(F.sum(F.col("p") / F.col("P") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("ap"))
+    return curve_.groupBy(*by).agg(F.sum(F.col("p") / F.col("n_pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("ap"))
 
 
 def recall_at_fpr(curve_: DataFrame, limits: Sequence[float]) -> DataFrame:
     """(fpr_limit, recall): the best recall whose false-positive rate stays within each limit."""
     wide = curve_.withColumn("fpr_limit", F.explode(F.array(*map(F.lit, limits))))
-    return wide.groupBy("fpr_limit").agg(F.coalesce(F.max(F.when(F.col("fp") / F.col("N") <= F.col("fpr_limit"), F.col("tp") / F.col("P"))), F.lit(0.0)).alias("recall"))
+    return wide.groupBy("fpr_limit").agg(F.coalesce(F.max(F.when(F.col("fp") / F.col("n_neg") <= F.col("fpr_limit"), F.col("tp") / F.col("n_pos"))), F.lit(0.0)).alias("recall"))
 
 
 def box(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ LENGTH, STRIDE, LEAST = 10, 2, 5
 def alphabet_filter(seq: DataFrame, alphabet: list[str]) -> DataFrame:
     """Keep tokens of the alphabet and number what is left anew. This comes before windows and changes them."""
     kept = seq.where(F.col("token").isin(alphabet))
-    return kept.withColumn("pos", F.row_number().over(Window.partitionBy("seq_id").orderBy("pos")) - 1)
+    return kept.withColumn("pos", (F.row_number().over(Window.partitionBy("seq_id").orderBy("pos")) - 1).cast("long"))
 
 
 def min_length(seq: DataFrame, least: int = LEAST) -> DataFrame:
@@ -42,6 +42,7 @@ def window_grid(seq: DataFrame, grid: list[tuple[int, int]], least: int = LEAST)
 
 def drop_warmup(rows: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """Leave out what falls within ``seconds`` of a key's first row."""
-    first = F.min(ts).over(Window.partitionBy(key))
-    return rows.where(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(first.cast("timestamp")) >= seconds * 1_000_000)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    since = us - F.min(us).over(Window.partitionBy(key))
+    return rows.withColumn("_since", since).where(F.col("_since") >= seconds * 1_000_000).drop("_since")
 

@@ -1,4 +1,8 @@
 """All queries of the library with their SQL twins."""
 
-QUERIES = {}
-ORACLES = {}
+from tidemark.plans import score_queries, sequence_queries
+
+flagship = sequence_queries.flagship
+_ALL = sequence_queries.QUERIES | score_queries.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sequences(rows: DataFrame, key: str, order: list[str], token: Column) -> DataFrame:
     """The long form (seq_id, pos, token): pos counts from 0 in the given order, which should have no ties."""
     w = Window.partitionBy(key).orderBy(*order)
-    return rows.select(F.col(key).alias("seq_id"), (F.row_number().over(w) - 1).alias("pos"), token.alias("token"))
+    return rows.select(F.col(key).alias("seq_id"), (F.row_number().over(w) - 1).cast("long").alias("pos"), token.alias("token"))
 
 
 def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
