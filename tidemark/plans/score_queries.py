@@ -18,9 +18,9 @@ ORDER = ["ts", "event_id"]
 CELL = ["attack_class", "noise", "trial"]
 
 SPLIT = f"""sc AS (SELECT event_id, user_id AS tenant, ts, CASE WHEN event_type = 'error' THEN 'attack' ELSE 'benign' END AS label, value AS score FROM events),
-    sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {h32_sql("'cal'", "event_id")}, event_id) <= count(*) OVER (PARTITION BY label) // 2
+    sp AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {h32_sql("'cal'", "event_id")}, event_id) <= count(*) OVER (PARTITION BY label) // 2
         THEN 'CAL' ELSE 'TEST' END AS split FROM sc)"""
-PAR = "par AS (SELECT " + ", ".join(f"quantile_cont(score, {q}) AS {n}" for n, q in C.POINTS.items()) + " FROM sp WHERE label = 'benign' AND split = 'CAL')"
+PAR = "par AS MATERIALIZED (SELECT " + ", ".join(f"quantile_cont(score, {q}) AS {n}" for n, q in C.POINTS.items()) + " FROM sp WHERE label = 'benign' AND split = 'CAL')"
 STEP = "greatest({m}, 0.9::DOUBLE * {t} + (1 - 0.9::DOUBLE) * {a})"
 
 
@@ -34,26 +34,26 @@ def _folds(stream: str, key: str) -> str:
     tr AS (SELECT s.*, e.u0, e.u1, e.c0, e.c1, score > T_op AS f_fixed, score > u0 AS f_uncond, score > c0 AS f_cond FROM {stream} s JOIN ema e USING ({key}, n))"""
 
 
-TENANT = "st AS (SELECT sp.*, par.*, row_number() OVER (PARTITION BY tenant ORDER BY ts, event_id) AS n FROM sp, par)"
+TENANT = "st AS MATERIALIZED (SELECT sp.*, par.*, row_number() OVER (PARTITION BY tenant ORDER BY ts, event_id) AS n FROM sp, par)"
 
 
 def _bands(pool: str) -> str:
-    return f"""{pool} AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY {h32_sql("'pool'", "event_id")}, event_id) - 1 AS ix, count(*) OVER (PARTITION BY band) AS size FROM (
+    return f"""{pool} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY band ORDER BY {h32_sql("'pool'", "event_id")}, event_id) - 1 AS ix, count(*) OVER (PARTITION BY band) AS size FROM (
         SELECT event_id, score, CASE WHEN score <= bp50 THEN 'none' WHEN score <= bp90 THEN 'moderate' ELSE 'high' END AS band FROM sp, par WHERE split = 'TEST' AND label = 'benign'
         UNION ALL SELECT event_id, score, CASE WHEN score <= bp999 THEN 'stealthy' ELSE 'loud' END FROM sp, par WHERE split = 'TEST' AND label = 'attack' AND score > T_op))"""
 
 
 def _draws() -> str:
     one = lambda band, phase, slots, offset: f"""SELECT attack_class, noise, trial, slot + {offset} AS pos, '{phase}' AS phase, score FROM
-        (SELECT *, {band} AS band FROM cells, (SELECT unnest(range({slots})) AS slot)) c JOIN pool p ON p.band = c.band
-        AND p.ix = {h32_sql(f"'{phase}'", "attack_class", "noise", "trial", "slot")} % p.size"""
+        (SELECT c.*, {h32_sql(f"'{phase}'", "attack_class", "noise", "trial", "slot")} % size AS ix FROM (SELECT *, {band} AS band FROM cells, (SELECT unnest(range({slots})) AS slot)) c
+        JOIN (SELECT DISTINCT band, size FROM pool) USING (band)) JOIN pool USING (band, ix)"""
     return f"""cells AS (SELECT a.x AS attack_class, b.x AS noise, t AS trial FROM (VALUES ('stealthy'), ('loud')) a(x), (VALUES ('none'), ('moderate'), ('high')) b(x),
         (SELECT unnest(range({TRIALS})) AS t)),
-    st AS (SELECT x.*, T_op, T_min, row_number() OVER (PARTITION BY attack_class, noise, trial ORDER BY pos) AS n FROM ({one("'none'", "warm", 50, 0)} UNION ALL
+    st AS MATERIALIZED (SELECT x.*, T_op, T_min, row_number() OVER (PARTITION BY attack_class, noise, trial ORDER BY pos) AS n FROM ({one("'none'", "warm", 50, 0)} UNION ALL
         {one("noise", "noise", 150, 50)} UNION ALL {one("attack_class", "attack", 30, 200)}) x, par)"""
 
 
-TRIAL_ROWS = """trials AS (SELECT attack_class, noise, trial, avg(f_fixed::INT) FILTER (phase = 'attack') AS recall_fixed, avg(f_uncond::INT) FILTER (phase = 'attack') AS recall_uncond,
+TRIAL_ROWS = """trials AS MATERIALIZED (SELECT attack_class, noise, trial, avg(f_fixed::INT) FILTER (phase = 'attack') AS recall_fixed, avg(f_uncond::INT) FILTER (phase = 'attack') AS recall_uncond,
         avg(f_cond::INT) FILTER (phase = 'attack') AS recall_cond, avg((f_fixed AND NOT f_uncond)::INT) FILTER (phase = 'attack') AS evasion_uncond,
         avg((f_fixed AND NOT f_cond)::INT) FILTER (phase = 'attack') AS evasion_cond, arg_min(u0, pos) FILTER (phase = 'attack') AS t_uncond,
         arg_min(c0, pos) FILTER (phase = 'attack') AS t_cond, avg(f_uncond::INT) FILTER (phase = 'noise') AS own_uncond, avg(f_fixed::INT) FILTER (phase = 'noise') AS own_fixed
