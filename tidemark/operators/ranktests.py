@@ -1,6 +1,6 @@
 """Rank tests over trial-level frames: a row is a trial, never a window of one, which would inflate the sample.
 
-Statistics are exact. Tail probabilities are closed forms where exact, else normal approximations, and named so.
+Rows with a null value take no part. Statistics are exact. Tail probabilities are closed forms where exact, else normal approximations, and named so.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ def upper_tail(z: float) -> float:
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """(h, p_df2): tie-corrected H; its tail for three groups, where chi-square has two degrees, is exp(-H / 2)."""
+    df = df.where(F.col(value).isNotNull())
     ranks = average_ranks(df, value)
     r = df.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("n"))
     total = r.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("n").alias("n"))
@@ -34,6 +35,7 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """(rho, n): correlation of average ranks."""
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = df.join(average_ranks(df, x).select(x, F.col("rank").alias("_rx")), x).join(average_ranks(df, y).select(y, F.col("rank").alias("_ry")), y)
     return d.agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
@@ -53,7 +55,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, pairs: list[tuple[str, s
     """(a, b, u): how often a value of a exceeds one of b, ties one half."""
     out = None
     for a, b in pairs:
-        c = df.where(F.col(group).isin(a, b)).groupBy(value).agg(F.sum((F.col(group) == a).cast("long")).alias("p"), F.sum((F.col(group) == b).cast("long")).alias("n"))
+        c = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(F.sum((F.col(group) == a).cast("long")).alias("p"), F.sum((F.col(group) == b).cast("long")).alias("n"))
         c = running(c, value, ["n"])
         one = c.agg(F.sum(F.col("p") * (F.col("cum_n") - F.col("n") / 2.0)).alias("u")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "u")
         out = one if out is None else out.unionByName(one)

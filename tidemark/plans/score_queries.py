@@ -68,7 +68,7 @@ STUDY = (SPLIT, PAR, _bands("pool"), _draws(), _folds("st", "attack_class, noise
 
 
 def split_scores(spark: SparkSession, d: str) -> DataFrame:
-    return J.split_half(S.event_scores(spark, d), "label", "event_id", "cal")
+    return S.written(J.split_half(S.event_scores(spark, d), "label", "event_id", "cal"))
 
 
 def params(sp: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def tenant_traces(spark: SparkSession, d: str) -> DataFrame:
 
 def _policies(stream: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     names = lambda d, p: d.withColumnsRenamed({"T_before": f"{p}0", "T_after": f"{p}1", "flagged": f"f_{'uncond' if p == 'u' else 'cond'}"})
-    d = names(T.ema(stream, by, order), "u")
+    d = S.written(names(T.ema(stream, by, order), "u"))
     d = names(T.ema_conditional(d, by, order), "c")
     return d.withColumn("f_fixed", F.col("score") > F.col("T_op"))
 
@@ -98,15 +98,16 @@ def study_streams(spark: SparkSession, d: str) -> DataFrame:
 
 def trial_table(spark: SparkSession, d: str) -> DataFrame:
     """One row for each trial: recalls, evasions, thresholds at the attack, the noisy neighbour's own flags."""
-    t = _policies(study_streams(spark, d), CELL, ["pos"])
+    t = _policies(S.written(study_streams(spark, d)), CELL, ["pos"])
     at = F.col("phase") == "attack"
     share = lambda hit, phase=at: E.rate(F.when(phase, hit.cast("int")))
-    return t.groupBy(*CELL).agg(
+    trials = t.groupBy(*CELL).agg(
         *(share(F.col(f"f_{p}")).alias(f"recall_{p}") for p in ("fixed", "uncond", "cond")),
         *(share(F.col("f_fixed") & ~F.col(f"f_{p}")).alias(f"evasion_{p}") for p in ("uncond", "cond")),
         F.min_by("u0", F.when(at, F.col("pos"))).alias("t_uncond"), F.min_by("c0", F.when(at, F.col("pos"))).alias("t_cond"),
         *(share(F.col(f"f_{p}"), F.col("phase") == "noise").alias(f"own_{p}") for p in ("uncond", "fixed")),
     )
+    return S.written(trials)
 
 
 def _round(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
@@ -355,10 +356,10 @@ QUERIES = {
     "e13_box": (q_box, _sql(*STUDY, """q AS (SELECT noise, quantile_cont(t_uncond, 0.25) AS q1, quantile_cont(t_uncond, 0.5) AS median, quantile_cont(t_uncond, 0.75) AS q3, min(t_uncond) AS low, max(t_uncond) AS high FROM trials GROUP BY 1)""",
         recursive=True, then="""SELECT noise, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(low, 6) AS low, round(high, 6) AS high,
         round(min(t_uncond) FILTER (t_uncond >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low, round(max(t_uncond) FILTER (t_uncond <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high FROM trials JOIN q USING (noise) GROUP BY noise, q1, median, q3, low, high""")),
-    "h2_kruskal": (q_kruskal, _sql(*STUDY, f"r AS (SELECT noise, t_uncond, {_rank.format(x='t_uncond')} AS r FROM trials), g AS (SELECT sum(r) AS r, count(*) AS n FROM r GROUP BY noise), k AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*) AS c FROM trials GROUP BY t_uncond))",
+    "h2_kruskal": (q_kruskal, _sql(*STUDY, f"r AS (SELECT noise, t_uncond, {_rank.format(x='t_uncond')} AS r FROM trials WHERE t_uncond IS NOT NULL), g AS (SELECT sum(r) AS r, count(*) AS n FROM r GROUP BY noise), k AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*) AS c FROM trials WHERE t_uncond IS NOT NULL GROUP BY t_uncond))",
         "h AS (SELECT (12.0::DOUBLE / (sum(n) * (sum(n) + 1)) * sum(r * r / n) - 3 * (sum(n) + 1)) / (1 - any_value(t) / (sum(n) * sum(n) * sum(n) - sum(n))::DOUBLE) AS h FROM g, k)", recursive=True,
         then="SELECT round(h, 6) AS h, round(exp(-h / 2), 6) AS p_df2 FROM h")),
-    "h3_spearman": (q_spearman, _sql(*STUDY, f"v AS (SELECT {_level_sql} AS level, recall_uncond FROM trials)", recursive=True,
+    "h3_spearman": (q_spearman, _sql(*STUDY, f"v AS (SELECT {_level_sql} AS level, recall_uncond FROM trials WHERE recall_uncond IS NOT NULL)", recursive=True,
         then=f"SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT {_rank.format(x='level')} AS a, {_rank.format(x='recall_uncond')} AS b FROM v)")),
     "h4_wilcoxon": (q_wilcoxon, _sql(*STUDY, "dd AS (SELECT recall_cond - recall_uncond AS d, abs(recall_cond - recall_uncond) AS m FROM trials WHERE recall_cond <> recall_uncond)", recursive=True,
         then=f"SELECT round(coalesce(sum(r) FILTER (d > 0), 0), 6) AS w, count(*) AS n FROM (SELECT d, {_rank.format(x='m')} AS r FROM dd)")),

@@ -61,6 +61,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: what several branches of a plan read is computed once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     """Scores as Parquet in folders by arm and label; kept in single precision, as calibration reads them back."""
     scores.withColumn("score", F.col("score").cast("float")).write.partitionBy("arm", "label").parquet(path)
