@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,23 +81,6 @@ def numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-class WordHashes(dict):
-    """Remembers a 64-bit fingerprint for each word; forgets all when it holds too many."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
-
-
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -148,3 +130,46 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     before = np.minimum.accumulate(rows, axis=1).ravel()
     after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(after[: m - w + 1], before[w - 1 : m])
+
+
+#: A random 64-bit value for each byte; the same with A-Z as a-z.
+BYTES = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+LOWER = BYTES.copy()
+LOWER[65:91] = BYTES[97:123]
+#: What ends a word: ASCII white space, or also ASCII punctuation.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+PUNCTUATION = SPACE.copy()
+PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+#: Bytes that are looked at in one go, so that memory stays bounded and in the cache.
+_GO = 1 << 16
+
+
+def word_hashes(texts: list[bytes], values: np.ndarray = BYTES, between: np.ndarray = SPACE) -> list[np.ndarray]:
+    """A fingerprint of each word of each text, without making the words."""
+    out, group, size = [], [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= _GO:
+            out += _hashed(group, values, between)
+            group, size = [], 0
+    return out + _hashed(group, values, between) if group else out
+
+
+def _hashed(texts: list[bytes], values: np.ndarray, between: np.ndarray) -> list[np.ndarray]:
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    gap = between[raw]
+    starts, hashes, lo = [], [], 0
+    while lo < len(raw):
+        hi = min(lo + 4 * _GO, len(raw))
+        if hi < len(raw):  # not within a word
+            hi += int(np.argmax(gap[hi:]))
+        turns = np.flatnonzero(np.diff(gap[lo:hi].view(np.int8), prepend=1, append=1))
+        first, last = turns[::2], turns[1::2]
+        hashes.append(span(sums(values[raw[lo:hi]]), first, last))
+        starts.append(first + lo)
+        lo = hi
+    start, h = np.concatenate(starts), np.concatenate(hashes)
+    ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+    return np.split(h, ends[:-1])

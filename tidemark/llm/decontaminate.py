@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, WordHashes, span, sums, table
+from tidemark.llm.common import LOWER, PUNCTUATION, U64, span, sums, table, word_hashes
 
 #: Words in the shortest match.
 LEAST = 5
@@ -24,12 +24,10 @@ LEAST = 5
 COVERAGE = 0.6
 #: Words of benchmark text in a block: bounds what is broadcast at once.
 BLOCK_WORDS = 1_000_000
-#: Fixed value: what is not part of a word when texts are compared.
-_STRIP = b".,;:!?\"'()[]{}"
 
 
-def _words(text: bytes) -> list[bytes]:
-    return [w for w in (x.strip(_STRIP) for x in text.lower().split()) if w]
+def _words(texts: list[bytes]) -> list[np.ndarray]:
+    return word_hashes(texts, LOWER, PUNCTUATION)
 
 
 def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, bytes]]]:
@@ -50,7 +48,7 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> It
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, carry: tuple[str, ...] = ()) -> DataFrame:
     """How much of a benchmark item each document holds.
 
-    Words are lower-cased (A-Z) and stripped of ASCII punctuation. Returns one row per input row: doc_id, n_items (items
+    Words are lower-cased (A-Z) runs without ASCII white space and punctuation. Returns one row per input row: doc_id, n_items (items
     that share a run of ``least`` words, whole items if shorter), item_id of the item covered best (ties: the smallest;
     null if none), coverage (share of its words under tiles), contaminated (coverage >= ``coverage``) and the ``carry``
     columns as a struct ``carried``.
@@ -73,10 +71,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage
 
 def _tiled(block: list[tuple[int, bytes]], least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         items, keys, owners, places = [], [], [], []
-        for item_id, text in block:
-            words = hashes.of(_words(text))
+        for (item_id, _), words in zip(block, _words([text for _, text in block]), strict=True):
             if len(words):
                 k = min(least, len(words))
                 c, at = sums(words), np.arange(len(words) - k + 1)
@@ -93,8 +89,7 @@ def _tiled(block: list[tuple[int, bytes]], least: int):
         sizes = sorted({k for _, _, k in items})
         for b in batches:
             n_items, best, share = (b[c].to_pylist() for c in ("n_items", "item_id", "coverage"))
-            for row, text in enumerate(b["text"].to_pylist()):
-                words = hashes.of(_words(text))
+            for row, words in enumerate(_words(b["text"].to_pylist())):
                 c = sums(words)
                 seeds: dict[int, list[np.ndarray]] = {}
                 for k in sizes:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import passages
-from tidemark.llm.common import WordHashes, discard, numbered, signed, span, stash, sums, table
+from tidemark.llm.common import discard, numbered, signed, span, stash, sums, table, word_hashes
 
 WINDOW = 50
 #: Words in an anchor.
@@ -46,9 +46,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, carry: tu
     known = texts.where("doc_id IS NOT NULL")
     every = stash(known.mapInArrow(_occurrences(window, k), "doc_id long, tag int, anchor long, block long, at long"))
     # Only windows with the same anchor can be equal: what has an anchor of its own is done with.
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    seen = stash(every.join(shared.select("anchor"), "anchor"))
-    discard(every)
+    # The table of the others is written, so that both sides of the join are plain exchanges and Spark may split a hot key.
+    shared = stash(every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"))
+    seen = stash(every.join(shared, "anchor"))
+    for t in (every, shared):
+        discard(t)
     index = stash(
         seen.groupBy("block").agg(F.first("anchor").alias("anchor"), F.min(F.struct("doc_id", "tag", "at")).alias("first"), F.max("doc_id").alias("last"))
         .select("block", "anchor", "first", (F.col("last") > F.col("first.doc_id")).alias("again"))
@@ -95,14 +97,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, carry: tu
 
 def _occurrences(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             cols: dict[str, list] = {}
-            for doc, tag, text in zip(b["doc_id"].to_pylist(), b["tag"].to_pylist(), b["text"].to_pylist(), strict=True):
-                words = text.split()
+            for doc, tag, words in zip(b["doc_id"].to_pylist(), b["tag"].to_pylist(), word_hashes(b["text"].to_pylist()), strict=True):
                 if len(words) < window:
                     continue
-                found = passages.rows(hashes.of(words), window, k)
+                found = passages.rows(words, window, k)
                 m = len(found["start"])
                 at = found["start"] << AT_BITS | found["n"]
                 row = (np.full(m, doc), np.full(m, tag, np.int32), found["anchor"], found["block"], at)
@@ -116,11 +116,10 @@ def _occurrences(window: int, k: int):
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             rows, prints = [], []
-            for doc, text, edges in zip(*(b[x].to_pylist() for x in ("doc_id", "text", "edges")), strict=True):
-                c = sums(hashes.of(text.split()))
+            for doc, words, edges in zip(b["doc_id"].to_pylist(), word_hashes(b["text"].to_pylist()), b["edges"].to_pylist(), strict=True):
+                c = sums(words)
                 for e in edges:
                     start, n = e["at"] >> AT_BITS, e["at"] & ((1 << AT_BITS) - 1)
                     at = np.arange(start, start + n)

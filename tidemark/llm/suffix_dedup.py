@@ -22,15 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import passages
-from tidemark.llm.common import U64, discard, mixed, numbered, signed, span, stash, sums, table
+from tidemark.llm.common import BYTES, U64, discard, mixed, numbered, signed, span, stash, sums, table
 
 WINDOW = 400
 #: Bytes in a trigger.
 K = 32
 #: Neighbouring windows in a cell.
 CELL = 16
-#: A random 64-bit value for each byte.
-_BYTES = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -100,7 +98,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
 
 
 def _units(text: bytes) -> np.ndarray:
-    return _BYTES[np.frombuffer(text, np.uint8)]
+    return BYTES[np.frombuffer(text, np.uint8)]
 
 
 def _ints(rows: list[tuple], names: list[str], short: tuple[str, ...]) -> dict:
