@@ -55,6 +55,22 @@ def test_ngram_large_group_of_near_copies(spark):
     assert {r["component_id"] for r in ngram_join.ngram_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == {0}
 
 
+def test_ngram_group_whose_leader_links_with_none(spark):
+    """Two of a group's three classes link, neither with the class that leads it, and no other group is near."""
+    for seed in range(200):
+        a = [f"s{seed}w{i}" for i in range(24)]
+        near, lead = [*a[:23], "x"], [*a[:21], "y", *a[22:]]
+        sets = [ngram_join._shingles(w, 5) for w in ngram_join.word_hashes([" ".join(t).encode() for t in (lead, a, near)], ngram_join.LOWER)]
+        if len({x[:5].tobytes() for x in sets}) == 1 and ngram_join._class(sets[0]) == min(map(ngram_join._class, sets)):
+            break
+    else:
+        raise AssertionError("no such group")
+    rows = [(1, " ".join(lead)), (2, " ".join(a)), (3, " ".join(near)), (4, "apart from all of them here")]
+    out = got(ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == brute.ngram(rows)
+    assert [r[2] for r in out] == [1, 2, 2, 4]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(50, 60), (60, 50), (70, 70)], "a long, b long")
     found = dict(map(tuple, components.components(links).collect()))

@@ -7,8 +7,8 @@ and is, bounded. Two sets of Jaccard similarity t or more share a shingle among
 
 Classes with the same prefix and size are one group; groups, not classes, are posted under their prefix shingles. Groups
 under one shingle are never paired with each other outright. First each is compared with two others only, the most
-typical one it meets and one of about its size; that settles copies of one text, however many. Then only pairs in
-different components so far are listed, pruned by size and position, expanded to members and verified. What
+typical one it meets and one of about its size, and its classes with their leader; that settles copies of one text,
+however many. Then only pairs of classes, of one group or two, in different components so far are listed, pruned by size and position and verified. What
 remains to be listed are links that bridge components, none is lost.
 """
 
@@ -59,6 +59,7 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
         texts.mapInArrow(_prefixes(shingle, percent, *large), "cls binary, gid long, n int, keys array<long>, logs array<tinyint>")
     )
     members = stash(prefixes.groupBy("cls").agg(F.first("gid").alias("gid")))
+    several = members.groupBy("gid").agg(F.count("*").alias("classes")).where("classes > 1").select("gid", F.lit(0).alias("pos"), F.lit(True).alias("several"))
     leaders = members.groupBy("gid").agg(F.min("cls").alias("leader"))
     groups = prefixes.groupBy("gid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("logs").alias("logs"))
     posts = groups.select("gid", "n", F.posexplode(F.arrays_zip("keys", "logs")).alias("pos", "x")).select(
@@ -70,8 +71,11 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
         posts.withColumn("deal", deal)
         .withColumn("lead", F.lead("gid").over(by_size))
         .withColumn("prev", F.lag(F.struct("gid", "n")).over(by_size))
-        .where(f"log > {DEAL_LOG} OR lead IS NOT NULL OR prev IS NOT NULL")
-        .drop("lead")
+        .withColumn("meets", F.expr(f"log > {DEAL_LOG} OR lead IS NOT NULL OR prev IS NOT NULL"))
+        # Classes of one group share their whole prefix, so its first shingle is enough for them to meet below.
+        .join(several, ["gid", "pos"], "left")
+        .where("meets OR several")
+        .drop("lead", "several")
     )
 
     leaders = stash(leaders)
@@ -80,7 +84,7 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     # First comparisons: with the leader of the own group, with the group of the next smaller size, and with the most
     # typical group. An edit's shingles are rare and crowd shared ones out of a prefix, so the group with the largest
     # share of shared shingles is the text that the others are copies of.
-    typical = shared.groupBy("gid").agg((F.count("*") / F.first("n")).alias("typical"))
+    typical = shared.where("meets").groupBy("gid").agg((F.count("*") / F.first("n")).alias("typical"))
     pivots = shared.join(typical, "gid").groupBy("key").agg(F.max_by(F.struct("gid", "n"), F.struct("typical", "gid")).alias("pivot"))
     pivots = stash(pivots.where("pivot IS NOT NULL"))
     few = None
