@@ -132,3 +132,18 @@ def test_tree_matching():
     page = "page(html.(body.(div.a div.b p.)))"
     assert html_text.aligned(page, page).get(3) == 3
     assert html_text.aligned("page(html.(body.(div.b p.)))", page) == {0: 0, 1: 1, 2: 2, 3: 4, 4: 5}
+
+
+def _html_texts(spark, bodies):
+    rows = [(i, f"https://one.example/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return [r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_keeps_slots_that_some_pages_share(spark):
+    """Half of the pages are one article with other lists, and a constant line differs on one page of twenty."""
+    lead = ["the lead that two share", "the lead that two share", "a lead of its own", "another lead"]
+    bodies = [f"<div><p>{x}</p></div><ul><li>list {i}</li></ul>" for i, x in enumerate(lead)]
+    assert _html_texts(spark, bodies) == [f"{x}\nlist {i}" for i, x in enumerate(lead)]
+    line = ["always the same"] * 19 + ["once not"]
+    bodies = [f"<div><p>{x}</p></div><ul><li>list {i}</li></ul>" for i, x in enumerate(line)]
+    assert _html_texts(spark, bodies) == [f"list {i}" for i in range(19)] + ["once not\nlist 19"]

@@ -2,7 +2,8 @@
 
 A page's block elements make a tree in which runs of like siblings are one node, as rows of a list are one field. Each
 host's wrapper is its most frequent tree; the pages' trees are aligned with it by simple tree matching. Over all pages
-of the host, an aligned node whose text is the same on most of them is template, any other is a slot for content. Marks
+of the host, an aligned node whose text is the same on nearly all of them is template, on the pages that have that text;
+any other is a slot for content. Marks
 that need no induction (elements and class names of menus, footers, adverts, forms and the like) are left out first,
 and where a page marks its article, content is what lies in it.
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stash, table
 
-#: A text is constant if this share of a host's different pages, this many at least, have it.
-SHARE, LEAST_PAGES = 0.5, 4
+#: A node's text is constant if this share of the host's different pages with the node, this many at least, have it.
+SHARE, LEAST_PAGES = 0.9, 4
 #: Elements nested deeper belong to the node at this depth.
 DEPTH = 64
 
@@ -250,9 +251,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     shapes = stash(shapes)
     fields = seen.join(shapes, "host").mapInArrow(_fields, "host string, page int, node int, print int").distinct()
     counts = fields.groupBy("host", "node", "print").agg(F.count("*").alias("n"))
-    template = counts.groupBy("host", "node").agg(F.max("n").alias("most"), F.sum("n").alias("n")).where(f"n >= {LEAST_PAGES} AND most >= {SHARE} * n")
-    template = template.groupBy("host").agg(F.collect_list("node").alias("template"))
-    wrappers = stash(shapes.join(template, "host", "left").select("host", "wrapper", F.coalesce("template", F.array().cast("array<int>")).alias("template")))
+    template = counts.groupBy("host", "node").agg(F.max(F.struct("n", "print")).alias("most"), F.sum("n").alias("n")).where(f"n >= {LEAST_PAGES} AND most.n >= {SHARE} * n")
+    template = template.groupBy("host").agg(F.collect_list(F.struct("node", F.col("most.print").alias("print"))).alias("template"))
+    wrappers = stash(shapes.join(template, "host", "left").select("host", "wrapper", F.coalesce("template", F.array().cast("array<struct<node:int,print:int>>")).alias("template")))
     return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "template").mapInArrow(
         _texts, "page_id long, url string, text string, n_chars long"
     )
@@ -264,21 +265,27 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for html in b["html"].to_pylist():
             root, blocks = parse(html)
             forms.append(shape(root)[0])
-            own: dict[int, int] = {}
+            own = _prints(blocks)
             whole = 0
-            for node, text in blocks:
-                raw = text.encode("utf-8", "replace")
-                own[node.index] = crc32(raw, own.get(node.index, 0))
-                whole = crc32(raw, whole)
+            for _, text in blocks:
+                whole = crc32(text.encode("utf-8", "replace"), whole)
             page.append(_signed(whole))
             nodes.append(list(own))
-            prints.append(list(map(_signed, own.values())))
+            prints.append(list(own.values()))
         yield pa.RecordBatch.from_arrays(
             [b["host"], pa.array(page, pa.int32()), pa.array(forms, pa.string()), pa.array(nodes, pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int32()))],
             ["host", "page", "shape", "nodes", "prints"],
         )
 
 
+def _prints(blocks: list[tuple[Node, str]]) -> dict[int, int]:
+    """Fingerprint of the text of each node."""
+    own: dict[int, int] = {}
+    for node, text in blocks:
+        own[node.index] = crc32(text.encode("utf-8", "replace"), own.get(node.index, 0))
+    return {node: _signed(x) for node, x in own.items()}
+
+
 def _signed(x: int) -> int:
     return x - (1 << 32) if x >> 31 else x
 
@@ -302,8 +309,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marked = any(node.main for node, _ in blocks)
             content = [(node, text) for node, text in blocks if not node.apart and (node.main or not marked)]
             if template:
-                to, known = aligned(shape(root)[0], wrapper), set(template)
-                slots = [(node, text) for node, text in content if to.get(node.index) not in known]
+                to, known = aligned(shape(root)[0], wrapper), {t["node"]: t["print"] for t in template}
+                own = _prints(blocks)
+                slots = [(node, text) for node, text in content if known.get(to.get(node.index)) != own[node.index]]
                 # An article that is all constant is one that many addresses of the host share.
                 content = slots if slots or not marked else content
             out.append("\n".join(text for _, text in content))
