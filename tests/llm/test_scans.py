@@ -147,3 +147,18 @@ def test_html_keeps_slots_that_some_pages_share(spark):
     line = ["always the same"] * 19 + ["once not"]
     bodies = [f"<div><p>{x}</p></div><ul><li>list {i}</li></ul>" for i, x in enumerate(line)]
     assert _html_texts(spark, bodies) == [f"list {i}" for i in range(19)] + ["once not\nlist 19"]
+
+
+def test_html_marks_never_take_the_article(spark):
+    text = "a body of many words that is most of what the page says"
+    for wrap in ("class='with-sidebar'", "class='has-comments no-sidebar'", "class='sidebar'", "id=comments", "class='tags-politics share-enabled'"):
+        bodies = [f"<div {wrap}><article><p>{text}</p><div class='ad'>buy</div></article></div><p>out</p>", f"<article {wrap}><p>{text}</p></article>", f"<div {wrap}><p>{text}</p></div>"]
+        for body in bodies:
+            root, blocks = html_text.parse(body)
+            assert any(x == text and not node.apart for node, x in blocks), body
+            assert not any(x == "buy" and not node.apart for node, x in blocks)
+    assert [x for node, x in html_text.parse("bare text at the root<div class='ad'>buy</div>")[1] if not node.apart] == ["bare text at the root"]
+    inline = "x <math><mi>y</mi></math> <svg><text>z</text></svg> <object>o</object>"
+    assert _html_texts(spark, [f"<article><p>{inline}</article>", "<article><p>a<select><option>b</article>", f"<article class=has-comments><p>{text}</article>"]) == [
+        "x y z o", "ab", text
+    ]

@@ -4,8 +4,8 @@ A page's block elements make a tree in which runs of like siblings are one node,
 host's wrapper is its most frequent tree; the pages' trees are aligned with it by simple tree matching. Over all pages
 of the host, an aligned node whose text is the same on nearly all of them is template, on the pages that have that text;
 any other is a slot for content. Marks
-that need no induction (elements and class names of menus, footers, adverts, forms and the like) are left out first,
-and where a page marks its article, content is what lies in it.
+that need no induction (elements and class names of menus, footers, adverts, forms and the like) are left out first, class
+names and ids only as whole words and never of elements that hold the page's article or most of its text, and where a page marks its article, content is what lies in it.
 
 Statistics are counts by (host, node, text) that are combined before the shuffle, so a host with a third of all pages
 is no single task. What is joined back to the pages is one small row for each host.
@@ -32,14 +32,16 @@ DEPTH = 64
 
 # Elements by kind, from the public HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style noscript template textarea title iframe noembed noframes xmp svg math object select datalist".split())
+RAW = set("script style noscript template textarea title iframe noembed noframes xmp select datalist".split())
+# What browsers leave out only as far as it is closed.
+CLOSED = {"select", "datalist"}
 BLOCK = set("""
 html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead
 tr ul caption
 """.split())
 APART = set("nav footer aside form button dialog menu search head".split())
-# Words in class names and ids, and roles, of what is not the article.
+# Class names and ids, and roles, of what is not the article.
 MARKS = set("""
 ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr
 notice notices alert sidebar side widget related recommended recommendations share sharing social comment comments
@@ -57,18 +59,18 @@ _BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 
 
 class Node:
-    __slots__ = ("name", "sign", "children", "apart", "main", "index")
+    __slots__ = ("name", "sign", "children", "above", "apart", "named", "main", "index")
 
-    def __init__(self, name: str, sign: str, apart: bool, main: bool):
-        self.name, self.sign, self.apart, self.main = name, sign, apart, main
+    def __init__(self, name: str, sign: str, above: Node | None = None, apart: bool = False, named: bool = False, main: bool = False):
+        self.name, self.sign, self.above, self.apart, self.named, self.main = name, sign, above, apart, named, main
         self.children: list[Node] = []
         self.index = 0
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of block elements and the blocks of text, each with its node, in page order."""
-    root = Node("", "page", False, False)
-    stack, blocks, text = [root], [], []
+    root = Node("", "page")
+    stack, made, blocks, text = [root], [], [], []
 
     def flush() -> None:
         if text:
@@ -100,6 +102,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         if name in RAW and not m[3].endswith("/"):
             lower = page.lower() if lower is None else lower
             end = lower.find(f"</{name}", at)
+            if end < 0 and name in CLOSED:
+                continue
             if end < 0:
                 at = n
                 break
@@ -125,28 +129,49 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                     del stack[depth:]
                     break
         above = stack[-1]
-        sign, apart, main = _kind(name, m[3])
+        sign, apart, named, main = _kind(name, m[3])
         apart = apart or above.apart or name == "header" and not above.main
-        node = Node(name, sign, apart, above.main or main and not apart)
+        node = Node(name, sign, above, apart, named, above.main or main and not apart)
+        made.append(node)
         if len(stack) < DEPTH:
             above.children.append(node)
         stack.append(node)
     if at < n:
         text.append(page[at:])
     flush()
+    if any(node.named for node in made):
+        _leave_out(made, blocks)
     return root, blocks
 
 
+def _leave_out(made: list[Node], blocks: list[tuple[Node, str]]) -> None:
+    """Sets apart the elements that their class or id tells, unless they hold an article or most of the page's text."""
+    size = {id(node): 0 for node in made}
+    for node, text in blocks:
+        if not node.apart:
+            size[id(node)] = size.get(id(node), 0) + len(text)
+    total = sum(size.values())
+    holds = {id(node): node.main and not (node.above and node.above.main) for node in made}
+    for node in reversed(made):
+        if node.above and id(node.above) in holds:
+            size[id(node.above)] += size[id(node)]
+            holds[id(node.above)] |= holds[id(node)]
+    for node in made:
+        named = node.named and not holds[id(node)] and 2 * size[id(node)] <= total
+        node.apart = node.apart or named or node.above is not None and node.above.apart
+
+
 @lru_cache(maxsize=4096)
-def _kind(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """(signature, left out, article) of an element."""
+def _kind(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """(signature, left out, left out by class or id, article) of an element."""
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
-    words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+    words = set(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    apart = name in APART or role in ROLES or hidden or name not in ("html", "body") and bool(words & MARKS)
+    apart = name in APART or role in ROLES or hidden
+    named = name not in ("html", "body") and bool(words & MARKS)
     main = name in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"
-    return f"{name}.{'.'.join(sorted(set(_WORD.findall(found.get('class', '').lower()))))}", apart, main
+    return f"{name}.{'.'.join(sorted(set(_WORD.findall(found.get('class', '').lower()))))}", apart, named, main
 
 
 def shape(root: Node) -> tuple[str, int]:
