@@ -30,6 +30,19 @@ def test_nearest_recall_against_brute_force(spark):
     assert [v for _, v, _ in sorted(got[500])] == [7, 501, 502, 503, 504]  # equal vectors: ties to smaller ids
 
 
+def test_nearest_recall_with_small_leaves(spark, monkeypatch):
+    """Leaves of a few hundredths of the table, in 64 dimensions without structure."""
+    monkeypatch.setattr(nearest, "LEAF", 32)
+    x = np.random.default_rng(6).standard_normal((6000, 64))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in nearest.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(found[q] & set(np.argsort(-(unit @ unit[q]))[1:6].tolist())) for q in range(0, 6000, 50))
+    assert hits / (5 * 120) >= 0.9
+
+
 def test_nearest_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted(map(tuple, nearest.nearest(df, F.col("vec_id") % 50 == 0).collect()))

@@ -3,8 +3,10 @@
 Equal vectors are one node, however many rows have them. Random hyperplanes deal nodes into leaves, in several trees;
 nodes compare themselves within their leaves, which starts the graph. NN-descent then lets the neighbours of each node,
 and the nodes it is a neighbour of, compare themselves with each other, by Spark joins on the graph's edges; what beats
-a node's worst neighbour replaces it. A query starts at its own node and walks the graph greedily, again by joins: from
-the best nodes it knows to their neighbours. What it has met is then scored exactly on the original vectors.
+a node's worst neighbour replaces it, round by round until few edges change. A query starts at its own node and walks the
+graph greedily, again by joins: from the best nodes it knows to their neighbours, until they lead to nothing new. Recall
+is measured on a sample of the queries, and the walk goes on from more nodes until it is reached. What a query has met
+is then scored exactly on the original vectors.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ from tidemark.llm.common import discard, stash, table
 TREES, LEAF = 16, 4096
 #: Neighbours of a node from one leaf, and in the graph.
 FROM_LEAF, NEIGHBOURS = 12, 24
-DESCENTS = 2
-#: Greedy search: nodes that a query goes on from in a round, and rounds.
-BEAM, ROUNDS = 16, 2
+#: NN-descent ends when a round changes less than this share of the edges.
+CHANGED = 0.01
+#: Greedy search: nodes that a query goes on from in a round, at first.
+BEAM = 16
+#: The search is widened until this recall is measured on a sample of so many queries.
+RECALL, SAMPLE = 0.95, 200
 #: Incoming edges of a node that are compared in one go.
 CHUNK = 96
 SEED = 5
@@ -50,8 +55,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     n = nodes.count()
 
     graph = _leaves(nodes, n, d)
-    for _ in range(DESCENTS):
+    changed = 1.0
+    while changed > CHANGED:
         after = _descended(graph, nodes)
+        changed = _changed(graph, after)
         discard(graph)
         graph = after
 
@@ -60,9 +67,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     edges = stash(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     asked = asking.select("node").distinct()
     met = stash(asked.select(F.col("node").alias("q"), F.col("node").alias("x"), F.lit(1.0).cast("double").alias("score"), F.lit(True).alias("fresh")))
-    for _ in range(ROUNDS):
+    truth, beam = _true(asked, nodes, k), BEAM
+    while True:
         best = Window.partitionBy("q").orderBy(F.desc("score"), "x")
-        start = met.withColumn("r", F.row_number().over(best)).where(f"r <= {BEAM} AND fresh").select("q", F.col("x").alias("a"))
+        ranked = met.withColumn("r", F.row_number().over(best))
+        start = ranked.where(f"r <= {beam} AND fresh").select("q", F.col("x").alias("a"))
+        if not start.limit(1).count():
+            # Nothing new from the best nodes: enough is found, or everything that the graph leads to has been met.
+            if _recall(met, truth, k) >= RECALL or not met.where("fresh").limit(1).count():
+                break
+            beam *= 2
+            continue
         new = start.join(edges, "a").select("q", F.col("b").alias("x")).distinct().join(met.select("q", "x"), ["q", "x"], "left_anti")
         old = met.join(start.select("q", F.col("a").alias("x"), F.lit(False).alias("now")), ["q", "x"], "left")
         old = old.select("q", "x", "score", F.coalesce("now", "fresh").alias("fresh"))
@@ -83,6 +98,47 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     )
 
 
+def _changed(before: DataFrame, after: DataFrame) -> float:
+    """Share of the edges of ``after`` that are new."""
+    old, new = (g.select("node", F.explode("near").alias("x")) for g in (before, after))
+    return new.join(old, ["node", "x"], "left_anti").count() / max(1, new.count())
+
+
+def _true(asked: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(q, x): the ``k`` nearest nodes of a sample of the queries' nodes, by comparison with all nodes."""
+    rows = asked.orderBy(F.xxhash64("node")).limit(SAMPLE).join(nodes, "node").select("node", "v").collect()
+    ids = np.array([r["node"] for r in rows], np.int64)
+    sample = _normed([r["v"] for r in rows]) if rows else None
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows and len(ids):
+                own = b["node"].to_numpy()
+                s = sample @ _normed(b["v"].to_pylist()).T
+                s[ids[:, None] == own] = -2
+                top = np.argsort(-s, axis=1)[:, :k]
+                q, x, sim = np.repeat(ids, top.shape[1]), own[top].reshape(-1), np.take_along_axis(s, top, 1).reshape(-1)
+                yield pa.RecordBatch.from_pydict({"q": q[sim > -2], "x": x[sim > -2], "sim": sim[sim > -2]})
+
+    found = nodes.select("node", "v").mapInArrow(compared, "q long, x long, sim double")
+    best = Window.partitionBy("q").orderBy(F.desc("sim"), "x")
+    return stash(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("q", "x"))
+
+
+def _normed(vectors: list) -> np.ndarray:
+    x = np.asarray(vectors, np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _recall(met: DataFrame, truth: DataFrame, k: int) -> float:
+    """Share of the sample's true nearest nodes that are the best ones met."""
+    n = truth.count()
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "x")
+    top = met.where("x <> q").join(truth.select("q").distinct(), "q").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    return top.join(truth, ["q", "x"]).count() / n if n else 1.0
+
+
 def _scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(q, x, score): cosine in double precision."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
