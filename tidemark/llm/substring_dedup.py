@@ -27,6 +27,9 @@ WINDOW = 50
 K = 6
 #: A block's first window and number of windows are packed into one number; the latter takes the low bits.
 AT_BITS = 20
+#: A block is known by its own fingerprint and its anchor's: 64 bits need tell apart only what shares an anchor, so false
+#: equals stay out of reach at any size.
+BLOCK = ["anchor", "block"]
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -37,8 +40,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, carry: tu
     (the remaining words joined by one space) and ``carry`` columns as a struct ``carried``.
 
     A null text has no words. Rows with a null doc_id take no part: they lose nothing and are nobody's source. Rows with
-    the same doc_id do not remove words from each other. Texts shorter than a window keep everything. Other columns of
-    ``docs``, whatever their names, are ignored. An empty table gives an empty result.
+    the same doc_id do not remove words from each other. Texts shorter than a window keep everything; texts of any length
+    are read whole, in pieces that overlap by a window less one. Other columns of ``docs``, whatever their names, are
+    ignored. An empty table gives an empty result.
     """
     if not 0 < k <= window:
         raise ValueError("an anchor has between 1 and window words")
@@ -52,33 +56,33 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, carry: tu
     for t in (every, shared):
         discard(t)
     index = stash(
-        seen.groupBy("block").agg(F.first("anchor").alias("anchor"), F.min(F.struct("doc_id", "tag", "at")).alias("first"), F.max("doc_id").alias("last"))
-        .select("block", "anchor", "first", (F.col("last") > F.col("first.doc_id")).alias("again"))
+        seen.groupBy(*BLOCK).agg(F.min(F.struct("doc_id", "tag", "at")).alias("first"), F.max("doc_id").alias("last"))
+        .select(*BLOCK, "first", (F.col("last") > F.col("first.doc_id")).alias("again"))
     )
 
     # Factor boundaries: blocks whose anchor also stands in other blocks.
     several = index.groupBy("anchor").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("anchor")
     edges = index.join(several, "anchor").groupBy("first.doc_id", "first.tag").agg(
-        F.collect_list(F.struct("block", "first.at")).alias("edges")
+        F.collect_list(F.struct(*BLOCK, "first.at")).alias("edges")
     )
     looked = stash(
         known.join(edges, ["doc_id", "tag"]).select("doc_id", "text", "edges")
-        .mapInArrow(_windows(window), "block long, doc_id long, prints array<long>")
+        .mapInArrow(_windows(window), "anchor long, block long, doc_id long, prints array<long>")
     )
-    each = looked.select("block", "doc_id", F.posexplode("prints").alias("off", "print"))
-    earlier = each.groupBy("print").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("b")).where("source < b")
+    each = looked.select(*BLOCK, "doc_id", F.posexplode("prints").alias("off", "print"))
+    earlier = each.groupBy("anchor", "print").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("b")).where("source < b")
     hits = stash(
-        each.join(earlier.select("print", "source"), "print").where("source < doc_id")
-        .groupBy("block").agg(F.first("doc_id").alias("owner"), F.collect_list("off").alias("offs"))
+        each.join(earlier.select("anchor", "print", "source"), ["anchor", "print"]).where("source < doc_id")
+        .groupBy(*BLOCK).agg(F.first("doc_id").alias("owner"), F.collect_list("off").alias("offs"))
     )
     discard(looked)
 
     # What is known of each block: from which document on it is copied whole, and what its first document has elsewhere.
-    known_blocks = index.where("again").select("block", F.col("first.doc_id").alias("source")).join(hits, "block", "full")
+    known_blocks = index.where("again").select(*BLOCK, F.col("first.doc_id").alias("source")).join(hits, BLOCK, "full")
     whole = (F.col("doc_id") > F.col("source"))
     start, n = F.shiftright("at", AT_BITS), F.col("at").bitwiseAND((1 << AT_BITS) - 1)
     factors = stash(
-        seen.join(known_blocks, "block").select(
+        seen.join(known_blocks, BLOCK).select(
             "doc_id", "tag",
             F.when(whole, F.array(F.struct(start.alias("start"), n.alias("n"))))
             .when(F.col("owner") == F.col("doc_id"), F.transform("offs", lambda o: F.struct((start + o).alias("start"), F.lit(1).cast("long").alias("n"))))
@@ -123,13 +127,13 @@ def _windows(window: int):
                 for e in edges:
                     start, n = e["at"] >> AT_BITS, e["at"] & ((1 << AT_BITS) - 1)
                     at = np.arange(start, start + n)
-                    rows.append((e["block"], doc))
+                    rows.append((e["anchor"], e["block"], doc))
                     prints.append(signed(span(c, at, at + window)))
             if rows:
                 ends = np.cumsum([0, *map(len, prints)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.concatenate(prints))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), lists], ["block", "doc_id", "prints"]
+                    [*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), lists], ["anchor", "block", "doc_id", "prints"]
                 )
 
     return run

@@ -29,6 +29,9 @@ WINDOW = 400
 K = 32
 #: Neighbouring windows in a cell.
 CELL = 16
+#: A phrase is known by its own fingerprint and its trigger's: 64 bits need tell apart only what shares a trigger, so
+#: false equals stay out of reach at any size.
+PHRASE = ["anchor", "block"]
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -39,8 +42,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
     (the remaining bytes, as binary: a cut may fall inside a character).
 
     A null text is empty. A null doc_id is a row like any other. Repeated rows are repeated text. Texts shorter than a
-    window keep everything. Other columns of ``docs``, whatever their names, are ignored. An empty table gives an empty
-    result.
+    window keep everything. Texts of any length are read whole, in pieces that overlap by a window less one. Other columns
+    of ``docs``, whatever their names, are ignored. An empty table gives an empty result.
     """
     if not 0 < k <= window - CELL + 1 <= 1 << 15:
         raise ValueError("a trigger fits in the core that the windows of a cell share, and a window in 32 kB")
@@ -52,39 +55,41 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
     parse = stash(every.join(shared, "anchor"))
     for t in (every, shared):
         discard(t)
-    phrases = stash(parse.groupBy("block").agg(
-        F.first("anchor").alias("anchor"), F.count("*").alias("c"), F.min(F.struct("rid", "start", "n", "rel")).alias("at")
+    phrases = stash(parse.groupBy(*PHRASE).agg(
+        F.count("*").alias("c"), F.min(F.struct("rid", "start", "n", "rel")).alias("at")
     ))
 
     ties = phrases.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
     tied = stash(ties.where("kinds > 1 AND least = 1").select("anchor"))
     open_ = stash(phrases.join(tied, "anchor"))
     wanted = open_.groupBy(F.col("at.rid").alias("rid")).agg(
-        F.collect_list(F.struct("anchor", "block", "c", "at.start", "at.n", "at.rel")).alias("phrases")
+        F.collect_list(F.struct(*PHRASE, "c", "at.start", "at.n", "at.rel")).alias("phrases")
     )
     words = stash(texts.join(wanted, "rid").select("text", "phrases").mapInArrow(
         _contexts(window), "anchor long, block long, c long, n int, rel int, bytes binary"
     ))
 
-    cells = words.mapInArrow(_cells(window), "block long, c long, core long, whole long, off int, m int")
+    cells = words.mapInArrow(_cells(window), "anchor long, block long, c long, core long, whole long, off int, m int")
     kinds = stash(cells.groupBy("core", "whole").agg(
-        F.sum("c").alias("c"), F.min(F.struct("block", "off", "m")).alias("at")
+        F.sum("c").alias("c"), F.min(F.struct(*PHRASE, "off", "m")).alias("at")
     ))
     same = cells.where("c = 1").join(kinds.where("c > 1").select("core", "whole"), ["core", "whole"])
     ties = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
     fine = (
         kinds.join(ties.where("kinds > 1 AND least = 1").select("core"), "core")
-        .groupBy(F.col("at.block").alias("block"))
+        .groupBy(F.col("at.anchor").alias("anchor"), F.col("at.block").alias("block"))
         .agg(F.collect_list(F.struct("c", "at.off", "at.m")).alias("cells"))
     )
-    single = stash(words.select("block", "bytes").join(fine, "block").mapInArrow(_prints(window), "block long, c long, off int, print long"))
-    again = single.groupBy("print").agg(F.sum("c").alias("total")).where("total > 1").select("print")
-    found = same.select("block", "off", "m").unionByName(
-        single.where("c = 1").join(again, "print").select("block", "off", F.lit(1).alias("m"))
+    single = stash(words.select(*PHRASE, "bytes").join(fine, PHRASE).mapInArrow(
+        _prints(window), "anchor long, block long, c long, off int, print long"
+    ))
+    again = single.groupBy("anchor", "print").agg(F.sum("c").alias("total")).where("total > 1").select("anchor", "print")
+    found = same.select(*PHRASE, "off", "m").unionByName(
+        single.where("c = 1").join(again, ["anchor", "print"]).select(*PHRASE, "off", F.lit(1).alias("m"))
     )
 
-    whole = parse.join(phrases.where("c > 1").select("block"), "block").select("rid", "start", F.col("n").cast("int").alias("n"))
-    partly = found.join(open_.where("c = 1").select("block", "at"), "block").select(
+    whole = parse.join(phrases.where("c > 1").select(*PHRASE), PHRASE).select("rid", "start", F.col("n").cast("int").alias("n"))
+    partly = found.join(open_.where("c = 1").select(*PHRASE, "at"), PHRASE).select(
         F.col("at.rid").alias("rid"), (F.col("at.start") + F.col("off")).alias("start"), F.col("m").alias("n")
     )
     gone = stash(whole.unionByName(partly).groupBy("rid").agg(
@@ -140,7 +145,7 @@ def _contexts(window: int):
 def _cells(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {x: [] for x in ("block", "c", "core", "whole", "off", "m")}
+            out: dict[str, list] = {x: [] for x in ("anchor", "block", "c", "core", "whole", "off", "m")}
             for anchor, block, count, n, rel, text in zip(*(b[x].to_pylist() for x in ("anchor", "block", "c", "n", "rel", "bytes")), strict=True):
                 c = sums(_units(text))
                 cell = np.arange((rel - n + 1) // CELL, rel // CELL + 1)
@@ -150,7 +155,7 @@ def _cells(window: int):
                 key = mixed(span(c, core, core - CELL + 1 + window) ^ mixed(np.full(len(cell), anchor).view(U64) + cell.astype(U64)))
                 whole = mixed(span(c, off, rel - near + window) + (near * 4096 + wide).astype(U64))
                 m = len(cell)
-                for name, x in (("block", np.full(m, block)), ("c", np.full(m, count)), ("core", signed(key)), ("whole", signed(whole)), ("off", off), ("m", wide - near + 1)):
+                for name, x in (("anchor", np.full(m, anchor)), ("block", np.full(m, block)), ("c", np.full(m, count)), ("core", signed(key)), ("whole", signed(whole)), ("off", off), ("m", wide - near + 1)):
                     out[name].append(x)
             if out["off"]:
                 yield pa.RecordBatch.from_pydict({x: np.concatenate(y).astype(np.int32 if x in ("off", "m") else np.int64) for x, y in out.items()})
@@ -161,12 +166,12 @@ def _cells(window: int):
 def _prints(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {x: [] for x in ("block", "c", "off", "print")}
-            for block, text, cells in zip(*(b[x].to_pylist() for x in ("block", "bytes", "cells")), strict=True):
+            out: dict[str, list] = {x: [] for x in ("anchor", "block", "c", "off", "print")}
+            for anchor, block, text, cells in zip(*(b[x].to_pylist() for x in ("anchor", "block", "bytes", "cells")), strict=True):
                 c = sums(_units(text))
                 for e in cells:
                     at, m = np.arange(e["off"], e["off"] + e["m"]), e["m"]
-                    for name, x in (("block", np.full(m, block)), ("c", np.full(m, e["c"])), ("off", at), ("print", signed(span(c, at, at + window)))):
+                    for name, x in (("anchor", np.full(m, anchor)), ("block", np.full(m, block)), ("c", np.full(m, e["c"])), ("off", at), ("print", signed(span(c, at, at + window)))):
                         out[name].append(x)
             if out["off"]:
                 yield pa.RecordBatch.from_pydict({x: np.concatenate(y).astype(np.int32 if x == "off" else np.int64) for x, y in out.items()})
