@@ -1,9 +1,10 @@
 """Operator 6, approximate nearest neighbours by NN-descent.
 
-Equal vectors are one node, however many rows have them. Random hyperplanes deal nodes into leaves, in several trees;
-nodes compare themselves within their leaves, which starts the graph. NN-descent then lets the neighbours of each node,
-and the nodes it is a neighbour of, compare themselves with each other, by Spark joins on the graph's edges; what beats
-a node's worst neighbour replaces it, round by round until few edges change. A query starts at its own node and walks the
+Equal vectors are one node, however many rows have them. The graph starts from a few small leaves of each node, one of
+random nodes and some that random hyperplanes cut; within them nodes compare themselves. NN-descent then lets the
+neighbours of each node, and the nodes it is a neighbour of, compare themselves with each other, by Spark joins on the
+graph's edges, unless both were compared before; what beats a node's worst neighbour replaces it, round by round until
+few edges change. A query starts at its own node and walks the
 graph greedily, again by joins: from the best nodes it knows to their neighbours, until they lead to nothing new. Recall
 is measured on a sample of the queries, and the walk goes on from more nodes until it is reached. What a query has met
 is then scored exactly on the original vectors.
@@ -18,20 +19,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, stash, table
+from tidemark.llm.common import U64, discard, mixed, stash, table
 
-TREES, LEAF = 16, 4096
+#: Leaves of a node at the start, the first one random; nodes in a leaf, about: a part of all, within bounds. Comparing
+#: within a leaf is one product of matrices and far cheaper than the joins of a round, so leaves are not the smallest.
+TREES, LEAF_PART, LEAF = 16, 16, (64, 4096)
 #: Neighbours of a node from one leaf, and in the graph.
-FROM_LEAF, NEIGHBOURS = 12, 24
+FROM_LEAF, NEIGHBOURS = 12, 20
 #: NN-descent ends when a round changes less than this share of the edges.
-CHANGED = 0.01
+CHANGED = 0.05
 #: Greedy search: nodes that a query goes on from in a round, at first.
 BEAM = 16
 #: The search is widened until this recall is measured on a sample of so many queries.
-RECALL, SAMPLE = 0.95, 200
+RECALL, SAMPLE = 0.92, 200
 #: Incoming edges of a node that are compared in one go.
 CHUNK = 96
 SEED = 5
+GRAPH = "node long, near array<long>, sims array<float>, fresh array<boolean>"
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -41,7 +45,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     ties to smaller ids; fewer rows if there are fewer candidates. Rows with a null id, and vectors that are null, empty,
     zero, hold null or non-finite components, or differ in length from the most common length take no part. Rows
     repeated with id and vector count once. Other columns, whatever their names, are ignored. An empty table gives an
-    empty result. The result is approximate, but a score is always exact.
+    empty result. Vectors of any length are compared whole. The result is approximate, but a score is always exact.
     """
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), queries.alias("asks"))
@@ -55,10 +59,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     n = nodes.count()
 
     graph = _leaves(nodes, n, d)
-    changed = 1.0
-    while changed > CHANGED:
+    while _changed(graph) > CHANGED:
         after = _descended(graph, nodes)
-        changed = _changed(graph, after)
         discard(graph)
         graph = after
 
@@ -98,10 +100,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     )
 
 
-def _changed(before: DataFrame, after: DataFrame) -> float:
-    """Share of the edges of ``after`` that are new."""
-    old, new = (g.select("node", F.explode("near").alias("x")) for g in (before, after))
-    return new.join(old, ["node", "x"], "left_anti").count() / max(1, new.count())
+def _changed(graph: DataFrame) -> float:
+    """Share of the edges that are new."""
+    r = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))).alias("new"), F.sum(F.size("near")).alias("n")).first()
+    return (r["new"] or 0) / max(1, r["n"] or 0)
 
 
 def _true(asked: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -163,22 +165,24 @@ def _matrix(units: list[bytes]) -> np.ndarray:
 
 
 def _leaves(nodes: DataFrame, n: int, d: int) -> DataFrame:
-    """The first graph: (node, near, sims), nearest first."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
-    planes = np.random.default_rng(SEED).standard_normal((TREES, d, bits)).astype(np.float32)
+    """The first graph: (node, near, sims, fresh), nearest first; an edge is fresh until a round has used it."""
+    leaf = min(LEAF[1], max(LEAF[0], n // LEAF_PART))
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
+    planes = np.random.default_rng(SEED).standard_normal((TREES - 1, d, bits)).astype(np.float32)
     places = np.int64(1) << np.arange(bits, dtype=np.int64)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = _matrix(b["unit"].to_pylist())
-                codes = np.stack([(x @ p > 0) @ places for p in planes], 1).astype(np.int64).reshape(-1)
+                drawn = (mixed(b["node"].to_numpy().view(U64)) >> U64(63 - bits) >> U64(1)).astype(np.int64)
+                codes = np.stack([drawn, *((x @ p > 0) @ places for p in planes)], 1).astype(np.int64).reshape(-1)
                 ends = np.arange(0, len(codes) + 1, TREES, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([b["node"], b["unit"], pa.ListArray.from_arrays(ends, codes)], ["node", "unit", "codes"])
 
     rows = nodes.select("node", "unit").mapInArrow(dealt, "node long, unit binary, codes array<long>")
     rows = rows.select("node", "unit", F.posexplode("codes").alias("tree", "code"))
-    sizes = rows.groupBy("tree", "code").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
+    sizes = rows.groupBy("tree", "code").agg(F.ceil(F.count("*") / (2 * leaf)).alias("parts"))
     # A leaf that many similar vectors share is dealt into parts, so that no task compares more than a few thousand.
     rows = rows.join(sizes, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
 
@@ -197,57 +201,77 @@ def _leaves(nodes: DataFrame, n: int, d: int) -> DataFrame:
 
     found = rows.groupBy("tree", "code", "part").applyInArrow(compared, "node long, near array<long>, sims array<float>")
     lists = found.groupBy("node").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("sims")).alias("sims"))
-    return stash(lists.mapInArrow(_best, "node long, near array<long>, sims array<float>"))
+    lists = lists.withColumn("old", F.transform("near", lambda x: F.lit(False)))
+    return stash(lists.mapInArrow(_best, GRAPH))
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Where each list ends in the values of all, and these values."""
+    ends = lists.offsets.to_numpy()
+    return ends - ends[0], lists.flatten()
 
 
 def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best distinct neighbours of each node."""
+    """The best distinct neighbours of each node, and which of them are new."""
     for b in batches:
-        near, sims = [], []
-        for ids, s in zip(b["near"].to_pylist(), b["sims"].to_pylist(), strict=True):
-            ids, s = np.asarray(ids, np.int64), np.asarray(s, np.float32)
-            order = np.lexsort((ids, -s))
-            ids, s = ids[order], s[order]
-            first = np.sort(np.unique(ids, return_index=True)[1])[:NEIGHBOURS]
-            near.append(ids[first])
-            sims.append(s[first])
-        ends = np.cumsum([0, *map(len, near)]).astype(np.int32)
-        cat = lambda x, t: np.concatenate([np.empty(0, t), *x])
-        yield pa.RecordBatch.from_arrays(
-            [b["node"], pa.ListArray.from_arrays(ends, cat(near, np.int64)), pa.ListArray.from_arrays(ends, cat(sims, np.float32))], ["node", "near", "sims"]
-        )
+        ends, ids = _flat(b["near"])
+        ids, sims, old = (x.to_numpy(zero_copy_only=False) for x in (ids, b["sims"].flatten(), b["old"].flatten()))
+        row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+        order = np.lexsort((-sims, ids, row))
+        ids, sims, old, row = ids[order], sims[order], old[order], row[order]
+        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(ids, prepend=0) != 0))
+        known = np.logical_or.reduceat(old, first) if len(first) else old
+        ids, sims, row = ids[first], sims[first], row[first]
+        order = np.lexsort((ids, -sims, row))
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        order = order[place < NEIGHBOURS]
+        ends = np.searchsorted(row[order], np.arange(b.num_rows + 1)).astype(np.int32)
+        lists = (pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (ids, sims, ~known))
+        yield pa.RecordBatch.from_arrays([b["node"], *lists], ["node", "near", "sims", "fresh"])
 
 
 def _descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """One round of NN-descent."""
     worst = F.when(F.size("sims") < NEIGHBOURS, F.lit(-2.0).cast("float")).otherwise(F.element_at("sims", -1))
     members = graph.select(F.col("node").alias("m"), worst.alias("worst")).join(nodes.select(F.col("node").alias("m"), "unit"), "m")
-    out = graph.select(F.col("node").alias("w"), F.explode("near").alias("m"))
+    edges = graph.select(F.col("node").alias("w"), F.explode(F.arrays_zip("near", "fresh")).alias("e")).select("w", F.col("e.near").alias("m"), F.col("e.fresh").alias("fresh"))
+    # Only around a node with a fresh edge, in either direction, is there anything to compare.
+    back = edges.select(F.col("m").alias("w"), F.col("w").alias("m"), "fresh")
+    live = stash(edges.where("fresh").select("w").unionByName(back.where("fresh").select("w")).distinct())
     # A node that is a neighbour of very many is dealt into chunks: its own neighbours stand in each of them.
-    chunks = out.groupBy(F.col("m").alias("w")).agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    own = out.unionByName(graph.select(F.col("node").alias("w"), F.col("node").alias("m"))).join(chunks, "w", "left")
-    own = own.select("w", "m", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)).cast("int") - 1)).alias("chunk"))
-    back = out.select(F.col("m").alias("w"), F.col("w").alias("m")).join(chunks, "w")
-    back = back.select("w", "m", F.pmod(F.xxhash64("m"), F.col("chunks")).cast("int").alias("chunk"))
-    met = own.unionByName(back).distinct().join(members, "m").groupBy("w", "chunk").agg(
-        F.collect_list(F.struct("m", "worst", "unit")).alias("met")
+    chunks = stash(back.groupBy("w").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).join(live, "w"))
+    own = edges.unionByName(graph.select(F.col("node").alias("w"), F.col("node").alias("m"), F.lit(False).alias("fresh")))
+    own = own.join(live, "w").join(chunks, "w", "left")
+    own = own.select("w", "m", "fresh", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)).cast("int") - 1)).alias("chunk"))
+    back = back.join(chunks, "w").select("w", "m", "fresh", F.pmod(F.xxhash64("m"), F.col("chunks")).cast("int").alias("chunk"))
+    met = own.unionByName(back).groupBy("w", "chunk", "m").agg(F.max("fresh").alias("fresh")).join(members, "m").groupBy("w", "chunk").agg(
+        F.collect_list(F.struct("m", "worst", "unit", "fresh")).alias("met")
     )
-    new = met.select("met.m", "met.worst", "met.unit").mapInArrow(_compared, "node long, x long, sim float")
-    kept = graph.select("node", F.explode(F.arrays_zip("near", "sims")).alias("e")).select("node", F.col("e.near").alias("x"), F.col("e.sims").alias("sim"))
-    lists = kept.unionByName(new).groupBy("node").agg(F.collect_list("x").alias("near"), F.collect_list("sim").alias("sims"))
-    return stash(lists.mapInArrow(_best, "node long, near array<long>, sims array<float>"))
+    new = met.select("met.m", "met.worst", "met.unit", "met.fresh").mapInArrow(_compared, "node long, x long, sim float")
+    kept = graph.select("node", F.explode(F.arrays_zip("near", "sims")).alias("e")).select("node", F.col("e.near").alias("x"), F.col("e.sims").alias("sim"), F.lit(True).alias("old"))
+    lists = kept.unionByName(new.withColumn("old", F.lit(False))).groupBy("node").agg(
+        F.collect_list("x").alias("near"), F.collect_list("sim").alias("sims"), F.collect_list("old").alias("old")
+    )
+    after = stash(lists.mapInArrow(_best, GRAPH))
+    for t in (live, chunks):
+        discard(t)
+    return after
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         nodes, others, sims = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
-        for ids, worst, units in zip(*(b[c].to_pylist() for c in ("m", "worst", "unit")), strict=True):
-            ids, x = np.asarray(ids, np.int64), _matrix(units)
-            s = x @ x.T
+        ends, ids = _flat(b["m"])
+        if not len(ids):
+            continue
+        ids, worst, fresh = (x.to_numpy(zero_copy_only=False) for x in (ids, b["worst"].flatten(), b["fresh"].flatten()))
+        units = _matrix(b["unit"].flatten().to_pylist())
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            s = units[lo:hi] @ units[lo:hi].T
             np.fill_diagonal(s, -3)
-            i, j = np.nonzero(s > np.asarray(worst, np.float32)[:, None])
-            nodes.append(ids[i])
-            others.append(ids[j])
+            i, j = np.nonzero((s > worst[lo:hi, None]) & (fresh[lo:hi, None] | fresh[lo:hi]))
+            nodes.append(ids[lo + i])
+            others.append(ids[lo + j])
             sims.append(s[i, j])
         yield pa.RecordBatch.from_pydict({"node": np.concatenate(nodes), "x": np.concatenate(others), "sim": np.concatenate(sims)})
 
