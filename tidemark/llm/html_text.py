@@ -17,8 +17,10 @@ import html as html_codes
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +52,7 @@ menu nav navbar navigation topbar footer masthead toolbar login signup signin pa
 disclaimer announcement
 """.split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z]+")
 # What an opening element closes implicitly.
@@ -59,12 +61,13 @@ _BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 
 
 class Node:
-    __slots__ = ("name", "sign", "children", "above", "apart", "named", "main", "index")
+    __slots__ = ("name", "sign", "children", "above", "apart", "named", "main", "home", "index")
 
     def __init__(self, name: str, sign: str, above: Node | None = None, apart: bool = False, named: bool = False, main: bool = False):
         self.name, self.sign, self.above, self.apart, self.named, self.main = name, sign, above, apart, named, main
         self.children: list[Node] = []
-        self.index = 0
+        #: The node of the tree that holds the element: itself, or the one at the greatest depth.
+        self.home, self.index = self, 0
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -79,8 +82,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 blocks.append((stack[-1], " ".join(words)))
             text.clear()
 
-    at, skip, n = 0, None, len(page)
-    lower = None
+    at, n = 0, len(page)
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -100,14 +102,13 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                         break
             continue
         if name in RAW and not m[3].endswith("/"):
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{name}", at)
-            if end < 0 and name in CLOSED:
+            end = _closing(name).search(page, at)
+            if not end and name in CLOSED:
                 continue
-            if end < 0:
+            if not end:
                 at = n
                 break
-            at = lower.find(">", end) + 1 or n
+            at = page.find(">", end.start()) + 1 or n
             continue
         if name == "br":
             text.append(" ")
@@ -135,6 +136,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         made.append(node)
         if len(stack) < DEPTH:
             above.children.append(node)
+        else:
+            node.home = above.home
         stack.append(node)
     if at < n:
         text.append(page[at:])
@@ -144,6 +147,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     return root, blocks
 
 
+@lru_cache(maxsize=64)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(name)}", re.I | re.A)
+
+
 def _leave_out(made: list[Node], blocks: list[tuple[Node, str]]) -> None:
     """Sets apart the elements that their class or id tells, unless they hold an article or most of the page's text."""
     size = {id(node): 0 for node in made}
@@ -204,7 +212,7 @@ def shape(root: Node) -> tuple[str, int]:
 
 
 def _tree(text: str) -> tuple:
-    """(signature, children, number) of a shape."""
+    """(signature, children, number, form) of a shape; subtrees of one form are alike but for their numbers."""
     stack: list[list] = [["", [], -1]]
     count = 0
     for token in re.findall(r"[()]|[^() ]+", text):
@@ -215,7 +223,16 @@ def _tree(text: str) -> tuple:
         else:
             stack[-1][1].append([token, [], count])
             count += 1
-    return stack[0][1][0] if stack[0][1] else ("", [], 0)
+    if not stack[0][1]:
+        return ("", [], 0, "")
+    return _formed(stack[0][1][0])
+
+
+def _formed(node: list) -> tuple:
+    children = [_formed(c) for c in node[1]]
+    whole = "(".join([node[0], *(f"{c[3]})" for c in children)])
+    # Long forms go by their digest, so that a tree's forms stay as small as the tree.
+    return (node[0], children, node[2], whole if len(whole) < 64 else blake2b(whole.encode(), digest_size=16).hexdigest())
 
 
 @lru_cache(maxsize=2048)
@@ -223,7 +240,7 @@ def aligned(page: str, wrapper: str) -> dict[int, int]:
     """Node of the wrapper for nodes of a page, by simple tree matching."""
     if page == wrapper:
         return _Same()
-    return dict(_match(_tree(page), _tree(wrapper))[1])
+    return dict(_matched(_tree(page), _tree(wrapper), {}))
 
 
 class _Same(dict):
@@ -231,27 +248,50 @@ class _Same(dict):
         return key
 
 
-def _match(a, b) -> tuple[int, list[tuple[int, int]]]:
+def _size(a: tuple, b: tuple, known: dict[tuple[str, str], int]) -> int:
+    """Nodes in the largest matching of two trees; forms that were met before are not compared again."""
+    if a[0] != b[0]:
+        return 0
+    if (a[3], b[3]) not in known:
+        known[a[3], b[3]] = 1 + (_aligned(a[1], b[1], known)[0] if a[1] and b[1] else 0)
+    return known[a[3], b[3]]
+
+
+def _aligned(x: list, y: list, known: dict) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """Size of the best alignment of two lists of children, and for each row, as bits, where the best has the row's child
+    left out, and where it has it matched. Work is by rows of numbers, memory two bits a pair."""
+    forms_x, forms_y = ({c[3]: c for c in z} for z in (x, y))
+    place = {f: j for j, f in enumerate(forms_y)}
+    column = np.array([place[c[3]] for c in y], np.int64)
+    weights = {f: np.array([_size(c, d, known) for d in forms_y.values()], np.int64)[column] if len(y) else column for f, c in forms_x.items()}
+    best, rows = np.zeros(len(y) + 1, np.int64), []
+    for c in x:
+        w = weights[c[3]]
+        met = np.where(w > 0, best[:-1] + w, -1)
+        now = np.concatenate([[0], np.maximum.accumulate(np.maximum(best[1:], met))]) if len(y) else best
+        rows.append((np.packbits(now == best), np.packbits(now[1:] == met)))
+        best = now
+    return int(best[-1]), rows
+
+
+def _matched(a: tuple, b: tuple, known: dict) -> list[tuple[int, int]]:
+    """Numbers of the nodes that simple tree matching pairs."""
     if a[0] != b[0]:
-        return 0, []
+        return []
     x, y = a[1], b[1]
-    pairs = {(i, j): _match(p, q) for i, p in enumerate(x) for j, q in enumerate(y) if p[0] == q[0]}
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x)):
-        for j in range(len(y)):
-            w = pairs.get((i, j), (0, []))[0]
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    i, j, out = len(x), len(y), [(a[2], b[2])]
+    out = [(a[2], b[2])]
+    rows = _aligned(x, y, known)[1]
+    i, j = len(x), len(y)
     while i and j:
-        w, inner = pairs.get((i - 1, j - 1), (0, []))
-        if w and best[i][j] == best[i - 1][j - 1] + w:
-            out += inner
+        out_of, met = rows[i - 1]
+        if met[(j - 1) >> 3] >> (7 - ((j - 1) & 7)) & 1:
+            out += _matched(x[i - 1], y[j - 1], known)
             i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
+        elif out_of[j >> 3] >> (7 - (j & 7)) & 1:
             i -= 1
         else:
             j -= 1
-    return 1 + best[len(x)][len(y)], out
+    return out
 
 
 def host(url: str = "url") -> Column:
@@ -266,7 +306,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     Returns one row per input row: page_id, url, text, n_chars (code points). Character references are decoded, white
     space in a block is one space, blocks are joined by a line feed. Null and empty pages, and pages that are all
     template, have an empty text. Null urls, and urls without a host, share the empty host. Exact copies of a page count
-    once for its host's template. Broken and unclosed markup is read as browsers do where that is common, never an
+    once for its host's template; of wrappers that are as frequent the largest as text is taken. Very long pages are read
+    whole: alignment takes time by the distinct pairs of their subtrees and two bits for each pair of siblings. Broken and unclosed markup is read as browsers do where that is common, never an
     error. Null page_ids and repeated rows are rows like any other. Other columns of ``pages``, whatever their names, are
     ignored. An empty table gives an empty result.
     """
@@ -307,7 +348,7 @@ def _prints(blocks: list[tuple[Node, str]]) -> dict[int, int]:
     """Fingerprint of the text of each node."""
     own: dict[int, int] = {}
     for node, text in blocks:
-        own[node.index] = crc32(text.encode("utf-8", "replace"), own.get(node.index, 0))
+        own[node.home.index] = crc32(text.encode("utf-8", "replace"), own.get(node.home.index, 0))
     return {node: _signed(x) for node, x in own.items()}
 
 
@@ -336,7 +377,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if template:
                 to, known = aligned(shape(root)[0], wrapper), {t["node"]: t["print"] for t in template}
                 own = _prints(blocks)
-                slots = [(node, text) for node, text in content if known.get(to.get(node.index)) != own[node.index]]
+                slots = [(node, text) for node, text in content if known.get(to.get(node.home.index)) != own[node.home.index]]
                 # An article that is all constant is one that many addresses of the host share.
                 content = slots if slots or not marked else content
             out.append("\n".join(text for _, text in content))
