@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import nearest, toxicity
+from tidemark.llm import mixing, nearest, toxicity
 
 
 def test_nearest_recall_against_brute_force(spark):
@@ -30,17 +30,29 @@ def test_nearest_recall_against_brute_force(spark):
     assert [v for _, v, _ in sorted(got[500])] == [7, 501, 502, 503, 504]  # equal vectors: ties to smaller ids
 
 
-def test_nearest_recall_with_small_leaves(spark, monkeypatch):
-    """Leaves of a few hundredths of the table, in 64 dimensions without structure."""
-    monkeypatch.setattr(nearest, "LEAF", 32)
-    x = np.random.default_rng(6).standard_normal((6000, 64))
-    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+def test_descents_find_what_leaves_do_not(spark, monkeypatch):
+    """From few and small leaves the graph gets most of its true neighbours by the rounds of NN-descent."""
+    monkeypatch.setattr(nearest, "LEAF", (32, 32))
+    monkeypatch.setattr(nearest, "TREES", 3)
+    n = 4000
+    x = np.random.default_rng(6).standard_normal((n, 12))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    found = {}
-    for r in nearest.nearest(df, F.col("vec_id") % 50 == 0).collect():
-        found.setdefault(r["query_id"], set()).add(r["vec_id"])
-    hits = sum(len(found[q] & set(np.argsort(-(unit @ unit[q]))[1:6].tolist())) for q in range(0, 6000, 50))
-    assert hits / (5 * 120) >= 0.9
+    nodes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node long, v array<double>")
+    nodes = nearest.stash(nodes.mapInArrow(nearest._unit, "node long, v array<double>, unit binary"))
+    truth = {i: set(np.argsort(-(unit @ unit[i]))[1:6].tolist()) for i in range(0, n, 20)}
+
+    def recall(graph):
+        near = {r["node"]: r["near"][:5] for r in graph.where("node % 20 = 0").collect()}
+        return sum(len(truth[i] & set(near[i])) for i in truth) / (5 * len(truth))
+
+    graph = nearest._leaves(nodes, n, 12)
+    before, rounds = recall(graph), 0
+    assert nearest._changed(graph) == 1
+    while nearest._changed(graph) > nearest.CHANGED:
+        graph = nearest._descended(graph, nodes)
+        rounds += 1
+    assert before < 0.7 and recall(graph) >= 0.9 and rounds >= 2
+    assert graph.where("size(near) <> size(array_distinct(near)) OR array_contains(near, node)").count() == 0
 
 
 def test_nearest_few_rows(spark):
@@ -112,5 +124,31 @@ def test_pipeline_stages(spark, tmp_path):
     left = {r["doc_id"] for r in stage["decontamination"](spark, docs, d).collect()}
     assert 20 not in left and 21 in left
     mixed = stage["mixing"](spark, docs, d)
+    assert ({r["doc_id"]: r["copies"] for r in mixed.where("doc_id > 5").collect()}
+            == {r["doc_id"]: r["copies"] for r in mixing.mix(docs).where("copies > 0 AND doc_id > 5").collect()})
     assert set(docs.columns) < set(mixed.columns) and 0 < mixed.count() < len(rows) and mixed.where("copies < 1").count() == 0
     assert p.run(spark, d).count() > 0
+
+
+def test_pipeline_stages_with_clashing_columns(spark, tmp_path):
+    """Columns that are called like the stages' own, null rows, ties and repeated rows go through as they are."""
+    import corpus_pipeline as p
+
+    names = ["kept", "n_removed", "copies", "_id", "_tag", "_print", "mix_domain", "carried", "rid", "Tag", "n_tokens", "input_copies", "features", "best.of"]
+    rows = brute.corpus(n=24) + [(3, "tied by doc_id but of another text", "en", "src1", 9)]
+    schema = brute.SCHEMA + "".join(f", `{c}` string" for c in names)
+    d = str(tmp_path)
+    spark.createDataFrame([(*r, *(f"{c}!" for c in names)) for r in rows], schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "not in any of them at all")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in p.STAGES:
+        out = p.stash(stage(spark, docs, d))
+        if name == "mixing":
+            assert {"input_copies", "input_input_copies", "input_mix_domain", *p.MIX} <= set(out.columns)
+            assert {r["input_input_copies"] for r in out.collect()} == {"copies!"}
+        else:
+            assert out.columns == docs.columns
+            assert all(r[c] == f"{c}!" for r in out.collect() for c in names)
+            assert out.where("doc_id IS NULL").count() >= 1
+        assert p.stash(stage(spark, docs.limit(0), d)).count() == 0

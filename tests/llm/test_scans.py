@@ -4,6 +4,7 @@ import re
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
@@ -37,25 +38,47 @@ def test_token_counts_equal_the_library(spark, rows):
     lib = Tokenizer.from_file(PATH)
     r = random.Random(2)
     odd = ["".join(r.choice(" \t\n'stdllABé你½٣\U0001f600\x85<|>") for _ in range(40)) for _ in range(200)] + ["a<|endoftext|>b <|endoftext|>"]
-    texts = [t for _, t, *_ in rows] + odd
+    texts = [t for _, t, *_ in rows] + odd + ["".join(r.choice("abcdefg") for _ in range(30_000)), "a  " * 9000]
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
-    want = [(i, len((t or "").encode()), (n := len(lib.encode(t or "", add_special_tokens=False).ids)), n > 1024) for i, t in enumerate(texts)]
-    assert ordered(token_counts.token_counts(df, PATH).drop("fits").collect()) == ordered(want)
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    want = [(i, len((t or "").encode()), (n := count(t or "")), n > 1024) for i, t in enumerate(texts)]
+    got = token_counts.token_counts(df, PATH).collect()
+    assert ordered(g[:4] for g in got) == ordered(want)
+    for g in got:  # the longest prefix that fits
+        t, end = texts[g["doc_id"]] or "", g["fits"]
+        assert count(t[:end]) <= 1024 and (end == len(t) or all(count(t[:c]) > 1024 for c in range(end + 1, min(len(t), end + 30) + 1)))
     assert token_counts.token_counts(df.limit(0), PATH).count() == 0
 
 
-def test_prefix_table():
+def test_every_prefix():
+    """Counts at all cuts and the longest cut within every budget, against the library on each prefix."""
     c, lib, r = token_counts.Counter(PATH), Tokenizer.from_file(PATH), random.Random(3)
     for _ in range(200):
-        text = "".join(r.choice(" \n'sab12.é") for _ in range(50))
-        cut = r.randrange(51)
-        assert c.at(text, cut) == len(lib.encode(text[:cut], add_special_tokens=False).ids)
-        end = c.fit(text, 9)
-        assert c.at(text, end) <= 9 or text[end:].startswith(" ")
+        parts = [" ", "\n", "'", "s", "ab", "12", ".", "é", "<|endoftext|>", "'ll", "    ", " hello", "the"]
+        text = "".join(r.choice(parts) for _ in range(25))
+        n = [len(lib.encode(text[:cut], add_special_tokens=False).ids) for cut in range(len(text) + 1)]
+        table = c.table(text)
+        assert [table.at(cut) for cut in range(len(text) + 1)] == n and table.total == n[-1]
+        for budget in range(0, 30, 4):
+            assert table.fit(budget) == max(cut for cut, x in enumerate(n) if x <= budget)
+
+
+def test_cuts_within_a_long_word_and_bounded_memory(monkeypatch):
+    c, lib, r = token_counts.Counter(PATH), Tokenizer.from_file(PATH), random.Random(4)
+    text = "x " + "".join(r.choice("etaoinshré") for _ in range(3000))
+    table = c.table(text)
+    for cut in (3, 700, 701, 2999):
+        assert table.at(cut) == len(lib.encode(text[:cut], add_special_tokens=False).ids)
+    monkeypatch.setattr(token_counts, "TABLE_BYTES", 5000)
+    for i in range(300):
+        assert c.table(f"word{i} again").total == len(lib.encode(f"word{i} again").ids)
+    assert c.size <= 5000 and len(c.known) <= 25
+    with pytest.raises(ValueError):
+        token_counts.Counter(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_mixing_equals_sql(spark, rows, tmp_path):
-    docs = spark.createDataFrame(rows, brute.SCHEMA).where("doc_id IS NOT NULL")
+    docs = spark.createDataFrame([*rows, (3, "of other words", "en", "src0", 1), (3, "with other text", "en", "src0", 1)], brute.SCHEMA)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
@@ -76,12 +99,45 @@ def test_tiles_equal_brute_force():
     import numpy as np
 
     r = random.Random(3)
-    for _ in range(150):
-        a = [r.randrange(6) for _ in range(r.randrange(5, 50))]
-        b = [r.randrange(6) for _ in range(r.randrange(3, 30))]
-        seeds = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
-        if seeds:
-            assert decontaminate.tiles(np.array(a), np.array(b), np.array(seeds), 3) == brute.tiling(a, b, 3)
+    for _ in range(300):
+        kinds = r.choice([1, 2, 3, 6])
+        a = [r.randrange(kinds) + 1 for _ in range(r.randrange(1, 50))]
+        b = [r.randrange(kinds) + 1 for _ in range(r.randrange(1, 30))]
+        assert decontaminate.tiles(np.array(a, np.uint64), np.array(b, np.uint64), 3) == brute.tiling(a, b, 3)
+
+
+def test_tiles_of_a_long_repetitive_text():
+    import numpy as np
+
+    text = np.full(1_000_000, 7, np.uint64)
+    assert decontaminate.tiles(text, np.full(200, 7, np.uint64), 5) == 200
+    a, q, n = decontaminate.runs(text, np.full(200, 7, np.uint64), 5)
+    assert len(a) == 1_000_000 + 200 - 2 * 5 + 1  # a run for each diagonal, not a pair for each two places
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    """Ties, repeats, reordered passages, short items; items of one document in several rooms."""
+    r = random.Random(8)
+    words = lambda n, kinds: [f"v{r.randrange(kinds)}" for _ in range(n)]
+    items = [(i, words(r.randrange(1, 25), 5)) for i in range(12)] + [(20, ["v1"] * 30), (21, ["v1"] * 30), (21, ["v2", "v2"])]
+    texts = [(i, words(r.randrange(0, 60), 5)) for i in range(40)] + [(50, ["v1"] * 400)]
+    texts += [(60, items[3][1][8:] + ["z"] + items[3][1][:8]), (61, items[4][1]), (61, items[4][1]), (None, items[5][1])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in [*items, items[0]]], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 3)
+    want = []
+    for i, w in texts:
+        best, n = (0.0, None), 0
+        for item_id, v in items:
+            k = min(5, len(v))
+            if {tuple(v[j : j + k]) for j in range(len(v) - k + 1)} & {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}:
+                n += 1
+                part = brute.tiling(w, v, k) / len(v)
+                if part > best[0] or part == best[0] and item_id < best[1]:
+                    best = (part, item_id)
+        want.append((i, n, best[1], round(best[0], 9), best[0] >= 0.6))
+    got = decontaminate.overlaps(docs, bench).select("doc_id", "n_items", "item_id", F.round("coverage", 9), "contaminated")
+    assert ordered(got.collect()) == ordered(want)
 
 
 def test_decontamination(spark):
@@ -95,7 +151,6 @@ def test_decontamination(spark):
     assert got[2] == got[3] == got[4] == got[6] == (False, None, 0.0)
     assert got[5][0] is False and got[5][2] == pytest.approx(0.3) and got[7] == (True, 4, 1.0)
     assert decontaminate.overlaps(docs, items.limit(0)).where("contaminated").count() == 0
-    assert len(list(decontaminate.benchmark_blocks(items, block_words=5))) == 3
 
 
 PAGES = [
@@ -162,3 +217,29 @@ def test_html_marks_never_take_the_article(spark):
     assert _html_texts(spark, [f"<article><p>{inline}</article>", "<article><p>a<select><option>b</article>", f"<article class=has-comments><p>{text}</article>"]) == [
         "x y z o", "ab", text
     ]
+
+
+def test_html_of_pages_without_telling_names(spark):
+    """Menus, adverts and comments' frames without names of their own go because they are constant; slots stay."""
+    body = "<div><span>Home News Shop</span></div><div><p>{}</p><p>tail of it</p></div><ol><li>all rights kept</li></ol>"
+    bodies = [body.format(f"what page {i} says of its own") for i in range(6)]
+    assert _html_texts(spark, bodies) == [f"what page {i} says of its own\ntail of it" for i in range(6)]
+    assert "Home News Shop" in _html_texts(spark, bodies[:1])[0]  # one page has nothing to be aligned with
+
+
+def test_html_letters_that_grow_and_open_quotes(spark):
+    page = "<article><p>İİİİİİİİ</p><SCRIPT>x('</p>')</script ><p>Hello world this is text</p></article>"
+    assert _html_texts(spark, [page]) == ["İİİİİİİİ\nHello world this is text"]
+    assert _html_texts(spark, ["<article><p>a<a href=\"x>b</a><p>c</article>"]) == ["ab\nc"]
+
+
+def test_html_long_pages():
+    import time
+
+    page = lambda n: "page(html.(" + " ".join(["h2.", "p."] * n + ["ul.(li.(p.) b.)"]) + "))"
+    begun = time.time()
+    to = html_text.aligned(page(3000), page(3001))
+    assert len(to) == 2 + 6000 + 4 and time.time() - begun < 5
+    root, blocks = html_text.parse("<div>" * 100 + "deep" + "</div>" * 99 + "less")
+    form, count = html_text.shape(root)
+    assert count == html_text.DEPTH and {node.home.index for node, _ in blocks} == {count - 1, 1}

@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Base of the polynomial span fingerprints (odd, so it has an inverse modulo 2**64).
@@ -27,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     if sc.getCheckpointDir() is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
@@ -81,6 +84,11 @@ def numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def with_carried(schema: str, rows: DataFrame) -> StructType:
+    """A schema with the type of ``rows.carried`` as last field; its names may hold anything."""
+    return StructType.fromDDL(schema).add("carried", rows.schema["carried"].dataType)
+
+
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 

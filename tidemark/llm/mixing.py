@@ -6,8 +6,9 @@ only when all siblings are exhausted. As a node's capacity is the sum of its lea
 down with known capacities, in closed form at each level. A leaf supplies whole epochs and then a prefix of one more, in
 an order seeded for that epoch.
 
-Leaves are few next to documents. A leaf's order is dealt into 4096 buckets by the leading digits of the order, whose
-sums are small; only within buckets are documents sorted, so a leaf with a third of all rows is no single task.
+Leaves are few next to documents. A leaf's order is dealt into 4096 buckets by the leading digits of the order; only
+within buckets are documents sorted, so a leaf with a third of all rows is no single task. What one task adds up for a
+leaf is the sums of its buckets: 4096 rows at most, however large the leaf.
 """
 
 from __future__ import annotations
@@ -45,20 +46,24 @@ def domain(source: str = "source") -> Column:
 
 
 def mix(
-    docs: DataFrame, weights: Mapping[str, Mapping[str, float]] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED
+    docs: DataFrame, weights: Mapping[str, Mapping[str, float]] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How often each document is taken.
 
-    Returns one row per input row: doc_id, tag (a hash of the text, which tells rows of one doc_id apart), domain, lang,
-    source, n_tokens (words), copies. Null and empty languages and
-    sources are named ``unknown``. Texts without words add nothing to a prefix and are taken with the rows around them.
-    Null doc_ids are ordered like an empty string; ties of the order go by doc_id, then n_tokens. Weights must not be
+    Returns one row per input row: doc_id, domain, lang, source, n_tokens (words), copies and the ``carry`` columns as a
+    struct ``carried``. Null and empty languages and sources are named ``unknown``. Texts without words, null ones too,
+    add nothing to a prefix and are taken with the rows around them. Null doc_ids are ordered like an empty string; ties
+    of the order go by doc_id, n_tokens, then a hash of the text, so only wholly repeated rows are left to tie: as many of
+    them are taken as fit. Very long texts count whole, and may alone exceed what is left of a budget. Weights must not be
     negative; a child of weight 0 gets nothing. Other columns of ``docs``, whatever their names, are ignored. An empty
     table gives an empty result.
     """
     known = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit("unknown")).otherwise(F.col(c))
     rows = stash(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("tag"), domain().alias("domain"), known("lang").alias("lang"), known("source").alias("source"), words().alias("n_tokens")
+        F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tag"),
+        domain().alias("domain"), known("lang").alias("lang"), known("source").alias("source"), words().alias("n_tokens"),
+        F.struct(*([F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")])).alias("carried"),
     ))
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     for level in LEAF:
@@ -78,11 +83,12 @@ def mix(
     placed = placed.withColumn("key", key).withColumn("bucket", F.substring("key", 1, DIGITS))
     sums = placed.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("own"))
     sums = sums.withColumn("before", F.sum("own").over(Window.partitionBy(*LEAF).orderBy("bucket")) - F.col("own")).drop("own")
-    inside = Window.partitionBy(*LEAF, "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*LEAF, "bucket").orderBy("key", "doc_id", "n_tokens", "tag").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before") + F.sum("n_tokens").over(inside)
-    return placed.join(sums, [*LEAF, "bucket"]).withColumn("upto", upto).select(
-        "doc_id", "tag", *LEAF, "n_tokens", (F.col("whole") + (F.col("upto") <= F.col("rest")).cast("long")).alias("copies")
+    out = placed.join(sums, [*LEAF, "bucket"]).withColumn("upto", upto).select(
+        "doc_id", *LEAF, "n_tokens", (F.col("whole") + (F.col("upto") <= F.col("rest")).cast("long")).alias("copies"), "carried"
     )
+    return out if carry else out.drop("carried")
 
 
 def _split(leaves: DataFrame, parents: tuple[str, ...], level: str) -> DataFrame:
@@ -103,7 +109,7 @@ def _split(leaves: DataFrame, parents: tuple[str, ...], level: str) -> DataFrame
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: copies of every document in the mix."""
-    return mix(table(spark, sf_dir, "documents")).drop("tag")
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:
@@ -114,7 +120,7 @@ def _oracle() -> str:
         WITH r AS (SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '(\\d{{1,9}})$', 1) = '' THEN 'other'
                 ELSE 'd' || (regexp_extract(source, '(\\d{{1,9}})$', 1)::BIGINT % 4)::VARCHAR END AS domain,
             coalesce(nullif(lang, ''), 'unknown') AS lang, coalesce(nullif(source, ''), 'unknown') AS source,
-            len(list_filter(regexp_split_to_array(coalesce(text, ''), '{BETWEEN}'), lambda w: w <> ''))::BIGINT AS n_tokens FROM documents),
+            len(list_filter(regexp_split_to_array(coalesce(text, ''), '{BETWEEN}'), lambda w: w <> ''))::BIGINT AS n_tokens, md5(coalesce(text, '')) AS tag FROM documents),
         s AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens) * {EPOCHS}::DOUBLE AS cap,
             {weight("domain")} AS w_domain, {weight("lang")} AS w_lang, {weight("source")} AS w_source FROM r GROUP BY ALL),
         b_root AS (SELECT *, (SELECT sum(tokens) FROM s) * {SHARE} AS budget FROM s)"""
@@ -135,7 +141,7 @@ def _oracle() -> str:
         t AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN floor((budget + 1e-6) / tokens) ELSE 0 END::BIGINT AS whole, tokens, budget FROM {last}),
         u AS (SELECT *, floor(budget + 1e-6 - whole * tokens)::BIGINT AS rest FROM t)
         SELECT doc_id, domain, lang, source, n_tokens, whole + (sum(n_tokens) OVER (PARTITION BY domain, lang, source
-            ORDER BY md5('{SEED}|' || whole || '|' || coalesce(doc_id::VARCHAR, '')), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) <= rest)::BIGINT AS copies
+            ORDER BY md5('{SEED}|' || whole || '|' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, n_tokens, tag ROWS UNBOUNDED PRECEDING) <= rest)::BIGINT AS copies
         FROM r JOIN u USING (domain, lang, source)"""
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import passages
-from tidemark.llm.common import discard, numbered, signed, span, stash, sums, table, word_hashes
+from tidemark.llm.common import discard, numbered, signed, span, stash, sums, table, with_carried, word_hashes
 
 WINDOW = 50
 #: Words in an anchor.
@@ -94,8 +94,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, carry: tu
     for t in (seen, index, hits):
         discard(t)
     kept = numbered(docs, carry).join(factors, ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "lens", "carried")
-    kind = kept.schema["carried"].dataType.simpleString()
-    out = kept.mapInArrow(_cut(window), f"doc_id long, n_words long, n_removed long, kept string, carried {kind}")
+    out = kept.mapInArrow(_cut(window), with_carried("doc_id long, n_words long, n_removed long, kept string", kept))
     return out if carry else out.drop("carried")
 
 

@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stash, table
+from tidemark.llm.common import stash, table, with_carried
 
 #: Bound of the labelled rows that are fitted on.
 TRAIN_ROWS = 40_000
@@ -82,8 +82,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, c
     train = stash(texts.drop("carried").join(F.broadcast(marked), "doc_id").withColumn("fold", fold("doc_id").cast("int")))
     lexicon = _lexicon(train.where("fold >= 3"))
 
-    kind = texts.schema["carried"].dataType.simpleString()
-    made = texts.mapInArrow(_features(lexicon, "carried"), f"doc_id long, features array<double>, carried {kind}")
+    made = texts.mapInArrow(_features(lexicon, "carried"), with_carried("doc_id long, features array<double>", texts))
     known = stash(train.where("fold < 3").mapInArrow(_features(lexicon, "toxic", "fold"), "doc_id long, features array<double>, toxic int, fold int"))
     known = known.select(array_to_vector("features").alias("features"), F.col("toxic").cast("double").alias("toxic"), "fold")
     both = {r["fold"]: r["kinds"] == 2 for r in known.groupBy("fold").agg(F.count_distinct("toxic").alias("kinds")).collect()}
