@@ -48,7 +48,7 @@ def test_isolation_ranks_outliers_first(spark):
 
     rows = [(i, [float(i % 7), float(i % 5)]) for i in range(300)] + [(999, [90.0, -80.0])]
     df = spark.createDataFrame(rows, "id long, x array<double>")
-    forest = scorers.fit_isolation(df.where("id < 999"), "id", "x", trees=30, sample=128)
+    forest = scorers.fit_isolation(df, "id", "x", trees=100, sample=301)
     top = scorers.isolation_score(df, "x", forest).orderBy("isolation", ascending=False).first()
     assert top["id"] == 999
 

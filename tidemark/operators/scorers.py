@@ -14,8 +14,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.portable import h32
-
 ALPHA = 0.7
 #: Isolation forest: trees and rows for each.
 TREES, SAMPLE = 200, 256
@@ -63,8 +61,9 @@ def fit_isolation(df: DataFrame, id_col: str, vector: str, trees: int = TREES, s
     """
     n = max(1, df.count())
     share = min(1.0, sample / n)
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = rows.where(h32(seed, F.col("tree"), F.col("id")) < int(share * 2**32)).drop("id")
+    # The trees of a row are told by hashes before the row is copied: most rows go to none.
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), t), F.lit(1 << 32)) < int(share * 2**32))
+    rows = df.select(F.col(vector).cast("array<double>").alias("x"), F.explode(drawn).alias("tree"))
 
     def grow(g: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(g["x"].to_numpy())

@@ -13,7 +13,7 @@ from tidemark.operators import sampling as J
 from tidemark.operators import thresholds as T
 from tidemark.sources import tables as S
 
-TRIALS, REPS = 40, 200
+TRIALS, REPS = 40, 2000
 ORDER = ["ts", "event_id"]
 CELL = ["attack_class", "noise", "trial"]
 

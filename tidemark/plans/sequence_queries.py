@@ -19,6 +19,8 @@ EVENTS = ["click", "error", "purchase", "view"]
 RARE = ["error", "purchase"]
 LINES = ["AF", "NF", "NO", "RF"]
 LINES_RARE = ["NF", "NO"]
+#: Tokens in a vocabulary: more than the event types or line states there are.
+TOP = 20
 GROUPS = {"click": "browse", "view": "browse", "error": "fault", "purchase": "buy", "signup": "buy"}
 
 SEQ = """seq AS (SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS token FROM events)"""
@@ -132,13 +134,13 @@ def q_features_lines(spark, d):
 
 
 def q_x7(spark, d):
-    return X.top_vocabulary(W.sliding_windows(S.line_sequences(spark, d)), 3).select("token", "n", F.col("rank").cast("long").alias("rank"))
+    return X.top_vocabulary(W.sliding_windows(S.line_sequences(spark, d)), TOP).select("token", "n", F.col("rank").cast("long").alias("rank"))
 
 
 def q_x8(spark, d):
     windows = W.sliding_windows(S.event_sequences(spark, d))
-    rows = X.vocabulary_freq(windows, X.top_vocabulary(windows, 3))
-    return rows.select("seq_id", "win_ix", *(F.round(F.get("freq", F.lit(i)), 6).alias(f"f{i + 1}") for i in range(3)))
+    rows = X.vocabulary_freq(windows, X.top_vocabulary(windows, TOP))
+    return rows.select("seq_id", "win_ix", *(F.round(F.get("freq", F.lit(i)), 6).alias(f"f{i + 1}") for i in range(len(GROUPS))))
 
 
 def q_x9(spark, d):
@@ -162,7 +164,7 @@ def _vectors(spark, d):
 def q_n1(spark, d):
     v = _vectors(spark, d)
     scaled = N.robust_scale(v, "x", N.fit_robust(v.where("label < 8"), "x"))
-    return scaled.select("vec_id", F.posexplode("scaled").alias("dim", "value")).where("dim < 8").select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+    return scaled.select("vec_id", F.posexplode("scaled").alias("dim", "value")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
 def _components(spark, d):
@@ -191,14 +193,14 @@ def q_m1_given(spark, d):
 def q_m2(spark, d):
     v = _vectors(spark, d)
     normal = v.where("label < 8")
-    scaled = N.robust_scale(v, "x", N.fit_robust(normal, "x"))
-    weights = M.fit_vae(scaled.where("label < 8"), "scaled", steps=12)
+    scaled = S.written(N.robust_scale(v, "x", N.fit_robust(normal, "x")))
+    weights = M.fit_vae(scaled.where("label < 8"), "scaled")
     return M.vae_error(scaled, "scaled", weights).select("vec_id", "label", "recon")
 
 
 def q_m4(spark, d):
     f = event_features(spark, d).withColumn("id", F.concat_ws("-", "seq_id", "win_ix"))
-    forest = M.fit_isolation(f.where("NOT array_contains(tokens, 'error')"), "id", "features", trees=50)
+    forest = M.fit_isolation(f.where("NOT array_contains(tokens, 'error')"), "id", "features")
     return M.isolation_score(f, "features", forest).select("seq_id", "win_ix", "isolation")
 
 
@@ -216,7 +218,7 @@ def q_j1(spark, d):
 
 def q_j6(spark, d):
     types = S.table(spark, d, "events").groupBy("event_type").agg(F.min("event_id").alias("id"))
-    return S.event_sequences(spark, d).join(F.broadcast(types), F.col("token") == F.col("event_type")).groupBy("seq_id").agg(F.sum("id").alias("ids"), F.count("*").alias("n"))
+    return S.event_sequences(spark, d).join(types, F.col("token") == F.col("event_type")).groupBy("seq_id").agg(F.sum("id").alias("ids"), F.count("*").alias("n"))
 
 
 def q_j9(spark, d):
@@ -249,10 +251,10 @@ QUERIES = {
     "x1_x6_features_events": (q_features, _sql(*_event, _feat(EVENTS, RARE), then=_named_sql(EVENTS, RARE))),
     "x1_x6_features_lineitem": (q_features_lines, _sql(SEQ_LINES, _flt(LINES), WIN, _feat(LINES, LINES_RARE), then=_named_sql(LINES, LINES_RARE))),
     "x7_top_vocabulary": (q_x7, _sql(SEQ_LINES, _flt(None), WIN, then="""SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) AS rank
-        FROM (SELECT unnest(tokens) AS token FROM win) GROUP BY token ORDER BY n DESC, token LIMIT 3""")),
+        FROM (SELECT unnest(tokens) AS token FROM win) GROUP BY token ORDER BY n DESC, token LIMIT 20""")),
     "x8_vocabulary_freq": (q_x8, _sql(SEQ, _flt(None), WIN, """v AS (SELECT list(token ORDER BY n DESC, token) AS w FROM (SELECT token, count(*) AS n FROM
-        (SELECT unnest(tokens) AS token FROM win) GROUP BY token ORDER BY n DESC, token LIMIT 3))""", then="SELECT seq_id, win_ix" + "".join(
-        f", round(len(list_filter(tokens, lambda x: x = w[{i}])) / len(tokens)::DOUBLE, 6) AS f{i}" for i in (1, 2, 3)) + " FROM win, v")),
+        (SELECT unnest(tokens) AS token FROM win) GROUP BY token ORDER BY n DESC, token LIMIT 20))""", then="SELECT seq_id, win_ix" + "".join(
+        f", round(len(list_filter(tokens, lambda x: x = w[{i}])) / len(tokens)::DOUBLE, 6) AS f{i}" for i in range(1, len(GROUPS) + 1)) + " FROM win, v")),
     "x9_group_freq": (q_x9, _sql(SEQ, _flt(None), WIN, then="SELECT seq_id, win_ix" + "".join(
         ", round(len(list_filter(tokens, lambda x: x IN (%s))) / len(tokens)::DOUBLE, 6) AS grp_%s" % (", ".join(f"'{t}'" for t, x in GROUPS.items() if x == g), g)
         for g in ("browse", "buy", "fault")) + " FROM win")),
@@ -262,7 +264,7 @@ QUERIES = {
     "x11_frequent_patterns": (q_x11, None),
     "n1_robust_scale": (q_n1, """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
         f AS (SELECT dim, quantile_cont(x, 0.5) AS c, quantile_cont(x, 0.99) - quantile_cont(x, 0.01) AS s FROM v WHERE label < 8 GROUP BY dim)
-        SELECT vec_id, dim, round((x - c) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS value FROM v JOIN f USING (dim) WHERE dim < 8"""),
+        SELECT vec_id, dim, round((x - c) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS value FROM v JOIN f USING (dim)"""),
     "n2_m6_component_z_ensemble": (q_n2, _sql(*_event, _feat(EVENTS, RARE), _z, then="""SELECT seq_id, win_ix, round(z_ent, 6) AS z_ent, round(z_mx, 6) AS z_mx,
         round(0.7::DOUBLE * z_ent + (1 - 0.7::DOUBLE) * z_mx, 6) AS score FROM z""")),
     "m1_linear_reconstruction": (q_m1, None),

@@ -16,17 +16,26 @@ from tidemark.sources import tables as S
 from tidemark.streaming import live
 
 FAR = "2100-01-01"
+#: Files, and so micro-batches, of a stream: keys span them, and state carries over.
+BATCHES = 5
 
 
 def _events(spark: SparkSession, d: str, closing: bool = False) -> DataFrame:
     """The events table as a stream of files in a folder of its own."""
     rows = S.event_scores(spark, d).join(S.table(spark, d, "events").select("event_id", F.col("event_type").alias("token")), "event_id")
     rows = rows.select(F.col("tenant").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), "token", "label", "score")
-    path = S.scratch(spark)
-    rows.repartition(1).sortWithinPartitions("ts", "id").write.parquet(f"{path}/a")
-    if closing:
-        last = rows.limit(1).withColumns({"ts": F.lit(FAR).cast("timestamp"), "score": F.lit(1e9)})
-        last.write.mode("append").parquet(f"{path}/a")
+    return _stream(spark, rows, {"score": F.lit(1e9)} if closing else None)
+
+
+def _stream(spark: SparkSession, rows: DataFrame, last: dict | None) -> DataFrame:
+    """Rows as files in order of time, each a micro-batch, with a ``last`` row far ahead if asked for."""
+    path, rows = S.scratch(spark), S.written(rows)
+    cuts = rows.agg(F.percentile_approx(F.col("ts").cast("double"), [i / BATCHES for i in range(1, BATCHES)], 10_000)).first()[0] or []
+    at = F.col("ts").cast("double")
+    for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
+        rows.where((at > lo) & (at <= hi)).coalesce(1).write.mode("append").parquet(f"{path}/a")
+    if last is not None:
+        rows.limit(1).withColumns({"ts": F.lit(FAR).cast("timestamp"), **last}).write.mode("append").parquet(f"{path}/a")
     return live.event_stream(spark, f"{path}/a", rows.schema, per_batch=1)
 
 
@@ -64,8 +73,23 @@ def q_episodes(spark, d):
     return out.where(F.col("start") < FAR).select("key", F.col("start").cast("timestamp_ntz").alias("start"), "alerts")
 
 
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """The live log: every score with the thresholds that it met, in folders by label."""
+    live.use_rocksdb(spark)
+    par = Q.params(Q.split_scores(spark, d)).first()  # one row of six numbers
+    stream, path = live.policies(_events(spark, d), par["T_op"], par["T_min"]), S.scratch(spark)
+    return live.drain(stream, f"{path}/out", f"{path}/state", stream.schema, ("label",))
+
+
+def q_log(spark, d):
+    return _log(spark, d).groupBy(F.col("key").cast("long").alias("tenant"), "label").agg(
+        F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"), F.round(F.sum("t_uncond"), 4).alias("t_uncond"), F.round(F.sum("t_cond"), 4).alias("t_cond")
+    )
+
+
 def q_rise(spark, d):
-    out = _drained(spark, live.threshold_rise(_events(spark, d, closing=True).withColumn("t", F.col("score")), 50.0))
+    log = _log(spark, d).select("key", "ts", F.col("t_uncond").alias("t"))
+    out = _drained(spark, live.threshold_rise(_stream(spark, log, {}), 10.0))
     return out.where(F.col("start") < "2099-12-31").groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("abnormal").cast("long")).alias("abnormal"), F.round(F.sum("rise"), 4).alias("rise"))
 
 
@@ -80,6 +104,9 @@ QUERIES = {
     "r5_live_alerts_per_hour": (q_alerts, Q._sql(*_alert, then="SELECT date_trunc('hour', ts) AS hour, count(*) AS alerts FROM al GROUP BY 1")),
     "r6_live_episodes": (q_episodes, Q._sql(*_alert, """g AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM
         (SELECT key, ts, coalesce((ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) > INTERVAL 6 HOUR)::INT, 1) AS fresh FROM al))""", then="SELECT key, min(ts) AS start, count(*) AS alerts FROM g GROUP BY key, g")),
-    "r7_live_threshold_rise": (q_rise, """WITH w AS (SELECT user_id::VARCHAR AS key, value, time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS start FROM events, (SELECT unnest(range(6)) AS k)),
-        r AS (SELECT key, start, max(value) - min(value) AS rise FROM w GROUP BY ALL) SELECT key, count(*) AS n, count(*) FILTER (rise > 50) AS abnormal, round(sum(rise), 4) AS rise FROM r GROUP BY key"""),
+    "io7_score_log": (q_log, Q._sql(*Q._tenant, recursive=True, then="""SELECT tenant, label, count(*) AS n, round(sum(score), 4) AS score, round(sum(u0), 4) AS t_uncond, round(sum(c0), 4) AS t_cond
+        FROM tr GROUP BY ALL""")),
+    "r7_live_threshold_rise": (q_rise, Q._sql(*Q._tenant, """w AS (SELECT tenant::VARCHAR AS key, u0, time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS start FROM tr, (SELECT unnest(range(6)) AS k))""",
+        "r AS (SELECT key, start, max(u0) - min(u0) AS rise FROM w GROUP BY ALL)", recursive=True,
+        then="SELECT key, count(*) AS n, count(*) FILTER (rise > 10) AS abnormal, round(sum(rise), 4) AS rise FROM r GROUP BY key")),
 }

@@ -1,8 +1,9 @@
 """The live detector: count windows, features, thresholds and alerts per key over a stream of events.
 
 Batch and stream share the expressions of features and the fold of thresholds. Event time must be a TIMESTAMP with zone.
-Rows later than the watermark are dropped by Spark; ``observe`` counts what arrives. Within a micro-batch a key's rows are
-put in order of time before the state moves, so a run over one batch equals the batch operators.
+Rows later than the watermark are dropped by Spark, which counts them in its progress reports. Within a micro-batch a
+key's rows are put in order of time before the state moves, and the state carries over to the next one, so a run over
+batches in order of time equals the batch operators.
 """
 
 from __future__ import annotations
@@ -116,9 +117,9 @@ def threshold_rise(stream: DataFrame, bound: float) -> DataFrame:
     return wide.select("key", F.col("window.start").alias("start"), "rise", (F.col("rise") > bound).alias("abnormal"))
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, schema: str | StructType) -> DataFrame:
-    """Run a stream over all there is into Parquet files at ``path`` and read them back."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+def drain(stream: DataFrame, path: str, checkpoint: str, schema: str | StructType, by: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over all there is into Parquet files at ``path``, in folders ``by`` columns, and read them back."""
+    q = stream.writeStream.partitionBy(*by).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
