@@ -23,7 +23,7 @@ from tidemark.llm.common import U64, discard, mixed, stash, table
 
 #: Leaves of a node at the start, the first one random; nodes in a leaf, about: a part of all, within bounds. Comparing
 #: within a leaf is one product of matrices and far cheaper than the joins of a round, so leaves are not the smallest.
-TREES, LEAF_PART, LEAF = 16, 16, (64, 4096)
+TREES, LEAF_PART, LEAF = 24, 16, (64, 4096)
 #: Neighbours of a node from one leaf, and in the graph.
 FROM_LEAF, NEIGHBOURS = 12, 20
 #: NN-descent ends when a round changes less than this share of the edges.
@@ -81,8 +81,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
             beam *= 2
             continue
         new = start.join(edges, "a").select("q", F.col("b").alias("x")).distinct().join(met.select("q", "x"), ["q", "x"], "left_anti")
-        old = met.join(start.select("q", F.col("a").alias("x"), F.lit(False).alias("now")), ["q", "x"], "left")
-        old = old.select("q", "x", "score", F.coalesce("now", "fresh").alias("fresh"))
+        old = ranked.select("q", "x", "score", (F.col("fresh") & (F.col("r") > beam)).alias("fresh"))
         met = stash(old.unionByName(_scored(new, nodes).select("q", "x", "score", F.lit(True).alias("fresh"))))
 
     # The k + 1 smallest ids of a node are all that can be in a result; the limit applies before the shuffle.
