@@ -73,6 +73,45 @@ def test_closed_form_equals_fold_beyond_a_block(spark):
     assert all(x >= y for x, y in zip(cond, cond[1:])) and min(cond) >= 1
     fold = thresholds.conditional_floor(stream(spark, scores), ["k"], ["pos"]).first()["T_final"]
     assert fold == pytest.approx(cond[-1])
+    want, folded = 10.0, []
+    for a in scores:
+        want = max(1.0, 0.9 * want + 0.1 * a) if a <= want else want
+        folded.append(want)
+    assert cond == pytest.approx(folded, abs=1e-12)
+    want = 10.0
+    for a in scores:
+        want = min(8.0, max(1.0, 0.9 * want + 0.1 * a))
+    assert thresholds.ema_capped(stream(spark, scores), ["k"], ["pos"], 0.8).first()["T_final"] == pytest.approx(want, abs=1e-9)
+
+
+def test_closed_form_across_rooms(spark, monkeypatch):
+    from tidemark.functions import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK", 4)
+    scores = [(i * 7919 % 101) / 5 for i in range(300)]
+    rows = [(k, i, float(a), 10.0, 1.0) for k in (1, 2) for i, a in enumerate(scores[k:])]
+    d = spark.createDataFrame(rows, "k int, pos long, score double, T_op double, T_min double")
+    got = {(r["k"], r["pos"]): r["T_after"] for r in thresholds.ema(d, ["k"], ["pos"]).collect()}
+    capped = {r["k"]: r["T_final"] for r in thresholds.ema_capped(d, ["k"], ["pos"], 0.8).collect()}
+    for k in (1, 2):
+        t, c = 10.0, 10.0
+        for i, a in enumerate(scores[k:]):
+            t, c = max(1.0, 0.9 * t + 0.1 * a), min(8.0, max(1.0, 0.9 * c + 0.1 * a))
+            assert got[k, i] == pytest.approx(t, abs=1e-9)
+        assert capped[k] == pytest.approx(c, abs=1e-9)
+
+
+def test_quantiles_equal_percentiles(spark):
+    from tidemark.functions.ordered import quantiles
+
+    rows = [(i % 3, None if i % 11 == 0 else float(i * 37 % 50)) for i in range(400)] + [(7, 2.0), (8, float("inf")), (8, 1.0)]
+    d = spark.createDataFrame(rows, "g int, x double")
+    points = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}
+    for by in ([], ["g"]):
+        got = quantiles(d, "x", points, by).collect()
+        want = d.groupBy(*by).agg(*(F.expr(f"percentile(x, {q}D)").alias(n) for n, q in points.items())).collect()
+        assert {tuple(r) for r in got} == {tuple(r) for r in want} or sorted(map(tuple, got)) == [pytest.approx(tuple(r)) for r in sorted(map(tuple, want))]
+    assert [tuple(r) for r in quantiles(d.limit(0), "x", points).collect()] == [(None,) * 5]
 
 
 def test_bands(spark):

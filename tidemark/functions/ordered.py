@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 HASH_BITS = 10
 #: Buckets for running sums over a measured key.
 BUCKETS = 64
+#: Rows in a block of an ordered stream, and blocks in a room.
+BLOCK = 512
 
 
 def row_numbers(df: DataFrame, by: Sequence[str], key: Column, ties: Sequence[str], name: str = "rn") -> DataFrame:
@@ -50,3 +52,36 @@ def average_ranks(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, key, ties, rank): the average rank of each distinct value of ``key``."""
     n = df.groupBy(*by, key).agg(F.count("*").alias("ties"))
     return running(n, key, ["ties"], by).withColumn("rank", F.col("cum_ties") - (F.col("ties") - 1) / 2.0).drop("cum_ties")
+
+
+def quantiles(df: DataFrame, value: str, points: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, one column for each point): exact quantiles, linear between neighbours; nulls take no part.
+
+    They are read off running counts of distinct values, so no task holds the values of a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    c = running(counts, "_v", ["n"], by)
+    total = c.groupBy(*by).agg(F.sum("n").alias("_total"))
+    c = c.join(total, list(by)) if by else c.crossJoin(F.broadcast(total))
+    ends = {}
+    for name, q in points.items():
+        at = F.lit(q) * (F.col("_total") - 1)
+        for end, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+            ends[f"{name}_{end}"] = F.min(F.when(F.col("cum_n") > rank, F.col("_v")))
+    found = c.groupBy(*by).agg(F.first("_total").alias("_total"), *(x.alias(n) for n, x in ends.items()))
+    share = lambda q: F.lit(q) * (F.col("_total") - 1) % 1
+    low, high = (lambda n, e=e: F.col(f"{n}_{e}") for e in ("low", "high"))
+    return found.select(*by, *(F.when(low(n) == high(n), low(n)).otherwise((1 - share(q)) * low(n) + share(q) * high(n)).alias(n) for n, q in points.items()))
+
+
+def blocks(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Cut each group's ordered rows into blocks: adds _part, _room, _block and _i, the row's place in its block from 1.
+
+    Rows are dealt by ranges of (by, order) and numbered within a range only, so a group of any size spreads over
+    tasks; (_part, _room, _block) is the order of blocks. Ranges rest on a sample: write the result before it is read
+    twice.
+    """
+    d = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    n = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
+    block = F.floor(F.col("_i") / BLOCK)
+    return d.withColumn("_i", n).withColumns({"_block": block, "_room": F.floor(block / BLOCK), "_i": F.col("_i") % BLOCK + 1})

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import running
+from tidemark.functions.ordered import quantiles, running
 
 
 def rate(hit: Column) -> Column:
@@ -53,7 +53,7 @@ def recall_at_fpr(curve_: DataFrame, limits: Sequence[float]) -> DataFrame:
 
 def box(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles, extremes, and whiskers at the outermost values within 1.5 interquartile ranges."""
-    q = df.groupBy(*by).agg(*(F.expr(f"percentile({value}, {p}D)").alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))), F.min(value).alias("low"), F.max(value).alias("high"))
+    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75, "low": 0.0, "high": 1.0}, by)
     d = df.select(*by, value).join(q, list(by))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return d.groupBy(*by, "q1", "median", "q3", "low", "high").agg(

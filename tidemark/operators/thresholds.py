@@ -5,16 +5,19 @@ T starts at T_op; a row is flagged by the threshold before it (strictly above),
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from tidemark.functions.ordered import blocks
+from tidemark.sources.tables import written
 
 BETA = 0.9
-#: Rows in a block of the closed form: beta**-n stays far from overflow.
-BLOCK = 512
 
 
 def fixed(stream: DataFrame) -> DataFrame:
@@ -26,71 +29,113 @@ def ema(stream: DataFrame, by: Sequence[str], order: Sequence[str], beta: float
     """T' = max(T_min, beta T + (1 - beta) score) on every row, in closed form.
 
     Within a block a running sum and a running maximum give T for any T at its start; a block as a whole is
-    T -> max(c, b T + d), and these few triples are folded in order. No row waits for the one before it.
+    T -> max(c, b T + d), and so is a room of blocks. The few triples of rooms are folded in order, then those of the
+    blocks of each room. No row waits for the one before it, and no task holds the rows of a key.
     """
     by = list(by)
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    d = stream.withColumn("_n", n).withColumn("_block", F.floor(F.col("_n") / BLOCK)).withColumn("_i", (F.col("_n") % BLOCK + 1).cast("double"))
-    upto = Window.partitionBy(*by, "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    d = blocks(stream, by, order)
+    upto = Window.partitionBy(*by, "_part", "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_i", F.col("_i").cast("double"))
     d = d.withColumn("_s", F.sum((1 - beta) * F.col("score") * F.pow(F.lit(beta), -F.col("_i"))).over(upto))
-    d = d.withColumn("_m", F.max(F.col("T_min") * F.pow(F.lit(beta), -F.col("_i")) - F.col("_s")).over(upto))
+    d = written(d.withColumn("_m", F.max(F.col("T_min") * F.pow(F.lit(beta), -F.col("_i")) - F.col("_s")).over(upto)))
     power = F.pow(F.lit(beta), F.col("_i"))
-    blocks = d.groupBy(*by, "_block").agg(
-        F.max_by(F.struct((power * (F.col("_s") + F.col("_m"))).alias("c"), power.alias("b"), (power * F.col("_s")).alias("d"), F.col("T_op").alias("t")), "_n").alias("f")
+    last = F.struct((power * (F.col("_s") + F.col("_m"))).alias("c"), power.alias("b"), (power * F.col("_s")).alias("d"))
+    each = d.groupBy(*by, "_part", "_room", "_block").agg(F.max_by(last, "_i").alias("f"), F.first("T_op").alias("t"))
+    rooms = each.groupBy(*by, "_part", "_room").agg(
+        F.array_sort(F.collect_list(F.struct("_block", "f"))).alias("fs"), F.first("t").alias("t")
+    )
+    none = F.struct(F.lit(-1e300).alias("c"), F.lit(1.0).alias("b"), F.lit(0.0).alias("d"))
+    whole = F.aggregate("fs", none, lambda f, x: F.struct(
+        F.greatest(x["f"]["c"], x["f"]["b"] * f["c"] + x["f"]["d"]).alias("c"), (x["f"]["b"] * f["b"]).alias("b"), (x["f"]["b"] * f["d"] + x["f"]["d"]).alias("d")
+    ))
+
+    def starts(fs: str, first: Column) -> Column:
+        after = lambda ts, x: F.greatest(x["f"]["c"], x["f"]["b"] * F.element_at(ts, -1) + x["f"]["d"])
+        t = F.aggregate(fs, F.array(first), lambda ts, x: F.concat(ts, F.array(after(ts, x))))
+        return F.zip_with(fs, F.slice(t, 1, F.size(fs)), lambda at, t: F.struct(at.alias("at"), t.alias("t")))
+
+    keys = rooms.select(*by, "_part", "_room", whole.alias("f"), "t").groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("_part", "_room", "f"))).alias("keyed"), F.first("t").alias("t")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("_block", "f")))
-    starts = blocks.groupBy(*by).agg(ordered.alias("fs")).withColumn(
-        "starts",
-        F.aggregate("fs", F.array(F.get("fs", F.lit(0))["f"]["t"]), lambda ts, x: F.concat(ts, F.array(F.greatest(x["f"]["c"], x["f"]["b"] * F.element_at(ts, -1) + x["f"]["d"])))),
-    ).select(*by, F.posexplode("starts").alias("_block", "_t"))
-    d = d.join(starts.withColumn("_block", F.col("_block").cast("long")), [*by, "_block"])
+    at_room = keys.select(*by, F.explode(starts("keyed", F.col("t"))).alias("x")).select(*by, "x.at._part", "x.at._room", F.col("x.t").alias("_first"))
+    at_block = rooms.join(at_room, [*by, "_part", "_room"]).select(*by, "_part", F.explode(starts("fs", F.col("_first"))).alias("x"))
+    at_block = at_block.select(*by, "_part", "x.at._block", F.col("x.t").alias("_t"))
+    d = d.join(at_block, [*by, "_part", "_block"])
     after = power * (F.col("_s") + F.greatest(F.col("_t"), F.col("_m")))
-    before = F.coalesce(F.lag(F.col("T_after")).over(Window.partitionBy(*by, "_block").orderBy("_n")), F.col("_t"))
+    before = F.coalesce(F.lag(F.col("T_after")).over(Window.partitionBy(*by, "_part", "_block").orderBy("_i")), F.col("_t"))
     d = d.withColumn("T_after", after).withColumn("T_before", before)
-    return d.withColumn("flagged", F.col("score") > F.col("T_before")).drop("_n", "_block", "_i", "_s", "_m", "_t")
+    return d.withColumn("flagged", F.col("score") > F.col("T_before")).drop("_part", "_room", "_block", "_i", "_s", "_m", "_t")
 
 
 def ema_conditional(stream: DataFrame, by: Sequence[str], order: Sequence[str], beta: float = BETA) -> DataFrame:
     """As ``ema``, but flagged rows do not move T; with trace.
 
-    T never rises, so rows above T_op can never move it and are taken out before the fold, which is one ordered task for
-    each key; they get T back as the last one before them. T_min absorbs.
+    Each such step is its own bend in T, so a key is one ordered pass, but a pass of batches: T is all that is carried.
+    T never rises, so rows above it are skipped in bulk, and where it meets T_min nothing can move it any more.
     """
-    by = list(by)
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    d = stream.withColumn("_n", n)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_n")
-        out, t = np.empty(len(rows)), float(rows["T_op"].iloc[0])
-        floor = float(rows["T_min"].iloc[0])
-        for i, a in enumerate(rows["score"].to_numpy()):
-            if a <= t:
-                t = max(floor, beta * t + (1 - beta) * a)
-            out[i] = t
-        return rows[[*by, "_n"]].assign(_t=out)
-
-    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in by)
-    moved = d.where("score <= T_op").select(*by, "_n", "score", "T_op", "T_min").groupBy(*by).applyInPandas(fold, f"{kinds}, _n int, _t double")
-    d = d.join(moved, [*by, "_n"], "left")
-    upto = Window.partitionBy(*by).orderBy("_n")
-    d = d.withColumn("T_after", F.coalesce(F.last("_t", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, 0)), F.col("T_op")))
-    d = d.withColumn("T_before", F.coalesce(F.lag("T_after").over(upto), F.col("T_op")))
-    return d.withColumn("flagged", F.col("score") > F.col("T_before")).drop("_n", "_t")
+    by, names = list(by), stream.columns
+    d = stream.repartition(*by).sortWithinPartitions(*by, *order)
+    schema = StructType([*d.schema.fields, StructField("T_before", DoubleType()), StructField("T_after", DoubleType())])
+    return d.mapInArrow(_conditional(by, names, beta), schema).withColumn("flagged", F.col("score") > F.col("T_before"))
+
+
+def _conditional(by: list[str], names: list[str], beta: float):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, t = None, 0.0
+        for b in batches:
+            n = b.num_rows
+            score, t_op, t_min = (b[c].to_numpy(zero_copy_only=False).astype(float) for c in ("score", "T_op", "T_min"))
+            change = np.zeros(max(n - 1, 0), bool)
+            for c in by:
+                change |= np.diff(b[c].dictionary_encode("encode").indices.to_numpy()) != 0
+            before, after = np.empty(n), np.empty(n)
+            for i, end in itertools.pairwise([0, *(np.flatnonzero(change) + 1), n] if n else []):
+                own = tuple(b[c][i].as_py() for c in by)
+                if own != key:
+                    key, t = own, t_op[i]
+                for j in i + np.flatnonzero(score[i:end] <= t):
+                    if t == t_min[j]:
+                        break
+                    if score[j] <= t:
+                        before[i : j + 1], after[i:j] = t, t
+                        t = after[j] = max(t_min[j], beta * t + (1 - beta) * score[j])
+                        i = j + 1
+                before[i:end], after[i:end] = t, t
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(before), pa.array(after)], [*names, "T_before", "T_after"])
+
+    return fold
 
 
 def conditional_floor(stream: DataFrame, by: Sequence[str], order: Sequence[str], beta: float = BETA) -> DataFrame:
-    """(by, T_final): where the conditional threshold ends, as a fold of expressions without branches or Python."""
-    scores = F.transform(F.array_sort(F.collect_list(F.struct(*order, "score"))), lambda x: x["score"])
-    d = stream.where("score <= T_op").groupBy(*by).agg(scores.alias("a"), F.first("T_op").alias("t"), F.first("T_min").alias("m"))
-    return d.select(*by, F.aggregate("a", F.col("t"), lambda t, a: F.least(t, F.greatest(F.col("m"), beta * t + (1 - beta) * a))).alias("T_final"))
+    """(by, T_final): where the conditional threshold ends; as it never rises, that is the lowest it comes to."""
+    by = list(by)
+    moving = stream.where("score <= T_op").select(*{c: c for c in (*by, *order, "score", "T_op", "T_min")})
+    low = ema_conditional(moving, by, order, beta).groupBy(*by).agg(F.min("T_after").alias("_t"))
+    return stream.groupBy(*by).agg(F.first("T_op").alias("t")).join(low, by, "left").select(*by, F.coalesce("_t", "t").alias("T_final"))
 
 
 def ema_capped(stream: DataFrame, by: Sequence[str], order: Sequence[str], cap: float, beta: float = BETA) -> DataFrame:
-    """(by, T_final) of the unconditional policy with a ceiling of ``cap`` times T_op."""
-    scores = F.transform(F.array_sort(F.collect_list(F.struct(*order, "score"))), lambda x: x["score"])
-    d = stream.groupBy(*by).agg(scores.alias("a"), F.first("T_op").alias("t"), F.first("T_min").alias("m"))
-    return d.select(*by, F.aggregate("a", F.col("t"), lambda t, a: F.least(cap * F.col("t"), F.greatest(F.col("m"), beta * t + (1 - beta) * a))).alias("T_final"))
+    """(by, T_final) of the unconditional policy with a ceiling of ``cap`` times T_op.
+
+    A step is T -> min(h, max(c, b T + d)), and so are all steps of a block, a room or a range of rows in a row: each
+    level hands the next one four numbers.
+    """
+    by = list(by)
+    lift = (1 - beta) * F.col("score")
+    step = F.struct((cap * F.col("T_op")).alias("h"), F.least(F.col("T_min"), cap * F.col("T_op")).alias("c"), F.lit(beta).alias("b"), lift.alias("d"))
+    level = blocks(stream.where("score IS NOT NULL"), by, order).select(*by, "_part", "_room", "_block", "_i", step.alias("f"), F.col("T_op").alias("t"))
+    none = F.struct(F.lit(1e300).alias("h"), F.lit(-1e300).alias("c"), F.lit(1.0).alias("b"), F.lit(0.0).alias("d"))
+
+    def then(f: Column, x: Column) -> Column:
+        g = x["f"]
+        clamp = lambda y: F.least(g["h"], F.greatest(g["c"], g["b"] * y + g["d"]))
+        return F.struct(clamp(f["h"]).alias("h"), clamp(f["c"]).alias("c"), (g["b"] * f["b"]).alias("b"), (g["b"] * f["d"] + g["d"]).alias("d"))
+
+    for group, own in ((["_part", "_room", "_block"], ["_i"]), (["_part", "_room"], ["_block"]), ([], ["_part", "_room"])):
+        ordered = F.array_sort(F.collect_list(F.struct(*own, "f")))
+        level = level.groupBy(*by, *group).agg(ordered.alias("fs"), F.first("t").alias("t")).select(*by, *group, F.aggregate("fs", none, then).alias("f"), "t")
+    f = F.col("f")
+    return level.select(*by, F.least(f["h"], F.greatest(f["c"], f["b"] * F.col("t") + f["d"])).alias("T_final"))
 
 
 def median_threshold(stream: DataFrame, by: Sequence[str], order: Sequence[str], k: int = 15) -> DataFrame:
