@@ -25,6 +25,7 @@ def ordered(rows):
 def test_licenses_equal_sql(spark, tmp_path):
     texts = ["MIT License", "the mit-license, MIT LICENSE.", None, "", "Permission is hereby granted, free of charge", "GNU  General\nPublic License v3",
              "mitlicense mit licenses", "general public general public license", "Licensed under CC BY-NC 4.0", "é MIT License ü", "mit mit license license", "mit license " * 500]
+    texts += [x for _, notice in licenses.NOTICES for x in (notice, notice[:-30] + " x", "as published by " + notice.replace("software", "program"))]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "mit license"), (0, "MIT License")]
     docs = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, n_words int, words string")
     docs.write.parquet(str(tmp_path / "d"))

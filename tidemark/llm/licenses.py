@@ -1,14 +1,18 @@
 """Operator 1, license scans by a positional rare-token index, in DataFrame functions only.
 
-Templates are key phrases of known licences. Document frequencies of the template words are counted over the whole
-corpus in one pass; the word of a phrase with the highest IDF is its probe. In the second pass each text's postings are
-the positions of probes. A posting proposes one start for every place at which its word stands in a template; the
-phrase's second-rarest word must stand at the right relative position, and what is left is verified word by word. A
-phrase found by its rarest word is found wherever it stands, so IDF decides the work but not the result.
+Templates are notices of known licences, each with a mandatory key phrase, and further key phrases on their own.
+Document frequencies of the phrases' words are counted over the whole corpus in one pass; the word of a phrase with the
+highest IDF is its probe. In the second pass each text's postings are the positions of probes. A posting proposes one
+start; the phrase's second-rarest word must stand at the right relative position, and what is left is verified word by
+word. A phrase found by its rarest word is found wherever it stands, so IDF decides the work but not the result. A
+verified key phrase lays its notice over the text, and the words of the notice that stand at their relative positions
+are its coverage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +43,55 @@ MORE = (
     ("mpl", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
+#: Fixed values: (key phrase, notice that holds it), in the words of the licences.
+NOTICES = (
+    (
+        "licensed under the apache license version 2 0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"
+        " you may obtain a copy of the license at",
+    ),
+    (
+        "redistribution and use in source and binary forms",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following"
+        " conditions are met",
+    ),
+    (
+        "under the terms of the gnu general public license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+        " as published by the free software foundation",
+    ),
+    (
+        "permission to use copy modify and or distribute this software",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+        " provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "gnu lesser general public license",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public"
+        " license as published by the free software foundation",
+    ),
+    (
+        "permission is hereby granted free of charge",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation"
+        " files the software to deal in the software without restriction including without limitation the rights to use copy modify"
+        " merge publish distribute sublicense and or sell copies of the software",
+    ),
+    (
+        "mozilla public license",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed"
+        " with this file you can obtain one at",
+    ),
+    (
+        "this is free and unencumbered software released into the public domain",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile"
+        " sell or distribute this software",
+    ),
+)
 PHRASES = tuple((label, tuple(phrase.split()), base) for rows, base in ((BASE, True), (MORE, False)) for label, phrase in rows)
+#: (index of the key phrase, words of the notice, place of the phrase in it).
+TEMPLATES = tuple(
+    ([words for _, words, _ in PHRASES].index(tuple(key.split())), tuple(notice.split()), len(notice[: notice.index(key)].split())) for key, notice in NOTICES
+)
 VOCABULARY = sorted({w for _, words, _ in PHRASES for w in words})
 #: What stands between words: ASCII characters other than digits and lower-case letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -67,9 +119,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Returns one row per input row: doc_id, n_words, n_base (places of base phrases), first_word and last_word (smallest
     and largest start among them, words from 0, else null), base_labels, labels (of all phrases; both distinct, sorted,
-    comma-joined, empty if none), score: 1 - 1 / (1 + places of all phrases), so 0 without any and below 1 always.
+    comma-joined, empty if none), coverage (the largest share of a notice's words that stand where its key phrase puts
+    them, 0 without one), score: 1 - (1 - coverage) / (1 + places of all phrases), so 0 without any and 1 for a notice in full.
 
-    Null and empty texts have no words and no labels. Null doc_ids and repeated rows are rows like any other. Other
+    Null and empty texts have no words and no labels. Of several places of a notice the one with the largest coverage
+    counts, so ties change nothing. Texts of any length are read whole. Null doc_ids and repeated rows are rows like any other. Other
     columns of ``docs``, whatever their names, are ignored. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -90,14 +144,27 @@ def scan(docs: DataFrame) -> DataFrame:
         found = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(PHRASES[i][0])) for i in kinds)))
         return F.array_join(F.array_sort(F.array_distinct(found)), ",")
 
+    shares = [F.array_max(F.transform(f"p{i}", _share(t, at))) for i, t, at in TEMPLATES]
+    rows = rows.withColumn("coverage", F.coalesce(F.greatest(*shares), F.lit(0.0)))
     return rows.select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
         F.array_min(base).cast("long").alias("first_word"), F.array_max(base).cast("long").alias("last_word"),
         labels([i for i, x in enumerate(PHRASES) if x[2]]).alias("base_labels"), labels(list(range(len(PHRASES)))).alias("labels"),
-        (1 - 1 / (1 + places).cast("double")).alias("score"),
+        "coverage", (1 - (1 - F.col("coverage")) / (1 + places).cast("double")).alias("score"),
     )
 
 
+def _share(notice: tuple[str, ...], at: int) -> Callable[[Column], Column]:
+    """From a place of the key phrase, ``at`` words into a notice, the share of the notice's words that stand at theirs."""
+    words = F.array(*map(F.lit, notice))
+
+    def share(place: Column) -> Column:
+        met = F.filter(F.sequence(F.lit(0), F.lit(len(notice) - 1)), lambda j: F.get("words", place - at + j) == F.get(words, j))
+        return F.size(met) / F.lit(float(len(notice)))
+
+    return share
+
+
 def _places(words: tuple[str, ...], probes: Column) -> Column:
     """Starts of a phrase: postings of its rarest word, shifted, met by the second-rarest and verified."""
     rare, second, size = probes[0], probes[1], len(words)
@@ -129,13 +196,18 @@ def _oracle() -> str:
     base = [i for i, x in enumerate(PHRASES) if x[2]]
     joined = "p%d || p%d || p%d" % tuple(base)
     labels = lambda kinds: "array_to_string(list_sort(list_distinct(list_filter([%s], lambda x: x IS NOT NULL))), ',')" % ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{PHRASES[i][0]}' END" for i in kinds)
+    shares = ", ".join(
+        "list_max(list_transform(p%d, lambda p: len(list_filter(range(%d), lambda j: p - %d + j >= 0 AND words[p - %d + j + 1] = [%s][j + 1])) / %d.0::DOUBLE))"
+        % (i, len(x), at, at, ", ".join(f"'{w}'" for w in x), len(x)) for i, x, at in TEMPLATES
+    )
     return f"""
         WITH w AS (SELECT doc_id, {words} AS words FROM documents),
-        f AS (SELECT doc_id, len(words) AS n_words, {found} FROM w)
+        f AS (SELECT doc_id, words, len(words) AS n_words, {found} FROM w),
+        g AS (SELECT *, coalesce(greatest({shares}), 0)::DOUBLE AS coverage FROM f)
         SELECT doc_id, n_words::BIGINT AS n_words, len({joined})::BIGINT AS n_base, list_min({joined})::BIGINT AS first_word,
             list_max({joined})::BIGINT AS last_word, {labels(base)} AS base_labels, {labels(range(len(PHRASES)))} AS labels,
-            1 - 1 / (1 + {" + ".join(f"len(p{i})" for i in range(len(PHRASES)))})::DOUBLE AS score
-        FROM f"""
+            coverage, 1 - (1 - coverage) / (1 + {" + ".join(f"len(p{i})" for i in range(len(PHRASES)))})::DOUBLE AS score
+        FROM g"""
 
 
 ORACLE = _oracle()
