@@ -157,3 +157,34 @@ def test_wilcoxon_drops_zeros(spark):
     df = spark.createDataFrame([(2.0, 1.0), (3.0, 1.0), (1.0, 1.0), (0.0, 3.0)], "a double, b double")
     r = ranktests.wilcoxon(df, "a", "b").first()
     assert (r["w"], r["n"]) == (3.0, 3)
+    assert r["p_normal"] == pytest.approx(0.5)
+
+
+def test_spearman_tail(spark):
+    df = spark.createDataFrame([(float(i), float(-i)) for i in range(10)], "a double, b double")
+    r = ranktests.spearman(df, "a", "b").first()
+    assert r["rho"] == pytest.approx(-1) and r["p_normal"] == pytest.approx(math.erfc(3 / math.sqrt(2)))
+
+
+def test_a_trial_has_one_row(spark):
+    df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, None)], "cell string, trial int, recall double")
+    assert {tuple(r) for r in ranktests.one_row_per_trial(df, ["cell", "trial"]).collect()} == {("a", 1, 0.5), ("a", 2, None)}
+    with pytest.raises(Exception, match="several rows"):
+        ranktests.one_row_per_trial(df.union(df), ["cell", "trial"]).collect()
+
+
+def test_patterns_stand_in_order_with_gaps(spark):
+    windows = spark.createDataFrame([(["a", "c", "b"],), (["b", "a"],), ([],)], "tokens array<string>")
+    patterns = spark.createDataFrame([("a>b",), ("b",)], "pattern string")
+    got = X.pattern_match(windows, patterns).select("matched", "match_ratio").collect()
+    assert [tuple(r) for r in got] == [([True, True], 1.0), ([False, True], 0.5), ([False, False], 0.0)]
+    assert {r["match_ratio"] for r in X.pattern_match(windows, patterns.limit(0)).collect()} == {0.0}
+
+
+def test_a_shared_result_is_built_once(spark):
+    from tidemark.sources import tables
+
+    built = []
+    build = lambda s, d: built.append(d) or s.range(3)
+    assert [tables.once(spark, "three", d, build).count() for d in ("x", "x", "y")] == [3, 3, 3]
+    assert built == ["x", "y"]

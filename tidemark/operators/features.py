@@ -77,3 +77,17 @@ def frequent_patterns(windows: DataFrame, support: float = 0.5, longest: int = 3
     rows = windows.select(F.transform("tokens", lambda t: F.array(t)).alias("sequence"))
     found = PrefixSpan(minSupport=support, maxPatternLength=longest).findFrequentSequentialPatterns(rows)
     return found.select(F.array_join(F.transform("sequence", lambda s: s[0]), ">").alias("pattern"), "freq")
+
+
+def pattern_match(windows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Add ``matched``, which of the patterns (in alphabetical order) stand in the window in their order, gaps allowed,
+    and ``match_ratio``, the share of them. The patterns are data: they come as one row. Without any, the ratio is 0."""
+    known = patterns.agg(F.transform(F.array_sort(F.collect_set("pattern")), lambda p: F.split(p, ">")).alias("_p"))
+
+    def stands(p: Column) -> Column:
+        step = lambda i, t: F.when(t == F.get(p, i), i + 1).otherwise(i)
+        return F.aggregate("tokens", F.lit(0), step) == F.size(p)
+
+    d = windows.crossJoin(F.broadcast(known)).withColumn("matched", F.transform("_p", stands)).drop("_p")
+    hits = F.size(F.filter("matched", lambda m: m)).cast("double")
+    return d.withColumn("match_ratio", F.coalesce(hits / F.nullif(F.size("matched"), F.lit(0)), F.lit(0.0)))

@@ -34,10 +34,11 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(rho, n): correlation of average ranks."""
+    """(rho, n, p_normal): correlation of average ranks; two-sided, of rho * sqrt(n - 1)."""
     df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = df.join(average_ranks(df, x).select(x, F.col("rank").alias("_rx")), x).join(average_ranks(df, y).select(y, F.col("rank").alias("_ry")), y)
-    return d.agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    r = d.agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    return r.withColumn("p_normal", 2 * upper_tail(F.abs("rho") * F.sqrt(F.col("n") - 1.0)))
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -81,6 +82,14 @@ def bootstrap_ci(df: DataFrame, by: list[str], ix: str, value: str, reps: int, s
     return n.join(ci, by).select(*by, "mean", "lo", "hi")
 
 
+def one_row_per_trial(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows, one for each trial; fails when a trial has several, as frames of windows do."""
+    others = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(*others)).alias("_row"))
+    checked = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(F.lit("a trial has several rows")))
+    return one.select(*keys, checked.alias("_row")).select(*keys, "_row.*")
+
+
 def trend(df: DataFrame, x: str, y: str) -> DataFrame:
     """(slope, r): least squares of y on x."""
     return df.agg(F.regr_slope(y, x).alias("slope"), F.corr(x, y).alias("r"))

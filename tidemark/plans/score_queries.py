@@ -97,17 +97,23 @@ def study_streams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trial_table(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each trial: recalls, evasions, thresholds at the attack, the noisy neighbour's own flags."""
+    """One row for each trial: recalls, evasions, thresholds at the attack, the noisy neighbour's own flags.
+
+    A dozen queries start from it, so an application runs the study once.
+    """
+    return S.once(spark, "trials", d, _run_study)
+
+
+def _run_study(spark: SparkSession, d: str) -> DataFrame:
     t = _policies(S.written(study_streams(spark, d)), CELL, ["pos"])
     at = F.col("phase") == "attack"
     share = lambda hit, phase=at: E.rate(F.when(phase, hit.cast("int")))
-    trials = t.groupBy(*CELL).agg(
+    return t.groupBy(*CELL).agg(
         *(share(F.col(f"f_{p}")).alias(f"recall_{p}") for p in ("fixed", "uncond", "cond")),
         *(share(F.col("f_fixed") & ~F.col(f"f_{p}")).alias(f"evasion_{p}") for p in ("uncond", "cond")),
         F.min_by("u0", F.when(at, F.col("pos"))).alias("t_uncond"), F.min_by("c0", F.when(at, F.col("pos"))).alias("t_cond"),
         *(share(F.col(f"f_{p}"), F.col("phase") == "noise").alias(f"own_{p}") for p in ("uncond", "fixed")),
     )
-    return S.written(trials)
 
 
 def _round(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
@@ -202,7 +208,9 @@ def _long(trials: DataFrame) -> DataFrame:
 
 
 def q_summary(spark, d):
-    rows = _long(trial_table(spark, d)).groupBy("attack_class", "noise", "policy").agg(F.avg("recall").alias("recall"), F.avg("t").alias("t"))
+    cell, trials = ["attack_class", "noise", "policy"], _long(trial_table(spark, d))
+    ci = H.bootstrap_ci(trials.withColumnRenamed("trial", "ix"), cell, "ix", "recall", REPS, "boot").drop("mean")
+    rows = trials.groupBy(*cell).agg(F.avg("recall").alias("recall"), F.avg("t").alias("t")).join(ci, cell)
     t_op = params(split_scores(spark, d)).select("T_op")
     out = rows.crossJoin(F.broadcast(t_op)).withColumn("t", F.when(F.col("policy") == "fixed", F.col("T_op")).otherwise(F.col("t"))).drop("T_op")
     return _round(out, "attack_class", "noise", "policy")
@@ -239,7 +247,7 @@ def q_spearman(spark, d):
 
 
 def q_wilcoxon(spark, d):
-    return _round(H.wilcoxon(trial_table(spark, d), "recall_cond", "recall_uncond").drop("p_normal"), "n")
+    return _round(H.wilcoxon(trial_table(spark, d), "recall_cond", "recall_uncond"), "n")
 
 
 def q_jonckheere(spark, d):
@@ -250,6 +258,11 @@ def q_mann_whitney(spark, d):
     return _round(H.mann_whitney(trial_table(spark, d), "noise", "t_uncond", [("high", "none"), ("moderate", "none"), ("high", "moderate")]), "a", "b")
 
 
+def q_unit(spark, d):
+    """Trials of each cell, after the check that no trial has several rows."""
+    return H.one_row_per_trial(trial_table(spark, d), CELL).groupBy("attack_class", "noise").agg(F.count("*").alias("n"), F.round(F.avg("recall_fixed"), 6).alias("recall_fixed"))
+
+
 def q_trend(spark, d):
     return _round(H.trend(_level(trial_table(spark, d)), "level", "t_uncond"))
 
@@ -311,6 +324,12 @@ def q_sinks(spark, d):
 
 
 _rank = "rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2"
+#: P(Z >= z): Simpson's rule over 2,000 steps from 0 to z.
+_tail = """(0.5 - {z} / 6000 * list_sum(list_transform(range(2001), lambda k: (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) *
+        exp(-pow({z} * k / 2000, 2) / 2))) / sqrt(2 * pi()))"""
+_boot = f"""bd AS MATERIALIZED (SELECT c.attack_class, c.noise, c.policy, c.rep, avg(l.recall) AS m FROM
+        (SELECT attack_class, noise, policy, n, rep, slot, {h32_sql("'boot'", "attack_class", "noise", "policy", "rep", "slot")} % n AS ix FROM (SELECT attack_class, noise, policy, count(*) AS n FROM l GROUP BY ALL),
+        (SELECT unnest(range({REPS})) AS rep), (SELECT unnest(range({TRIALS})) AS slot) WHERE slot < n) c JOIN l ON l.attack_class = c.attack_class AND l.noise = c.noise AND l.policy = c.policy AND l.trial = c.ix GROUP BY ALL)"""
 _level_sql = "CASE noise WHEN 'none' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END"
 _long_sql = """l AS (SELECT attack_class, noise, trial, 'fixed' AS policy, recall_fixed AS recall, NULL::DOUBLE AS t FROM trials UNION ALL
         SELECT attack_class, noise, trial, 'uncond', recall_uncond, t_uncond FROM trials UNION ALL SELECT attack_class, noise, trial, 'cond', recall_cond, t_cond FROM trials)"""
@@ -344,11 +363,10 @@ QUERIES = {
     "j3_j5_trial_streams": (q_streams, _sql(SPLIT, PAR, _bands("pool"), _draws(), then="SELECT attack_class, noise, phase, count(*) AS n, round(sum(score), 4) AS total, sum(pos)::BIGINT AS pos FROM st GROUP BY ALL")),
     "j8_e2_e3_t5_trials": (q_trials, _sql(*STUDY, recursive=True, then="SELECT attack_class, noise, trial" + "".join(f", round({c}, 6) AS {c}" for c in (
         "recall_fixed", "recall_uncond", "recall_cond", "evasion_uncond", "evasion_cond", "t_uncond", "t_cond")) + " FROM trials")),
-    "e14_cell_summary": (q_summary, _sql(*STUDY, _long_sql, recursive=True, then="""SELECT attack_class, noise, policy, round(avg(recall), 6) AS recall, round(CASE WHEN policy = 'fixed' THEN any_value(T_op) ELSE avg(t) END, 6) AS t
-        FROM l, par GROUP BY attack_class, noise, policy""")),
-    "h1_bootstrap_ci": (q_bootstrap, _sql(*STUDY, _long_sql, f"""bd AS (SELECT c.attack_class, c.noise, c.policy, c.rep, avg(l.recall) AS m FROM
-        (SELECT attack_class, noise, policy, n, rep, slot, {h32_sql("'boot'", "attack_class", "noise", "policy", "rep", "slot")} % n AS ix FROM (SELECT attack_class, noise, policy, count(*) AS n FROM l GROUP BY ALL),
-        (SELECT unnest(range({REPS})) AS rep), (SELECT unnest(range({TRIALS})) AS slot) WHERE slot < n) c JOIN l ON l.attack_class = c.attack_class AND l.noise = c.noise AND l.policy = c.policy AND l.trial = c.ix GROUP BY ALL)""",
+    "e14_cell_summary": (q_summary, _sql(*STUDY, _long_sql, _boot, "ci AS (SELECT attack_class, noise, policy, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bd GROUP BY ALL)",
+        recursive=True, then="""SELECT attack_class, noise, policy, round(avg(recall), 6) AS recall, round(CASE WHEN policy = 'fixed' THEN any_value(T_op) ELSE avg(t) END, 6) AS t,
+        round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi FROM l JOIN ci USING (attack_class, noise, policy), par GROUP BY attack_class, noise, policy""")),
+    "h1_bootstrap_ci": (q_bootstrap, _sql(*STUDY, _long_sql, _boot,
         recursive=True, then="""SELECT attack_class, noise, policy, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM bd JOIN
         (SELECT attack_class, noise, policy, avg(recall) AS mean FROM l GROUP BY ALL) USING (attack_class, noise, policy) GROUP BY ALL""")),
     "e11_delta_t": (q_delta, _sql(*STUDY, recursive=True, then="SELECT attack_class, round(avg(t_uncond) FILTER (noise = 'high') - avg(t_uncond) FILTER (noise = 'none'), 6) AS delta_t FROM trials GROUP BY 1")),
@@ -360,9 +378,13 @@ QUERIES = {
         "h AS (SELECT (12.0::DOUBLE / (sum(n) * (sum(n) + 1)) * sum(r * r / n) - 3 * (sum(n) + 1)) / (1 - any_value(t) / (sum(n) * sum(n) * sum(n) - sum(n))::DOUBLE) AS h FROM g, k)", recursive=True,
         then="SELECT round(h, 6) AS h, round(exp(-h / 2), 6) AS p_df2 FROM h")),
     "h3_spearman": (q_spearman, _sql(*STUDY, f"v AS (SELECT {_level_sql} AS level, recall_uncond FROM trials WHERE recall_uncond IS NOT NULL)", recursive=True,
-        then=f"SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT {_rank.format(x='level')} AS a, {_rank.format(x='recall_uncond')} AS b FROM v)")),
-    "h4_wilcoxon": (q_wilcoxon, _sql(*STUDY, "dd AS (SELECT recall_cond - recall_uncond AS d, abs(recall_cond - recall_uncond) AS m FROM trials WHERE recall_cond <> recall_uncond)", recursive=True,
-        then=f"SELECT round(coalesce(sum(r) FILTER (d > 0), 0), 6) AS w, count(*) AS n FROM (SELECT d, {_rank.format(x='m')} AS r FROM dd)")),
+        then=f"SELECT round(rho, 6) AS rho, n, round(2 * {_tail.format(z='abs(rho) * sqrt(n - 1)')}, 6) AS p_normal FROM (SELECT corr(a, b) AS rho, count(*) AS n FROM (SELECT {_rank.format(x='level')} AS a, {_rank.format(x='recall_uncond')} AS b FROM v))")),
+    "h4_wilcoxon": (q_wilcoxon, _sql(*STUDY, "dd AS (SELECT recall_cond - recall_uncond AS d, abs(recall_cond - recall_uncond) AS m FROM trials WHERE recall_cond <> recall_uncond)",
+        f"w AS (SELECT coalesce(sum(r) FILTER (d > 0), 0) AS w, count(*)::DOUBLE AS n FROM (SELECT d, {_rank.format(x='m')} AS r FROM dd))",
+        "t AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*) AS c FROM dd GROUP BY m))",
+        "z AS (SELECT w, n, (w - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48::DOUBLE), 0) AS z FROM w, t)", recursive=True,
+        then=f"SELECT round(w, 6) AS w, n::BIGINT AS n, round({_tail.format(z='z')}, 6) AS p_normal FROM z")),
+    "h8_trial_unit": (q_unit, _sql(*STUDY, recursive=True, then="SELECT attack_class, noise, count(*) AS n, round(avg(recall_fixed), 6) AS recall_fixed FROM trials GROUP BY ALL")),
     "h5_jonckheere": (q_jonckheere, _sql(*STUDY, recursive=True, then=f"SELECT round(sum(u), 6) AS j FROM ({_mws})")),
     "h6_mann_whitney": (q_mann_whitney, _sql(*STUDY, recursive=True, then=f"SELECT a, b, round(u, 6) AS u FROM ({_mws})")),
     "h7_trend": (q_trend, _sql(*STUDY, recursive=True, then=f"SELECT round(regr_slope(t_uncond, {_level_sql}), 6) AS slope, round(corr(t_uncond, {_level_sql}), 6) AS r FROM trials")),

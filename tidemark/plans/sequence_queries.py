@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ LINES = ["AF", "NF", "NO", "RF"]
 LINES_RARE = ["NF", "NO"]
 #: Tokens in a vocabulary: more than the event types or line states there are.
 TOP = 20
+#: Share of windows that a frequent pattern stands in.
+SUPPORT = 0.6
 GROUPS = {"click": "browse", "view": "browse", "error": "fault", "purchase": "buy", "signup": "buy"}
 
 SEQ = """seq AS (SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS token FROM events)"""
@@ -154,7 +159,13 @@ def q_x10(spark, d):
 
 
 def q_x11(spark, d):
-    return X.frequent_patterns(event_windows(spark, d), 0.6, 3)
+    return X.frequent_patterns(event_windows(spark, d), SUPPORT, 3)
+
+
+def q_x11_match(spark, d):
+    windows = S.written(event_windows(spark, d))
+    rows = X.pattern_match(windows, X.frequent_patterns(windows, SUPPORT, 3))
+    return rows.select("seq_id", "win_ix", F.size(F.filter("matched", lambda m: m)).cast("long").alias("n"), F.round("match_ratio", 6).alias("ratio"))
 
 
 def _vectors(spark, d):
@@ -198,6 +209,41 @@ def q_m2(spark, d):
     return M.vae_error(scaled, "scaled", weights).select("vec_id", "label", "recon")
 
 
+def q_m2_given(spark, d):
+    size = sum(map(math.prod, M._vae_shapes(64)))
+    weights = np.array([(k * 37 % 101 - 50) / 400 for k in range(size)])
+    return M.vae_error(_vectors(spark, d), "x", weights).select("vec_id", F.round("recon", 9).alias("recon"))
+
+
+def _vae_sql() -> str:
+    """The encoder's mean and the decoder, layer by layer, with the weights of ``q_m2_given``."""
+    at, starts = 0, []
+    for shape in M._vae_shapes(64):
+        starts.append(at)
+        at += math.prod(shape)
+    w1, b1, wm, bm, _, _, w2, b2, w3, b3 = starts
+    weight = lambda k: f"((({k}) * 37 % 101 - 50)::DOUBLE / 400)"
+    layer = lambda x, n, m, w, b: (
+        f"list_transform(range({m}), lambda j: list_sum(list_transform(range({n}), lambda i: {x}[i + 1] * {weight(f'{w} + i * {m} + j')})) + {weight(f'{b} + j')})"
+    )
+    bent = lambda layer: f"list_transform({layer}, lambda v: tanh(v))"
+    h, z = M.HIDDEN, M.LATENT
+    return f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), a AS MATERIALIZED (SELECT *, {bent(layer("x", 64, h, w1, b1))} AS h FROM v),
+        b AS MATERIALIZED (SELECT *, {layer("h", h, z, wm, bm)} AS z FROM a), c AS MATERIALIZED (SELECT *, {bent(layer("z", z, h, w2, b2))} AS k FROM b),
+        y AS MATERIALIZED (SELECT *, {layer("k", h, 64, w3, b3)} AS y FROM c)
+        SELECT vec_id, round(list_avg(list_transform(range(64), lambda i: (y[i + 1] - x[i + 1]) * (y[i + 1] - x[i + 1]))), 9) AS recon FROM y"""
+
+
+def q_m5_given(spark, d):
+    """Eight trees given as nodes (feature, cut, left, right, path): two cuts each, leaves at three path lengths."""
+    trees = [(t, M.SAMPLE, [float(x) for n in ((t, 0, 1, 2, 0), (-1, 0, 0, 0, 3.5), (t + 1, 0.05, 3, 4, 0), (-1, 0, 0, 0, 2), (-1, 0, 0, 0, 3.25)) for x in n]) for t in range(8)]
+    forest = spark.createDataFrame(trees, "tree int, size int, nodes array<double>")
+    return M.isolation_score(_vectors(spark, d), "x", forest).select("vec_id", F.round("isolation", 9).alias("isolation"))
+
+
+_walk = " + ".join(f"CASE WHEN x[{t + 1}] <= 0 THEN 3.5 WHEN x[{t + 2}] <= 0.05::DOUBLE THEN 2 ELSE 3.25 END" for t in range(8))
+
+
 def q_m4(spark, d):
     f = event_features(spark, d).withColumn("id", F.concat_ws("-", "seq_id", "win_ix"))
     forest = M.fit_isolation(f.where("NOT array_contains(tokens, 'error')"), "id", "features")
@@ -235,6 +281,11 @@ _z = """c AS (SELECT seq_id, win_ix, entropy AS ent, max_freq AS mx, pres[1] > 0
         quantile_cont(mx, 0.75) - quantile_cont(mx, 0.25) AS rm FROM c WHERE NOT attack),
     z AS (SELECT c.*, (ent - ce) / CASE WHEN re = 0 THEN 1 ELSE re END AS z_ent, (mx - cm) / CASE WHEN rm = 0 THEN 1 ELSE rm END AS z_mx FROM c, p)"""
 _event = (SEQ, _flt(EVENTS), WIN)
+_patterns = f"""u AS MATERIALIZED (SELECT seq_id, win_ix, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM win),
+    held AS MATERIALIZED (SELECT DISTINCT seq_id, win_ix, t AS pattern FROM u
+        UNION ALL SELECT DISTINCT seq_id, win_ix, a.t || '>' || b.t FROM u a JOIN u b USING (seq_id, win_ix) WHERE a.i < b.i
+        UNION ALL SELECT DISTINCT seq_id, win_ix, a.t || '>' || b.t || '>' || c.t FROM u a JOIN u b USING (seq_id, win_ix) JOIN u c USING (seq_id, win_ix) WHERE a.i < b.i AND b.i < c.i),
+    frequent AS MATERIALIZED (SELECT pattern, count(*) AS freq FROM held GROUP BY 1 HAVING count(*) >= {SUPPORT} * (SELECT count(*) FROM win))"""
 
 QUERIES = {
     "flagship_sequence_profile": (flagship, _sql(*_event, _feat(EVENTS, RARE), then="""SELECT seq_id, count(*) AS windows, round(avg(round(entropy, 6)), 6) AS entropy,
@@ -261,7 +312,9 @@ QUERIES = {
     "x10_gaps": (q_x10, """WITH g AS (SELECT user_id, (row_number() OVER w - 1) // 10 AS block, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
         SELECT user_id, block, count(*) AS n, round(avg(gap), 4) AS mean, round(stddev_samp(gap), 4) AS std, round(max(gap), 4) AS longest FROM g WHERE gap IS NOT NULL GROUP BY ALL"""),
-    "x11_frequent_patterns": (q_x11, None),
+    "x11_frequent_patterns": (q_x11, _sql(*_event, _patterns, then="SELECT pattern, freq FROM frequent")),
+    "x11_pattern_match": (q_x11_match, _sql(*_event, _patterns, then="""SELECT win.seq_id, win.win_ix, count(f.pattern) AS n, round(count(f.pattern) / (SELECT count(*) FROM frequent)::DOUBLE, 6) AS ratio
+        FROM win LEFT JOIN held USING (seq_id, win_ix) LEFT JOIN frequent f ON f.pattern = held.pattern GROUP BY ALL""")),
     "n1_robust_scale": (q_n1, """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
         f AS (SELECT dim, quantile_cont(x, 0.5) AS c, quantile_cont(x, 0.99) - quantile_cont(x, 0.01) AS s FROM v WHERE label < 8 GROUP BY dim)
         SELECT vec_id, dim, round((x - c) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS value FROM v JOIN f USING (dim)"""),
@@ -271,7 +324,9 @@ QUERIES = {
     "m1_reconstruction_given": (q_m1_given, """SELECT vec_id, round((list_sum(list_transform(x, lambda t: t * t)) - list_sum(list_transform(x[1:6], lambda t: t * t))) / 64, 9) AS recon
         FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)"""),
     "m2_m3_vae_reconstruction": (q_m2, None),
+    "m2_vae_given": (q_m2_given, _vae_sql()),
     "m4_m5_isolation_forest": (q_m4, None),
+    "m5_isolation_given": (q_m5_given, f"SELECT vec_id, round(pow(2::DOUBLE, -(({_walk})::DOUBLE / 8) / {float(M.path_length(M.SAMPLE))!r}::DOUBLE), 9) AS isolation FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)"),
     "m7_alpha_sweep": (q_m7, _sql(*_event, _feat(EVENTS, RARE), _z, """w AS (SELECT a AS alpha, attack, round(a * z_ent + (1 - a) * z_mx, 9) AS s FROM z,
         (SELECT unnest([0.0, 0.25, 0.5, 0.7, 0.85, 1.0]::DOUBLE[]) AS a)), r AS (SELECT *, rank() OVER (PARTITION BY alpha ORDER BY s) +
         (count(*) OVER (PARTITION BY alpha, s) - 1) / 2 AS r FROM w)""", then="""SELECT alpha, round((sum(r) FILTER (attack) - count(*) FILTER (attack) * (count(*) FILTER (attack) + 1) / 2)

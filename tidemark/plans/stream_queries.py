@@ -6,6 +6,8 @@ where a query needs all windows; it is left out of the result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ def _events(spark: SparkSession, d: str, closing: bool = False) -> DataFrame:
     return _stream(spark, rows, {"score": F.lit(1e9)} if closing else None)
 
 
-def _stream(spark: SparkSession, rows: DataFrame, last: dict | None) -> DataFrame:
-    """Rows as files in order of time, each a micro-batch, with a ``last`` row far ahead if asked for."""
+def _stream(spark: SparkSession, rows: DataFrame, last: dict | None, more: Callable[[str], object] | None = None) -> DataFrame:
+    """Rows as files in order of time, each a micro-batch, with a ``last`` row far ahead if asked for, and ``more`` files
+    that the caller writes to the folder."""
     path, rows = S.scratch(spark), S.written(rows)
     cuts = rows.agg(F.percentile_approx(F.col("ts").cast("double"), [i / BATCHES for i in range(1, BATCHES)], 10_000)).first()[0] or []
     at = F.col("ts").cast("double")
@@ -36,6 +39,8 @@ def _stream(spark: SparkSession, rows: DataFrame, last: dict | None) -> DataFram
         rows.where((at > lo) & (at <= hi)).coalesce(1).write.mode("append").parquet(f"{path}/a")
     if last is not None:
         rows.limit(1).withColumns({"ts": F.lit(FAR).cast("timestamp"), **last}).write.mode("append").parquet(f"{path}/a")
+    if more:
+        more(f"{path}/a")
     return live.event_stream(spark, f"{path}/a", rows.schema, per_batch=1)
 
 
@@ -93,6 +98,20 @@ def q_rise(spark, d):
     return out.where(F.col("start") < "2099-12-31").groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("abnormal").cast("long")).alias("abnormal"), F.round(F.sum("rise"), 4).alias("rise"))
 
 
+def q_late(spark, d):
+    """All events in order of time, then the errors delivered again after the watermark has passed them."""
+    live.use_rocksdb(spark)
+    rows = S.written(S.event_scores(spark, d).select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "label"))
+    stream, path = _stream(spark, rows, None, lambda out: [
+        *(rows.limit(1).withColumns({"ts": F.lit(FAR).cast("timestamp"), "id": F.lit(-1 - i).cast("long")}).write.mode("append").parquet(out) for i in range(2)),
+        rows.where("label = 'attack'").coalesce(1).write.mode("append").parquet(out),
+    ]), S.scratch(spark)
+    once = live.arrived_once(stream)
+    query = live.run(once, f"{path}/out", f"{path}/state")
+    kept = spark.read.schema(once.schema).parquet(f"{path}/out")
+    return kept.where("id >= 0").agg(F.count("*").alias("kept")).withColumn("late", F.lit(live.late_rows(query)).cast("long"))
+
+
 _full = """arr AS (SELECT seq_id, list(token ORDER BY pos) AS a FROM flt GROUP BY seq_id HAVING count(*) >= 10),
     win AS (SELECT seq_id, w AS win_ix, a[w * 2 + 1 : w * 2 + 10] AS tokens FROM (SELECT seq_id, a, unnest(range(0, (len(a) - 10) // 2 + 1)) AS w FROM arr))"""
 _alert = (Q.SPLIT, Q.PAR, "al AS (SELECT tenant::VARCHAR AS key, ts FROM sp, par WHERE score > T_op)")
@@ -104,6 +123,7 @@ QUERIES = {
     "r5_live_alerts_per_hour": (q_alerts, Q._sql(*_alert, then="SELECT date_trunc('hour', ts) AS hour, count(*) AS alerts FROM al GROUP BY 1")),
     "r6_live_episodes": (q_episodes, Q._sql(*_alert, """g AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM
         (SELECT key, ts, coalesce((ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) > INTERVAL 6 HOUR)::INT, 1) AS fresh FROM al))""", then="SELECT key, min(ts) AS start, count(*) AS alerts FROM g GROUP BY key, g")),
+    "r8_late_rows": (q_late, "SELECT count(*) AS kept, count(*) FILTER (event_type = 'error') AS late FROM events"),
     "io7_score_log": (q_log, Q._sql(*Q._tenant, recursive=True, then="""SELECT tenant, label, count(*) AS n, round(sum(score), 4) AS score, round(sum(u0), 4) AS t_uncond, round(sum(c0), 4) AS t_cond
         FROM tr GROUP BY ALL""")),
     "r7_live_threshold_rise": (q_rise, Q._sql(*Q._tenant, """w AS (SELECT tenant::VARCHAR AS key, u0, time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS start FROM tr, (SELECT unnest(range(6)) AS k))""",

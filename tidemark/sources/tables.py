@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Where each shared result of an application lies, and its columns.
+_ONCE: dict[tuple[str, ...], tuple[str, StructType]] = {}
+
+
+def once(spark: SparkSession, name: str, sf_dir: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A result that several queries of one application read, written when the first of them asks for it.
+
+    The tables under ``sf_dir`` are taken not to change while the application runs.
+    """
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _ONCE:
+        path, rows = scratch(spark), build(spark, sf_dir)
+        rows.write.parquet(path)
+        _ONCE[key] = (path, rows.schema)
+    path, schema = _ONCE[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     """Scores as Parquet in folders by arm and label; kept in single precision, as calibration reads them back."""
     scores.withColumn("score", F.col("score").cast("float")).write.partitionBy("arm", "label").parquet(path)

@@ -1,7 +1,7 @@
 """The live detector: count windows, features, thresholds and alerts per key over a stream of events.
 
 Batch and stream share the expressions of features and the fold of thresholds. Event time must be a TIMESTAMP with zone.
-Rows later than the watermark are dropped by Spark, which counts them in its progress reports. Within a micro-batch a
+Rows later than the watermark are dropped by operators that keep it; ``late_rows`` tells how many were. Within a micro-batch a
 key's rows are put in order of time before the state moves, and the state carries over to the next one, so a run over
 batches in order of time equals the batch operators.
 """
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -117,10 +117,27 @@ def threshold_rise(stream: DataFrame, bound: float) -> DataFrame:
     return wide.select("key", F.col("window.start").alias("start"), "rise", (F.col("rise") > bound).alias("abnormal"))
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, schema: str | StructType, by: tuple[str, ...] = ()) -> DataFrame:
-    """Run a stream over all there is into Parquet files at ``path``, in folders ``by`` columns, and read them back."""
+def arrived_once(stream: DataFrame) -> DataFrame:
+    """Rows by id, each once however often it is delivered within the watermark; later ones are dropped and counted."""
+    return stream.dropDuplicatesWithinWatermark(["id"])
+
+
+def run(stream: DataFrame, path: str, checkpoint: str, by: tuple[str, ...] = ()) -> StreamingQuery:
+    """Run a stream over all there is into Parquet files at ``path``, in folders ``by`` columns."""
     q = stream.writeStream.partitionBy(*by).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    return q
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark, over the batches of which a query keeps reports: 100, or as many as
+    spark.sql.streaming.numRecentProgressUpdates says. Where rows are aggregated first, Spark counts their groups."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, schema: str | StructType, by: tuple[str, ...] = ()) -> DataFrame:
+    """``run``, and what it wrote read back."""
+    run(stream, path, checkpoint, by)
     return stream.sparkSession.read.schema(schema).parquet(path)
