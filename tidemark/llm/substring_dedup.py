@@ -60,8 +60,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, carry: tu
         .select(*BLOCK, "first", (F.col("last") > F.col("first.doc_id")).alias("again"))
     )
 
-    # Factor boundaries: blocks whose anchor also stands in other blocks.
-    several = index.groupBy("anchor").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("anchor")
+    # Factor boundaries: blocks whose anchor also stands in other blocks. These anchors are written for the same reason.
+    several = stash(index.groupBy("anchor").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("anchor"))
     edges = index.join(several, "anchor").groupBy("first.doc_id", "first.tag").agg(
         F.collect_list(F.struct(*BLOCK, "first.at")).alias("edges")
     )
@@ -75,7 +75,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, carry: tu
         each.join(earlier.select("anchor", "print", "source"), ["anchor", "print"]).where("source < doc_id")
         .groupBy(*BLOCK).agg(F.first("doc_id").alias("owner"), F.collect_list("off").alias("offs"))
     )
-    discard(looked)
+    for t in (several, looked):
+        discard(t)
 
     # What is known of each block: from which document on it is copied whole, and what its first document has elsewhere.
     known_blocks = index.where("again").select(*BLOCK, F.col("first.doc_id").alias("source")).join(hits, BLOCK, "full")
