@@ -2,11 +2,14 @@
 
 from tidemark.llm import (
     decontaminate,
+    fill_middle,
     html_text,
     licenses,
     mixing,
     nearest,
     ngram_join,
+    quality,
+    spelling,
     substring_dedup,
     suffix_dedup,
     token_counts,
@@ -24,8 +27,14 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_quality_rules": quality.query,
+    "op12_spelling": spelling.query,
+    "op13_fill_middle": fill_middle.query,
 }
 ORACLES = {
     "op1_licenses": licenses.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op11_quality_rules": quality.ORACLE,
+    "op12_spelling": spelling.ORACLE,
+    "op13_fill_middle": fill_middle.ORACLE,
 }
