@@ -80,3 +80,38 @@ def test_components(spark):
 @pytest.mark.parametrize("f", [ngram_join.ngram_components, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], brute.SCHEMA)).count() == 0
+
+
+def mirrored(levels=10):
+    """Two words of 1,024 letters that every polynomial modulo 2**64 with an odd base takes for the same."""
+    a, b = "a", "b"
+    for _ in range(levels):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_take_for_the_same(spark):
+    a, b = mirrored()
+    rows = [(1, a, None, None, 1), (2, b, None, None, 1), (3, b.upper(), None, None, 1)]
+    assert got(ngram_join.ngram_components(brute.frame(spark, rows))) == brute.ngram(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 2)]
+    around = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"{around} {a} {around}", None, None, 1), (2, f"{around} {b} {around}", None, None, 1)]
+    out = substring_dedup.substring_dedup(brute.frame(spark, rows))
+    assert got(out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))) == brute.substring(rows, 50)
+
+
+def test_texts_beyond_a_piece(spark):
+    """Passages that stand across the cuts of a long text, through the operators."""
+    words = [f"w{i * 7919 % 2_000_003}" for i in range(passages.PIECE + 5000)]
+    long_ = " ".join(words)
+    cut = passages.PIECE
+    rows = [(5, long_, None, None, 1), (9, " ".join(words[cut - 200 : cut + 200]), None, None, 1), (7, "x " + " ".join(words[cut - 60 : cut + 20]), None, None, 1)]
+    out = substring_dedup.substring_dedup(brute.frame(spark, rows))
+    assert got(out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))) == [
+        (5, len(words), 0, brute.sha(long_.encode())), (7, 81, 80, brute.sha(b"x")), (9, 400, 400, brute.sha(b""))
+    ]
+    raw = long_.encode()
+    rows = [(1, long_, None, None, 1), (2, raw[cut - 700 : cut + 700].decode(), None, None, 1)]
+    n, m = len(raw), 1400
+    want = [(1, n, m, 1, brute.sha(raw[: cut - 700] + raw[cut + 700 :])), (2, m, m, 1, brute.sha(b""))]
+    assert got(suffix_dedup.suffix_dedup(brute.frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))) == want

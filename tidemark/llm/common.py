@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 
@@ -151,6 +152,9 @@ PUNCTUATION = SPACE.copy()
 PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 #: Bytes that are looked at in one go, so that memory stays bounded and in the cache.
 _GO = 1 << 16
+#: Bytes from which on a word is too long for a polynomial modulo 2**64, where patterns of two letters and their mirror
+#: images meet: it gets a print that nobody can make collide.
+LONG_WORD = 32
 
 
 def word_hashes(texts: list[bytes], values: np.ndarray = BYTES, between: np.ndarray = SPACE) -> list[np.ndarray]:
@@ -175,7 +179,12 @@ def _hashed(texts: list[bytes], values: np.ndarray, between: np.ndarray) -> list
             hi += int(np.argmax(gap[hi:]))
         turns = np.flatnonzero(np.diff(gap[lo:hi].view(np.int8), prepend=1, append=1))
         first, last = turns[::2], turns[1::2]
-        hashes.append(span(sums(values[raw[lo:hi]]), first, last))
+        prints = span(sums(values[raw[lo:hi]]), first, last)
+        folded = values[65] == values[97]  # A as a
+        for i in np.flatnonzero(last - first > LONG_WORD):
+            word = raw[lo + first[i] : lo + last[i]].tobytes()
+            prints[i] = int.from_bytes(hashlib.blake2b(word.lower() if folded else word, digest_size=8).digest(), "little")
+        hashes.append(prints)
         starts.append(first + lo)
         lo = hi
     start, h = np.concatenate(starts), np.concatenate(hashes)
