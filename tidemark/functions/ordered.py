@@ -11,17 +11,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Leading bits of a 32-bit hash that make a bucket.
-HASH_BITS = 10
-#: Buckets for running sums over a measured key.
-BUCKETS = 64
-#: Rows in a block of an ordered stream, and blocks in a room.
-BLOCK = 512
+#: Least leading bits of a 32-bit hash that make a bucket, and least buckets for running sums over a measured key. There
+#: are as many as the session has shuffle partitions, if that is more, so that both grow with what a user runs.
+HASH_BITS, BUCKETS = 10, 64
+#: Rows in a block of an ordered stream.
+BLOCK = 256
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def row_numbers(df: DataFrame, by: Sequence[str], key: Column, ties: Sequence[str], name: str = "rn") -> DataFrame:
     """Number rows from 1 within ``by`` in the order of a 32-bit hash, then ``ties``."""
-    d = df.withColumn("_key", key).withColumn("_bucket", F.shiftright("_key", 32 - HASH_BITS))
+    bits = max(HASH_BITS, (_parts(df) - 1).bit_length())
+    d = df.withColumn("_key", key).withColumn("_bucket", F.shiftright("_key", 32 - bits))
     before = _before(d.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")), by, ["_n"])
     local = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key", *ties))
     return d.join(before, [*by, "_bucket"]).withColumn(name, F.col("_before__n") + local).drop("_key", "_bucket", "_before__n")
@@ -29,7 +33,8 @@ def row_numbers(df: DataFrame, by: Sequence[str], key: Column, ties: Sequence[st
 
 def running(df: DataFrame, key: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Add cum_<column>: the sum over rows of the group with a key up to and including the own. Keys are distinct."""
-    bounds = df.groupBy(*by).agg(F.expr(f"percentile_approx({key}, {_list(BUCKETS)}, 2000)").alias("_bounds"))
+    n = max(BUCKETS, _parts(df))
+    bounds = df.groupBy(*by).agg(F.percentile_approx(key, [i / n for i in range(1, n)], 30 * n).alias("_bounds"))
     d = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))
     d = d.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(key)))).drop("_bounds")
     before = _before(d.groupBy(*by, "_bucket").agg(*(F.sum(c).alias(c) for c in sums)), by, sums)
@@ -38,10 +43,6 @@ def running(df: DataFrame, key: str, sums: Sequence[str], by: Sequence[str] = ()
     return d.withColumns({f"cum_{c}": F.col(f"_before_{c}") + F.sum(c).over(local) for c in sums}).drop("_bucket", *(f"_before_{c}" for c in sums))
 
 
-def _list(n: int) -> str:
-    return "array(" + ", ".join(f"{i / n}D" for i in range(1, n)) + ")"
-
-
 def _before(sums: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -75,13 +76,11 @@ def quantiles(df: DataFrame, value: str, points: dict[str, float], by: Sequence[
 
 
 def blocks(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Cut each group's ordered rows into blocks: adds _part, _room, _block and _i, the row's place in its block from 1.
+    """Cut each group's ordered rows into blocks: adds _part, _block and _i, the row's place in its block from 0.
 
     Rows are dealt by ranges of (by, order) and numbered within a range only, so a group of any size spreads over
-    tasks; (_part, _room, _block) is the order of blocks. Ranges rest on a sample: write the result before it is read
-    twice.
+    tasks; (_part, _block) is the order of blocks. Ranges rest on a sample: write the result before it is read twice.
     """
     d = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
     n = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
-    block = F.floor(F.col("_i") / BLOCK)
-    return d.withColumn("_i", n).withColumns({"_block": block, "_room": F.floor(block / BLOCK), "_i": F.col("_i") % BLOCK + 1})
+    return d.withColumn("_i", n).withColumns({"_block": F.floor(F.col("_i") / BLOCK), "_i": F.col("_i") % BLOCK})

@@ -1,139 +1,225 @@
 """Threshold policies over ordered score streams.
 
-T starts at T_op; a row is flagged by the threshold before it (strictly above), and the trace holds the one after it.
+T starts at T_op; a row is flagged by the threshold before it (strictly above), and the trace holds the one after it. A
+null score is not flagged and moves nothing, under every policy. T_op and T_min are the same on all rows of a key.
+
+A stream is cut into blocks of rows in order, and a block is one row with arrays. What a policy does to T over a block is
+found for all blocks at once, starts of blocks follow from that, and the trace is a fold within each block from its start.
+No task holds more of a key than its blocks in one range of rows.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.ordered import blocks
-from tidemark.sources.tables import written
+from tidemark.sources.tables import discard, written
 
 BETA = 0.9
+#: Rows of a stream that may be gathered in one array.
+GATHERED = 10_000
+#: Places that a fold in order takes at most at each level.
+SPAN = 512
+POSITION = ["_super", "_part", "_room", "_block"]
 
 
 def fixed(stream: DataFrame) -> DataFrame:
     """The threshold never moves."""
-    return stream.withColumns({"T_before": F.col("T_op"), "T_after": F.col("T_op"), "flagged": F.col("score") > F.col("T_op")})
+    flagged = F.coalesce(F.col("score") > F.col("T_op"), F.lit(False))
+    return stream.withColumns({"T_before": F.col("T_op"), "T_after": F.col("T_op"), "flagged": flagged})
 
 
-def ema(stream: DataFrame, by: Sequence[str], order: Sequence[str], beta: float = BETA) -> DataFrame:
-    """T' = max(T_min, beta T + (1 - beta) score) on every row, in closed form.
+def _moved(t: Column, a: Column, t_min: Column, beta: float) -> Column:
+    return F.greatest(t_min, F.lit(beta) * t + F.lit(1 - beta) * a)
 
-    Within a block a running sum and a running maximum give T for any T at its start; a block as a whole is
-    T -> max(c, b T + d), and so is a room of blocks. The few triples of rooms are folded in order, then those of the
-    blocks of each room. No row waits for the one before it, and no task holds the rows of a key.
-    """
-    by = list(by)
+
+def _always(t: Column, a: Column, t_min: Column, beta: float) -> Column:
+    return F.when(a.isNull(), t).otherwise(_moved(t, a, t_min, beta))
+
+
+def _if_not_flagged(t: Column, a: Column, t_min: Column, beta: float) -> Column:
+    return F.when(a <= t, _moved(t, a, t_min, beta)).otherwise(t)
+
+
+Step = Callable[[Column, Column, Column, float], Column]
+
+
+def blocked(stream: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(by, position, T_op, T_min, scores, rows): the stream in blocks, written, as it is read several times."""
     d = blocks(stream, by, order)
-    upto = Window.partitionBy(*by, "_part", "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_i", F.col("_i").cast("double"))
-    d = d.withColumn("_s", F.sum((1 - beta) * F.col("score") * F.pow(F.lit(beta), -F.col("_i"))).over(upto))
-    d = written(d.withColumn("_m", F.max(F.col("T_min") * F.pow(F.lit(beta), -F.col("_i")) - F.col("_s")).over(upto)))
-    power = F.pow(F.lit(beta), F.col("_i"))
-    last = F.struct((power * (F.col("_s") + F.col("_m"))).alias("c"), power.alias("b"), (power * F.col("_s")).alias("d"))
-    each = d.groupBy(*by, "_part", "_room", "_block").agg(F.max_by(last, "_i").alias("f"), F.first("T_op").alias("t"))
-    rooms = each.groupBy(*by, "_part", "_room").agg(
-        F.array_sort(F.collect_list(F.struct("_block", "f"))).alias("fs"), F.first("t").alias("t")
-    )
-    none = F.struct(F.lit(-1e300).alias("c"), F.lit(1.0).alias("b"), F.lit(0.0).alias("d"))
-    whole = F.aggregate("fs", none, lambda f, x: F.struct(
-        F.greatest(x["f"]["c"], x["f"]["b"] * f["c"] + x["f"]["d"]).alias("c"), (x["f"]["b"] * f["b"]).alias("b"), (x["f"]["b"] * f["d"] + x["f"]["d"]).alias("d")
+    row = F.struct(*(F.col(f"`{c}`") for c in stream.columns if c not in by))
+    packed = d.select(*by, "_part", "_block", "T_op", "T_min", F.struct("_i", "score", row.alias("row")).alias("x"))
+    each = packed.groupBy(*by, "_part", "_block").agg(F.first("T_op").alias("T_op"), F.first("T_min").alias("T_min"), F.sort_array(F.collect_list("x")).alias("xs"))
+    return written(each.select(
+        *by, F.floor(F.col("_part") / SPAN).alias("_super"), "_part", F.floor(F.col("_block") / SPAN).alias("_room"), "_block", "T_op", "T_min",
+        F.transform("xs", lambda x: x["score"].cast("double")).alias("scores"), F.transform("xs", lambda x: x["row"]).alias("rows"),
     ))
 
-    def starts(fs: str, first: Column) -> Column:
-        after = lambda ts, x: F.greatest(x["f"]["c"], x["f"]["b"] * F.element_at(ts, -1) + x["f"]["d"])
-        t = F.aggregate(fs, F.array(first), lambda ts, x: F.concat(ts, F.array(after(ts, x))))
-        return F.zip_with(fs, F.slice(t, 1, F.size(fs)), lambda at, t: F.struct(at.alias("at"), t.alias("t")))
 
-    keys = rooms.select(*by, "_part", "_room", whole.alias("f"), "t").groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("_part", "_room", "f"))).alias("keyed"), F.first("t").alias("t")
-    )
-    at_room = keys.select(*by, F.explode(starts("keyed", F.col("t"))).alias("x")).select(*by, "x.at._part", "x.at._room", F.col("x.t").alias("_first"))
-    at_block = rooms.join(at_room, [*by, "_part", "_room"]).select(*by, "_part", F.explode(starts("fs", F.col("_first"))).alias("x"))
-    at_block = at_block.select(*by, "_part", "x.at._block", F.col("x.t").alias("_t"))
-    d = d.join(at_block, [*by, "_part", "_block"])
-    after = power * (F.col("_s") + F.greatest(F.col("_t"), F.col("_m")))
-    before = F.coalesce(F.lag(F.col("T_after")).over(Window.partitionBy(*by, "_part", "_block").orderBy("_i")), F.col("_t"))
-    d = d.withColumn("T_after", after).withColumn("T_before", before)
-    return d.withColumn("flagged", F.col("score") > F.col("T_before")).drop("_part", "_room", "_block", "_i", "_s", "_m", "_t")
+def _starts(each: DataFrame, by: list[str], then: Callable[[Column, Column], Column], none: Column, after: Callable[[Column, Column], Column]) -> DataFrame:
+    """(by, position, _t): T at the start of each block, from what a block does (f) and the T_op of its key.
 
+    What blocks do is composed room by room, then over ranges of rows, then over hundreds of ranges, so that no array has
+    more than some hundred places; from the top, starts come down the same way.
+    """
+    level, up = each.select(*by, *POSITION, "f", F.col("T_op").alias("_t")), []
+    for k in range(len(POSITION) - 1, -1, -1):
+        own, outer = POSITION[k], POSITION[:k]
+        level = level.groupBy(*by, *outer).agg(F.sort_array(F.collect_list(F.struct(own, "f"))).alias("fs"), F.first("_t").alias("_t"))
+        up.append((own, level))
+        level = level.select(*by, *outer, F.aggregate("fs", none, lambda f, x: then(f, x["f"])).alias("f"), "_t")
+    found = None
+    for own, level in reversed(up):
+        outer = POSITION[: POSITION.index(own)]
+        if found is not None:
+            level = level.drop("_t").join(found, [*by, *outer])
+        ts = F.aggregate("fs", F.array("_t"), lambda ts, x: F.concat(ts, F.array(after(x["f"], F.element_at(ts, -1)))))
+        placed = F.zip_with("fs", F.slice(ts, 1, F.size("fs")), lambda x, t: F.struct(x[own].alias("own"), t.alias("t")))
+        found = level.select(*by, *outer, F.explode(placed).alias("x")).select(*by, *outer, F.col("x.own").alias(own), F.col("x.t").alias("_t"))
+    return found
+
+
+def ema_starts(each: DataFrame, by: list[str], beta: float = BETA) -> DataFrame:
+    """(by, position, _t) under the unconditional policy: a block as a whole is T -> max(c, b T + d)."""
+    none = F.struct(F.lit(-1e300).alias("c"), F.lit(1.0).alias("b"), F.lit(0.0).alias("d"))
+
+    def then(f: Column, g: Column) -> Column:
+        return F.struct(F.greatest(g["c"], g["b"] * f["c"] + g["d"]).alias("c"), (g["b"] * f["b"]).alias("b"), (g["b"] * f["d"] + g["d"]).alias("d"))
+
+    def step(f: Column, a: Column) -> Column:
+        return then(f, F.struct(F.col("T_min").cast("double").alias("c"), F.lit(beta).alias("b"), (F.lit(1 - beta) * a).alias("d")))
+
+    own = each.withColumn("f", F.aggregate(F.filter("scores", lambda a: a.isNotNull()), none, step))
+    return _starts(own, by, then, none, lambda f, t: F.greatest(f["c"], f["b"] * t + f["d"]))
 
-def ema_conditional(stream: DataFrame, by: Sequence[str], order: Sequence[str], beta: float = BETA) -> DataFrame:
-    """As ``ema``, but flagged rows do not move T; with trace.
 
-    Each such step is its own bend in T, so a key is one ordered pass, but a pass of batches: T is all that is carried.
-    T never rises, so rows above it are skipped in bulk, and where it meets T_min nothing can move it any more.
+def conditional_ends(each: DataFrame, by: list[str], beta: float = BETA) -> tuple[DataFrame, int]:
+    """(by, position, start, end) under the conditional policy, and in how many rounds they were found.
+
+    A step is T -> min(T, max(T_min, beta T + (1 - beta) score)): monotone, and T never rises. All blocks are folded from
+    a bound of their start at once, first T_op; then a start is at most the least end of the blocks before it, and blocks
+    whose start has come down are folded again until none has. T_min is absorbing: a block that starts there ends there,
+    so once a block comes down to it, none after it is folded again. The worst case is a round for each block; a stream
+    that settles takes a few.
     """
-    by, names = list(by), stream.columns
-    d = stream.repartition(*by).sortWithinPartitions(*by, *order)
-    schema = StructType([*d.schema.fields, StructField("T_before", DoubleType()), StructField("T_after", DoubleType())])
-    return d.mapInArrow(_conditional(by, names, beta), schema).withColumn("flagged", F.col("score") > F.col("T_before"))
-
-
-def _conditional(by: list[str], names: list[str], beta: float):
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, t = None, 0.0
-        for b in batches:
-            n = b.num_rows
-            score, t_op, t_min = (b[c].to_numpy(zero_copy_only=False).astype(float) for c in ("score", "T_op", "T_min"))
-            change = np.zeros(max(n - 1, 0), bool)
-            for c in by:
-                change |= np.diff(b[c].dictionary_encode("encode").indices.to_numpy()) != 0
-            before, after = np.empty(n), np.empty(n)
-            for i, end in itertools.pairwise([0, *(np.flatnonzero(change) + 1), n] if n else []):
-                own = tuple(b[c][i].as_py() for c in by)
-                if own != key:
-                    key, t = own, t_op[i]
-                for j in i + np.flatnonzero(score[i:end] <= t):
-                    if t == t_min[j]:
-                        break
-                    if score[j] <= t:
-                        before[i : j + 1], after[i:j] = t, t
-                        t = after[j] = max(t_min[j], beta * t + (1 - beta) * score[j])
-                        i = j + 1
-                before[i:end], after[i:end] = t, t
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(before), pa.array(after)], [*names, "T_before", "T_after"])
-
-    return fold
+    slim = written(each.select(*by, *POSITION, F.col("T_op").cast("double").alias("T_op"), F.least("T_op", "T_min").cast("double").alias("low"),
+                               F.filter("scores", lambda a: a <= F.col("T_op")).alias("scores")))
+    fold = lambda start: F.aggregate("scores", start, lambda t, a: _if_not_flagged(t, a, F.col("low"), beta))
+    state = written(slim.select(*by, *POSITION, "T_op", "low", F.col("T_op").alias("start"), fold(F.col("T_op")).alias("end")))
+    rounds = 1
+    while True:
+        before = lambda own, *outer: Window.partitionBy(*by, *outer).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+        parts = state.groupBy(*by, "_part").agg(F.min("end").alias("_end")).withColumn("_least", F.min("_end").over(before("_part"))).drop("_end")
+        down = state.join(parts, [*by, "_part"]).withColumn("_new", F.least("T_op", "_least", F.min("end").over(before("_block", "_part")))).drop("_least")
+        moved = F.col("_new") < F.col("start")
+        floor = F.col("_new") <= F.col("low")
+        down = written(down.withColumn("open", moved & ~floor).withColumn("end", F.when(moved & floor, F.col("low")).otherwise(F.col("end"))).withColumn("start", F.col("_new")).drop("_new"))
+        discard(state)
+        if down.where("open").isEmpty():
+            discard(slim)
+            return down.drop("open", "T_op", "low"), rounds
+        again = slim.drop("T_op", "low").join(down.where("open").drop("end"), [*by, *POSITION]).select(*by, *POSITION, "T_op", "low", "start", fold(F.col("start")).alias("end"))
+        state = written(down.where("NOT open").select(*again.columns).unionByName(again))
+        discard(down)
+        rounds += 1
+
+
+def _trail(step: Step, t_min: Column, beta: float) -> Callable[[Column, Column], Column]:
+    return lambda ts, a: F.concat(ts, F.array(step(F.element_at(ts, -1), a, t_min, beta)))
+
+
+def _traced(each: DataFrame, by: list[str], starts: dict[str, Column], steps: dict[str, Step], beta: float) -> DataFrame:
+    """The rows again, with <name>0 and <name>1, T before and after them, for each policy: a fold within the block."""
+    low = F.least("T_op", "T_min").cast("double")
+    d = each
+    for name, step in steps.items():
+        t_min = low if step is _if_not_flagged else F.col("T_min").cast("double")
+        d = d.withColumn(f"_{name}", F.aggregate("scores", F.array(starts[name].cast("double")), _trail(step, t_min, beta)))
+    last = F.size("rows")
+    zipped = F.arrays_zip("rows", *(x.alias(f"{n}{k}") for n in steps for k, x in ((0, F.slice(f"_{n}", 1, last)), (1, F.slice(f"_{n}", 2, last)))))
+    flat = d.select(*by, F.explode(zipped).alias("_x"))
+    return flat.select(*by, "_x.rows.*", *(F.col(f"_x.{n}{k}") for n in steps for k in (0, 1)))
+
+
+def policies(stream: DataFrame, by: Sequence[str], order: Sequence[str], beta: float = BETA) -> DataFrame:
+    """Both moving policies and the fixed one on the same rows: u0, u1 (unconditional, before and after), c0, c1
+    (conditional), and f_fixed, f_uncond, f_cond."""
+    by = list(by)
+    each = blocked(stream, by, order)
+    starts = ema_starts(each, by, beta).withColumnRenamed("_t", "_u").join(conditional_ends(each, by, beta)[0].select(*by, *POSITION, F.col("start").alias("_c")), [*by, *POSITION])
+    d = each.join(starts.withColumnsRenamed({"_u": "_ut", "_c": "_ct"}), [*by, *POSITION])
+    return _flagged(_traced(d, by, {"u": F.col("_ut"), "c": F.col("_ct")}, {"u": _always, "c": _if_not_flagged}, beta))
+
+
+def gathered_policies(stream: DataFrame, by: Sequence[str], order: Sequence[str], beta: float = BETA, most: int = GATHERED) -> DataFrame:
+    """As ``policies``, for streams that are short by design, such as trials: a stream is one array, gathered by one
+    shuffle. A stream of more than ``most`` rows is an error."""
+    by = list(by)
+    row = F.struct(*(F.col(f"`{c}`") for c in stream.columns if c not in by))
+    each = stream.groupBy(*by).agg(F.first("T_op").alias("T_op"), F.first("T_min").alias("T_min"), F.sort_array(F.collect_list(F.struct(*order, row.alias("row")))).alias("xs"))
+    fits = F.when(F.size("xs") <= most, F.col("xs")).otherwise(F.raise_error(F.lit(f"a gathered stream has more than {most} rows")))
+    each = each.withColumn("xs", fits).select(*by, "T_op", "T_min", F.transform("xs", lambda x: x["row"]["score"].cast("double")).alias("scores"), F.transform("xs", lambda x: x["row"]).alias("rows"))
+    return _flagged(_traced(each, by, {"u": F.col("T_op"), "c": F.col("T_op")}, {"u": _always, "c": _if_not_flagged}, beta))
+
+
+def _flagged(d: DataFrame) -> DataFrame:
+    above = lambda t: F.coalesce(F.col("score") > F.col(t), F.lit(False))
+    return d.withColumns({"f_fixed": above("T_op"), "f_uncond": above("u0"), "f_cond": above("c0")})
+
+
+def _one(d: DataFrame, name: str) -> DataFrame:
+    flagged = F.coalesce(F.col("score") > F.col("T_before"), F.lit(False))
+    return d.withColumnsRenamed({f"{name}0": "T_before", f"{name}1": "T_after"}).withColumn("flagged", flagged)
+
+
+def ema(stream: DataFrame, by: Sequence[str], order: Sequence[str], beta: float = BETA) -> DataFrame:
+    """T' = max(T_min, beta T + (1 - beta) score) on every row: adds T_before, T_after, flagged."""
+    by = list(by)
+    each = blocked(stream, by, order)
+    d = each.join(ema_starts(each, by, beta), [*by, *POSITION])
+    return _one(_traced(d, by, {"u": F.col("_t")}, {"u": _always}, beta), "u")
+
+
+def ema_conditional(stream: DataFrame, by: Sequence[str], order: Sequence[str], beta: float = BETA) -> DataFrame:
+    """As ``ema``, but flagged rows do not move T."""
+    by = list(by)
+    each = blocked(stream, by, order)
+    ends, _ = conditional_ends(each, by, beta)
+    d = each.join(ends.select(*by, *POSITION, F.col("start").alias("_t")), [*by, *POSITION])
+    return _one(_traced(d, by, {"c": F.col("_t")}, {"c": _if_not_flagged}, beta), "c")
 
 
 def conditional_floor(stream: DataFrame, by: Sequence[str], order: Sequence[str], beta: float = BETA) -> DataFrame:
     """(by, T_final): where the conditional threshold ends; as it never rises, that is the lowest it comes to."""
     by = list(by)
-    moving = stream.where("score <= T_op").select(*{c: c for c in (*by, *order, "score", "T_op", "T_min")})
-    low = ema_conditional(moving, by, order, beta).groupBy(*by).agg(F.min("T_after").alias("_t"))
-    return stream.groupBy(*by).agg(F.first("T_op").alias("t")).join(low, by, "left").select(*by, F.coalesce("_t", "t").alias("T_final"))
+    return conditional_ends(blocked(stream, by, order), by, beta)[0].groupBy(*by).agg(F.min("end").alias("T_final"))
 
 
 def ema_capped(stream: DataFrame, by: Sequence[str], order: Sequence[str], cap: float, beta: float = BETA) -> DataFrame:
     """(by, T_final) of the unconditional policy with a ceiling of ``cap`` times T_op.
 
-    A step is T -> min(h, max(c, b T + d)), and so are all steps of a block, a room or a range of rows in a row: each
-    level hands the next one four numbers.
+    A step is T -> min(h, max(c, b T + d)), and so is what any rows in a row do: each level hands the next four numbers.
     """
     by = list(by)
-    lift = (1 - beta) * F.col("score")
-    step = F.struct((cap * F.col("T_op")).alias("h"), F.least(F.col("T_min"), cap * F.col("T_op")).alias("c"), F.lit(beta).alias("b"), lift.alias("d"))
-    level = blocks(stream.where("score IS NOT NULL"), by, order).select(*by, "_part", "_room", "_block", "_i", step.alias("f"), F.col("T_op").alias("t"))
+    top = cap * F.col("T_op")
+    step = F.struct(top.alias("h"), F.least("T_min", top).alias("c"), F.lit(beta).alias("b"), (F.lit(1 - beta) * F.col("score")).alias("d"))
     none = F.struct(F.lit(1e300).alias("h"), F.lit(-1e300).alias("c"), F.lit(1.0).alias("b"), F.lit(0.0).alias("d"))
+    keep = F.when(F.col("score").isNull(), none).otherwise(step)
+    d = blocks(stream, by, order)
+    level = d.select(*by, F.floor(F.col("_part") / SPAN).alias("_super"), "_part", F.floor(F.col("_block") / SPAN).alias("_room"), "_block", "_i", keep.alias("f"), F.col("T_op").alias("t"))
 
     def then(f: Column, x: Column) -> Column:
         g = x["f"]
         clamp = lambda y: F.least(g["h"], F.greatest(g["c"], g["b"] * y + g["d"]))
         return F.struct(clamp(f["h"]).alias("h"), clamp(f["c"]).alias("c"), (g["b"] * f["b"]).alias("b"), (g["b"] * f["d"] + g["d"]).alias("d"))
 
-    for group, own in ((["_part", "_room", "_block"], ["_i"]), (["_part", "_room"], ["_block"]), ([], ["_part", "_room"])):
-        ordered = F.array_sort(F.collect_list(F.struct(*own, "f")))
-        level = level.groupBy(*by, *group).agg(ordered.alias("fs"), F.first("t").alias("t")).select(*by, *group, F.aggregate("fs", none, then).alias("f"), "t")
+    places = [*POSITION, "_i"]
+    for k in range(len(places) - 1, -1, -1):
+        ordered = F.sort_array(F.collect_list(F.struct(places[k], "f")))
+        level = level.groupBy(*by, *places[:k]).agg(ordered.alias("fs"), F.first("t").alias("t")).select(*by, *places[:k], F.aggregate("fs", none, then).alias("f"), "t")
     f = F.col("f")
     return level.select(*by, F.least(f["h"], F.greatest(f["c"], f["b"] * F.col("t") + f["d"])).alias("T_final"))
 
@@ -142,12 +228,12 @@ def median_threshold(stream: DataFrame, by: Sequence[str], order: Sequence[str],
     """T before a row is the median of the k scores before it, T_op where there are none, T_min at least."""
     back = Window.partitionBy(*by).orderBy(*order).rowsBetween(-k, -1)
     t = F.greatest(F.col("T_min"), F.coalesce(F.expr("percentile(score, 0.5D)").over(back), F.col("T_op")))
-    return stream.withColumn("T_before", t).withColumn("flagged", F.col("score") > F.col("T_before"))
+    return stream.withColumn("T_before", t).withColumn("flagged", F.coalesce(F.col("score") > F.col("T_before"), F.lit(False)))
 
 
-def at_attack(trace: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """(by, T_at_attack): the threshold that the first attack row meets."""
-    return trace.where("phase = 'attack'").groupBy(*by).agg(F.min_by("T_before", order).alias("T_at_attack"))
+def at_attack(t: str, order: str) -> Column:
+    """An aggregate: the threshold that the first attack row meets."""
+    return F.min_by(t, F.when(F.col("phase") == "attack", F.col(order)))
 
 
 def settling(trace: DataFrame, by: Sequence[str], order: str, target: str, rest: float = 0.1) -> DataFrame:

@@ -78,14 +78,7 @@ def params(sp: DataFrame) -> DataFrame:
 def tenant_traces(spark: SparkSession, d: str) -> DataFrame:
     """All events of each tenant under the three policies, as columns of one row."""
     sp = split_scores(spark, d)
-    return _policies(C.with_params(sp, params(sp)), ["tenant"], ORDER)
-
-
-def _policies(stream: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    names = lambda d, p: d.withColumnsRenamed({"T_before": f"{p}0", "T_after": f"{p}1", "flagged": f"f_{'uncond' if p == 'u' else 'cond'}"})
-    d = S.written(names(T.ema(stream, by, order), "u"))
-    d = names(T.ema_conditional(d, by, order), "c")
-    return d.withColumn("f_fixed", F.col("score") > F.col("T_op"))
+    return T.policies(C.with_params(sp, params(sp)), ["tenant"], ORDER)
 
 
 def study_streams(spark: SparkSession, d: str) -> DataFrame:
@@ -105,13 +98,13 @@ def trial_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run_study(spark: SparkSession, d: str) -> DataFrame:
-    t = _policies(S.written(study_streams(spark, d)), CELL, ["pos"])
+    t = T.gathered_policies(study_streams(spark, d), CELL, ["pos"])
     at = F.col("phase") == "attack"
     share = lambda hit, phase=at: E.rate(F.when(phase, hit.cast("int")))
     return t.groupBy(*CELL).agg(
         *(share(F.col(f"f_{p}")).alias(f"recall_{p}") for p in ("fixed", "uncond", "cond")),
         *(share(F.col("f_fixed") & ~F.col(f"f_{p}")).alias(f"evasion_{p}") for p in ("uncond", "cond")),
-        F.min_by("u0", F.when(at, F.col("pos"))).alias("t_uncond"), F.min_by("c0", F.when(at, F.col("pos"))).alias("t_cond"),
+        T.at_attack("u0", "pos").alias("t_uncond"), T.at_attack("c0", "pos").alias("t_cond"),
         *(share(F.col(f"f_{p}"), F.col("phase") == "noise").alias(f"own_{p}") for p in ("uncond", "fixed")),
     )
 

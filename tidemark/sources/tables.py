@@ -69,7 +69,16 @@ def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: what several branches of a plan read is computed once."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a written table that nothing will read again."""
+    sc = df.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Where each shared result of an application lies, and its columns.
