@@ -1,18 +1,18 @@
-"""Streaming queries, run over all there is and compared with batch results over the same rows.
+"""Streaming queries, run over all there is and compared with batch results over the rows that came in time.
 
-The last windows of a stream stay open until the watermark passes them, so a closing row far ahead in time is appended
-where a query needs all windows; it is left out of the result.
+Rows stay in state until the watermark passes them, so a closing row far ahead in time is delivered last; it is left out of
+the result. Deliveries are out of order: some rows come a batch or two after their time, and those that the watermark has
+passed by then are late.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans import score_queries as Q
 from tidemark.plans.sequence_queries import EVENTS, RARE, SEQ, _feat, _flt, _named, _named_sql, _sql
+from tidemark.functions.portable import h32, h32_sql
 from tidemark.operators import features as X
 from tidemark.sources import tables as S
 from tidemark.streaming import live
@@ -20,18 +20,22 @@ from tidemark.streaming import live
 FAR = "2100-01-01"
 #: Files, and so micro-batches, of a stream: keys span them, and state carries over.
 BATCHES = 5
+#: How far the watermark stays behind, half the time of a file; and milliseconds that are released together.
+DELAY, DELAY_MS, DAY = "3 days", 3 * 86_400_000, 86_400_000
 
 
-def _events(spark: SparkSession, d: str, closing: bool = False) -> DataFrame:
-    """The events table as a stream of files in a folder of its own."""
+def _rows(spark: SparkSession, d: str) -> DataFrame:
     rows = S.event_scores(spark, d).join(S.table(spark, d, "events").select("event_id", F.col("event_type").alias("token")), "event_id")
-    rows = rows.select(F.col("tenant").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), "token", "label", "score")
-    return _stream(spark, rows, {"score": F.lit(1e9)} if closing else None)
+    return rows.select(F.col("tenant").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), "token", "label", "score")
+
+
+def _events(spark: SparkSession, d: str, closing: bool = False) -> DataFrame:
+    """The events table as a stream of files in a folder of its own, in order of time."""
+    return _stream(spark, _rows(spark, d), {"score": F.lit(1e9)} if closing else None)
 
 
-def _stream(spark: SparkSession, rows: DataFrame, last: dict | None, more: Callable[[str], object] | None = None) -> DataFrame:
-    """Rows as files in order of time, each a micro-batch, with a ``last`` row far ahead if asked for, and ``more`` files
-    that the caller writes to the folder."""
+def _stream(spark: SparkSession, rows: DataFrame, last: dict | None) -> DataFrame:
+    """Rows as files in order of time, each a micro-batch, with a ``last`` row far ahead if asked for."""
     path, rows = S.scratch(spark), S.written(rows)
     cuts = rows.agg(F.percentile_approx(F.col("ts").cast("double"), [i / BATCHES for i in range(1, BATCHES)], 10_000)).first()[0] or []
     at = F.col("ts").cast("double")
@@ -39,8 +43,6 @@ def _stream(spark: SparkSession, rows: DataFrame, last: dict | None, more: Calla
         rows.where((at > lo) & (at <= hi)).coalesce(1).write.mode("append").parquet(f"{path}/a")
     if last is not None:
         rows.limit(1).withColumns({"ts": F.lit(FAR).cast("timestamp"), **last}).write.mode("append").parquet(f"{path}/a")
-    if more:
-        more(f"{path}/a")
     return live.event_stream(spark, f"{path}/a", rows.schema, per_batch=1)
 
 
@@ -49,21 +51,66 @@ def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return live.drain(stream, f"{path}/out", f"{path}/state", stream.schema)
 
 
+def _delivered(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of BATCHES files by time, in which a quarter of the rows come a file late, and one in twenty
+    two files late; within a file they stand in no order."""
+    rows = _rows(spark, d)
+    us = F.unix_micros("ts")
+    span = rows.agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
+    slice_ = F.expr(f"(unix_micros(ts) - lo) * {BATCHES} div (hi - lo + 1)")
+    h = h32("deliver", F.col("id")) % 20
+    at = F.least(F.lit(BATCHES - 1), slice_ + F.when(h == 0, 2).when(h <= 5, 1).otherwise(0))
+    rows = S.written(rows.crossJoin(F.broadcast(span)).withColumn("_file", at).drop("lo", "hi"))
+    path = S.scratch(spark)
+    for i in range(BATCHES):
+        rows.where(F.col("_file") == i).drop("_file").coalesce(1).sortWithinPartitions(h32("order", F.col("id"))).write.mode("append").parquet(f"{path}/a")
+    rows.drop("_file").limit(1).withColumns({"ts": F.lit(FAR).cast("timestamp"), "id": F.lit(-1).cast("long")}).write.mode("append").parquet(f"{path}/a")
+    return live.event_stream(spark, f"{path}/a", rows.drop("_file").schema, DELAY, per_batch=1)
+
+
 def q_windows(spark, d):
     live.use_rocksdb(spark)
-    windows = live.count_windows(_events(spark, d).where(F.col("token").isin(EVENTS)))
+    windows = live.on_time(live.count_windows(_delivered(spark, d).where(F.col("token").isin(EVENTS)), slot=DAY))
     rows = X.assemble(windows.withColumn("seq_id", F.col("key").cast("long")), EVENTS, RARE)
     return _drained(spark, _named(rows, EVENTS, RARE))
 
 
+def _tenants(rows: DataFrame) -> DataFrame:
+    return live.on_time(rows).groupBy(F.col("key").cast("long").alias("tenant")).agg(
+        *(F.sum(F.col(f"f_{p}").cast("long")).alias(f"alerts_{p}") for p in ("fixed", "uncond", "cond")), F.sum(F.col("warm").cast("long")).alias("n_warm"),
+        F.round(F.max_by("t_cond", F.struct("ts", "id")), 6).alias("t_cond"), F.round(F.sum("t_uncond"), 4).alias("t_uncond"),
+    )
+
+
 def q_policies(spark, d):
     live.use_rocksdb(spark)
     par = Q.params(Q.split_scores(spark, d)).first()  # one row of six numbers
-    rows = _drained(spark, live.policies(_events(spark, d), par["T_op"], par["T_min"]))
-    return rows.groupBy(F.col("key").cast("long").alias("tenant")).agg(
-        *(F.sum(F.col(f"f_{p}").cast("long")).alias(f"alerts_{p}") for p in ("fixed", "uncond", "cond")), F.sum(F.col("warm").cast("long")).alias("n_warm"),
-        F.round(F.max_by("t_cond", F.struct("ts", "id")), 6).alias("t_cond"),
-    )
+    return _tenants(_drained(spark, live.policies(_delivered(spark, d), par["T_op"], par["T_min"], slot=DAY)))
+
+
+def q_idle(spark, d):
+    """Tenants that are silent for a day begin anew."""
+    live.use_rocksdb(spark)
+    par = Q.params(Q.split_scores(spark, d)).first()  # one row of six numbers
+    return _tenants(_drained(spark, live.policies(_delivered(spark, d), par["T_op"], par["T_min"], slot=DAY, idle=86_400, warm_seconds=21_600)))
+
+
+def q_late(spark, d):
+    """The detector's late rows by key, and how many rows it took in."""
+    live.use_rocksdb(spark)
+    par = Q.params(Q.split_scores(spark, d)).first()  # one row of six numbers
+    out = _drained(spark, live.policies(_delivered(spark, d), par["T_op"], par["T_min"], slot=DAY))
+    took = live.on_time(out).groupBy("key").agg(F.count("*").alias("n_in_time"))
+    both = took.join(live.late_by_key(out).withColumnRenamed("n", "n_late"), "key", "full")
+    return both.select("key", F.coalesce("n_in_time", F.lit(0)).alias("n_in_time"), F.coalesce("n_late", F.lit(0)).alias("n_late"))
+
+
+def q_global(spark, d):
+    """One threshold over all tenants, batch by batch of a stream in order of time."""
+    par = Q.params(Q.split_scores(spark, d)).first()  # one row of six numbers
+    path = S.scratch(spark)
+    out = live.GlobalThreshold(path, par["T_op"], par["T_min"]).run(_events(spark, d), f"{path}/state")
+    return out.groupBy(F.col("key").cast("long").alias("tenant")).agg(F.sum(F.col("flagged").cast("long")).alias("alerts"), F.round(F.avg("T_after"), 6).alias("t_mean"))
 
 
 def q_alerts(spark, d):
@@ -82,8 +129,8 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     """The live log: every score with the thresholds that it met, in folders by label."""
     live.use_rocksdb(spark)
     par = Q.params(Q.split_scores(spark, d)).first()  # one row of six numbers
-    stream, path = live.policies(_events(spark, d), par["T_op"], par["T_min"]), S.scratch(spark)
-    return live.drain(stream, f"{path}/out", f"{path}/state", stream.schema, ("label",))
+    stream, path = live.policies(_events(spark, d, closing=True), par["T_op"], par["T_min"], slot=DAY), S.scratch(spark)
+    return live.on_time(live.drain(stream, f"{path}/out", f"{path}/state", stream.schema, ("label",)))
 
 
 def q_log(spark, d):
@@ -98,32 +145,39 @@ def q_rise(spark, d):
     return out.where(F.col("start") < "2099-12-31").groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("abnormal").cast("long")).alias("abnormal"), F.round(F.sum("rise"), 4).alias("rise"))
 
 
-def q_late(spark, d):
-    """All events in order of time, then the errors delivered again after the watermark has passed them."""
-    live.use_rocksdb(spark)
-    rows = S.written(S.event_scores(spark, d).select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "label"))
-    stream, path = _stream(spark, rows, None, lambda out: [
-        *(rows.limit(1).withColumns({"ts": F.lit(FAR).cast("timestamp"), "id": F.lit(-1 - i).cast("long")}).write.mode("append").parquet(out) for i in range(2)),
-        rows.where("label = 'attack'").coalesce(1).write.mode("append").parquet(out),
-    ]), S.scratch(spark)
-    once = live.arrived_once(stream)
-    query = live.run(once, f"{path}/out", f"{path}/state")
-    kept = spark.read.schema(once.schema).parquet(f"{path}/out")
-    return kept.where("id >= 0").agg(F.count("*").alias("kept")).withColumn("late", F.lit(live.late_rows(query)).cast("long"))
+_sent = f"""dl AS MATERIALIZED (SELECT *, least({BATCHES - 1}, (us - lo) * {BATCHES} // (hi - lo + 1) + CASE WHEN h = 0 THEN 2 WHEN h <= 5 THEN 1 ELSE 0 END) AS b FROM
+        (SELECT event_id, user_id, ts, event_type, epoch_us(ts) AS us, {h32_sql("'deliver'", "event_id")} % 20 AS h FROM events), (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events))"""
+
+
+def _in_time(where: str = "true") -> str:
+    """The deliveries, with whether the watermark, over rows that pass the filter, had passed them."""
+    return f"""wm AS (SELECT y.b, max(x.us) // 1000 - {DELAY_MS} AS ms FROM (SELECT DISTINCT b FROM dl) y LEFT JOIN (SELECT * FROM dl WHERE {where}) x ON x.b < y.b GROUP BY y.b),
+        ot AS MATERIALIZED (SELECT dl.*, us <= coalesce(ms, 0) * 1000 AS late FROM dl JOIN wm USING (b) WHERE {where})"""
 
 
+_tokens = f"event_type IN ({', '.join(map(repr, EVENTS))})"
+_seq = "seq AS (SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS token FROM ot WHERE NOT late)"
+_in_time_tenants = "st AS MATERIALIZED (SELECT sp.*, par.*, row_number() OVER (PARTITION BY tenant ORDER BY sp.ts, event_id) AS n FROM sp JOIN ot USING (event_id), par WHERE NOT late)"
+_sums = """count(*) FILTER (f_fixed) AS alerts_fixed, count(*) FILTER (f_uncond) AS alerts_uncond, count(*) FILTER (f_cond) AS alerts_cond, count(*) FILTER (warm) AS n_warm,
+        round(arg_max(c0, (epoch_us(ts), event_id)), 6) AS t_cond, round(sum(u0), 4) AS t_uncond"""
+_runs = """st AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tenant, run ORDER BY ts, event_id) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY tenant ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM
+        (SELECT sp.*, par.*, coalesce((epoch_us(sp.ts) - lag(epoch_us(sp.ts)) OVER (PARTITION BY tenant ORDER BY sp.ts, event_id) >= 86400000000)::INT, 1) AS fresh FROM sp JOIN ot USING (event_id), par WHERE NOT late)))"""
 _full = """arr AS (SELECT seq_id, list(token ORDER BY pos) AS a FROM flt GROUP BY seq_id HAVING count(*) >= 10),
     win AS (SELECT seq_id, w AS win_ix, a[w * 2 + 1 : w * 2 + 10] AS tokens FROM (SELECT seq_id, a, unnest(range(0, (len(a) - 10) // 2 + 1)) AS w FROM arr))"""
 _alert = (Q.SPLIT, Q.PAR, "al AS (SELECT tenant::VARCHAR AS key, ts FROM sp, par WHERE score > T_op)")
 
 QUERIES = {
-    "r1_r2_live_windows": (q_windows, _sql(SEQ, _flt(EVENTS), _full, _feat(EVENTS, RARE), then=_named_sql(EVENTS, RARE))),
-    "r3_r4_r9_live_policies": (q_policies, Q._sql(*Q._tenant, recursive=True, then="""SELECT tenant, count(*) FILTER (f_fixed) AS alerts_fixed, count(*) FILTER (f_uncond) AS alerts_uncond, count(*) FILTER (f_cond) AS alerts_cond,
-        count(*) FILTER (epoch_us(ts) - first_us < 30000000) AS n_warm, round(arg_max(c0, n), 6) AS t_cond FROM (SELECT *, epoch_us(min(ts) OVER (PARTITION BY tenant)) AS first_us FROM tr) GROUP BY tenant""")),
+    "r1_r2_live_windows": (q_windows, _sql(_sent, _in_time(_tokens), _seq, _flt(EVENTS), _full, _feat(EVENTS, RARE), then=_named_sql(EVENTS, RARE))),
+    "r3_r4_live_policies": (q_policies, Q._sql(Q.SPLIT, Q.PAR, _sent, _in_time(), _in_time_tenants, Q._folds("st", "tenant"), recursive=True,
+        then=f"SELECT tenant, {_sums} FROM (SELECT *, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY tenant) < 30000000 AS warm FROM tr) GROUP BY tenant")),
+    "r9_idle_keys_begin_anew": (q_idle, Q._sql(Q.SPLIT, Q.PAR, _sent, _in_time(), _runs, Q._folds("st", "tenant, run"), recursive=True,
+        then=f"SELECT tenant, {_sums} FROM (SELECT *, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY tenant, run) < 21600000000 AS warm FROM tr) GROUP BY tenant")),
+    "t7_live_global_threshold": (q_global, Q._sql(Q.SPLIT, Q.PAR, "st AS (SELECT sp.*, par.*, 1 AS one, row_number() OVER (ORDER BY ts, event_id) AS n FROM sp, par)", Q._folds("st", "one"), recursive=True,
+        then="SELECT tenant, count(*) FILTER (f_uncond) AS alerts, round(avg(u1), 6) AS t_mean FROM tr GROUP BY tenant")),
     "r5_live_alerts_per_hour": (q_alerts, Q._sql(*_alert, then="SELECT date_trunc('hour', ts) AS hour, count(*) AS alerts FROM al GROUP BY 1")),
     "r6_live_episodes": (q_episodes, Q._sql(*_alert, """g AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM
         (SELECT key, ts, coalesce((ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) > INTERVAL 6 HOUR)::INT, 1) AS fresh FROM al))""", then="SELECT key, min(ts) AS start, count(*) AS alerts FROM g GROUP BY key, g")),
-    "r8_late_rows": (q_late, "SELECT count(*) AS kept, count(*) FILTER (event_type = 'error') AS late FROM events"),
+    "r8_late_rows": (q_late, _sql(_sent, _in_time(), then="SELECT user_id::VARCHAR AS key, count(*) FILTER (NOT late) AS n_in_time, count(*) FILTER (late) AS n_late FROM ot GROUP BY user_id")),
     "io7_score_log": (q_log, Q._sql(*Q._tenant, recursive=True, then="""SELECT tenant, label, count(*) AS n, round(sum(score), 4) AS score, round(sum(u0), 4) AS t_uncond, round(sum(c0), 4) AS t_cond
         FROM tr GROUP BY ALL""")),
     "r7_live_threshold_rise": (q_rise, Q._sql(*Q._tenant, """w AS (SELECT tenant::VARCHAR AS key, u0, time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS start FROM tr, (SELECT unnest(range(6)) AS k))""",

@@ -1,24 +1,35 @@
 """The live detector: count windows, features, thresholds and alerts per key over a stream of events.
 
-Batch and stream share the expressions of features and the fold of thresholds. Event time must be a TIMESTAMP with zone.
-Rows later than the watermark are dropped by operators that keep it; ``late_rows`` tells how many were. Within a micro-batch a
-key's rows are put in order of time before the state moves, and the state carries over to the next one, so a run over
-batches in order of time equals the batch operators.
+Batch and stream share the expressions of features and the policies of thresholds. Event time must be a TIMESTAMP with
+zone. Rows may arrive in any order: a key's rows wait in its state, by slots of event time, until the watermark has
+passed a slot; a timer then releases it, in order of (ts, id), so what the detector sees is in order across batches too. A
+row whose time the watermark has passed when it arrives is late: it moves nothing and leaves by the side, marked ``late``,
+so that it can be counted by key. A run over any deliveries thus equals the batch operators over the rows that were in time.
+
+A key that is silent for longer than ``idle`` begins anew, with T_op and its warm-up, and a timer frees its state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
+from tidemark.operators import thresholds
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WINDOW_OUT = "key string, win_ix long, tokens array<string>"
-POLICY_OUT = "key string, ts timestamp, id long, label string, score double, t_uncond double, t_cond double, f_fixed boolean, f_uncond boolean, f_cond boolean, warm boolean"
+#: Milliseconds of event time that are released together.
+SLOT = 3_600_000
+WINDOW_OUT = "key string, ts timestamp, id long, win_ix long, tokens array<string>, late boolean"
+POLICY_OUT = (
+    "key string, ts timestamp, id long, label string, score double, t_uncond double, t_cond double, f_fixed boolean, f_uncond boolean,"
+    " f_cond boolean, warm boolean, late boolean"
+)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -32,72 +43,220 @@ def event_stream(spark: SparkSession, path: str, schema: StructType, late: str =
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-class CountWindows(StatefulProcessor):
-    """Windows of ``length`` tokens every ``stride``; the last length - 1 tokens of a key carry over to its next batch."""
+class InOrder(StatefulProcessor):
+    """Hands a key's rows to ``released`` in order of event time, and late ones to ``aside``.
 
-    def __init__(self, length: int = 10, stride: int = 2):
-        self.length, self.stride = length, stride
+    ``fields`` are the columns besides us (event time in microseconds) and id that wait with a row, ``memory`` what a key
+    keeps of the rows it has seen.
+    """
+
+    fields: dict = {}
+    memory: StructType
+    columns: list[str] = []
+
+    def __init__(self, slot: int = SLOT, idle: float | None = None):
+        self.slot, self.idle = slot, None if idle is None else round(idle * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tail", StructType([StructField("seen", LongType()), StructField("tail", ArrayType(StringType()))]))
+        self.handle = handle
+        waiting = {"us": LongType(), "id": LongType(), **self.fields}
+        arrays = StructType([StructField(n, ArrayType(t)) for n, t in waiting.items()])
+        self.waiting = handle.getMapState("waiting", StructType([StructField("slot", LongType())]), arrays)
+        self.names = list(waiting)
+        self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
+        self.state = handle.getValueState("memory", self.memory)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, tail = self.state.get() if self.state.exists() else (0, [])
-        tail = list(tail)
-        new = pd.concat(list(rows)).sort_values(["ts", "id"])
-        out = []
-        for token in new["token"]:
-            tail.append(token)
-            seen += 1
-            tail = tail[-self.length :]
-            start = seen - self.length
-            if start >= 0 and start % self.stride == 0:
-                out.append((key[0], start // self.stride, list(tail)))
-        self.state.update((seen, tail[-(self.length - 1) :]))
-        yield pd.DataFrame(out, columns=["key", "win_ix", "tokens"])
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for b in rows:
+            late = b["us"] <= passed
+            if late.any():
+                yield self.aside(key[0], b[late])
+            b = b[~late]
+            for at, new in b.groupby(b["us"] // (self.slot * 1000)):
+                at = int(at)
+                old = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else None
+                if old is None:
+                    self.handle.registerTimer((at + 1) * self.slot)
+                self.waiting.updateValue((at,), tuple((list(old[i]) if old else []) + _plain(new[n]) for i, n in enumerate(self.names)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        at = now // self.slot - 1
+        if self.waiting.containsKey((at,)):
+            rows = pd.DataFrame(dict(zip(self.names, map(list, self.waiting.getValue((at,))), strict=True))).sort_values(["us", "id"], ignore_index=True)
+            self.waiting.removeKey((at,))
+            yield from self._in_turn(key[0], rows)
+        if self.idle is not None and self.last.exists() and self.last.get()[0] + self.idle <= now * 1000:
+            self.last.clear()
+            self.state.clear()
+
+    def _in_turn(self, key: str, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        us = rows["us"].to_numpy()
+        last = self.last.get()[0] if self.last.exists() else None
+        cuts = [0]
+        if self.idle is not None:
+            gaps = np.diff(us, prepend=us[0] if last is None else last)
+            cuts = sorted({0, *np.flatnonzero(gaps >= self.idle)})
+            if last is not None and gaps[0] >= self.idle:
+                self.state.clear()
+        for lo, hi in zip(cuts, [*cuts[1:], len(us)], strict=True):
+            if lo:
+                self.state.clear()
+            memory = self.state.get() if self.state.exists() else None
+            out, memory = self.released(key, rows.iloc[lo:hi], memory)
+            self.state.update(memory)
+            yield out
+        self.last.update((int(us[-1]),))
+        if self.idle is not None:
+            due = int(us[-1]) + self.idle
+            self.handle.registerTimer(-(-due // (self.slot * 1000)) * self.slot)
+
+    def released(self, key: str, rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        raise NotImplementedError
+
+    def aside(self, key: str, rows: pd.DataFrame) -> pd.DataFrame:
+        out = {"key": key, "ts": _times(rows["us"]), "late": True, **{n: rows[n] for n in ("id", *self.fields) if n in self.columns}}
+        none = pd.Series([None] * len(rows), rows.index, dtype=object)
+        return pd.DataFrame({c: out.get(c, none) for c in self.columns}, index=rows.index)
 
     def close(self) -> None:
         pass
 
 
-class Policies(StatefulProcessor):
-    """Both moving thresholds and the fixed one on the same rows; state is two numbers and the first time of a key."""
+def _plain(x: pd.Series) -> list:
+    return [None if v is None or v != v else v for v in x.tolist()]
 
-    def __init__(self, t_op: float, t_min: float, beta: float = 0.9, warm_seconds: float = 30.0):
-        self.t_op, self.t_min, self.beta, self.warm = t_op, t_min, beta, warm_seconds
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [StructField("u", DoubleType()), StructField("c", DoubleType()), StructField("first", LongType())]
-        self.state = handle.getValueState("t", StructType(fields))
+def _times(us: pd.Series) -> pd.Series:
+    return pd.to_datetime(us, unit="us")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "id"])
-        first = int(new["ts"].iloc[0].value // 1000)
-        u, c, first = self.state.get() if self.state.exists() else (self.t_op, self.t_op, first)
-        out = []
-        for r in new.itertuples(index=False):
-            a = r.score
-            warm = int(r.ts.value // 1000) - first < self.warm * 1e6
-            out.append((key[0], r.ts, r.id, r.label, a, u, c, a > self.t_op, a > u, a > c, warm))
+
+class CountWindows(InOrder):
+    """Windows of ``length`` tokens every ``stride``; the last length - 1 tokens of a key are its memory."""
+
+    fields = {"token": StringType()}
+    memory = StructType([StructField("seen", LongType()), StructField("tail", ArrayType(StringType()))])
+    columns = ["key", "ts", "id", "win_ix", "tokens", "late"]
+
+    def __init__(self, length: int = 10, stride: int = 2, slot: int = SLOT, idle: float | None = None):
+        super().__init__(slot, idle)
+        self.length, self.stride = length, stride
+
+    def released(self, key, rows, memory):
+        seen, tail = memory or (0, [])
+        tokens = [*tail, *rows["token"]]
+        first = seen - len(tail)  # place of tokens[0] in the sequence
+        start = -(-first // self.stride) * self.stride - first
+        at = range(start, len(tokens) - self.length + 1, self.stride)
+        ends = [i + self.length - 1 - len(tail) for i in at]  # always a new row: an old window has been handed on
+        out = pd.DataFrame({
+            "key": key, "ts": _times(rows["us"].iloc[ends]), "id": rows["id"].iloc[ends], "win_ix": np.array([(first + i) // self.stride for i in at], np.int64),
+            "tokens": pd.Series([tokens[i : i + self.length] for i in at], rows.index[ends], dtype=object), "late": False,
+        })
+        return out, (seen + len(rows), tokens[-(self.length - 1) :])
+
+
+class Policies(InOrder):
+    """Both moving thresholds and the fixed one on the same rows; two numbers and the first time of a key are its memory."""
+
+    fields = {"label": StringType(), "score": DoubleType()}
+    memory = StructType([StructField("u", DoubleType()), StructField("c", DoubleType()), StructField("first", LongType())])
+    columns = ["key", "ts", "id", "label", "score", "t_uncond", "t_cond", "f_fixed", "f_uncond", "f_cond", "warm", "late"]
+
+    def __init__(self, t_op: float, t_min: float, beta: float = 0.9, warm_seconds: float = 30.0, slot: int = SLOT, idle: float | None = None):
+        super().__init__(slot, idle)
+        self.t_op, self.t_min, self.beta, self.warm = t_op, t_min, beta, warm_seconds
+
+    def released(self, key, rows, memory):
+        u, c, first = memory or (self.t_op, self.t_op, int(rows["us"].iloc[0]))
+        score = rows["score"].to_numpy(float)
+        us, cs = np.empty(len(score)), np.empty(len(score))
+        for i, a in enumerate(score.tolist()):
+            us[i], cs[i] = u, c
             if a <= c:
                 c = max(self.t_min, self.beta * c + (1 - self.beta) * a)
-            u = max(self.t_min, self.beta * u + (1 - self.beta) * a)
-        self.state.update((u, c, first))
-        yield pd.DataFrame(out, columns=["key", "ts", "id", "label", "score", "t_uncond", "t_cond", "f_fixed", "f_uncond", "f_cond", "warm"])
+            if a == a:  # a null moves nothing
+                u = max(self.t_min, self.beta * u + (1 - self.beta) * a)
+        out = pd.DataFrame({
+            "key": key, "ts": _times(rows["us"]), "id": rows["id"], "label": rows["label"], "score": rows["score"], "t_uncond": us, "t_cond": cs,
+            "f_fixed": score > self.t_op, "f_uncond": score > us, "f_cond": score > cs, "warm": rows["us"] - first < self.warm * 1e6, "late": False,
+        })
+        return out, (u, c, first)
+
+
+def _with_state(stream: DataFrame, processor: InOrder, schema: str) -> DataFrame:
+    # Event time as a plain number: which rows are late is the processor's to say, and Spark drops none before it.
+    rows = stream.select("key", F.unix_micros("ts").alias("us"), "id", *processor.fields)
+    out = rows.groupBy("key").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return out.observe("detector", F.count("*").alias("rows"), F.coalesce(F.sum(F.col("late").cast("long")), F.lit(0)).alias("late"))
+
+
+def count_windows(stream: DataFrame, length: int = 10, stride: int = 2, slot: int = SLOT, idle: float | None = None) -> DataFrame:
+    """(key, ts, id, win_ix, tokens, late) from (key, ts, id, token); ts and id are those of a window's last row, or of a
+    late row, which has no window. Rows are observed as ``detector``."""
+    return _with_state(stream, CountWindows(length, stride, slot, idle), WINDOW_OUT)
 
-    def close(self) -> None:
-        pass
 
+def policies(stream: DataFrame, t_op: float, t_min: float, slot: int = SLOT, idle: float | None = None, warm_seconds: float = 30.0) -> DataFrame:
+    """The three policies from (key, ts, id, label, score), and late rows, which have no thresholds. Rows are observed as
+    ``detector``. For one threshold over all keys see ``GlobalThreshold``."""
+    return _with_state(stream, Policies(t_op, t_min, warm_seconds=warm_seconds, slot=slot, idle=idle), POLICY_OUT)
 
-def count_windows(stream: DataFrame, length: int = 10, stride: int = 2) -> DataFrame:
-    """(key, win_ix, tokens) from (key, ts, id, token)."""
-    return stream.groupBy("key").transformWithStateInPandas(CountWindows(length, stride), WINDOW_OUT, "Append", "None")
 
+def on_time(rows: DataFrame) -> DataFrame:
+    """What a detector found, without the late rows."""
+    return rows.where("NOT late").drop("late")
 
-def policies(stream: DataFrame, t_op: float, t_min: float) -> DataFrame:
-    """The three policies from (key, ts, id, label, score). One threshold for all is the same with one key for all,
-    and then one task."""
-    return stream.groupBy("key").transformWithStateInPandas(Policies(t_op, t_min), POLICY_OUT, "Append", "None")
+
+def late_by_key(rows: DataFrame) -> DataFrame:
+    """(key, n): the late rows of a detector's output, over all of its batches."""
+    return rows.where("late").groupBy("key").agg(F.count("*").alias("n"))
+
+
+class GlobalThreshold:
+    """One unconditional threshold over all keys, as a ``foreachBatch`` function, with no key that holds them all.
+
+    A batch is cut into blocks by ranges of its rows, what blocks do to T is composed, and the batch's rows get their
+    trace from the one stored T; the next T is stored with the number of its batch, so a batch that is run again starts
+    from the same T and writes the same rows. Batches must come in order of event time, as those of files that were
+    written in order or what ``policies`` has released.
+    """
+
+    def __init__(self, path: str, t_op: float, t_min: float, order: tuple[str, ...] = ("ts", "id"), beta: float = 0.9):
+        self.path, self.t_op, self.t_min, self.order, self.beta = path, t_op, t_min, order, beta
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        t = spark.read.schema("batch long, t double").parquet(f"{self.path}/t").where(F.col("batch") < number).agg(F.max_by("t", "batch")).first()[0]
+        # The stored T takes T_op's place as the start; flags of the fixed policy are not this function's.
+        rows = batch.withColumns({"_all": F.lit(1), "T_op": F.lit(t), "T_min": F.lit(self.t_min)})
+        trace = thresholds.ema(rows, ["_all"], self.order, self.beta).drop("_all", "T_op", "T_min")
+        trace.write.mode("overwrite").parquet(f"{self.path}/rows/batch={number}")
+        done = spark.read.schema(trace.schema).parquet(f"{self.path}/rows/batch={number}")
+        end = done.agg(F.max_by("T_after", F.struct(*self.order)).alias("t")).select(F.coalesce("t", F.lit(t)).alias("t"))
+        end.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/t/batch={number}")
+
+    def run(self, stream: DataFrame, checkpoint: str) -> DataFrame:
+        """Run over all there is; the rows with T_before, T_after and flagged."""
+        spark = stream.sparkSession
+        if not _there(spark, f"{self.path}/t"):
+            spark.range(1).select(F.lit(self.t_op).alias("t")).write.parquet(f"{self.path}/t/batch=-1")
+        _finished(stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        return spark.read.parquet(f"{self.path}/rows").drop("batch")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where)
+
+
+def _finished(q: StreamingQuery) -> StreamingQuery:
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return q
 
 
 def alerts_per_hour(stream: DataFrame) -> DataFrame:
@@ -118,23 +277,13 @@ def threshold_rise(stream: DataFrame, bound: float) -> DataFrame:
 
 
 def arrived_once(stream: DataFrame) -> DataFrame:
-    """Rows by id, each once however often it is delivered within the watermark; later ones are dropped and counted."""
+    """Rows by id, each once however often it is delivered within the watermark."""
     return stream.dropDuplicatesWithinWatermark(["id"])
 
 
 def run(stream: DataFrame, path: str, checkpoint: str, by: tuple[str, ...] = ()) -> StreamingQuery:
     """Run a stream over all there is into Parquet files at ``path``, in folders ``by`` columns."""
-    q = stream.writeStream.partitionBy(*by).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    return q
-
-
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark, over the batches of which a query keeps reports: 100, or as many as
-    spark.sql.streaming.numRecentProgressUpdates says. Where rows are aggregated first, Spark counts their groups."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return _finished(stream.writeStream.partitionBy(*by).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start())
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, schema: str | StructType, by: tuple[str, ...] = ()) -> DataFrame:
