@@ -59,11 +59,10 @@ def trial_streams(cells: DataFrame, pools: DataFrame, warm: int = 50, noise: int
     return out
 
 
-def in_interval(windows: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
-    """Label windows (start, stop) by overlap with an interval (lo, hi) of the same key."""
-    joined = windows.join(intervals, key, "left")
-    hit = (F.col("start") <= F.col("hi")) & (F.col("stop") >= F.col("lo"))
-    return joined.withColumn("label", F.coalesce(hit, F.lit(False)).cast("int")).drop("lo", "hi")
+def token_ids(seq: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Add id, a token's number in the dictionary (token, id); tokens that it lacks go, as unknown symbols do. The
+    dictionary is left to Spark's size check: it is broadcast only if it is small."""
+    return seq.join(dictionary.select("token", "id"), "token")
 
 
 def leakage(cal: DataFrame, test: DataFrame, id_col: str) -> DataFrame:

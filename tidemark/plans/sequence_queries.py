@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.portable import h32_sql
 from tidemark.operators import features as X
 from tidemark.operators import metrics as E
+from tidemark.operators import ranges as R
 from tidemark.operators import sampling as J
 from tidemark.operators import scaling as N
 from tidemark.operators import scorers as M
@@ -89,7 +90,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_io1(spark, d):
-    return S.line_sequences(spark, d)
+    return R.long_sequences(S.table(spark, d, "lineitem"), "l_suppkey", S.LINE_ORDER, F.concat("l_returnflag", "l_linestatus"))
 
 
 def q_io2(spark, d):
@@ -119,7 +120,14 @@ def _joined(df):
 
 
 def q_w1(spark, d):
-    return _joined(line_windows(spark, d))
+    token = F.concat("l_returnflag", "l_linestatus")
+    return _joined(R.long_windows(S.table(spark, d, "lineitem"), "l_suppkey", S.LINE_ORDER, token, LINES))
+
+
+def q_w1_one(spark, d):
+    """All events as one sequence: a key that no task could hold at scale."""
+    events = S.table(spark, d, "events").withColumn("one", F.lit(1).cast("long"))
+    return _joined(R.long_windows(events, "one", ["ts", "event_id"], F.col("event_type"), EVENTS))
 
 
 def q_w3(spark, d):
@@ -263,17 +271,20 @@ def q_j1(spark, d):
 
 
 def q_j6(spark, d):
-    types = S.table(spark, d, "events").groupBy("event_type").agg(F.min("event_id").alias("id"))
-    return S.event_sequences(spark, d).join(types, F.col("token") == F.col("event_type")).groupBy("seq_id").agg(F.sum("id").alias("ids"), F.count("*").alias("n"))
+    types = S.table(spark, d, "events").groupBy(F.col("event_type").alias("token")).agg(F.min("event_id").alias("id"))
+    return J.token_ids(S.event_sequences(spark, d), types.where("token <> 'signup'")).groupBy("seq_id").agg(F.sum("id").alias("ids"), F.count("*").alias("n"))
 
 
 def q_j9(spark, d):
-    """Windows of ten events, labelled by overlap with the time between a user's first and last error."""
+    """Windows of ten events, labelled by overlap with a user's bursts of errors, which are under two days apart."""
     events = S.table(spark, d, "events")
-    at = events.withColumn("block", ((F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1) / 10).cast("long"))
-    windows = at.groupBy("user_id", "block").agg(F.min("ts").alias("start"), F.max("ts").alias("stop"))
-    lohi = events.where("event_type = 'error'").groupBy("user_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    return J.in_interval(windows, lohi, "user_id").select("user_id", "block", "label")
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    windows = events.withColumn("block", ((F.row_number().over(by_time) - 1) / 10).cast("long")).groupBy("user_id", "block").agg(F.min("ts").alias("start"), F.max("ts").alias("stop"))
+    errors = events.where("event_type = 'error'")
+    fresh = F.coalesce((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(by_time).cast("timestamp")) >= 2 * 86_400_000_000).cast("int"), F.lit(1))
+    bursts = errors.withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    bursts = bursts.groupBy("user_id", "burst").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    return R.in_intervals(windows, bursts, "user_id").select("user_id", "block", "label")
 
 
 _z = """c AS (SELECT seq_id, win_ix, entropy AS ent, max_freq AS mx, pres[1] > 0 AS attack FROM feat),
@@ -296,6 +307,8 @@ QUERIES = {
     "f6_drop_warmup": (q_f6, """SELECT user_id, count(*) AS n_all, count(*) FILTER (epoch_us(ts) - epoch_us(first_ts) >= 86400000000) AS n_late
         FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM events) GROUP BY user_id"""),
     "w1_w2_sliding_windows": (q_w1, _sql(SEQ_LINES, _flt(LINES), WIN, then="SELECT seq_id, win_ix, array_to_string(tokens, ' ') AS tokens FROM win")),
+    "w1_one_long_sequence": (q_w1_one, _sql("seq AS (SELECT 1::BIGINT AS seq_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, event_type AS token FROM events)", _flt(EVENTS), WIN,
+        then="SELECT seq_id, win_ix, array_to_string(tokens, ' ') AS tokens FROM win")),
     "w3_windows_full": (q_w3, _sql(SEQ, _flt(None), WIN, then="SELECT seq_id, win_ix, array_to_string(tokens, ' ') AS tokens FROM win")),
     "w4_window_grid": (q_w4, """SELECT g.l::INT AS length, g.s::INT AS stride, seq_id, (CASE WHEN n >= g.l THEN (n - g.l) // g.s + 1 ELSE 1 END)::BIGINT AS n_windows
         FROM (SELECT l_suppkey AS seq_id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 5), (VALUES (10, 2), (15, 3), (5, 1), (25, 5)) g(l, s)"""),
@@ -332,8 +345,9 @@ QUERIES = {
         (count(*) OVER (PARTITION BY alpha, s) - 1) / 2 AS r FROM w)""", then="""SELECT alpha, round((sum(r) FILTER (attack) - count(*) FILTER (attack) * (count(*) FILTER (attack) + 1) / 2)
         / (count(*) FILTER (attack) * count(*) FILTER (NOT attack)), 6) AS auc FROM r GROUP BY alpha""")),
     "j1_cap_sample": (q_j1, f"SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) ORDER BY {h32_sql(repr('cap'), 'l_orderkey')}, l_orderkey LIMIT 500"),
-    "j6_token_ids": (q_j6, """SELECT user_id AS seq_id, sum(id)::BIGINT AS ids, count(*) AS n FROM events JOIN (SELECT event_type, min(event_id) AS id FROM events GROUP BY 1) USING (event_type) GROUP BY 1"""),
+    "j6_token_ids": (q_j6, """SELECT user_id AS seq_id, sum(id)::BIGINT AS ids, count(*) AS n FROM events JOIN (SELECT event_type, min(event_id) AS id FROM events WHERE event_type <> 'signup' GROUP BY 1) USING (event_type) GROUP BY 1"""),
     "j9_interval_labels": (q_j9, """WITH w AS (SELECT user_id, block, min(ts) AS start, max(ts) AS stop FROM (SELECT user_id, ts, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 10 AS block
-        FROM events) GROUP BY ALL), i AS (SELECT user_id, min(ts) AS lo, max(ts) AS hi FROM events WHERE event_type = 'error' GROUP BY 1)
-        SELECT user_id, block, coalesce(start <= hi AND stop >= lo, false)::INT AS label FROM w LEFT JOIN i USING (user_id)"""),
+        FROM events) GROUP BY ALL), e AS (SELECT user_id, ts, event_id, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 172800000000)::INT, 1) AS fresh
+        FROM events WHERE event_type = 'error'), i AS (SELECT user_id, min(ts) AS lo, max(ts) AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e) GROUP BY user_id, g)
+        SELECT user_id, block, EXISTS (SELECT 1 FROM i WHERE i.user_id = w.user_id AND start <= hi AND stop >= lo)::INT AS label FROM w"""),
 }

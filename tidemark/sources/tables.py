@@ -25,9 +25,12 @@ def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type"))
 
 
+#: The order of a supplier's lines.
+LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
+
+
 def line_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
-    return sequences(table(spark, sf_dir, "lineitem"), "l_suppkey", order, F.concat("l_returnflag", "l_linestatus"))
+    return sequences(table(spark, sf_dir, "lineitem"), "l_suppkey", LINE_ORDER, F.concat("l_returnflag", "l_linestatus"))
 
 
 def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
