@@ -59,11 +59,13 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
         texts.mapInArrow(_prefixes(shingle, percent, *large), "cls binary, gid long, n int, keys array<long>, logs array<tinyint>")
     )
     members = stash(prefixes.groupBy("cls").agg(F.first("gid").alias("gid")))
-    several = members.groupBy("gid").agg(F.count("*").alias("classes")).where("classes > 1").select("gid", F.lit(0).alias("pos"), F.lit(True).alias("several"))
     leaders = members.groupBy("gid").agg(F.min("cls").alias("leader"))
-    groups = prefixes.groupBy("gid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("logs").alias("logs"))
-    posts = groups.select("gid", "n", F.posexplode(F.arrays_zip("keys", "logs")).alias("pos", "x")).select(
-        F.col("x.keys").alias("key"), F.col("x.logs").cast("int").alias("log"), "gid", "n", "pos"
+    groups = prefixes.groupBy("gid").agg(
+        F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("logs").alias("logs"), (F.min("cls") < F.max("cls")).alias("several")
+    )
+    # Classes of one group share their whole prefix, so its first shingle is enough for them to meet below.
+    posts = groups.select("gid", "n", "several", F.posexplode(F.arrays_zip("keys", "logs")).alias("pos", "x")).select(
+        F.col("x.keys").alias("key"), F.col("x.logs").cast("int").alias("log"), "gid", "n", "pos", (F.col("several") & (F.col("pos") == 0)).alias("several")
     )
     deal = F.expr(f"CASE WHEN log > {DEAL_LOG} THEN pmod(gid, shiftleft(1L, log - {DEAL_LOG})) ELSE 0L END")
     by_size = Window.partitionBy("key", "deal").orderBy("n", "gid")
@@ -72,8 +74,6 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
         .withColumn("lead", F.lead("gid").over(by_size))
         .withColumn("prev", F.lag(F.struct("gid", "n")).over(by_size))
         .withColumn("meets", F.expr(f"log > {DEAL_LOG} OR lead IS NOT NULL OR prev IS NOT NULL"))
-        # Classes of one group share their whole prefix, so its first shingle is enough for them to meet below.
-        .join(several, ["gid", "pos"], "left")
         .where("meets OR several")
         .drop("lead", "several")
     )
