@@ -89,7 +89,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, c
 
     rate = F.get("features", FEATURES.index("lexicon_rate"))
     if both.get(2):
-        trees = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7).fit(known.where("fold = 2").coalesce(4).cache())
+        fitted_on = known.where("fold = 2").coalesce(4).cache()
+        trees = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7).fit(fitted_on)
+        fitted_on.unpersist()
         scored = trees.transform(made.withColumn("dense", F.col("features")).withColumn("features", array_to_vector("features")))
         score = vector_to_array("probability")[1]
         if both.get(1):
