@@ -51,15 +51,3 @@ def test_isolation_ranks_outliers_first(spark):
     forest = scorers.fit_isolation(df, "id", "x", trees=100, sample=301)
     top = scorers.isolation_score(df, "x", forest).orderBy("isolation", ascending=False).first()
     assert top["id"] == 999
-
-
-def test_vae_learns(spark):
-    import numpy as np
-
-    from tidemark.operators import scorers
-
-    rng = np.random.default_rng(1)
-    base = rng.standard_normal((200, 2)) @ rng.standard_normal((2, 6))
-    df = spark.createDataFrame([(x.tolist(),) for x in base], "x array<double>")
-    mean = lambda w: scorers.vae_error(df, "x", w).agg({"recon": "avg"}).first()[0]
-    assert mean(scorers.fit_vae(df, "x", steps=25)) < mean(scorers.fit_vae(df, "x", steps=1))

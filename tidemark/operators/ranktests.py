@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -21,16 +21,32 @@ def upper_tail(z: float) -> float:
     return None if z is None else 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def chi_square_tail(h: Column, df: Column) -> Column:
+    """P(X >= h) of a chi-square with a whole number of degrees: the upper incomplete gamma function is a finite sum then,
+    of df / 2 terms, and for odd degrees what a normal has beyond the root of h."""
+    x, odd = h / 2, df % 2 == 1
+    # Terms x**a / gamma(a + 1) for a = 0, 1, ... or 1/2, 3/2, ...: each is the one before it times x / a.
+    first = F.when(odd, 2 * F.sqrt(x / F.pi())).otherwise(1.0)
+    more = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((df - F.when(odd, 1).otherwise(0)) / 2).cast("int")))
+    half = F.when(odd, 0.5).otherwise(0.0)
+    pair = lambda term, total: F.struct(term.cast("double").alias("term"), total.cast("double").alias("total"))
+    summed = F.aggregate(more, pair(first, F.lit(0.0)), lambda s, k: pair(s["term"] * x / (k + half), s["total"] + s["term"]))["total"]
+    return F.when(odd, 2 * upper_tail(F.sqrt(h)) + F.when(df > 1, F.exp(-x) * summed).otherwise(0.0)).otherwise(F.exp(-x) * summed)
+
+
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(h, p_df2): tie-corrected H; its tail for three groups, where chi-square has two degrees, is exp(-H / 2)."""
+    """(h, df, p): tie-corrected H over any number of groups, its degrees, and its chi-square tail. Null without values or
+    where all are tied."""
     df = df.where(F.col(value).isNotNull())
     ranks = average_ranks(df, value)
     r = df.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("n"))
-    total = r.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("n").alias("n"))
+    total = r.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("n").alias("n"), (F.count("*") - 1).cast("int").alias("df"))
     ties = ranks.agg(F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).alias("t"))
-    n, h = F.col("n"), F.col("h")
-    raw = 12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
-    return total.crossJoin(ties).select((raw / (1 - F.col("t") / (n * n * n - n))).alias("h")).select("h", F.exp(-h / 2).alias("p_df2"))
+    n = F.col("n")
+    raw = 12.0 / F.nullif(n * (n + 1), F.lit(0)) * F.col("s") - 3 * (n + 1)
+    correction = 1 - F.col("t") / F.nullif(n * n * n - n, F.lit(0))
+    h = total.crossJoin(ties).select((raw / F.nullif(correction, F.lit(0.0))).alias("h"), "df")
+    return h.select("h", "df", F.when(F.col("df") > 0, chi_square_tail(F.col("h"), F.col("df"))).alias("p"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -82,6 +98,30 @@ def bootstrap_ci(df: DataFrame, by: list[str], ix: str, value: str, reps: int, s
     return n.join(ci, by).select(*by, "mean", "lo", "hi")
 
 
+#: 65,536 times the chance that a Poisson(1) variable is at most 0, 1, 2, ...: what a 16-bit draw is held against.
+_POISSON = [round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
+
+
+def poisson_bootstrap(df: DataFrame, by: list[str], ids: list[str], value: str, reps: int, seed: str) -> DataFrame:
+    """(by, mean, lo, hi): percentile interval of the mean for groups of any size, rows told apart by ``ids``.
+
+    Every row has in every replicate a weight that is Poisson(1), drawn from a hash, as if rows were drawn with
+    replacement; eight weights come of one digest. Replicates are sums of weights and of weighted values, added up where
+    the rows are, so nothing is numbered or joined and a group's rows never meet. Nulls take no part.
+    """
+    d = df.where(F.col(value).isNotNull()).select(*by, *ids, F.col(value).cast("double").alias("_v")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // 8) - 1))))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in (*by, *ids)), F.col("_c").cast("string")).cast("binary"))
+    d = d.withColumn("_d", digest)
+    draws = [F.conv(F.substring("_d", 4 * k + 1, 4), 16, 10).cast("int") for k in range(8)]
+    weights = [sum((F.when(u >= t, 1).otherwise(0) for t in _POISSON), F.lit(0)) for u in draws]
+    d = d.withColumns({f"_w{k}": w for k, w in enumerate(weights)})
+    sums = d.groupBy(*by, "_c").agg(*(x for k in range(8) for x in (F.sum(f"_w{k}").alias(f"_n{k}"), F.sum(F.col(f"_w{k}") * F.col("_v")).alias(f"_s{k}"))))
+    each = F.explode(F.array(*(F.struct((F.col("_c") * 8 + k).alias("rep"), F.col(f"_n{k}").alias("n"), F.col(f"_s{k}").alias("s")) for k in range(8))))
+    means = sums.select(*by, each.alias("x")).where((F.col("x.rep") < reps) & (F.col("x.n") > 0)).select(*by, (F.col("x.s") / F.col("x.n")).alias("_m"))
+    ci = means.groupBy(*by).agg(F.expr("percentile(_m, 0.025D)").alias("lo"), F.expr("percentile(_m, 0.975D)").alias("hi"))
+    return df.groupBy(*by).agg(F.avg(value).alias("mean")).join(ci, by).select(*by, "mean", "lo", "hi")
+
+
 def one_row_per_trial(df: DataFrame, keys: list[str]) -> DataFrame:
     """The rows, one for each trial; fails when a trial has several, as frames of windows do."""
     others = [c for c in df.columns if c not in keys]

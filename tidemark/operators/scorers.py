@@ -5,20 +5,22 @@ Models are small tables or arrays; fitting reads distributed data and sends back
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHA = 0.7
-#: Isolation forest: trees and rows for each.
-TREES, SAMPLE = 200, 256
-#: Variational autoencoder: hidden and latent sizes, weight of the divergence, learning rate.
-HIDDEN, LATENT, KL, RATE = 24, 6, 0.5, 1e-3
+#: Isolation forest: trees, rows for each and how deep they go. EULER is Euler's constant.
+TREES, SAMPLE, DEPTH, EULER = 200, 256, 8, 0.5772156649015329
+#: Variational autoencoder: hidden and latent sizes, weight of the divergence, learning rate, epochs, rows of a mini-batch.
+HIDDEN, LATENT, KL, RATE, EPOCHS, BATCH = 24, 6, 0.5, 1e-3, 40, 256
 
 
 def ensemble(za: str, zi: str, alpha: float = ALPHA):
@@ -51,22 +53,25 @@ def given_error(df: DataFrame, vector: str, directions: list[list[float]], out:
 
 def path_length(n: float) -> float:
     """Mean path of an unsuccessful search among n rows."""
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + EULER) - 2 * (n - 1) / n
 
 
 def fit_isolation(df: DataFrame, id_col: str, vector: str, trees: int = TREES, sample: int = SAMPLE, seed: str = "0") -> DataFrame:
-    """(tree, nodes): each tree grows on its own hash sample of about ``sample`` rows of normal training data.
+    """(tree, size, nodes): each tree grows on its own hash sample of normal training rows, exactly ``sample`` of them where
+    there are as many.
 
-    A row joins a tree if its hash for that tree is small, so no tree ever holds more than a few hundred rows.
+    A row has two hashes, and its key for tree j is h1 + j * h2, mixed. Every task keeps the rows with the smallest keys of
+    each tree, which merge: first within some hundred tasks, then over all. So one pass and no count are needed, and no
+    task holds more than some thousand rows of a tree.
     """
-    n = max(1, df.count())
-    share = min(1.0, sample / n)
-    # The trees of a row are told by hashes before the row is copied: most rows go to none.
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), t), F.lit(1 << 32)) < int(share * 2**32))
-    rows = df.select(F.col(vector).cast("array<double>").alias("x"), F.explode(drawn).alias("tree"))
+    rows = df.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("a"), F.xxhash64(F.lit(f"{seed}'"), F.col(id_col)).alias("b"), F.col(vector).cast("array<double>").alias("x"))
+    kept = rows.mapInPandas(_least_of(trees, sample), "tree int, key long, x array<double>").withColumn("room", F.shiftright(F.spark_partition_id(), 7))
+    for by in (["tree", "room"], ["tree"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("key", "x"))
+        kept = kept.withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
 
     def grow(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g["x"].to_numpy())
+        x = np.stack(g.sort_values("key")["x"].to_numpy())
         rng = np.random.default_rng(int(g["tree"].iloc[0]))
         nodes: list[list[float]] = []
 
@@ -75,7 +80,7 @@ def fit_isolation(df: DataFrame, id_col: str, vector: str, trees: int = TREES, s
             nodes.append([-1.0, 0.0, 0.0, 0.0, depth + path_length(len(idx))])
             lo, hi = x[idx].min(0), x[idx].max(0)
             open_ = np.flatnonzero(hi > lo)
-            if depth >= 8 or len(idx) < 2 or not len(open_):
+            if depth >= DEPTH or len(idx) < 2 or not len(open_):
                 return me
             f = int(rng.choice(open_))
             cut = rng.uniform(lo[f], hi[f])
@@ -89,33 +94,69 @@ def fit_isolation(df: DataFrame, id_col: str, vector: str, trees: int = TREES, s
         node(np.lexsort(x.T), 0)
         return pd.DataFrame({"tree": [int(g["tree"].iloc[0])], "size": [len(x)], "nodes": [[v for r in nodes for v in r]]})
 
-    return rows.groupBy("tree").applyInPandas(grow, "tree int, size int, nodes array<double>")
+    return kept.select("tree", "key", "x").groupBy("tree").applyInPandas(grow, "tree int, size int, nodes array<double>")
+
+
+def _least_of(trees: int, sample: int):
+    """Of a task's rows, those with the ``sample`` smallest keys of each tree. A bound for each tree's keys falls as rows
+    come, so that soon nearly all rows are passed over."""
+    numbers = np.arange(trees, dtype=np.uint64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bound = np.full(trees, np.iinfo(np.int64).max)
+        tree, key, held = np.empty(0, np.int64), np.empty(0, np.int64), []
+        for batch in batches:
+            for lo in range(0, len(batch), 4096):
+                b = batch.iloc[lo : lo + 4096]
+                h1, h2 = (b[c].to_numpy().view(np.uint64)[:, None] for c in ("a", "b"))
+                h = h1 + numbers * (h2 | np.uint64(1))
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+                keys = ((h ^ (h >> np.uint64(27))) >> np.uint64(1)).view(np.int64)
+                row, new = np.nonzero(keys < bound)
+                tree, key = np.concatenate([tree, new]), np.concatenate([key, keys[row, new]])
+                held += list(b["x"].to_numpy()[row])
+                if len(key) > 4 * trees * sample:
+                    tree, key, held = least(tree, key, held, bound)
+        tree, key, held = least(tree, key, held, bound)
+        yield pd.DataFrame({"tree": tree, "key": key, "x": held})
+
+    def least(tree, key, held, bound):
+        order = np.lexsort((key, tree))
+        first = np.searchsorted(tree[order], np.arange(trees + 1))
+        place = np.arange(len(order)) - first[tree[order]]
+        full = np.flatnonzero(place == sample - 1)
+        bound[tree[order][full]] = key[order][full]
+        kept = order[place < sample]
+        return tree[kept], key[kept], [held[i] for i in kept]
+
+    return run
 
 
 def isolation_score(df: DataFrame, vector: str, forest: DataFrame, out: str = "isolation") -> DataFrame:
-    """2 ** (-mean path / normal path): higher is stranger. The forest is bounded: trees times 511 nodes."""
-    trees = [(r["size"], np.array(r["nodes"]).reshape(-1, 5)) for r in forest.orderBy("tree").collect()]
-    norm = max(1e-9, path_length(float(np.mean([s for s, _ in trees] or [2]))))
+    """2 ** (-mean path / normal path): higher is stranger; 0.5 without trees.
 
-    @F.pandas_udf("double")
-    def score(v: pd.Series) -> pd.Series:
-        if not len(v) or not trees:
-            return pd.Series(np.full(len(v), 0.5))
-        x = np.stack(v.to_numpy())
-        total = np.zeros(len(x))
-        for _, t in trees:
-            at = np.zeros(len(x), int)
-            while True:
-                f = t[at, 0].astype(int)
-                inner = np.flatnonzero(f >= 0)
-                if not len(inner):
-                    break
-                left = x[inner, f[inner]] <= t[at[inner], 1]
-                at[inner] = np.where(left, t[at[inner], 2], t[at[inner], 3]).astype(int)
-            total += t[at, 4]
-        return pd.Series(2.0 ** (-(total / len(trees)) / norm))
-
-    return df.withColumn(out, score(F.col(vector).cast("array<double>")))
+    The forest, of at most trees times 511 nodes, comes as one broadcast row of arrays, and a row walks it in expressions:
+    nothing is collected and no Python runs.
+    """
+    nodes = F.col("nodes")
+    at = lambda k: F.transform(F.sequence(F.lit(0), (F.size(nodes) / 5).cast("int") - 1), lambda i: F.get(nodes, i * 5 + k))
+    each = F.struct("tree", at(0).cast("array<int>").alias("f"), at(1).alias("cut"), at(2).cast("array<int>").alias("left"), at(3).cast("array<int>").alias("right"), at(4).alias("path"))
+    one = forest.agg(F.sort_array(F.collect_list(each)).alias("_trees"), F.avg("size").alias("_m"))
+    m = F.col("_m")
+    normal = F.when(m <= 1, 0.0).when(m == 2, 1.0).otherwise(2 * (F.log(m - 1) + EULER) - 2 * (m - 1) / m)
+    x = F.col("_x")
+
+    def path(t: Column) -> Column:
+        def on(node: Column, _: Column) -> Column:
+            f = F.get(t["f"], node)
+            return F.when(f < 0, node).when(F.get(x, f) <= F.get(t["cut"], node), F.get(t["left"], node)).otherwise(F.get(t["right"], node))
+
+        return F.get(t["path"], F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.lit(0), on))
+
+    mean = F.aggregate("_trees", F.lit(0.0), lambda s, t: s + path(t)) / F.size("_trees")
+    score = F.when(F.size("_trees") > 0, F.pow(F.lit(2.0), -mean / F.greatest(F.lit(1e-9), normal))).otherwise(0.5)
+    d = df.withColumn("_x", F.col(vector).cast("array<double>")).crossJoin(F.broadcast(one))
+    return d.withColumn(out, score).drop("_x", "_trees", "_m")
 
 
 def _vae_shapes(d: int) -> list[tuple[int, ...]]:
@@ -131,32 +172,64 @@ def _unpack(flat: np.ndarray, d: int) -> list[np.ndarray]:
     return out
 
 
-def fit_vae(df: DataFrame, vector: str, steps: int = 40, seed: int = 0) -> np.ndarray:
-    """Weights of a variational autoencoder, by full-batch Adam.
+def fit_vae(df: DataFrame, vector: str, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 0, least: int = 16) -> np.ndarray:
+    """Weights of a variational autoencoder, by Adam over mini-batches.
 
-    Each step is one job: partitions add up gradients over their rows, the sums are added up, and the driver holds the
-    few thousand weights and nothing else.
+    An epoch deals the rows anew by a hash of the row and the epoch. Every task takes Adam steps over mini-batches of its
+    rows, from the weights and moments that all tasks share, and an epoch ends with the mean of what they have come to,
+    weighted by rows. A task gets ``least`` mini-batches or more, so a small table is plain mini-batch Adam in one task.
+    What the driver holds are the weights and two moments, some thousand numbers.
     """
-    d = len(df.select(vector).first()[0])
+    first = df.select(vector).first()
+    if first is None:
+        raise ValueError("no rows to fit on")
+    d = len(first[0])
+    state = np.concatenate([start_vae(d, seed), np.zeros(2 * sum(math.prod(s) for s in _vae_shapes(d)))])
+    rows = df.select(F.col(vector).cast("array<double>").alias("x"), F.xxhash64(F.col(vector).cast("array<double>")).alias("h"))
+    n = rows.count()
+    parts, done = max(1, n // (batch * least)), 0
+    for epoch in range(epochs):
+        mixed = F.xxhash64("h", F.lit(epoch))
+        dealt = rows.select("x", mixed.alias("h")).repartition(parts, "h").sortWithinPartitions("h", "x")
+
+        def local(batches: Iterator[pd.DataFrame], state=state, done=done, epoch=epoch) -> Iterator[pd.DataFrame]:
+            noise = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
+            now, seen = adam_steps(state, (np.stack(b["x"].to_numpy()) for b in batches if len(b)), batch, rate, done, noise)
+            yield pd.DataFrame({"i": np.arange(len(now) if seen else 0), "v": now[: len(now) if seen else 0] * seen, "n": seen})
+
+        mean = dealt.select("x").mapInPandas(local, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).orderBy("i").toPandas()
+        state = mean["v"].to_numpy()
+        done += max(1, -(-n // (parts * batch)))
+    return state[: len(state) // 3]
+
+
+def start_vae(d: int, seed: int = 0) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    w = np.concatenate([(rng.standard_normal(s) * (1 / np.sqrt(s[0])) if len(s) == 2 else np.zeros(s)).ravel() for s in _vae_shapes(d)])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    rows = df.select(F.col(vector).cast("array<double>").alias("x"))
-    for step in range(1, steps + 1):
-        def sums(batches: Iterator[pd.DataFrame], w=w, step=step) -> Iterator[pd.DataFrame]:
-            g, n, noise = np.zeros_like(w), 0, np.random.default_rng(seed * 1000 + step)
-            for b in batches:
-                if len(b):
-                    x = np.stack(b["x"].to_numpy())
-                    g += _gradient(w, x, noise.standard_normal((len(x), LATENT)))
-                    n += len(x)
-            yield pd.DataFrame({"i": np.arange(len(w)), "g": g, "n": n})
-
-        total = rows.mapInPandas(sums, "i int, g double, n long").groupBy("i").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).orderBy("i").toPandas()
-        g = total["g"].to_numpy() / max(1, int(total["n"].iloc[0]))
+    return np.concatenate([(rng.standard_normal(s) * (1 / np.sqrt(s[0])) if len(s) == 2 else np.zeros(s)).ravel() for s in _vae_shapes(d)])
+
+
+def adam_steps(state: np.ndarray, arrays: Iterable[np.ndarray], batch: int, rate: float, done: int, noise: np.random.Generator) -> tuple[np.ndarray, int]:
+    """(weights and moments after, rows seen): one step for each ``batch`` rows, and one for what is left."""
+    w, m, v = (x.copy() for x in np.split(state, 3))
+    seen, held = 0, []
+
+    def step(x: np.ndarray) -> None:
+        nonlocal w, m, v, seen, done
+        done += 1
+        g = _gradient(w, x, noise.standard_normal((len(x), LATENT))) / len(x)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - RATE * 20 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w
+        w = w - rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.999**done)) + 1e-8)
+        seen += len(x)
+
+    for x in arrays:
+        held.append(x)
+        while sum(map(len, held)) >= batch:
+            rows = np.concatenate(held)
+            step(rows[:batch])
+            held = [rows[batch:]]
+    if sum(map(len, held)):
+        step(np.concatenate(held))
+    return np.concatenate([w, m, v]), seen
 
 
 def _gradient(flat: np.ndarray, x: np.ndarray, noise: np.ndarray) -> np.ndarray:

@@ -228,7 +228,17 @@ def q_box(spark, d):
 
 
 def q_kruskal(spark, d):
-    return _round(H.kruskal(trial_table(spark, d), "noise", "t_uncond"))
+    return _round(H.kruskal(trial_table(spark, d), "noise", "t_uncond"), "df")
+
+
+def q_kruskal_types(spark, d):
+    """Values of the five event types: four degrees."""
+    return _round(H.kruskal(S.table(spark, d, "events").select("event_type", "value"), "event_type", "value"), "df")
+
+
+def q_poisson(spark, d):
+    """Mean value of all events of a type, from replicates over all rows."""
+    return _round(H.poisson_bootstrap(S.table(spark, d, "events"), ["event_type"], ["event_id"], "value", 200, "poisson"), "event_type")
 
 
 def _level(trials: DataFrame) -> DataFrame:
@@ -369,7 +379,16 @@ QUERIES = {
         round(min(t_uncond) FILTER (t_uncond >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low, round(max(t_uncond) FILTER (t_uncond <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high FROM trials JOIN q USING (noise) GROUP BY noise, q1, median, q3, low, high""")),
     "h2_kruskal": (q_kruskal, _sql(*STUDY, f"r AS (SELECT noise, t_uncond, {_rank.format(x='t_uncond')} AS r FROM trials WHERE t_uncond IS NOT NULL), g AS (SELECT sum(r) AS r, count(*) AS n FROM r GROUP BY noise), k AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*) AS c FROM trials WHERE t_uncond IS NOT NULL GROUP BY t_uncond))",
         "h AS (SELECT (12.0::DOUBLE / (sum(n) * (sum(n) + 1)) * sum(r * r / n) - 3 * (sum(n) + 1)) / (1 - any_value(t) / (sum(n) * sum(n) * sum(n) - sum(n))::DOUBLE) AS h FROM g, k)", recursive=True,
-        then="SELECT round(h, 6) AS h, round(exp(-h / 2), 6) AS p_df2 FROM h")),
+        then="SELECT round(h, 6) AS h, 2 AS df, round(exp(-h / 2), 6) AS p FROM h")),
+    "h2_kruskal_event_types": (q_kruskal_types, f"""WITH r AS (SELECT event_type, value, {_rank.format(x='value')} AS r FROM events), g AS (SELECT sum(r) AS r, count(*)::DOUBLE AS n FROM r GROUP BY event_type),
+        k AS (SELECT sum(c * c * c - c)::DOUBLE AS t FROM (SELECT count(*) AS c FROM events GROUP BY value)),
+        h AS (SELECT (12.0::DOUBLE / (sum(n) * (sum(n) + 1)) * sum(r * r / n) - 3 * (sum(n) + 1)) / (1 - any_value(t) / (sum(n) * sum(n) * sum(n) - sum(n))) AS h FROM g, k)
+        SELECT round(h, 6) AS h, 4 AS df, round(exp(-h / 2) * (1 + h / 2), 6) AS p FROM h"""),
+    "h1_poisson_bootstrap": (q_poisson, f"""WITH w AS (SELECT event_type, value, c * 8 + k AS rep, ('0x' || substr(md5(concat_ws('|', 'poisson', event_type, event_id, c)), 4 * k + 1, 4))::BIGINT AS u
+        FROM events, (SELECT unnest(range(25)) AS c), (SELECT unnest(range(8)) AS k)),
+        m AS (SELECT event_type, rep, sum(n * value) / sum(n) AS m FROM (SELECT *, {" + ".join(f"(u >= {t})::INT" for t in H._POISSON)} AS n FROM w) GROUP BY ALL HAVING sum(n) > 0)
+        SELECT event_type, round((SELECT avg(value) FROM events e WHERE e.event_type = m.event_type), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi
+        FROM m GROUP BY event_type"""),
     "h3_spearman": (q_spearman, _sql(*STUDY, f"v AS (SELECT {_level_sql} AS level, recall_uncond FROM trials WHERE recall_uncond IS NOT NULL)", recursive=True,
         then=f"SELECT round(rho, 6) AS rho, n, round(2 * {_tail.format(z='abs(rho) * sqrt(n - 1)')}, 6) AS p_normal FROM (SELECT corr(a, b) AS rho, count(*) AS n FROM (SELECT {_rank.format(x='level')} AS a, {_rank.format(x='recall_uncond')} AS b FROM v))")),
     "h4_wilcoxon": (q_wilcoxon, _sql(*STUDY, "dd AS (SELECT recall_cond - recall_uncond AS d, abs(recall_cond - recall_uncond) AS m FROM trials WHERE recall_cond <> recall_uncond)",
