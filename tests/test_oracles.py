@@ -31,7 +31,7 @@ def test_twin(spark, duck, name):
     cols = sorted(df.columns)
     assert cols == sorted(twin.columns)
     at = [twin.columns.index(c) for c in cols]
-    order = lambda r: tuple(round(x, 3) if isinstance(x, float) else (x is None, str(x)) for x in r)
+    order = lambda r: tuple((x is None, str(round(x, 3) + 0.0) if isinstance(x, float) else str(x)) for x in r)
     got = sorted((tuple(r) for r in df.select(*cols).collect()), key=order)
     want = sorted((tuple(r[i] for i in at) for r in twin.fetchall()), key=order)
     assert len(got) == len(want) > 0

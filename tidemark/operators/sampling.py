@@ -36,25 +36,26 @@ def design(spark: SparkSession, trials: int) -> DataFrame:
     )
 
 
-def draw(cells: DataFrame, pools: DataFrame, level: str, phase: str, slots: int, offset: int) -> DataFrame:
-    """Draw ``slots`` scores with replacement for each cell from the pool whose ``band`` is the cell's ``level``.
+def draw(cells: DataFrame, pools: DataFrame, level: str, phase: str, slots: int, offset: int, by: Sequence[str] = ()) -> DataFrame:
+    """Draw ``slots`` scores with replacement for each cell from the pool whose ``band`` is the cell's ``level``; from that
+    of each of the groups ``by`` (arms, say), with the same draws for all.
 
     A slot's hash modulo the pool's size names the pool row, so drawing is an equi-join. An empty pool gives no rows.
     """
-    sizes = pools.groupBy("band").agg(F.count("*").alias("size"))
+    sizes = pools.groupBy(*by, "band").agg(F.count("*").alias("size"))
     wanted = cells.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumn("band", F.col(level) if level in cells.columns else F.lit(level))
     wanted = wanted.join(F.broadcast(sizes), "band").withColumn("ix", h32(phase, F.col("attack_class"), F.col("noise"), F.col("trial"), F.col("slot")) % F.col("size"))
-    return wanted.join(pools.select("band", "ix", "score"), ["band", "ix"]).select(
-        "attack_class", "noise", "trial", (F.col("slot") + offset).cast("long").alias("pos"), F.lit(phase).alias("phase"), "score"
+    return wanted.join(pools.select(*by, "band", "ix", "score"), [*by, "band", "ix"]).select(
+        *by, "attack_class", "noise", "trial", (F.col("slot") + offset).cast("long").alias("pos"), F.lit(phase).alias("phase"), "score"
     )
 
 
-def trial_streams(cells: DataFrame, pools: DataFrame, warm: int = 50, noise: int = 150, attack: int = 30) -> DataFrame:
+def trial_streams(cells: DataFrame, pools: DataFrame, warm: int = 50, noise: int = 150, attack: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """The ordered streams: warm-up, then noise, then attack."""
     parts = (("none", "warm", warm, 0), ("noise", "noise", noise, warm), ("attack_class", "attack", attack, warm + noise))
     out = None
     for level, phase, slots, offset in parts:
-        part = draw(cells, pools, level, phase, slots, offset)
+        part = draw(cells, pools, level, phase, slots, offset, by)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -11,6 +11,7 @@ from tidemark.operators import metrics as E
 from tidemark.operators import ranktests as H
 from tidemark.operators import sampling as J
 from tidemark.operators import thresholds as T
+from tidemark.operators import windows as W
 from tidemark.sources import tables as S
 
 TRIALS, REPS = 40, 2000
@@ -89,6 +90,15 @@ def study_streams(spark: SparkSession, d: str) -> DataFrame:
     return C.with_params(streams, par.select("T_op", "T_min"))
 
 
+def arm_streams(spark: SparkSession, scores: DataFrame) -> DataFrame:
+    """The same study on the scores of several arms (arm, event_id, label, split, score), each with its own thresholds."""
+    par = C.calibrate(scores.where("label = 'benign' AND split = 'CAL'"), ("arm",))
+    test = scores.where("split = 'TEST'").join(par, "arm")
+    bands = C.noise_band(test.where("label = 'benign'")).unionByName(C.attack_band(test.where("label = 'attack'")))
+    pools = J.pool(bands.select("arm", "event_id", "score", "band"), ["arm", "band"], "event_id", "pool")
+    return J.trial_streams(J.design(spark, TRIALS), S.written(pools), by=["arm"]).join(par.select("arm", "T_op", "T_min"), "arm")
+
+
 def trial_table(spark: SparkSession, d: str) -> DataFrame:
     """One row for each trial: recalls, evasions, thresholds at the attack, the noisy neighbour's own flags.
 
@@ -98,10 +108,14 @@ def trial_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run_study(spark: SparkSession, d: str) -> DataFrame:
-    t = T.gathered_policies(study_streams(spark, d), CELL, ["pos"])
+    return trials_of(study_streams(spark, d), CELL)
+
+
+def trials_of(streams: DataFrame, cell: list[str]) -> DataFrame:
+    t = T.gathered_policies(streams, cell, ["pos"])
     at = F.col("phase") == "attack"
     share = lambda hit, phase=at: E.rate(F.when(phase, hit.cast("int")))
-    return t.groupBy(*CELL).agg(
+    return t.groupBy(*cell).agg(
         *(share(F.col(f"f_{p}")).alias(f"recall_{p}") for p in ("fixed", "uncond", "cond")),
         *(share(F.col("f_fixed") & ~F.col(f"f_{p}")).alias(f"evasion_{p}") for p in ("uncond", "cond")),
         T.at_attack("u0", "pos").alias("t_uncond"), T.at_attack("c0", "pos").alias("t_cond"),
@@ -117,13 +131,6 @@ def q_calibrate(spark, d):
     return _round(params(split_scores(spark, d)))
 
 
-def q_arms(spark, d):
-    """Calibration of two scorer arms in one plan."""
-    sp = split_scores(spark, d).where("label = 'benign' AND split = 'CAL'")
-    arms = sp.withColumn("arm", F.lit("raw")).unionByName(sp.withColumn("score", F.log1p(F.abs("score"))).withColumn("arm", F.lit("log")))
-    return _round(C.calibrate(arms, ("arm",)), "arm")
-
-
 def q_pools(spark, d):
     sp = split_scores(spark, d)
     return C.pools(sp.where("split = 'TEST'"), params(sp)).groupBy("band").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"))
@@ -224,9 +231,74 @@ def q_own(spark, d):
 
 
 def q_box(spark, d):
+    """Recall of stealthy attacks by noise and policy."""
+    stealthy = _long(trial_table(spark, d)).where("attack_class = 'stealthy' AND recall IS NOT NULL")
+    return _round(E.box(stealthy, "recall", ["noise", "policy"]), "noise", "policy")
+
+
+def q_box_thresholds(spark, d):
     return _round(E.box(trial_table(spark, d), "t_uncond", ["noise"]), "noise")
 
 
+def q_trial_trace(spark, d):
+    """How T moves over the first stealthy trial of each noise, phase by phase."""
+    one = study_streams(spark, d).where("attack_class = 'stealthy' AND trial = 0")
+    t = T.gathered_policies(one, CELL, ["pos"])
+    return _round(t.select("noise", "pos", "phase", "score", "u0", "u1", "c0", "c1"), "noise", "pos", "phase")
+
+
+def q_report(spark, d):
+    """The study's report, written as one nested object and read back: the trend of stealthy recall with noise, what the
+    moving threshold misses under high noise, the conditional one as its remedy, loud attacks as control, pool sizes."""
+    trials = trial_table(spark, d)
+    stealthy = trials.where("attack_class = 'stealthy'")
+    high, loud = stealthy.where("noise = 'high'"), trials.where("attack_class = 'loud' AND noise = 'high'")
+    means = lambda rows, *cols: rows.agg(F.struct(*(F.avg(c).alias(c) for c in cols)).alias("x"))
+    one = lambda rows: rows.select(F.struct(*rows.columns).alias("x"))
+    sizes = q_pools(spark, d).groupBy().pivot("band", ["none", "moderate", "high", "stealthy", "loud"]).agg(F.first("n"))
+    parts = {
+        "trend": one(H.kruskal(stealthy, "noise", "recall_uncond").crossJoin(H.spearman(_level(stealthy), "level", "recall_uncond"))),
+        "paired": one(H.wilcoxon(high, "recall_fixed", "recall_uncond")), "high_noise": means(high, "recall_fixed", "recall_uncond", "evasion_uncond", "t_uncond"),
+        "mitigation": means(high, "recall_cond", "evasion_cond", "t_cond"), "loud": means(loud, "recall_fixed", "recall_uncond", "evasion_uncond"), "pools": one(sizes),
+    }
+    whole = None
+    for name, part in parts.items():
+        part = part.withColumnRenamed("x", name)
+        whole = part if whole is None else whole.crossJoin(part)
+    path = S.scratch(spark)
+    S.write_report(whole, path)
+    r = spark.read.schema(whole.schema).json(path)
+    pick = lambda **cols: [F.round(c, 6).alias(n) for n, c in cols.items()]
+    return r.select(
+        *pick(h="trend.h", p_h="trend.p", rho="trend.rho", p_rho="trend.p_normal", w="paired.w", p_w="paired.p_normal", recall_fixed="high_noise.recall_fixed", recall_uncond="high_noise.recall_uncond",
+              evasion_uncond="high_noise.evasion_uncond", t_uncond="high_noise.t_uncond", recall_cond="mitigation.recall_cond", evasion_cond="mitigation.evasion_cond", t_cond="mitigation.t_cond",
+              loud_fixed="loud.recall_fixed", loud_uncond="loud.recall_uncond", loud_evasion="loud.evasion_uncond"),
+        *(F.col(f"pools.{b}").alias(f"n_{b}") for b in ("none", "moderate", "high", "stealthy", "loud")),
+    )
+
+
+def q_warm_rates(spark, d):
+    """False-positive rates of each policy over all benign rows, and without the first day of each tenant."""
+    t = tenant_traces(spark, d).where("label = 'benign'")
+    late = W.drop_warmup(tenant_traces(spark, d), "tenant", "ts", 86_400).where("label = 'benign'")
+    rates = lambda rows, end: rows.agg(*(F.round(E.rate(F.col(f"f_{p}")), 6).alias(f"fpr_{p}_{end}") for p in ("fixed", "uncond", "cond")))
+    return rates(t, "all").crossJoin(rates(late, "late"))
+
+
+def q_episode_latency(spark, d):
+    """For each burst of a tenant's errors, which are under two days apart: seconds from its first error to the first
+    alert in it; null if there is none."""
+    sp = split_scores(spark, d)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = C.with_params(sp, params(sp)).select("tenant", "ts", "event_id", us.alias("us"), (F.col("label") == "attack").alias("error"), (F.col("score") > F.col("T_op")).alias("alert"))
+    so_far = Window.partitionBy("tenant").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("error"), F.col("us"))).over(so_far)
+    fresh = (F.col("error") & F.coalesce(F.col("us") - last >= 2 * 86_400_000_000, F.lit(True))).cast("int")
+    rows = rows.withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(so_far.rowsBetween(Window.unboundedPreceding, 0))).where("burst > 0")
+    each = rows.groupBy("tenant", "burst").agg(F.min(F.when(F.col("error"), F.col("us"))).alias("lo"), F.max(F.when(F.col("error"), F.col("us"))).alias("hi"), F.min(F.when(F.col("alert"), F.col("us"))).alias("hit"))
+    return each.select("tenant", "burst", F.when(F.col("hit") <= F.col("hi"), F.round((F.col("hit") - F.col("lo")) / 1e6, 3)).alias("seconds"))
+
+
 def q_kruskal(spark, d):
     return _round(H.kruskal(trial_table(spark, d), "noise", "t_uncond"), "df")
 
@@ -344,10 +416,25 @@ _rates = "".join(f", round(avg(f_{p}::INT) FILTER (label = 'attack'), 6) AS reca
 _mw = lambda a, b: f"SELECT '{a}' AS a, '{b}' AS b, sum(CASE WHEN x.t_uncond > y.t_uncond THEN 1 WHEN x.t_uncond = y.t_uncond THEN 0.5 ELSE 0 END)::DOUBLE AS u FROM trials x, trials y WHERE x.noise = '{a}' AND y.noise = '{b}'"
 _mws = " UNION ALL ".join(_mw(a, b) for a, b in (("high", "none"), ("moderate", "none"), ("high", "moderate")))
 
+_stealthy = "s AS (SELECT * FROM trials WHERE attack_class = 'stealthy')"
+_report_ctes = (
+    _stealthy, f"kr AS (SELECT noise, recall_uncond AS x, {_rank.format(x='recall_uncond')} AS r FROM s)", "kg AS (SELECT sum(r) AS r, count(*)::DOUBLE AS n FROM kr GROUP BY noise)",
+    "kt AS (SELECT sum(c * c * c - c)::DOUBLE AS t FROM (SELECT count(*) AS c FROM s GROUP BY recall_uncond))",
+    "kh AS (SELECT (12.0::DOUBLE / (sum(n) * (sum(n) + 1)) * sum(r * r / n) - 3 * (sum(n) + 1)) / nullif(1 - any_value(t) / (sum(n) * sum(n) * sum(n) - sum(n)), 0) AS h FROM kg, kt)",
+    f"rh AS (SELECT corr(a, b) AS rho, count(*) AS n FROM (SELECT {_rank.format(x='level')} AS a, {_rank.format(x='recall_uncond')} AS b FROM (SELECT {_level_sql} AS level, recall_uncond FROM s)))",
+    "hi AS (SELECT * FROM s WHERE noise = 'high')", "lo AS (SELECT * FROM trials WHERE attack_class = 'loud' AND noise = 'high')",
+    "dd AS (SELECT recall_fixed - recall_uncond AS d, abs(recall_fixed - recall_uncond) AS m FROM hi WHERE recall_fixed <> recall_uncond)",
+    f"ww AS (SELECT coalesce(sum(r) FILTER (d > 0), 0) AS w, count(*)::DOUBLE AS n FROM (SELECT d, {_rank.format(x='m')} AS r FROM dd))", "wt AS (SELECT coalesce(sum(c * c * c - c), 0) AS t FROM (SELECT count(*) AS c FROM dd GROUP BY m))",
+    "wz AS (SELECT w, (w - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48::DOUBLE), 0) AS z FROM ww, wt)",
+    "mh AS (SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("recall_fixed", "recall_uncond", "evasion_uncond", "t_uncond", "recall_cond", "evasion_cond", "t_cond")) + " FROM hi)",
+    "ml AS (SELECT round(avg(recall_fixed), 6) AS loud_fixed, round(avg(recall_uncond), 6) AS loud_uncond, round(avg(evasion_uncond), 6) AS loud_evasion FROM lo)",
+    "ps AS (SELECT " + ", ".join(f"nullif(count(*) FILTER (band = '{b}'), 0) AS n_{b}" for b in ("none", "moderate", "high", "stealthy", "loud")) + " FROM pool)",
+)
+_report_sql = f"""SELECT round(h, 6) AS h, round(exp(-h / 2), 6) AS p_h, round(rho, 6) AS rho, round(2 * {_tail.format(z='abs(rho) * sqrt(rh.n - 1)')}, 6) AS p_rho, round(w, 6) AS w,
+        round({_tail.format(z='z')}, 6) AS p_w, mh.*, ml.*, ps.* FROM kh, rh, wz, mh, ml, ps"""
+
 QUERIES = {
     "e1_calibrate": (q_calibrate, _sql(SPLIT, PAR, then="SELECT " + ", ".join(f"round({n}, 6) AS {n}" for n in C.POINTS) + " FROM par")),
-    "io6_scorer_arms": (q_arms, _sql(SPLIT, "a AS (SELECT 'raw' AS arm, score FROM sp WHERE label = 'benign' AND split = 'CAL' UNION ALL SELECT 'log', ln(1 + abs(score)) FROM sp WHERE label = 'benign' AND split = 'CAL')",
-        then="SELECT arm, " + ", ".join(f"round(quantile_cont(score, {q}), 6) AS {n}" for n, q in C.POINTS.items()) + " FROM a GROUP BY arm")),
     "io3_io4_io5_sinks": (q_sinks, _sql(SPLIT, then="SELECT 'raw' AS arm, label, count(*) AS n, sum(event_id)::BIGINT AS ids FROM sp GROUP BY label")),
     "f3_f4_e15_pools": (q_pools, _sql(SPLIT, PAR, _bands("pool"), then="SELECT band, count(*) AS n, round(min(score), 6) AS low, round(max(score), 6) AS high FROM pool GROUP BY band")),
     "f5_warm_pool": (q_warm, _sql(SPLIT, PAR, then="SELECT count(*) AS n, round(max(score), 6) AS high FROM sp, par WHERE split = 'TEST' AND label = 'benign' AND score <= bp50")),
@@ -374,9 +461,22 @@ QUERIES = {
         (SELECT attack_class, noise, policy, avg(recall) AS mean FROM l GROUP BY ALL) USING (attack_class, noise, policy) GROUP BY ALL""")),
     "e11_delta_t": (q_delta, _sql(*STUDY, recursive=True, then="SELECT attack_class, round(avg(t_uncond) FILTER (noise = 'high') - avg(t_uncond) FILTER (noise = 'none'), 6) AS delta_t FROM trials GROUP BY 1")),
     "e16_own_flags": (q_own, _sql(*STUDY, recursive=True, then="SELECT noise, round(avg(own_uncond), 6) AS own_uncond, round(avg(own_fixed), 6) AS own_fixed FROM trials GROUP BY noise")),
-    "e13_box": (q_box, _sql(*STUDY, """q AS (SELECT noise, quantile_cont(t_uncond, 0.25) AS q1, quantile_cont(t_uncond, 0.5) AS median, quantile_cont(t_uncond, 0.75) AS q3, min(t_uncond) AS low, max(t_uncond) AS high FROM trials GROUP BY 1)""",
+    "e13_box": (q_box, _sql(*STUDY, _long_sql, "q AS (SELECT noise, policy, quantile_cont(recall, 0.25) AS q1, quantile_cont(recall, 0.5) AS median, quantile_cont(recall, 0.75) AS q3, min(recall) AS low, max(recall) AS high FROM l WHERE attack_class = 'stealthy' AND recall IS NOT NULL GROUP BY ALL)",
+        recursive=True, then="""SELECT noise, policy, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(low, 6) AS low, round(high, 6) AS high,
+        round(min(recall) FILTER (recall >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low, round(max(recall) FILTER (recall <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high
+        FROM l JOIN q USING (noise, policy) WHERE attack_class = 'stealthy' GROUP BY noise, policy, q1, median, q3, low, high""")),
+    "e13_box_thresholds": (q_box_thresholds, _sql(*STUDY, """q AS (SELECT noise, quantile_cont(t_uncond, 0.25) AS q1, quantile_cont(t_uncond, 0.5) AS median, quantile_cont(t_uncond, 0.75) AS q3, min(t_uncond) AS low, max(t_uncond) AS high FROM trials GROUP BY 1)""",
         recursive=True, then="""SELECT noise, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(low, 6) AS low, round(high, 6) AS high,
         round(min(t_uncond) FILTER (t_uncond >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low, round(max(t_uncond) FILTER (t_uncond <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high FROM trials JOIN q USING (noise) GROUP BY noise, q1, median, q3, low, high""")),
+    "t4_trial_trace": (q_trial_trace, _sql(*STUDY, recursive=True, then="SELECT noise, pos, phase, round(score, 6) AS score, round(u0, 6) AS u0, round(u1, 6) AS u1, round(c0, 6) AS c0, round(c1, 6) AS c1 FROM tr WHERE attack_class = 'stealthy' AND trial = 0")),
+    "study_report": (q_report, _sql(*STUDY, *_report_ctes, recursive=True, then=_report_sql)),
+    "e7_fpr_without_warmup": (q_warm_rates, _sql(*_tenant, recursive=True, then="SELECT " + ", ".join(f"round(avg(f_{p}::INT)" + (" FILTER (late)" if e == "late" else "") + f", 6) AS fpr_{p}_{e}" for e in ("all", "late") for p in ("fixed", "uncond", "cond"))
+        + " FROM (SELECT *, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY tenant) >= 86400000000 AS late FROM tr) WHERE label = 'benign'")),
+    "e10_episode_latency": (q_episode_latency, _sql(SPLIT, PAR, """r AS (SELECT tenant, ts, event_id, epoch_us(ts) AS us, label = 'attack' AS error, score > T_op AS alert FROM sp, par)""",
+        "w AS (SELECT *, (error AND coalesce(us - max(us) FILTER (error) OVER (PARTITION BY tenant ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 172800000000, true))::INT AS fresh FROM r)",
+        "b AS (SELECT *, sum(fresh) OVER (PARTITION BY tenant ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM w)",
+        "e AS (SELECT tenant, burst::BIGINT AS burst, min(us) FILTER (error) AS lo, max(us) FILTER (error) AS hi, min(us) FILTER (alert) AS hit FROM b WHERE burst > 0 GROUP BY ALL)",
+        then="SELECT tenant, burst, CASE WHEN hit <= hi THEN round((hit - lo) / 1e6, 3) END AS seconds FROM e")),
     "h2_kruskal": (q_kruskal, _sql(*STUDY, f"r AS (SELECT noise, t_uncond, {_rank.format(x='t_uncond')} AS r FROM trials WHERE t_uncond IS NOT NULL), g AS (SELECT sum(r) AS r, count(*) AS n FROM r GROUP BY noise), k AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*) AS c FROM trials WHERE t_uncond IS NOT NULL GROUP BY t_uncond))",
         "h AS (SELECT (12.0::DOUBLE / (sum(n) * (sum(n) + 1)) * sum(r * r / n) - 3 * (sum(n) + 1)) / (1 - any_value(t) / (sum(n) * sum(n) * sum(n) - sum(n))::DOUBLE) AS h FROM g, k)", recursive=True,
         then="SELECT round(h, 6) AS h, 2 AS df, round(exp(-h / 2), 6) AS p FROM h")),
