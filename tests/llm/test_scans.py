@@ -244,3 +244,59 @@ def test_html_long_pages():
     root, blocks = html_text.parse("<div>" * 100 + "deep" + "</div>" * 99 + "less")
     form, count = html_text.shape(root)
     assert count == html_text.DEPTH and {node.home.index for node, _ in blocks} == {count - 1, 1}
+
+
+@pytest.mark.parametrize("extra", [
+    "<div class='comments-area'><p>reader says hi there and more</div>", "<div id='post-comments'><p>me too</div>", "<div class='ad-slot'>buy this</div>", "<div class=\"cookie-banner x\">we use cookies</div>",
+    "<section id='comments'><ol><li class='comment'><article class='comment'><p>me too, and at some length, so that it is longer than all else on the page</article></ol></section>",
+    "<ul class='related-posts'><li><article><h2>Another teaser that is rather long, longer than the article</h2></article></ul>", "<div class='social_share'>tell all</div>",
+])
+def test_html_marks_by_parts_of_names(spark, extra):
+    text = "the words of the article itself"
+    states = "<body class='has-sidebar comments-open no-related'>"
+    for page in (f"<article><p>{text}</p></article>{extra}", f"<div class='post comments-open'><article class='post has-comments'><p>{text}</p>{extra}</article></div>",
+                 f"<main>{extra}<article><p>{text}</p></article></main>"):
+        blocks = html_text.parse(f"<html>{states}{page}</body></html>")[1]
+        marked = any(node.main for node, _ in blocks)
+        assert [x for node, x in blocks if not node.apart and (node.main or not marked)] == [text], page
+
+
+def planted_pages(seed=6):
+    """Pages of three hosts without telling names: constant frames around an article of some paragraphs, optional blocks,
+    lists of different lengths; what an article is is known."""
+    import random
+
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    pages, want = [], {}
+    for h in range(3):
+        top, side, end = line(8), [line(3) for _ in range(5)], line(12)
+        for i in range(40):
+            body = [line(r.randrange(5, 30)) for _ in range(r.randrange(1, 6))]
+            items = [line(3) for _ in range(r.randrange(0, 4))]
+            extra = f"<blockquote>{line(4)}</blockquote>" if r.random() < 0.4 else ""
+            quote = re.findall(r">(.*)<", extra)
+            html = (f"<html><body><div><span>{top}</span></div><table><tr>{''.join(f'<td>{s}</td>' for s in side)}</tr></table><div><h1>{body[0]}</h1>"
+                    f"{''.join(f'<p>{x}</p>' for x in body[1:])}{extra}<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul></div><div><pre>{end}</pre></div></body></html>")
+            pages.append((100 * h + i, f"https://h{h}.example/{i}", html))
+            want[100 * h + i] = "\n".join([*body, *quote, *items])
+    return pages, want
+
+
+def test_html_induction_carries_the_result(spark):
+    """With the hosts' other pages every article comes out alone; page by page, none does."""
+    pages, want = planted_pages()
+    texts = lambda rows: {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts(pages) == want
+    alone = texts([(i, f"https://alone{i}.example/", h) for i, _, h in pages])
+    assert all(alone[i] != t and set(t.split("\n")) <= set(alone[i].split("\n")) for i, t in want.items())
+    twice = [*pages, *pages[:40]]
+    assert texts(twice) == want
+
+
+def test_html_hosts_of_few_pages(spark):
+    pages, want = planted_pages()
+    few = [p for p in pages if p[0] % 100 < html_text.LEAST_PAGES - 1]
+    got = html_text.main_text(spark.createDataFrame(few, "page_id long, url string, html string")).collect()
+    assert all(set(want[r["page_id"]].split("\n")) < set(r["text"].split("\n")) for r in got)

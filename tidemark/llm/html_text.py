@@ -4,8 +4,9 @@ A page's block elements make a tree in which runs of like siblings are one node,
 host's wrapper is its most frequent tree; the pages' trees are aligned with it by simple tree matching. Over all pages
 of the host, an aligned node whose text is the same on nearly all of them is template, on the pages that have that text;
 any other is a slot for content. Marks
-that need no induction (elements and class names of menus, footers, adverts, forms and the like) are left out first, class
-names and ids only as whole words and never of elements that hold the page's article or most of its text, and where a page marks its article, content is what lies in it.
+that need no induction (elements and class names of menus, footers, adverts, forms and the like) are left out first. Class
+names and ids tell by themselves or by their first or last part, and never of elements that hold the page's main article or
+most of its text; articles among reader comments are comments. Where a page marks its article, content is what lies in it.
 
 Statistics are counts by (host, node, text) that are combined before the shuffle, so a host with a third of all pages
 is no single task. What is joined back to the pages is one small row for each host.
@@ -18,7 +19,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,9 @@ commentlist reply replies disqus discussion newsletter subscribe subscription po
 menu nav navbar navigation topbar footer masthead toolbar login signup signin pagination pager skip toc tags copyright
 disclaimer announcement
 """.split())
+#: Which of these are reader comments, and first and last parts of names that tell a state of the page.
+COMMENTS = set("comment comments commentlist reply replies disqus discussion".split())
+STATES = set("has no not with without is open closed enabled disabled on off count free".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -61,10 +64,13 @@ _BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 
 
 class Node:
-    __slots__ = ("name", "sign", "children", "above", "apart", "named", "main", "home", "index")
+    __slots__ = ("name", "sign", "children", "above", "apart", "named", "own", "main", "home", "index")
 
-    def __init__(self, name: str, sign: str, above: Node | None = None, apart: bool = False, named: bool = False, main: bool = False):
-        self.name, self.sign, self.above, self.apart, self.named, self.main = name, sign, above, apart, named, main
+    def __init__(self, name: str, sign: str, above: Node | None = None, apart: bool = False, named: str = "", own: bool = False):
+        self.name, self.sign, self.above, self.apart, self.named = name, sign, above, apart, named
+        #: Whether the element itself is an article, and whether it is or lies in one.
+        self.own = own and not apart
+        self.main = self.own or above is not None and above.main
         self.children: list[Node] = []
         #: The node of the tree that holds the element: itself, or the one at the greatest depth.
         self.home, self.index = self, 0
@@ -130,9 +136,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                     del stack[depth:]
                     break
         above = stack[-1]
-        sign, apart, named, main = _kind(name, m[3])
-        apart = apart or above.apart or name == "header" and not above.main
-        node = Node(name, sign, above, apart, named, above.main or main and not apart)
+        sign, apart, named, own = _kind(name, m[3])
+        node = Node(name, sign, above, apart or above.apart or name == "header" and not above.main, named, own)
         made.append(node)
         if len(stack) < DEPTH:
             above.children.append(node)
@@ -153,35 +158,59 @@ def _closing(name: str) -> re.Pattern:
 
 
 def _leave_out(made: list[Node], blocks: list[tuple[Node, str]]) -> None:
-    """Sets apart the elements that their class or id tells, unless they hold an article or most of the page's text."""
+    """Sets apart the elements that their class or id tells, unless they hold the main article or most of the page's text.
+
+    The main article is the largest that is not among comments, and rather one outside lists, as teasers are in them.
+    Beside one, comments may be most of a page, and other things up to four times as long.
+    """
     size = {id(node): 0 for node in made}
     for node, text in blocks:
         if not node.apart:
             size[id(node)] = size.get(id(node), 0) + len(text)
     total = sum(size.values())
-    holds = {id(node): node.main and not (node.above and node.above.main) for node in made}
     for node in reversed(made):
-        if node.above and id(node.above) in holds:
+        if node.above and id(node.above) in size:
             size[id(node.above)] += size[id(node)]
-            holds[id(node.above)] |= holds[id(node)]
+    remarks, listed = {}, {}
+    for node in made:
+        above = id(node.above)
+        remarks[id(node)] = node.named == "comments" or remarks.get(above, False)
+        listed[id(node)] = node.name == "li" or listed.get(above, False)
+    articles = [node for node in made if node.own and not remarks[id(node)]]
+    best = max(articles, key=lambda x: (x.name != "main", not listed[id(x)], size[id(x)]), default=None)
+    holds, node = set(), best
+    while node is not None:
+        holds.add(id(node))
+        node = node.above
     for node in made:
-        named = node.named and not holds[id(node)] and 2 * size[id(node)] <= total
-        node.apart = node.apart or named or node.above is not None and node.above.apart
+        if node.named and id(node) not in holds:
+            article, own = size[id(best)] if best else 0, size[id(node)]
+            beside = article > 0 if node.named == "comments" else 4 * article >= own > 0
+            node.apart = node.apart or beside or own <= (0.75 if node.named == "comments" else 0.5) * total
+        node.apart = node.apart or node.above is not None and node.above.apart
+        node.main = node.main and not node.apart
 
 
 @lru_cache(maxsize=4096)
-def _kind(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """(signature, left out, left out by class or id, article) of an element."""
+def _kind(name: str, attributes: str) -> tuple[str, bool, str, bool]:
+    """(signature, left out, what class or id tells that is left out: a mark, comments or nothing, article) of an element."""
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
     words = set(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     apart = name in APART or role in ROLES or hidden
-    named = name not in ("html", "body") and bool(words & MARKS)
+    told = set() if name in ("html", "body") else {x for w in words for x in _parts(w)} & MARKS
+    named = "comments" if told & COMMENTS else "mark" if told else ""
     main = name in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"
     return f"{name}.{'.'.join(sorted(set(_WORD.findall(found.get('class', '').lower()))))}", apart, named, main
 
 
+def _parts(word: str) -> list[str]:
+    """A class name, and its first and last part unless they tell a state."""
+    parts = re.split("[-_]+", word)
+    return [word] if STATES & {parts[0], parts[-1]} else [word, parts[0], parts[-1]]
+
+
 def shape(root: Node) -> tuple[str, int]:
     """The tree as text, runs of like siblings as one node, and its size; numbers the elements by node."""
     count = 0
@@ -312,14 +341,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     ignored. An empty table gives an empty result.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host().alias("host"))
-    seen = stash(rows.select("host", "html").mapInArrow(_shapes, "host string, page int, shape string, nodes array<int>, prints array<int>"))
+    seen = stash(rows.select("host", "html").mapInArrow(_shapes, "host string, page long, shape string, nodes array<int>, prints array<long>"))
     shapes = seen.groupBy("host", "shape").agg(F.count("*").alias("n")).groupBy("host").agg(F.max_by("shape", F.struct("n", "shape")).alias("wrapper"))
     shapes = stash(shapes)
-    fields = seen.join(shapes, "host").mapInArrow(_fields, "host string, page int, node int, print int").distinct()
+    fields = seen.join(shapes, "host").mapInArrow(_fields, "host string, page long, node int, print long").distinct()
     counts = fields.groupBy("host", "node", "print").agg(F.count("*").alias("n"))
     template = counts.groupBy("host", "node").agg(F.max(F.struct("n", "print")).alias("most"), F.sum("n").alias("n")).where(f"n >= {LEAST_PAGES} AND most.n >= {SHARE} * n")
     template = template.groupBy("host").agg(F.collect_list(F.struct("node", F.col("most.print").alias("print"))).alias("template"))
-    wrappers = stash(shapes.join(template, "host", "left").select("host", "wrapper", F.coalesce("template", F.array().cast("array<struct<node:int,print:int>>")).alias("template")))
+    wrappers = stash(shapes.join(template, "host", "left").select("host", "wrapper", F.coalesce("template", F.array().cast("array<struct<node:int,print:bigint>>")).alias("template")))
     return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "template").mapInArrow(
         _texts, "page_id long, url string, text string, n_chars long"
     )
@@ -332,28 +361,25 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root, blocks = parse(html)
             forms.append(shape(root)[0])
             own = _prints(blocks)
-            whole = 0
-            for _, text in blocks:
-                whole = crc32(text.encode("utf-8", "replace"), whole)
-            page.append(_signed(whole))
+            page.append(_print("\n".join(text for _, text in blocks)))
             nodes.append(list(own))
             prints.append(list(own.values()))
         yield pa.RecordBatch.from_arrays(
-            [b["host"], pa.array(page, pa.int32()), pa.array(forms, pa.string()), pa.array(nodes, pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int32()))],
+            [b["host"], pa.array(page, pa.int64()), pa.array(forms, pa.string()), pa.array(nodes, pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int64()))],
             ["host", "page", "shape", "nodes", "prints"],
         )
 
 
 def _prints(blocks: list[tuple[Node, str]]) -> dict[int, int]:
     """Fingerprint of the text of each node."""
-    own: dict[int, int] = {}
+    own: dict[int, list[str]] = {}
     for node, text in blocks:
-        own[node.home.index] = crc32(text.encode("utf-8", "replace"), own.get(node.home.index, 0))
-    return {node: _signed(x) for node, x in own.items()}
+        own.setdefault(node.home.index, []).append(text)
+    return {node: _print("\n".join(texts)) for node, texts in own.items()}
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 32) if x >> 31 else x
+def _print(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +389,7 @@ def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to = aligned(form, wrapper)
             out += [(host, page, t, p) for n, p in zip(nodes, prints, strict=True) if (t := to.get(n)) is not None]
         cols = zip(*out, strict=True) if out else ([], [], [], [])
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["host", "page", "node", "print"])
 
 
