@@ -181,10 +181,21 @@ def test_patterns_stand_in_order_with_gaps(spark):
     assert {r["match_ratio"] for r in X.pattern_match(windows, patterns.limit(0)).collect()} == {0.0}
 
 
-def test_a_shared_result_is_built_once(spark):
+def test_a_shared_result_follows_its_source(spark, tmp_path):
+    """Made once while the source's files stay, and anew when they change."""
     from tidemark.sources import tables
 
-    built = []
-    build = lambda s, d: built.append(d) or s.range(3)
-    assert [tables.once(spark, "three", d, build).count() for d in ("x", "x", "y")] == [3, 3, 3]
-    assert built == ["x", "y"]
+    made = []
+
+    def build(spark, d):
+        made.append(d)
+        return spark.read.parquet(f"{d}/t.parquet")
+
+    read = lambda: sorted(r["id"] for r in tables.once(spark, "probe", str(tmp_path), "t", build).collect())
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    assert read() == read() == [0, 1, 2] and len(made) == 1
+    spark.range(5, 6).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert read() == [0, 1, 2, 5] and len(made) == 2
+    spark.range(9).write.parquet(f"{tmp_path}/other/t.parquet")
+    assert tables.once(spark, "probe", f"{tmp_path}/other", "t", build).count() == 9 and len(made) == 3
+    assert read() == [0, 1, 2, 5] and len(made) == 3

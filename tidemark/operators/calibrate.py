@@ -11,11 +11,9 @@ from tidemark.functions.ordered import quantiles
 POINTS = {"T0": 0.995, "T_op": 0.95, "T_min": 0.5, "bp50": 0.5, "bp90": 0.9, "bp999": 0.999}
 
 
-def calibrate(benign: DataFrame, by: tuple[str, ...] = (), approximate: bool = False) -> DataFrame:
-    """One row (for each group) with the quantiles, linear between points; approximate ones where exact are too dear."""
-    if not approximate:
-        return quantiles(benign, "score", POINTS, by)
-    return benign.groupBy(*by).agg(*(F.expr(f"percentile_approx(score, {q}D)").alias(p) for p, q in POINTS.items()))
+def calibrate(benign: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each group) with the exact quantiles, linear between points."""
+    return quantiles(benign, "score", POINTS, by)
 
 
 def with_params(scores: DataFrame, params: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def _scores(windows: DataFrame, arm: str, recon: D.Scorer, isolate: D.Scorer) ->
 
 def given_scores(spark: SparkSession, d: str) -> DataFrame:
     """Held-out scores of both arms with given models; several queries read them."""
-    return S.once(spark, "given arms", d, lambda spark, d: _scores(filtered(spark, d), "filtered", given_recon, given_forest)
+    return S.once(spark, "given arms", d, "events", lambda spark, d: _scores(filtered(spark, d), "filtered", given_recon, given_forest)
                   .unionByName(_scores(unfiltered(spark, d), "unfiltered", given_recon, given_forest)))
 
 

@@ -104,7 +104,7 @@ def trial_table(spark: SparkSession, d: str) -> DataFrame:
 
     A dozen queries start from it, so an application runs the study once.
     """
-    return S.once(spark, "trials", d, _run_study)
+    return S.once(spark, "trials", d, "events", _run_study)
 
 
 def _run_study(spark: SparkSession, d: str) -> DataFrame:

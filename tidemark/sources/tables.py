@@ -79,29 +79,47 @@ def written(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Remove a written table that nothing will read again."""
-    sc = df.sparkSession.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(df.written_at)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    _remove(df.sparkSession, df.written_at)
 
 
-#: Where each shared result of an application lies, and its columns.
-_ONCE: dict[tuple[str, ...], tuple[str, StructType]] = {}
+#: Where each shared result of an application lies, its columns, and the state of the source that it was made of.
+_ONCE: dict[tuple[str, ...], tuple[str, StructType, tuple[int, int, int]]] = {}
 
 
-def once(spark: SparkSession, name: str, sf_dir: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+def once(spark: SparkSession, name: str, sf_dir: str, source: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """A result that several queries of one application read, written when the first of them asks for it.
 
-    The tables under ``sf_dir`` are taken not to change while the application runs.
+    It holds as long as the files of the table ``source`` are the ones it was made of, and is made anew when they change.
     """
-    key = (spark.sparkContext.applicationId, name, sf_dir)
+    key, state = (spark.sparkContext.applicationId, name, sf_dir), _state(spark, f"{sf_dir}/{source}.parquet")
+    if key in _ONCE and _ONCE[key][2] != state:
+        _remove(spark, _ONCE.pop(key)[0])
     if key not in _ONCE:
-        path, rows = scratch(spark), build(spark, sf_dir)
+        rows = build(spark, sf_dir)
+        path = scratch(spark)
         rows.write.parquet(path)
-        _ONCE[key] = (path, rows.schema)
-    path, schema = _ONCE[key]
+        _ONCE[key] = (path, rows.schema, state)
+    path, schema, _ = _ONCE[key]
     return spark.read.schema(schema).parquet(path)
 
 
+def _state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Files under a path, their bytes, and when one was last changed."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    found, n, size, last = where.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(where, True), 0, 0, 0
+    while found.hasNext():
+        f = found.next()
+        n, size, last = n + 1, size + f.getLen(), max(last, f.getModificationTime())
+    return n, size, last
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     """Scores as Parquet in folders by arm and label; kept in single precision, as calibration reads them back."""
     scores.withColumn("score", F.col("score").cast("float")).write.partitionBy("arm", "label").parquet(path)
