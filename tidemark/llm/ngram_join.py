@@ -45,7 +45,7 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
 
     Words are lower-cased (A-Z) runs without ASCII white space; a set holds the distinct ``shingle``-word shingles, or
     the whole text as one where it is shorter. Rows link when 100 * intersection >= ``percent`` * union; component_id is
-    the smallest doc_id reachable. Null, empty and blank texts have no shingles and stand alone. A null doc_id links
+    the smallest doc_id reachable. Texts of any length are read whole; at exactly ``percent`` rows link. Null, empty and blank texts have no shingles and stand alone. A null doc_id links
     like any other but gives no name to a component unless all in it are null. Repeated rows are linked. Other columns
     of ``docs``, whatever their names, are ignored. An empty table gives an empty result.
     """

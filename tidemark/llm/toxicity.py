@@ -63,7 +63,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, c
     Returns one row per input row: doc_id, held_out, score (0 to 1, higher: likelier toxic), predicted (1 if score >=
     0.5, else 0) and the ``carry`` columns as a struct ``carried``. A score depends on the text alone.
 
-    Null and empty texts get the score of a text without words. Rows with a null doc_id are scored, and not held out.
+    Repeated rows are scored alike, and texts of any length are read whole. Null and empty texts get the score of a text without words. Rows with a null doc_id are scored, and not held out.
     Null labels are left out; labels repeated for a doc_id count as toxic if any is. Where labels are missing or of one
     kind, the score is 1 - exp(-50 * lexicon_rate) with the fixed lexicon; without calibration rows of both kinds the
     trees' own probability stands. Other columns, whatever their names, are ignored. An empty table gives an empty result.
