@@ -69,7 +69,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold most of a benchmark item go. It does not matter which, so there are no ties."""
+    """Documents that hold most of a benchmark item go. It does not matter which, so there are no ties.
+
+    An item of a word or two is held by every document that has them: a benchmark with such items drops all of these, so
+    leave such items out of the table where that is not wanted. Texts of any length are read whole.
+    """
     found = overlaps(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns))
     return found.where("NOT contaminated").select(*_fields(docs))
 
