@@ -53,7 +53,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage
     null if none), coverage (share of its words under tiles), contaminated (coverage >= ``coverage``) and the ``carry``
     columns as a struct ``carried``.
 
-    Null and empty texts hold nothing. Null items and null item_ids take no part; items without words cover nothing;
+    An item of one word is covered in full by every document that has the word. Null and empty texts hold nothing. Null items and null item_ids take no part; items without words cover nothing;
     items repeated with id and text count once, items of one id and several texts are several. Very long and repetitive
     texts are read whole: their common runs are kept as runs, never as pairs of places. Null doc_ids and repeated rows
     are rows like any other. Other columns, whatever their names, are ignored. Empty tables give an empty result or one
