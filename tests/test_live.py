@@ -92,3 +92,8 @@ def test_global_threshold_is_one_fold(rocks, tmp_path):
 def test_empty_stream(rocks, tmp_path):
     stream = live.policies(deliver(rocks, tmp_path, [FAR]), 10.0, 1.0)
     assert live.drain(stream, f"{tmp_path}/out", f"{tmp_path}/state", stream.schema).count() == 0
+
+
+def test_keys_of_several_columns(spark):
+    rows = spark.createDataFrame([("a", "b,c"), ("a,b", "c"), (None, "c"), ("null", "c")], "namespace string, pod string")
+    assert len({r["key"] for r in live.keyed(rows, "namespace", "pod").collect()}) == 4

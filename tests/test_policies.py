@@ -1,6 +1,7 @@
 """Threshold policies over blocks against a plain fold: long keys, nulls, ties, skew, empty streams."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,22 @@ def test_empty(spark):
     none = frame(spark, {1: [1.0]}).where("false")
     for f in (thresholds.ema, thresholds.ema_conditional, thresholds.policies, thresholds.gathered_policies, thresholds.conditional_floor):
         assert f(none, ["k"], ["pos"]).collect() == []
+
+
+@pytest.mark.parametrize("k", [1, 15])
+def test_median_over_many_ranges(spark, streams, k):
+    """Ranges borrow the rows before them: as a window over the whole key, nulls aside."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    some = {q: v[:500] for q, v in streams.items()}
+    try:
+        got = traced(thresholds.median_threshold(frame(spark, some), ["k"], ["pos"], k), "T_before", "flagged")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for q, scores in some.items():
+        for i, (t, flagged) in enumerate(got[q]):
+            known = [a for a in scores[max(0, i - k) : i] if a is not None]
+            assert t == pytest.approx(max(1.0, statistics.median(known) if known else 10.0))
+            assert flagged == (scores[i] is not None and scores[i] > t)

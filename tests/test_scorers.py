@@ -103,7 +103,7 @@ def test_a_small_table_is_all_in_every_tree(spark):
     assert len(forest) == 5 and {r["size"] for r in forest} == {40}
 
 
-def test_score_by_expressions(spark):
+def test_scores_by_expressions_and_by_batches(spark):
     x = data(300)
     df = frame(spark, x)
     forest = scorers.fit_isolation(df, "id", "x", trees=30, sample=64)
@@ -116,10 +116,13 @@ def test_score_by_expressions(spark):
         return t[i, 4]
 
     want = {i: 2 ** (-np.mean([path(t, row) for t in trees]) / scorers.path_length(64)) for i, row in enumerate(x)}
-    got = scorers.isolation_score(df, "x", forest)
-    assert "Python" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
-    assert {r["id"]: r["isolation"] for r in got.collect()} == pytest.approx(want)
-    assert {r["isolation"] for r in scorers.isolation_score(df, "x", forest.where("false")).collect()} == {0.5}
+    for score in (scorers.isolation_expression, scorers.isolation_score):
+        assert {r["id"]: r["isolation"] for r in score(df, "x", forest).collect()} == pytest.approx(want)
+        assert {r["isolation"] for r in score(df, "x", forest.where("false")).collect()} == {0.5}
+    with pytest.raises(Exception, match="more than 8 levels"):
+        nodes = [x for i in range(9) for x in (0.0, -float(i), 2.0 * i + 1, 2.0 * i + 2, 0.0, -1.0, 0.0, 0.0, 0.0, float(i))]
+        chain = spark.createDataFrame([(0, 9, [*nodes, -1.0, 0.0, 0.0, 0.0, 9.0])], "tree int, size int, nodes array<double>")
+        scorers.isolation_expression(df, "x", chain).collect()
 
 
 def test_chi_square_tail(spark):

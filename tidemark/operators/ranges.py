@@ -34,6 +34,18 @@ def positions(rows: DataFrame, key: str, order: Sequence[str], halo: int = 0) ->
     return out.withColumn("pos", F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_first", "_before")
 
 
+def with_rows_before(rows: DataFrame, key: str, order: Sequence[str], k: int) -> DataFrame:
+    """The rows with pos, _to and _own: partitions by (key, _to) hold a range's rows (_own) and the k rows before it, so a
+    window over them sees what one over the whole key would see of k rows back."""
+    d = positions(rows, key, order)
+    ends = d.groupBy(key, "_part").agg(F.min("pos").alias("_low"), F.max("pos").alias("_high"))
+    after = Window.partitionBy(key).orderBy("_part").rowsBetween(1, k)
+    ends = ends.withColumn("_next", F.filter(F.collect_list(F.struct("_part", "_low")).over(after), lambda q: q["_low"] - k <= F.col("_high"))).drop("_low", "_high")
+    lent = F.transform(F.filter("_next", lambda q: F.col("pos") >= q["_low"] - k), lambda q: q["_part"])
+    d = d.join(ends, [key, "_part"]).withColumn("_to", F.explode(F.concat(F.array("_part"), lent)))
+    return d.withColumn("_own", F.col("_to") == F.col("_part")).drop("_part", "_prev", "_next", "n")
+
+
 def long_sequences(rows: DataFrame, key: str, order: Sequence[str], token: Column) -> DataFrame:
     """(seq_id, pos, token) as ``sources.tables.sequences`` gives it, for keys of any size."""
     d = rows.select(F.col(key).alias("seq_id"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), token.alias("token"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import blocks
+from tidemark.operators.ranges import with_rows_before
 from tidemark.sources.tables import discard, written
 
 BETA = 0.9
@@ -225,10 +226,15 @@ def ema_capped(stream: DataFrame, by: Sequence[str], order: Sequence[str], cap:
 
 
 def median_threshold(stream: DataFrame, by: Sequence[str], order: Sequence[str], k: int = 15) -> DataFrame:
-    """T before a row is the median of the k scores before it, T_op where there are none, T_min at least."""
-    back = Window.partitionBy(*by).orderBy(*order).rowsBetween(-k, -1)
-    t = F.greatest(F.col("T_min"), F.coalesce(F.expr("percentile(score, 0.5D)").over(back), F.col("T_op")))
-    return stream.withColumn("T_before", t).withColumn("flagged", F.coalesce(F.col("score") > F.col("T_before"), F.lit(False)))
+    """T before a row is the median of the k scores before it, T_op where there are none, T_min at least. Ranges of rows
+    borrow the k rows before them, so no key is one task."""
+    row = F.struct(*(F.col(f"`{c}`") for c in stream.columns))
+    d = stream.select(F.struct(*by).alias("_key"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), row.alias("_row"))
+    d = with_rows_before(d, "_key", [f"_o{i}" for i in range(len(order))], k).select("_key", "_to", "_own", "pos", F.col("_row.score").alias("_score"), "_row")
+    back = Window.partitionBy("_key", "_to").orderBy("pos").rowsBetween(-k, -1)
+    d = d.withColumn("_median", F.expr("percentile(_score, 0.5D)").over(back)).where("_own").select("_row.*", "_median")
+    d = d.withColumn("T_before", F.greatest("T_min", F.coalesce("_median", "T_op"))).drop("_median")
+    return d.withColumn("flagged", F.coalesce(F.col("score") > F.col("T_before"), F.lit(False)))
 
 
 def at_attack(t: str, order: str) -> Column:

@@ -41,8 +41,8 @@ def window_grid(seq: DataFrame, grid: list[tuple[int, int]], least: int = LEAST)
 
 
 def drop_warmup(rows: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Leave out what falls within ``seconds`` of a key's first row."""
+    """Leave out what falls within ``seconds`` of a key's first row. First times are aggregated and joined back, so a large
+    key may be split; rows without a key or a time go."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    since = us - F.min(us).over(Window.partitionBy(key))
-    return rows.withColumn("_since", since).where(F.col("_since") >= seconds * 1_000_000).drop("_since")
-
+    first = rows.groupBy(key).agg(F.min(us).alias("_first"))
+    return rows.join(first, key).where(us - F.col("_first") >= seconds * 1_000_000).select(*rows.columns)

@@ -246,7 +246,7 @@ def q_m5_given(spark, d):
     """Eight trees given as nodes (feature, cut, left, right, path): two cuts each, leaves at three path lengths."""
     trees = [(t, M.SAMPLE, [float(x) for n in ((t, 0, 1, 2, 0), (-1, 0, 0, 0, 3.5), (t + 1, 0.05, 3, 4, 0), (-1, 0, 0, 0, 2), (-1, 0, 0, 0, 3.25)) for x in n]) for t in range(8)]
     forest = spark.createDataFrame(trees, "tree int, size int, nodes array<double>")
-    return M.isolation_score(_vectors(spark, d), "x", forest).select("vec_id", F.round("isolation", 9).alias("isolation"))
+    return M.isolation_expression(_vectors(spark, d), "x", forest).select("vec_id", F.round("isolation", 9).alias("isolation"))
 
 
 _walk = " + ".join(f"CASE WHEN x[{t + 1}] <= 0 THEN 3.5 WHEN x[{t + 2}] <= 0.05::DOUBLE THEN 2 ELSE 3.25 END" for t in range(8))

@@ -43,6 +43,11 @@ def event_stream(spark: SparkSession, path: str, schema: StructType, late: str =
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
+def keyed(rows: DataFrame, *cols: str) -> DataFrame:
+    """Add key, of several columns such as (namespace, pod): a JSON array of their values, so no two of them share one."""
+    return rows.withColumn("key", F.to_json(F.array(*(F.col(c).cast("string") for c in cols)), {"ignoreNullFields": "false"}))
+
+
 class InOrder(StatefulProcessor):
     """Hands a key's rows to ``released`` in order of event time, and late ones to ``aside``.
 
