@@ -30,10 +30,9 @@ def pool(df: DataFrame, by: Sequence[str], id_col: str, seed: str) -> DataFrame:
 
 def design(spark: SparkSession, trials: int) -> DataFrame:
     """All cells of attack class, noise and trial."""
-    levels = lambda name, xs: spark.createDataFrame([(x,) for x in xs], f"{name} string")
-    return levels("attack_class", ["stealthy", "loud"]).crossJoin(levels("noise", ["none", "moderate", "high"])).crossJoin(
-        spark.range(trials).withColumnRenamed("id", "trial")
-    )
+    levels = lambda *xs: F.explode(F.array(*map(F.lit, xs)))
+    cells = spark.range(trials).withColumn("attack_class", levels("stealthy", "loud")).withColumn("noise", levels("none", "moderate", "high"))
+    return cells.select("attack_class", "noise", F.col("id").alias("trial"))
 
 
 def draw(cells: DataFrame, pools: DataFrame, level: str, phase: str, slots: int, offset: int, by: Sequence[str] = ()) -> DataFrame:
