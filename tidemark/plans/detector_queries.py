@@ -20,7 +20,7 @@ from tidemark.plans.sequence_queries import EVENTS, RARE, SEQ, TOP, WIN, _feat,
 from tidemark.sources import tables as S
 
 #: Directions that a given reconstruction keeps, and given trees: feature, cut, left, right, path by node.
-KEPT, TREES = 2, 4
+KEPT, TREES = 2, 3
 NODES = [[(t, 0.25, 1, 2, 0.0), (-1, 0.0, 0, 0, 3.5), (t + 1, 0.5, 3, 4, 0.0), (-1, 0.0, 0, 0, 2.0), (-1, 0.0, 0, 0, 5.25)] for t in range(TREES)]
 
 
