@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tidemark.plans import stream_queries
 from tidemark.streaming import live
 
 T0 = datetime(2024, 1, 1)
@@ -97,3 +98,8 @@ def test_empty_stream(rocks, tmp_path):
 def test_keys_of_several_columns(spark):
     rows = spark.createDataFrame([("a", "b,c"), ("a,b", "c"), (None, "c"), ("null", "c")], "namespace string, pod string")
     assert len({r["key"] for r in live.keyed(rows, "namespace", "pod").collect()}) == 4
+
+
+def test_closing_row_passes_the_filter_on_tokens(spark):
+    rows = spark.createDataFrame([("a", T0, 1, "signup", "benign", 1.0)], SCHEMA)
+    assert stream_queries._closing(rows).first()["token"] in stream_queries.EVENTS
