@@ -103,3 +103,18 @@ def test_keys_of_several_columns(spark):
 def test_closing_row_passes_the_filter_on_tokens(spark):
     rows = spark.createDataFrame([("a", T0, 1, "signup", "benign", 1.0)], SCHEMA)
     assert stream_queries._closing(rows).first()["token"] in stream_queries.EVENTS
+
+
+def test_state_is_kept_by_buckets(rocks, tmp_path):
+    """3,000 keys leave a row for each bucket that keeps memory, not one or more for each key, and each key is its own fold."""
+    spark = rocks
+    files = [[(f"k{k}", 100 * i + k % 7, 3000 * i + k, float(k % 20)) for k in range(3000)] for i in range(2)]
+    stream = live.policies(deliver(spark, tmp_path, [*files, FAR]), 10.0, 1.0, slot=600_000)
+    q = live.run(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 1500
+    out = live.on_time(spark.read.schema(stream.schema).parquet(f"{tmp_path}/out"))
+    got = {(r["key"], r["id"]): (r["t_uncond"], r["t_cond"]) for r in out.collect()}
+    assert len(got) == 6000
+    for k in range(0, 3000, 7):
+        want = fold([float(k % 20)] * 2)
+        assert [x for i in range(2) for x in got[f"k{k}", 3000 * i + k]] == pytest.approx([x for w in want for x in w])

@@ -1,8 +1,8 @@
 """The live detector: count windows, features, thresholds and alerts per key over a stream of events.
 
 Batch and stream share the expressions of features and the policies of thresholds. Event time must be a TIMESTAMP with
-zone. Rows may arrive in any order: a key's rows wait in its state, by slots of event time, until the watermark has
-passed a slot; a timer then releases it, in order of (ts, id), so what the detector sees is in order across batches too. A
+zone. Rows may arrive in any order: they wait in state, by buckets of keys and slots of event time, until the watermark
+has passed a slot; a timer then releases it, by key in order of (ts, id), so what the detector sees is in order across batches too. A
 row whose time the watermark has passed when it arrives is late: it moves nothing and leaves by the side, marked ``late``,
 so that it can be counted by key. A run over any deliveries thus equals the batch operators over the rows that were in time.
 
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ from tidemark.operators import thresholds
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Milliseconds of event time that are released together.
 SLOT = 3_600_000
+#: Buckets that keys are dealt into by a hash; the state of a bucket's keys lies together. A checkpoint holds for one number.
+BUCKETS = 256
 WINDOW_OUT = "key string, ts timestamp, id long, win_ix long, tokens array<string>, late boolean"
 POLICY_OUT = (
     "key string, ts timestamp, id long, label string, score double, t_uncond double, t_cond double, f_fixed boolean, f_uncond boolean,"
@@ -49,34 +50,34 @@ def keyed(rows: DataFrame, *cols: str) -> DataFrame:
 
 
 class InOrder(StatefulProcessor):
-    """Hands a key's rows to ``released`` in order of event time, and late ones to ``aside``.
+    """Hands rows to ``released`` key by key in order of event time, and late ones to ``aside``.
 
-    ``fields`` are the columns besides us (event time in microseconds) and id that wait with a row, ``memory`` what a key
-    keeps of the rows it has seen.
+    A group is a bucket of keys, so what a batch asks of the state is a few calls for each bucket, however many keys there
+    are. ``fields`` are the columns besides key, us (event time in microseconds) and id that wait with a row, ``memory``
+    what is kept of a key besides the time of its last row, ``columns`` those of the result.
     """
 
     fields: dict = {}
-    memory: StructType
+    memory: dict = {}
     columns: list[str] = []
 
     def __init__(self, slot: int = SLOT, idle: float | None = None):
         self.slot, self.idle = slot, None if idle is None else round(idle * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        arrays = lambda types: StructType([StructField(n, ArrayType(t)) for n, t in types.items()])
         self.handle = handle
-        waiting = {"us": LongType(), "id": LongType(), **self.fields}
-        arrays = StructType([StructField(n, ArrayType(t)) for n, t in waiting.items()])
-        self.waiting = handle.getMapState("waiting", StructType([StructField("slot", LongType())]), arrays)
+        waiting = {"key": StringType(), "us": LongType(), "id": LongType(), **self.fields}
         self.names = list(waiting)
-        self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
-        self.state = handle.getValueState("memory", self.memory)
+        self.waiting = handle.getMapState("waiting", StructType([StructField("slot", LongType())]), arrays(waiting))
+        self.state = handle.getValueState("memory", arrays({"key": StringType(), "last": LongType(), **self.memory}))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         for b in rows:
             late = b["us"] <= passed
             if late.any():
-                yield self.aside(key[0], b[late])
+                yield self.aside(b[late])
             b = b[~late]
             for at, new in b.groupby(b["us"] // (self.slot * 1000)):
                 at = int(at)
@@ -86,42 +87,51 @@ class InOrder(StatefulProcessor):
                 self.waiting.updateValue((at,), tuple((list(old[i]) if old else []) + _plain(new[n]) for i, n in enumerate(self.names)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        at = now // self.slot - 1
-        if self.waiting.containsKey((at,)):
-            rows = pd.DataFrame(dict(zip(self.names, map(list, self.waiting.getValue((at,))), strict=True))).sort_values(["us", "id"], ignore_index=True)
-            self.waiting.removeKey((at,))
-            yield from self._in_turn(key[0], rows)
-        if self.idle is not None and self.last.exists() and self.last.get()[0] + self.idle <= now * 1000:
-            self.last.clear()
-            self.state.clear()
-
-    def _in_turn(self, key: str, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        us = rows["us"].to_numpy()
-        last = self.last.get()[0] if self.last.exists() else None
-        cuts = [0]
+        passed = timerValues.getCurrentWatermarkInMs()
+        # The first of the timers that a batch has let expire releases all the slots that the watermark has passed.
+        ready = sorted(at for (at,) in self.waiting.keys() if (at + 1) * self.slot <= passed)
+        if not ready and self.idle is None or not ready and not self.state.exists():
+            return
+        keys = {k: tuple(m) for k, *m in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
+        if ready:
+            slots = [pd.DataFrame(dict(zip(self.names, map(list, self.waiting.getValue((at,))), strict=True)), dtype=object) for at in ready]
+            for at in ready:
+                self.waiting.removeKey((at,))
+            rows = pd.concat(slots, ignore_index=True).astype({"us": "int64", "id": "int64"}).sort_values(["key", "us", "id"], ignore_index=True)
+            if len(out := self._in_turn(rows, keys)):
+                yield out
         if self.idle is not None:
-            gaps = np.diff(us, prepend=us[0] if last is None else last)
-            cuts = sorted({0, *np.flatnonzero(gaps >= self.idle)})
-            if last is not None and gaps[0] >= self.idle:
-                self.state.clear()
-        for lo, hi in zip(cuts, [*cuts[1:], len(us)], strict=True):
-            if lo:
-                self.state.clear()
-            memory = self.state.get() if self.state.exists() else None
-            out, memory = self.released(key, rows.iloc[lo:hi], memory)
-            self.state.update(memory)
-            yield out
-        self.last.update((int(us[-1]),))
-        if self.idle is not None:
-            due = int(us[-1]) + self.idle
-            self.handle.registerTimer(-(-due // (self.slot * 1000)) * self.slot)
+            keys = {k: m for k, m in keys.items() if m[0] + self.idle > passed * 1000}
+            for due in {-(-(m[0] + self.idle) // (self.slot * 1000)) * self.slot for m in keys.values()} if ready else ():
+                self.handle.registerTimer(due)
+        if keys:
+            self.state.update(tuple(map(list, zip(*((k, *m) for k, m in keys.items()), strict=True))))
+        else:
+            self.state.clear()
 
-    def released(self, key: str, rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    def _in_turn(self, rows: pd.DataFrame, keys: dict) -> pd.DataFrame:
+        """What ``released`` makes of the rows; ``keys``, (last, *memory) by key, moves on with them."""
+        held = {n: rows[n].tolist() for n in self.names}
+        key, us = held["key"], held["us"]
+        out: dict[str, list] = {n: [] for n in self.columns}
+        lo = 0
+        for hi in range(1, len(us) + 1):
+            if hi < len(us) and key[hi] == key[lo] and (self.idle is None or us[hi] - us[hi - 1] < self.idle):
+                continue
+            last, *memory = keys.get(key[lo], (None,))
+            if last is None or self.idle is not None and us[lo] - last >= self.idle:
+                memory = None
+            keys[key[lo]] = (us[hi - 1], *self.released(held, lo, hi, memory, out))
+            lo = hi
+        made = pd.DataFrame({**out, "late": False}, columns=self.columns)
+        return made.assign(ts=_times(made["ts"]))
+
+    def released(self, rows: dict[str, list], lo: int, hi: int, memory: list | None, out: dict[str, list]) -> tuple:
+        """Add to ``out`` what rows lo to hi, all of one key, give, with ts in microseconds; the key's new memory."""
         raise NotImplementedError
 
-    def aside(self, key: str, rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"key": key, "ts": _times(rows["us"]), "late": True, **{n: rows[n] for n in ("id", *self.fields) if n in self.columns}}
+    def aside(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = {"key": rows["key"], "ts": _times(rows["us"]), "late": True, **{n: rows[n] for n in ("id", *self.fields) if n in self.columns}}
         none = pd.Series([None] * len(rows), rows.index, dtype=object)
         return pd.DataFrame({c: out.get(c, none) for c in self.columns}, index=rows.index)
 
@@ -134,66 +144,69 @@ def _plain(x: pd.Series) -> list:
 
 
 def _times(us: pd.Series) -> pd.Series:
-    return pd.to_datetime(us, unit="us")
+    return pd.to_datetime(us.astype("int64"), unit="us")
 
 
 class CountWindows(InOrder):
     """Windows of ``length`` tokens every ``stride``; the last length - 1 tokens of a key are its memory."""
 
     fields = {"token": StringType()}
-    memory = StructType([StructField("seen", LongType()), StructField("tail", ArrayType(StringType()))])
+    memory = {"seen": LongType(), "tail": ArrayType(StringType())}
     columns = ["key", "ts", "id", "win_ix", "tokens", "late"]
 
     def __init__(self, length: int = 10, stride: int = 2, slot: int = SLOT, idle: float | None = None):
         super().__init__(slot, idle)
         self.length, self.stride = length, stride
 
-    def released(self, key, rows, memory):
+    def released(self, rows, lo, hi, memory, out):
         seen, tail = memory or (0, [])
-        tokens = [*tail, *rows["token"]]
+        tokens = [*tail, *rows["token"][lo:hi]]
         first = seen - len(tail)  # place of tokens[0] in the sequence
         start = -(-first // self.stride) * self.stride - first
-        at = range(start, len(tokens) - self.length + 1, self.stride)
-        ends = [i + self.length - 1 - len(tail) for i in at]  # always a new row: an old window has been handed on
-        out = pd.DataFrame({
-            "key": key, "ts": _times(rows["us"].iloc[ends]), "id": rows["id"].iloc[ends], "win_ix": np.array([(first + i) // self.stride for i in at], np.int64),
-            "tokens": pd.Series([tokens[i : i + self.length] for i in at], rows.index[ends], dtype=object), "late": False,
-        })
-        return out, (seen + len(rows), tokens[-(self.length - 1) :])
+        for i in range(start, len(tokens) - self.length + 1, self.stride):
+            end = lo + i + self.length - 1 - len(tail)  # always a new row: an old window has been handed on
+            out["key"].append(rows["key"][end])
+            out["ts"].append(rows["us"][end])
+            out["id"].append(rows["id"][end])
+            out["win_ix"].append((first + i) // self.stride)
+            out["tokens"].append(tokens[i : i + self.length])
+        return seen + hi - lo, tokens[max(0, len(tokens) - self.length + 1) :]
 
 
 class Policies(InOrder):
     """Both moving thresholds and the fixed one on the same rows; two numbers and the first time of a key are its memory."""
 
     fields = {"label": StringType(), "score": DoubleType()}
-    memory = StructType([StructField("u", DoubleType()), StructField("c", DoubleType()), StructField("first", LongType())])
+    memory = {"u": DoubleType(), "c": DoubleType(), "first": LongType()}
     columns = ["key", "ts", "id", "label", "score", "t_uncond", "t_cond", "f_fixed", "f_uncond", "f_cond", "warm", "late"]
 
     def __init__(self, t_op: float, t_min: float, beta: float = 0.9, warm_seconds: float = 30.0, slot: int = SLOT, idle: float | None = None):
         super().__init__(slot, idle)
         self.t_op, self.t_min, self.beta, self.warm = t_op, t_min, beta, warm_seconds
 
-    def released(self, key, rows, memory):
-        u, c, first = memory or (self.t_op, self.t_op, int(rows["us"].iloc[0]))
-        score = rows["score"].to_numpy(float)
-        us, cs = np.empty(len(score)), np.empty(len(score))
-        for i, a in enumerate(score.tolist()):
-            us[i], cs[i] = u, c
-            if a <= c:
-                c = max(self.t_min, self.beta * c + (1 - self.beta) * a)
-            if a == a:  # a null moves nothing
+    def released(self, rows, lo, hi, memory, out):
+        u, c, first = memory or (self.t_op, self.t_op, rows["us"][lo])
+        for n, name in (("key", "key"), ("ts", "us"), ("id", "id"), ("label", "label"), ("score", "score")):
+            out[n] += rows[name][lo:hi]
+        out["warm"] += [t - first < self.warm * 1e6 for t in rows["us"][lo:hi]]
+        for a in rows["score"][lo:hi]:
+            out["t_uncond"].append(u)
+            out["t_cond"].append(c)
+            there = a is not None  # a null moves nothing and is no alert
+            out["f_fixed"].append(there and a > self.t_op)
+            out["f_uncond"].append(there and a > u)
+            out["f_cond"].append(there and a > c)
+            if there:
+                if a <= c:
+                    c = max(self.t_min, self.beta * c + (1 - self.beta) * a)
                 u = max(self.t_min, self.beta * u + (1 - self.beta) * a)
-        out = pd.DataFrame({
-            "key": key, "ts": _times(rows["us"]), "id": rows["id"], "label": rows["label"], "score": rows["score"], "t_uncond": us, "t_cond": cs,
-            "f_fixed": score > self.t_op, "f_uncond": score > us, "f_cond": score > cs, "warm": rows["us"] - first < self.warm * 1e6, "late": False,
-        })
-        return out, (u, c, first)
+        return u, c, first
 
 
 def _with_state(stream: DataFrame, processor: InOrder, schema: str) -> DataFrame:
     # Event time as a plain number: which rows are late is the processor's to say, and Spark drops none before it.
-    rows = stream.select("key", F.unix_micros("ts").alias("us"), "id", *processor.fields)
-    out = rows.groupBy("key").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    rows = stream.select(F.pmod(F.hash("key"), F.lit(BUCKETS)).alias("bucket"), "key", F.unix_micros("ts").alias("us"), "id", *processor.fields)
+    out = rows.groupBy("bucket").transformWithStateInPandas(processor, schema, "Append", "EventTime")
     return out.observe("detector", F.count("*").alias("rows"), F.coalesce(F.sum(F.col("late").cast("long")), F.lit(0)).alias("late"))
 
 
