@@ -199,3 +199,22 @@ def test_a_shared_result_follows_its_source(spark, tmp_path):
     spark.range(9).write.parquet(f"{tmp_path}/other/t.parquet")
     assert tables.once(spark, "probe", f"{tmp_path}/other", "t", build).count() == 9 and len(made) == 3
     assert read() == [0, 1, 2, 5] and len(made) == 3
+
+
+def test_kruskal_of_more_rows_than_a_cube_in_a_long_allows(spark):
+    """2.2 million rows in two groups, by the formula in whole numbers and fractions; the third group's value is all ties."""
+    from fractions import Fraction
+
+    n, values = 2_200_000, 1000
+    got = ranktests.kruskal(spark.range(n).select((F.col("id") % 3).alias("g"), (F.col("id") % values).cast("double").alias("v")), "g", "v").first()
+    each = n // values
+    sums, sizes = [Fraction(0)] * 3, [0] * 3
+    for g in range(3):
+        for v in range(values):
+            c = len(range(next(i for i in range(v, v + 3 * values, values) if i % 3 == g), n, 3 * values))
+            sums[g] += c * (v * each + Fraction(each + 1, 2))
+            sizes[g] += c
+    h = (Fraction(12, n * (n + 1)) * sum(s * s / k for s, k in zip(sums, sizes)) - 3 * (n + 1)) / (1 - Fraction(values * (each**3 - each), n**3 - n))
+    assert got["df"] == 2 and got["h"] == pytest.approx(float(h), abs=1e-6)
+    one = ranktests.wilcoxon(spark.range(2_200_000).select(F.lit(2.0).alias("a"), F.lit(1.0).alias("b")), "a", "b").first()
+    assert one["n"] == 2_200_000 and one["w"] == 2_200_000 * 2_200_001 / 2

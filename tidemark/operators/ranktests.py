@@ -34,6 +34,12 @@ def chi_square_tail(h: Column, df: Column) -> Column:
     return F.when(odd, 2 * upper_tail(F.sqrt(h)) + F.when(df > 1, F.exp(-x) * summed).otherwise(0.0)).otherwise(F.exp(-x) * summed)
 
 
+def _tie_sum() -> Column:
+    """What ties take off, in doubles: the cube of a count is beyond a long from some two million on."""
+    ties = F.col("ties").cast("double")
+    return F.sum(ties * ties * ties - ties)
+
+
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """(h, df, p): tie-corrected H over any number of groups, its degrees, and its chi-square tail. Null without values or
     where all are tied."""
@@ -41,8 +47,8 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     ranks = average_ranks(df, value)
     r = df.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("n"))
     total = r.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("n").alias("n"), (F.count("*") - 1).cast("int").alias("df"))
-    ties = ranks.agg(F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).alias("t"))
-    n = F.col("n")
+    ties = ranks.agg(_tie_sum().alias("t"))
+    n = F.col("n").cast("double")  # its cube is beyond a long from some two million rows on
     raw = 12.0 / F.nullif(n * (n + 1), F.lit(0)) * F.col("s") - 3 * (n + 1)
     correction = 1 - F.col("t") / F.nullif(n * n * n - n, F.lit(0))
     h = total.crossJoin(ties).select((raw / F.nullif(correction, F.lit(0.0))).alias("h"), "df")
@@ -62,7 +68,7 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
     ranks = average_ranks(d, "m")
     w = d.join(ranks, "m").agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w"), F.count("*").alias("n"))
-    t = ranks.agg(F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).alias("t"))
+    t = ranks.agg(_tie_sum().alias("t"))
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("t") / 48.0)
     return w.crossJoin(t).withColumn("z", (F.col("w") - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))).select("w", "n", upper_tail("z").alias("p_normal"))
