@@ -218,3 +218,20 @@ def test_kruskal_of_more_rows_than_a_cube_in_a_long_allows(spark):
     assert got["df"] == 2 and got["h"] == pytest.approx(float(h), abs=1e-6)
     one = ranktests.wilcoxon(spark.range(2_200_000).select(F.lit(2.0).alias("a"), F.lit(1.0).alias("b")), "a", "b").first()
     assert one["n"] == 2_200_000 and one["w"] == 2_200_000 * 2_200_001 / 2
+
+
+def test_quantiles_round_once(spark):
+    """Between neighbours the weighted sum is a fused multiply-add, equal neighbours included, as in the SQL twins."""
+    from tidemark.functions.ordered import quantiles
+
+    rows = [(g, ((g * 7919 + i * i * 31) % 31) / 30) for g in range(60) for i in range(35 + g % 6)]
+    points = {"q1": 0.25, "median": 0.5, "q3": 0.75, "top": 0.99}
+    got = quantiles(spark.createDataFrame(rows, "g int, v double"), "v", points, ["g"]).collect()
+    for r in got:
+        v = sorted(x for g, x in rows if g == r["g"])
+        for name, q in points.items():
+            at = (len(v) - 1) * q
+            low, high, share = v[math.floor(at)], v[math.ceil(at)], at % 1
+            assert r[name] == (math.fma(low, 1 - share, high * share) if share else low)
+    inf = spark.createDataFrame([(-math.inf,), (-math.inf,), (1.0,)], "v double")
+    assert quantiles(inf, "v", {"q": 0.25, "m": 0.75}).first()[:] == (-math.inf, -math.inf)

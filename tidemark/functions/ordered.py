@@ -70,9 +70,30 @@ def quantiles(df: DataFrame, value: str, points: dict[str, float], by: Sequence[
         for end, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
             ends[f"{name}_{end}"] = F.min(F.when(F.col("cum_n") > rank, F.col("_v")))
     found = c.groupBy(*by).agg(F.first("_total").alias("_total"), *(x.alias(n) for n, x in ends.items()))
-    share = lambda q: F.lit(q) * (F.col("_total") - 1) % 1
-    low, high = (lambda n, e=e: F.col(f"{n}_{e}") for e in ("low", "high"))
-    return found.select(*by, *(F.when(low(n) == high(n), low(n)).otherwise((1 - share(q)) * low(n) + share(q) * high(n)).alias(n) for n, q in points.items()))
+    found = found.withColumns({f"{n}_share": F.lit(q) * (F.col("_total") - 1) % 1 for n, q in points.items()})
+    return found.select(*by, *(_between(*(F.col(f"{n}_{e}") for e in ("low", "high", "share"))).alias(n) for n in points))
+
+
+def _between(low: Column, high: Column, share: Column) -> Column:
+    """low * (1 - share) + high * share, the first product and the sum rounded once, as a fused multiply-add does and the SQL
+    twins with it: where values lie on a whisker or a threshold, the last bit tells.
+
+    The product's error is taken from halves of the factors (Dekker), the sum's from its parts (Knuth). Infinite or huge
+    values have no such halves, and get the plain sum.
+    """
+    a, b, c = low, 1 - share, high * share
+    p, s = a * b, a * b + c
+    (ah, al), (bh, bl) = _halves(a), _halves(b)
+    of_p = ah * bh - p + ah * bl + al * bh + al * bl
+    of_s = p - (s - (s - p)) + (c - (s - p))
+    exact = s + (of_s + of_p)
+    return F.when(share == 0, low).when(F.isnan(exact), s).otherwise(exact)
+
+
+def _halves(x: Column) -> tuple[Column, Column]:
+    wide = 134217729.0 * x
+    high = wide - (wide - x)
+    return high, x - high
 
 
 def blocks(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
