@@ -235,3 +235,11 @@ def test_quantiles_round_once(spark):
             assert r[name] == (math.fma(low, 1 - share, high * share) if share else low)
     inf = spark.createDataFrame([(-math.inf,), (-math.inf,), (1.0,)], "v double")
     assert quantiles(inf, "v", {"q": 0.25, "m": 0.75}).first()[:] == (-math.inf, -math.inf)
+
+
+def test_rounded_keeps_the_sign_of_what_goes_to_zero(spark):
+    from tidemark.functions.portable import rounded
+
+    x = [-2e-7, 2e-7, -1.2345675, 1.2345675, 0.0, None, math.inf]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(rounded(F.col("v"), 6)).collect()]
+    assert [str(v) for v in got] == ["-0.0", "0.0", "-1.234568", "1.234568", "0.0", "None", "inf"]

@@ -15,3 +15,9 @@ def h32(*parts: Column | str | int) -> Column:
 def h32_sql(*parts: str) -> str:
     """The same in SQL text; parts are SQL expressions."""
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded half away from zero on the scaled double, as other engines round; a small negative number becomes -0.0."""
+    scale = 10.0**digits
+    return F.when(x < 0, -(F.round(-x * scale) / scale)).otherwise(F.round(x * scale) / scale)

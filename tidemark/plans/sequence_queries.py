@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.portable import h32_sql
+from tidemark.functions.portable import h32_sql, rounded
 from tidemark.operators import features as X
 from tidemark.operators import metrics as E
 from tidemark.operators import ranges as R
@@ -183,7 +183,7 @@ def _vectors(spark, d):
 def q_n1(spark, d):
     v = _vectors(spark, d)
     scaled = N.robust_scale(v, "x", N.fit_robust(v.where("label < 8"), "x"))
-    return scaled.select("vec_id", F.posexplode("scaled").alias("dim", "value")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+    return scaled.select("vec_id", F.posexplode("scaled").alias("dim", "value")).select("vec_id", F.col("dim").cast("long").alias("dim"), rounded(F.col("value"), 6).alias("value"))
 
 
 def _components(spark, d):
@@ -195,7 +195,7 @@ def _components(spark, d):
 def q_n2(spark, d):
     c = _components(spark, d)
     z = N.component_z(c, ["ent", "mx"], c.where("NOT attack"))
-    return z.select("seq_id", "win_ix", F.round("z_ent", 6).alias("z_ent"), F.round("z_mx", 6).alias("z_mx"), F.round(M.ensemble("z_ent", "z_mx"), 6).alias("score"))
+    return z.select("seq_id", "win_ix", *(rounded(c, 6).alias(n) for n, c in (("z_ent", F.col("z_ent")), ("z_mx", F.col("z_mx")), ("score", M.ensemble("z_ent", "z_mx")))))
 
 
 def q_m1(spark, d):
