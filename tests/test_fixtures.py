@@ -243,3 +243,10 @@ def test_rounded_keeps_the_sign_of_what_goes_to_zero(spark):
     x = [-2e-7, 2e-7, -1.2345675, 1.2345675, 0.0, None, math.inf]
     got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(rounded(F.col("v"), 6)).collect()]
     assert [str(v) for v in got] == ["-0.0", "0.0", "-1.234568", "1.234568", "0.0", "None", "inf"]
+
+
+def test_j6_reads_every_event(spark):
+    from tidemark.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    assert registry.QUERIES["j6_token_ids"](spark, d).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{d}/events.parquet").count()

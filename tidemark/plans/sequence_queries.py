@@ -272,7 +272,7 @@ def q_j1(spark, d):
 
 def q_j6(spark, d):
     types = S.table(spark, d, "events").groupBy(F.col("event_type").alias("token")).agg(F.min("event_id").alias("id"))
-    return J.token_ids(S.event_sequences(spark, d), types.where("token <> 'signup'")).groupBy("seq_id").agg(F.sum("id").alias("ids"), F.count("*").alias("n"))
+    return J.token_ids(S.event_sequences(spark, d), types).groupBy("seq_id").agg(F.sum("id").alias("ids"), F.count("*").alias("n"))
 
 
 def q_j9(spark, d):
@@ -345,7 +345,7 @@ QUERIES = {
         (count(*) OVER (PARTITION BY alpha, s) - 1) / 2 AS r FROM w)""", then="""SELECT alpha, round((sum(r) FILTER (attack) - count(*) FILTER (attack) * (count(*) FILTER (attack) + 1) / 2)
         / (count(*) FILTER (attack) * count(*) FILTER (NOT attack)), 6) AS auc FROM r GROUP BY alpha""")),
     "j1_cap_sample": (q_j1, f"SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) ORDER BY {h32_sql(repr('cap'), 'l_orderkey')}, l_orderkey LIMIT 500"),
-    "j6_token_ids": (q_j6, """SELECT user_id AS seq_id, sum(id)::BIGINT AS ids, count(*) AS n FROM events JOIN (SELECT event_type, min(event_id) AS id FROM events WHERE event_type <> 'signup' GROUP BY 1) USING (event_type) GROUP BY 1"""),
+    "j6_token_ids": (q_j6, """SELECT user_id AS seq_id, sum(id)::BIGINT AS ids, count(*) AS n FROM events JOIN (SELECT event_type, min(event_id) AS id FROM events GROUP BY 1) USING (event_type) GROUP BY 1"""),
     "j9_interval_labels": (q_j9, """WITH w AS (SELECT user_id, block, min(ts) AS start, max(ts) AS stop FROM (SELECT user_id, ts, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 10 AS block
         FROM events) GROUP BY ALL), e AS (SELECT user_id, ts, event_id, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 172800000000)::INT, 1) AS fresh
         FROM events WHERE event_type = 'error'), i AS (SELECT user_id, min(ts) AS lo, max(ts) AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e) GROUP BY user_id, g)
