@@ -118,3 +118,31 @@ def test_state_is_kept_by_buckets(rocks, tmp_path):
     for k in range(0, 3000, 7):
         want = fold([float(k % 20)] * 2)
         assert [x for i in range(2) for x in got[f"k{k}", 3000 * i + k]] == pytest.approx([x for w in want for x in w])
+
+
+def test_idle_waits_for_rows_of_the_slot_that_the_watermark_stands_in(rocks, tmp_path):
+    """The watermark stands at 115 in the slot from 60 to 120: b's row at 65, 15 minutes after its last, still waits."""
+    spark = rocks
+    files = [[("b", 50, 1, 0.0), ("b", 65, 2, 0.0)], [("c", 175, 90, 1.0)], FAR]
+    stream = live.policies(deliver(spark, tmp_path, files), 10.0, 1.0, slot=3_600_000, idle=1200)
+    out = live.on_time(live.drain(stream, f"{tmp_path}/out", f"{tmp_path}/state", stream.schema)).where("key = 'b'").orderBy("ts").collect()
+    assert [r["t_cond"] for r in out] == [10.0, 9.0]
+
+
+def test_threshold_rise_by_hand(rocks, tmp_path):
+    """All sliding hours of a key once, over batches and silences, with state by bucket and not by window."""
+    spark = rocks
+    files = [[("a", 0, 1, 5.0), ("a", 25, 2, 9.0), ("b", 7, 3, 1.0)], [("a", 84, 4, None), ("a", 90, 5, 2.0)], [("a", 400, 6, 3.0), ("b", 401, 7, 1.0)], FAR]
+    stream = live.threshold_rise(deliver(spark, tmp_path, files).withColumnRenamed("score", "t"), 3.5, slot=600_000)
+    out = live.drain(stream, f"{tmp_path}/out", f"{tmp_path}/state", stream.schema)
+    got = sorted((r["key"], int((r["start"] - T0).total_seconds() // 60), r["rise"], r["abnormal"]) for r in out.where("key <> 'z'").collect())
+    rows = [(k, m, s) for f in files[:3] for k, m, _, s in f]
+    want = []
+    for k in "ab":
+        for start in range(-60, 500, 10):
+            held = [(m, s) for x, m, s in rows if x == k and start <= m < start + 60]
+            t = [s for _, s in held if s is not None]
+            if held:
+                rise = max(t) - min(t) if t else None
+                want.append((k, start, rise, rise > 3.5 if t else None))
+    assert got == sorted(want)

@@ -147,7 +147,7 @@ def q_log(spark, d):
 
 def q_rise(spark, d):
     log = _log(spark, d).select("key", "ts", F.col("t_uncond").alias("t"))
-    out = _drained(spark, live.threshold_rise(_stream(spark, log, {}), 10.0))
+    out = _drained(spark, live.threshold_rise(_stream(spark, log, {}), 10.0, slot=DAY))
     return out.where(F.col("start") < "2099-12-31").groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("abnormal").cast("long")).alias("abnormal"), F.round(F.sum("rise"), 4).alias("rise"))
 
 

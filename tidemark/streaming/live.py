@@ -11,6 +11,7 @@ A key that is silent for longer than ``idle`` begins anew, with T_op and its war
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -93,43 +94,53 @@ class InOrder(StatefulProcessor):
         if not ready and self.idle is None or not ready and not self.state.exists():
             return
         keys = {k: tuple(m) for k, *m in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
+        out: dict[str, list] = {n: [] for n in self.columns if n != "late"}
         if ready:
             slots = [pd.DataFrame(dict(zip(self.names, map(list, self.waiting.getValue((at,))), strict=True)), dtype=object) for at in ready]
             for at in ready:
                 self.waiting.removeKey((at,))
             rows = pd.concat(slots, ignore_index=True).astype({"us": "int64", "id": "int64"}).sort_values(["key", "us", "id"], ignore_index=True)
-            if len(out := self._in_turn(rows, keys)):
-                yield out
+            self._in_turn(rows, keys, out)
         if self.idle is not None:
-            keys = {k: m for k, m in keys.items() if m[0] + self.idle > passed * 1000}
+            # Rows of the slot that the watermark stands in still wait: time is up to its beginning.
+            upto = passed // self.slot * self.slot * 1000
+            for k in [k for k, m in keys.items() if m[0] + self.idle <= upto]:
+                last, *memory = keys.pop(k)
+                self.ended(k, last, memory, out)
             for due in {-(-(m[0] + self.idle) // (self.slot * 1000)) * self.slot for m in keys.values()} if ready else ():
                 self.handle.registerTimer(due)
         if keys:
             self.state.update(tuple(map(list, zip(*((k, *m) for k, m in keys.items()), strict=True))))
         else:
             self.state.clear()
+        if out["key"]:
+            made = pd.DataFrame({**out, "late": False}, columns=self.columns)
+            yield made.assign(ts=_times(made["ts"]))
 
-    def _in_turn(self, rows: pd.DataFrame, keys: dict) -> pd.DataFrame:
-        """What ``released`` makes of the rows; ``keys``, (last, *memory) by key, moves on with them."""
+    def _in_turn(self, rows: pd.DataFrame, keys: dict, out: dict[str, list]) -> None:
+        """Add what ``released`` makes of the rows; ``keys``, (last, *memory) by key, moves on with them."""
         held = {n: rows[n].tolist() for n in self.names}
         key, us = held["key"], held["us"]
-        out: dict[str, list] = {n: [] for n in self.columns}
         lo = 0
         for hi in range(1, len(us) + 1):
             if hi < len(us) and key[hi] == key[lo] and (self.idle is None or us[hi] - us[hi - 1] < self.idle):
                 continue
             last, *memory = keys.get(key[lo], (None,))
-            if last is None or self.idle is not None and us[lo] - last >= self.idle:
+            if last is None:
+                memory = None
+            elif self.idle is not None and us[lo] - last >= self.idle:
+                self.ended(key[lo], last, memory, out)
                 memory = None
             keys[key[lo]] = (us[hi - 1], *self.released(held, lo, hi, memory, out))
             lo = hi
-        made = pd.DataFrame({**out, "late": False}, columns=self.columns)
-        return made.assign(ts=_times(made["ts"]))
 
     def released(self, rows: dict[str, list], lo: int, hi: int, memory: list | None, out: dict[str, list]) -> tuple:
         """Add to ``out`` what rows lo to hi, all of one key, give, with ts in microseconds; the key's new memory."""
         raise NotImplementedError
 
+    def ended(self, key: str, last: int, memory: list, out: dict[str, list]) -> None:
+        """Add to ``out`` what a key still has to give that has been silent for ``idle``."""
+
     def aside(self, rows: pd.DataFrame) -> pd.DataFrame:
         out = {"key": rows["key"], "ts": _times(rows["us"]), "late": True, **{n: rows[n] for n in ("id", *self.fields) if n in self.columns}}
         none = pd.Series([None] * len(rows), rows.index, dtype=object)
@@ -203,6 +214,42 @@ class Policies(InOrder):
         return u, c, first
 
 
+class Rise(InOrder):
+    """Sliding windows of a key's thresholds, each when it is over. Between windows a key keeps the rows that one which is
+    not over holds; after a silence of a window's length all are over."""
+
+    fields = {"t": DoubleType()}
+    memory = {"next": LongType(), "us": ArrayType(LongType()), "t": ArrayType(DoubleType())}
+    columns = ["key", "ts", "rise", "late"]
+
+    def __init__(self, length: int = 3_600_000_000, step: int = 600_000_000, slot: int = SLOT):
+        super().__init__(slot, length / 1e6)
+        self.length, self.step = length, step
+
+    def _first(self, us: int) -> int:
+        """Start of the first window that holds a time."""
+        return (us - self.length) // self.step * self.step + self.step
+
+    def released(self, rows, lo, hi, memory, out):
+        start, us, t = memory or (self._first(rows["us"][lo]), [], [])
+        us, t = [*us, *rows["us"][lo:hi]], [*t, *rows["t"][lo:hi]]
+        until = self._first(us[-1])  # windows before it have ended by the last row
+        self._windows(rows["key"][lo], range(start, until, self.step), us, t, out)
+        kept = bisect_left(us, until)
+        return max(start, until), us[kept:], t[kept:]
+
+    def ended(self, key, last, memory, out):
+        start, us, t = memory
+        self._windows(key, range(start, last + 1, self.step), us, t, out)
+
+    def _windows(self, key: str, starts: range, us: list, t: list, out: dict[str, list]) -> None:
+        for s in starts:
+            held = [x for x in t[bisect_left(us, s) : bisect_left(us, s + self.length)] if x is not None]
+            out["key"].append(key)
+            out["ts"].append(s)
+            out["rise"].append(max(held) - min(held) if held else None)
+
+
 def _with_state(stream: DataFrame, processor: InOrder, schema: str) -> DataFrame:
     # Event time as a plain number: which rows are late is the processor's to say, and Spark drops none before it.
     rows = stream.select(F.pmod(F.hash("key"), F.lit(BUCKETS)).alias("bucket"), "key", F.unix_micros("ts").alias("us"), "id", *processor.fields)
@@ -288,10 +335,10 @@ def episodes(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return burst.select("key", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "alerts")
 
 
-def threshold_rise(stream: DataFrame, bound: float) -> DataFrame:
-    """Sliding hours in which a key's threshold moved by more than ``bound``."""
-    wide = stream.groupBy("key", F.window("ts", "1 hour", "10 minutes")).agg((F.max("t") - F.min("t")).alias("rise"))
-    return wide.select("key", F.col("window.start").alias("start"), "rise", (F.col("rise") > bound).alias("abnormal"))
+def threshold_rise(stream: DataFrame, bound: float, slot: int = SLOT) -> DataFrame:
+    """Sliding hours in which a key's threshold moved by more than ``bound``; late rows move nothing."""
+    wide = on_time(_with_state(stream.withColumn("id", F.lit(0).cast("long")), Rise(slot=slot), "key string, ts timestamp, rise double, late boolean"))
+    return wide.select("key", F.col("ts").alias("start"), "rise", (F.col("rise") > bound).alias("abnormal"))
 
 
 def arrived_once(stream: DataFrame) -> DataFrame:
