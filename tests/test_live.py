@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import stream_queries
 from tidemark.streaming import live
@@ -146,3 +147,16 @@ def test_threshold_rise_by_hand(rocks, tmp_path):
                 rise = max(t) - min(t) if t else None
                 want.append((k, start, rise, rise > 3.5 if t else None))
     assert got == sorted(want)
+
+
+def test_large_slices_are_written_by_several_tasks(spark, monkeypatch):
+    """Each slice as the same number of files, and a slice is a micro-batch; the closing row is one of its own."""
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 200)
+    rows = spark.range(6000).select(F.lit("a").alias("key"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), "id", F.lit(2.0).alias("score"))
+    stream, seen = stream_queries._stream(spark, rows, {}), []
+    stream = stream.withColumn("f", F.input_file_name())
+    q = stream.writeStream.foreachBatch(lambda b, i: seen.append(tuple(b.agg(F.countDistinct("f"), F.count("*"), F.min("id")).first()))).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) == 6 and len({x[0] for x in seen[:5]}) == 1 and seen[0][0] in (5, 6)
+    assert sorted(seen[:5], key=lambda x: x[2]) == seen[:5] and all(a[2] + a[1] == b[2] for a, b in zip(seen, seen[1:5], strict=False))
+    assert sum(x[1] for x in seen[:5]) == 6000 and seen[5][1] == 1

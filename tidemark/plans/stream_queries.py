@@ -7,7 +7,7 @@ passed by then are late.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans import score_queries as Q
@@ -18,8 +18,9 @@ from tidemark.sources import tables as S
 from tidemark.streaming import live
 
 FAR = "2100-01-01"
-#: Files, and so micro-batches, of a stream: keys span them, and state carries over.
+#: Micro-batches of a stream: keys span them, and state carries over. Small ones are a file each, large ones several.
 BATCHES = 5
+FILE_ROWS, MOST_FILES = 100_000, 64
 #: How far the watermark stays behind, half the time of a file; and milliseconds that are released together.
 DELAY, DELAY_MS, DAY = "3 days", 3 * 86_400_000, 86_400_000
 
@@ -35,15 +36,27 @@ def _events(spark: SparkSession, d: str, closing: bool = False) -> DataFrame:
 
 
 def _stream(spark: SparkSession, rows: DataFrame, last: dict | None) -> DataFrame:
-    """Rows as files in order of time, each a micro-batch, with a ``last`` row far ahead if asked for."""
+    """Rows as files in order of time, in micro-batches, with a ``last`` row far ahead if asked for."""
     path, rows = S.scratch(spark), S.written(rows)
     cuts = rows.agg(F.percentile_approx(F.col("ts").cast("double"), [i / BATCHES for i in range(1, BATCHES)], 10_000)).first()[0] or []
     at = F.col("ts").cast("double")
-    for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
-        rows.where((at > lo) & (at <= hi)).coalesce(1).write.mode("append").parquet(f"{path}/a")
+    slices = [(at > lo) & (at <= hi) for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True)]
+    n = _files(rows, slices)
+    for slice_ in slices:
+        _dealt(rows.where(slice_), n).write.mode("append").parquet(f"{path}/a")
     if last is not None:
         rows.limit(1).withColumns({"ts": F.lit(FAR).cast("timestamp"), **last}).write.mode("append").parquet(f"{path}/a")
-    return live.event_stream(spark, f"{path}/a", rows.schema, per_batch=1)
+    return live.event_stream(spark, f"{path}/a", rows.schema, per_batch=n)
+
+
+def _files(rows: DataFrame, slices: list[Column]) -> int:
+    """Files that every slice is written as, and so files of a micro-batch: 1, or one for each FILE_ROWS of the smallest."""
+    least = min(rows.agg(*(F.count_if(s).alias(f"n{i}") for i, s in enumerate(slices))).first())
+    return max(1, min(MOST_FILES, least // FILE_ROWS))
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    return rows.coalesce(1) if n == 1 else rows.repartition(n)
 
 
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -68,10 +81,11 @@ def _delivered(spark: SparkSession, d: str) -> DataFrame:
     at = F.least(F.lit(BATCHES - 1), slice_ + F.when(h == 0, 2).when(h <= 5, 1).otherwise(0))
     rows = S.written(rows.crossJoin(F.broadcast(span)).withColumn("_file", at).drop("lo", "hi"))
     path = S.scratch(spark)
+    n = _files(rows, [F.col("_file") == i for i in range(BATCHES)])
     for i in range(BATCHES):
-        rows.where(F.col("_file") == i).drop("_file").coalesce(1).sortWithinPartitions(h32("order", F.col("id"))).write.mode("append").parquet(f"{path}/a")
+        _dealt(rows.where(F.col("_file") == i).drop("_file"), n).sortWithinPartitions(h32("order", F.col("id"))).write.mode("append").parquet(f"{path}/a")
     _closing(rows.drop("_file")).write.mode("append").parquet(f"{path}/a")
-    return live.event_stream(spark, f"{path}/a", rows.drop("_file").schema, DELAY, per_batch=1)
+    return live.event_stream(spark, f"{path}/a", rows.drop("_file").schema, DELAY, per_batch=n)
 
 
 def q_windows(spark, d):
