@@ -42,13 +42,19 @@ def isolation(id_col: str, **how) -> Scorer:
 def score_windows(windows: DataFrame, vector: str, train: Column, recon: Scorer, isolate: Scorer, alpha: float = M.ALPHA) -> DataFrame:
     """Add ``score``: alpha of the standardised reconstruction error and the rest of the standardised isolation score.
 
-    Rows where ``train`` holds fit the scaling, both scorers and the standardisation of their scores.
+    Rows where ``train`` holds fit the scaling, both scorers and the standardisation of their scores. A score depends on the
+    vector alone, and windows of few symbols have few vectors: each distinct one is scaled and scored once, stands for
+    ``_n`` training rows, and is joined back. ``windows`` are read three times.
     """
     d = windows.withColumn("_train", train)
-    scaled = written(N.robust_scale(d, vector, N.fit_robust(d.where("_train"), vector), "scaled"))
-    both = written(isolate(recon(scaled, scaled.where("_train")), scaled.where("_train")))
-    z = N.component_z(both, ["recon", "isolation"], both.where("_train"))
-    return z.withColumn("score", F.round(M.ensemble("z_recon", "z_isolation", alpha), DIGITS)).drop("scaled", "z_recon", "z_isolation")
+    kinds = written(d.groupBy(vector).agg(F.sum(F.when(F.col("_train"), 1).otherwise(0)).alias("_n")))
+    seen = F.col("_n") > 0
+    scaled = written(N.robust_scale(kinds, vector, N.fit_robust(kinds.where(seen), vector, weight="_n"), "scaled"))
+    training = written(d.where("_train").join(scaled.select(vector, "scaled"), vector))
+    both = written(isolate(recon(scaled, training), training))
+    z = written(N.component_z(both, ["recon", "isolation"], both.where(seen), "_n"))
+    score = F.round(M.ensemble("z_recon", "z_isolation", alpha), DIGITS)
+    return d.join(z.select(vector, "recon", "isolation", score.alias("score")), vector)
 
 
 def held_out(scored: DataFrame, id_col: str, seed: str, by: Sequence[str] = ()) -> DataFrame:
@@ -61,9 +67,9 @@ def report(scores: DataFrame, by: Sequence[str] = ("arm",)) -> DataFrame:
     """(by, the calibration quantiles, n_cal, n_test, n_attack, auc, ap, recall_t0, fpr_t0): thresholds from benign
     calibration scores, quality on the test half."""
     by = list(by)
-    params = C.calibrate(scores.where("label = 'benign' AND split = 'CAL'"), tuple(by))
+    params = written(C.calibrate(scores.where("label = 'benign' AND split = 'CAL'"), tuple(by)))
     test, attack = scores.where("split = 'TEST'").join(params, by), F.col("label") == "attack"
-    curve = written(E.curve(test, "score", attack, by))
+    curve = written(E.curve(test.select(*by, "label", "score"), "score", attack, by))
     above = F.col("score") > F.col("T0")
     rates = test.groupBy(*by).agg(
         F.count("*").alias("n_test"), F.sum(attack.cast("long")).alias("n_attack"), E.rate(F.when(attack, above)).alias("recall_t0"), E.rate(F.when(~attack, above)).alias("fpr_t0")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import row_numbers
+from tidemark.functions.ordered import row_numbers, with_room
 from tidemark.functions.portable import h32
+from tidemark.sources.tables import written
 
 
 def cap_sample(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
@@ -17,10 +18,22 @@ def cap_sample(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
 
 
 def split_half(df: DataFrame, by: str, id_col: str, seed: str) -> DataFrame:
-    """Add split: the first half of each group in hash order is CAL (rounded down), the rest TEST."""
-    d = row_numbers(df, [by], h32(seed, F.col(id_col)), [id_col])
-    n = df.groupBy(by).agg(F.count("*").alias("_n"))
-    return d.join(n, by).withColumn("split", F.when(F.col("rn") <= F.floor(F.col("_n") / 2), "CAL").otherwise("TEST")).drop("rn", "_n")
+    """Add split: the first half of each group in hash order is CAL (rounded down), the rest TEST.
+
+    Rooms of equal leading bits of the hash are counted; only rows of the one room of a group that the cut goes through are
+    put in order.
+    """
+    d = with_room(df, h32(seed, F.col(id_col)))
+    rooms = d.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(by)
+    upto = F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    half = F.floor(F.sum("_n").over(group) / 2)
+    rooms = written(rooms.select(by, "_bucket", (half - upto + F.col("_n")).alias("_open"), F.col("_n")))
+    d, open_, n = d.join(rooms, [by, "_bucket"]), F.col("_open"), F.col("_n")
+    whole = d.where((open_ <= 0) | (open_ >= n)).withColumn("split", F.when(open_ > 0, "CAL").otherwise("TEST"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_key", id_col))
+    cut = d.where((open_ > 0) & (open_ < n)).withColumn("split", F.when(rank <= open_, "CAL").otherwise("TEST"))
+    return whole.unionByName(cut).drop("_key", "_bucket", "_open", "_n")
 
 
 def pool(df: DataFrame, by: Sequence[str], id_col: str, seed: str) -> DataFrame:

@@ -35,13 +35,14 @@ def _named(windows: DataFrame) -> DataFrame:
 
 def filtered(spark: SparkSession, d: str) -> DataFrame:
     """Windows over the alphabet with their features x."""
-    return _named(event_features(spark, d)).select("event_id", "seq_id", "label", F.col("features").alias("x"))
+    return S.written(_named(event_features(spark, d)).select("event_id", "seq_id", "label", F.col("features").alias("x")))
 
 
 def unfiltered(spark: SparkSession, d: str) -> DataFrame:
     """Windows without the alphabet's filter; x are frequencies of the commonest tokens of training windows."""
     w = S.written(_named(W.sliding_windows(S.event_sequences(spark, d))))
-    return X.vocabulary_freq(w, X.top_vocabulary(w.where(_is_train()), TOP)).select("event_id", "seq_id", "label", F.col("freq").alias("x"))
+    x = X.vocabulary_freq(w, X.top_vocabulary(w.where(_is_train()), TOP)).select("event_id", "seq_id", "label", F.col("freq").alias("x"))
+    return S.written(x)
 
 
 def given_recon(rows: DataFrame, train: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def given_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def trained_scores(spark: SparkSession, d: str) -> DataFrame:
     """Held-out scores of the three arms: linear and variational on filtered windows, variational without the filter."""
-    with_filter, without = S.written(filtered(spark, d)), unfiltered(spark, d)
+    with_filter, without = filtered(spark, d), unfiltered(spark, d)
     forest = D.isolation("event_id")
     arms = (("linear", with_filter, D.linear(3)), ("variational", with_filter, D.variational()), ("unfiltered", without, D.variational()))
     out = None
