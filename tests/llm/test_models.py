@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,46 @@ def test_descents_find_what_leaves_do_not(spark, monkeypatch):
     assert graph.where("size(near) <> size(array_distinct(near)) OR array_contains(near, node)").count() == 0
 
 
+def test_nearest_beyond_one_leaf_and_page(spark, monkeypatch):
+    """Through all steps, with leaves of a hundredth of the table; vectors travel to pages, not with each edge."""
+    monkeypatch.setattr(nearest, "LEAF", (32, 32))
+    monkeypatch.setattr(nearest, "TREES", 3)
+    n = 3000
+    x = np.random.default_rng(8).standard_normal((n, 16))
+    x[1000:2000] = x[0] + 1e-3 * x[1000:2000]  # a third of them all but equal
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    sent = []
+    monkeypatch.setattr(nearest, "_met", lambda left, right, f, schema, met=nearest._met: met(left, sent.append(right) or right, f, schema))
+    rows = nearest.nearest(df, F.col("vec_id") % 50 == 0).collect()
+    hits = 0
+    for q in range(0, n, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        got = [r for r in rows if r["query_id"] == q]
+        assert sorted(r["rank"] for r in got) == [1, 2, 3, 4, 5]
+        assert all(r["score"] == pytest.approx(s[r["vec_id"]], abs=1e-12) for r in got)
+        hits += len({r["vec_id"] for r in got} & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * len(rows)
+    assert sent[0].count() < n  # a row for each edge were 36 for a node
+
+
+def test_incoming_edges_are_bounded():
+    """All nodes lead to node 0: it is compared with its own neighbours and the nearest of those that lead to it."""
+    n, most = 5000, nearest.NEIGHBOURS
+    sims = np.linspace(0.9, 0.1, n).astype(np.float32)
+    rows = [(0, [1, 2], [0.9, 0.8], [False, False])] + [(i, [0], [float(sims[i])], [True]) for i in range(1, n)]
+    graph = pa.Table.from_pylist(
+        [dict(zip(("node", "near", "sims", "fresh"), r, strict=True)) for r in rows],
+        pa.schema([("node", pa.int64()), ("near", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32())), ("fresh", pa.list_(pa.bool_()))]),
+    )
+    sent = pa.Table.from_batches(list(nearest._reversed(graph.to_batches())))
+    w, m, fresh = nearest._around(graph, sent)
+    assert sorted(m[w == 0]) == list(range(1, most + 3))
+    assert fresh[w == 0].all()  # also those that both lead to each other, as one direction is fresh
+    assert sorted(m[w == 1]) == [0] and sorted(m[w == n - 1]) == [0]
+
+
 def test_nearest_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted(map(tuple, nearest.nearest(df, F.col("vec_id") % 50 == 0).collect()))
